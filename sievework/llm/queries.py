@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import mixing, packing
+from sievework.llm import mixing, packing, suffix_tree
 
 
 def vocabulary() -> str:
@@ -25,12 +25,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("mix_rate", 6).alias("rate"), F.col("mix_copies").alias("copies"), F.col("mix_copy").alias("copy"), F.col("mix_order").alias("order_key"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.suffix_tree_scores(documents(spark, sf_dir), lambda key: suffix_tree.fold(key) != 1)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(documents(spark, sf_dir), vocabulary())
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op6_packing": op6_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing}
 
 _LOG_FACTORIALS = ", ".join(repr(__import__("math").lgamma(k + 1)) + "::DOUBLE" for k in range(mixing.LEVELS))
 
