@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,55 +16,76 @@ from pyspark.sql import types as T
 
 from sievework.llm.work import column, text_bytes
 
-#: Words kept in a worker's memory of encoded words before it starts afresh.
-REMEMBERED = 400_000
-#: A word of its own in encoded batches, by which the ids of words are told apart.
-MARK = "\N{CURRENCY SIGN}"
+#: Words, and parts of words, kept in a worker's memory before it starts afresh.
+REMEMBERED = 500_000
+#: A word that is Latin letters and then, perhaps, ASCII punctuation without an apostrophe.
+SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: itself if it is printable Latin-1, else one from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)}
+
+
+class _Words(dict):
+    """Encoded words; a new one is encoded when it is first looked up."""
+
+    def __init__(self, encoder: object):
+        super().__init__()
+        self.encoder, self.model = encoder, encoder.model
+        self.letters = byte_letters()
+        self.parts: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if m := SIMPLE.fullmatch(word):
+            letters, marks = m.groups()
+            out = self._part(letters.lower() if letters.isascii() else letters.decode().lower().encode())
+            if marks:
+                out += self._part(marks)
+        else:
+            out = np.array(self.encoder.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = out
+        return out
+
+    def _part(self, part: bytes) -> bytes:
+        out = self.parts.get(part)
+        if out is None:
+            ids = [x.id for x in self.model.tokenize(part.decode("latin-1").translate(self.letters))]
+            out = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+    def trim(self) -> None:
+        if len(self) > REMEMBERED:
+            self.clear()
+        if len(self.parts) > REMEMBERED:
+            self.parts = {}
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space and encodes each word by itself.
 
     A text's ids are the ids of its words in turn, so each distinct word is
-    encoded once and looked up afterwards. Words are split at ASCII white
-    space only, which every such tokenizer also splits at.
+    encoded once and looked up afterwards. Words are split at ASCII white space
+    only, which the tokenizer also splits at. Of a simple word, the letters and
+    the punctuation are the tokenizer's own parts; each goes to its BPE model
+    once. All other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.path = path
-        self.encoder = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.mark = self.encoder.encode(MARK, add_special_tokens=False).ids
-        self.plain = len(self.mark) == 1
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known = {}
-        texts = [w.decode() for w in words]
-        for i in range(0, len(texts), 4096):
-            part = texts[i : i + 4096]
-            ids = np.asarray(self.encoder.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, dtype=np.uint32)
-            cuts = np.flatnonzero(ids == self.mark[0]) if self.plain else np.empty(0, int)
-            if len(cuts) == len(part) - 1:
-                found = np.split(ids, cuts)
-                found = [found[0], *(x[1:] for x in found[1:])]
-            else:  # a word holds the mark itself
-                found = [np.asarray(x.ids, dtype=np.uint32) for x in self.encoder.encode_batch(part, add_special_tokens=False)]
-            self.known.update(zip(words[i : i + 4096], (x.astype("<u4").tobytes() for x in found), strict=True))
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        self.known = _Words(Tokenizer.from_file(path))
+
+    def encode(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        for i in range(0, len(texts), 256):
-            split = [t.split() for t in texts[i : i + 256]]
-            if new := set().union(*split).difference(self.known):
-                before = self.known
-                self._learn(list(new))
-                if self.known is not before:  # started afresh: what the batch needs is learned again
-                    self._learn(list(set().union(*split).difference(self.known)))
-            for words in split:
-                yield b"".join(map(self.known.__getitem__, words))
+        for text in texts:
+            # The tokenizer lower-cases too, after composing letters with the marks U+0300 to
+            # U+036F; without those, and special tokens' names, A to Z can go first.
+            plain = b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text
+            yield b"".join(map(self.known.__getitem__, (text.lower() if plain else text).split()))
+            self.known.trim()
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
