@@ -21,7 +21,7 @@ from sievework.llm.work import column, table, text_bytes
 ROWS, BANDS = 5, 36
 #: Registers grow by one as the minimum shrinks by this factor.
 FACTOR = 1.02
-#: Pivots of a bucket tried one after the other before its remaining pairs are listed.
+#: Pivots of a bucket tried after the first before its remaining pairs are listed.
 PIVOTS = 3
 #: Parts in which a pivot's comparisons are dealt out.
 SALTS = 64
@@ -95,35 +95,139 @@ def sketched(docs: DataFrame, size: int, text: str) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b, shared, united) for each of `pairs` (a, b), counted on the full shingle sets.
+    """(a, b, shared, united, likely) for each of `pairs` (a, b).
+
+    shared and united are counted on the full shingle sets. likely is the
+    estimate from the registers; where it is below half the threshold (over ten
+    standard errors), the sets are not compared and shared is taken from it.
 
     Rows of b, and one of a for each of the SALTS parts that its pairs fall in,
-    meet sorted by (a, part), so a task holds one set of a at a time. Where the
-    likelihood estimate is 0.3 below the threshold (ten standard errors), the
-    pair can't be a link; it is counted all the same, for the distance bounds.
+    meet sorted by (a, part), so a task holds one set of a at a time.
     """
     salted = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    right = salted.join(texts.withColumnRenamed("row", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "text")
-    left = salted.select("a", "part").distinct().join(texts.withColumnRenamed("row", "a"), "a").select("a", "part", F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), "text")
+    right = salted.join(texts.withColumnRenamed("row", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "n", "sketch", "text")
+    left = salted.select("a", "part").distinct().join(texts.withColumnRenamed("row", "a"), "a").select("a", "part", F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), "n", "sketch", "text")
     parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     met = left.unionByName(right).repartition(parts, "a", "part").sortWithinPartitions("a", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: np.ndarray = np.empty(0, np.uint64)
+        first: tuple = (None, 0, None)
         for batch in batches:
             texts = text_bytes(column(batch, "text"))
-            a, role, b = (column(batch, n).to_pylist() for n in ("a", "role", "b"))
+            a, role, b, n, sketch = (column(batch, x).to_pylist() for x in ("a", "role", "b", "n", "sketch"))
             out: list[tuple] = []
             for i, j in blocks(texts):
                 found, many = shingles(*hashed_words(texts[i:j]), size)
                 for k, (e, m) in enumerate(zip(np.cumsum(many).tolist(), many.tolist(), strict=True), i):
-                    mine = np.unique(found[e - m : e])
+                    mine = found[e - m : e]
+                    marks = np.frombuffer(sketch[k], np.uint16)
                     if role[k] == 0:
-                        held = mine
-                    else:
-                        shared = len(np.intersect1d(held, mine, assume_unique=True))
-                        out.append((a[k], b[k], shared, len(held) + len(mine) - shared))
+                        first = (np.unique(mine), n[k], marks)
+                        continue
+                    likely = likelihood_estimate(first[2], marks, first[1], n[k])
+                    both = first[1] + n[k]
+                    shared = len(np.intersect1d(first[0], np.unique(mine), assume_unique=True)) if 200 * likely >= percent else int(both * likely / (1 + likely))
+                    out.append((a[k], b[k], shared, both - shared, likely))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b", "shared", "united"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in list(zip(*out, strict=True))[:4]], pa.array([x[4] for x in out], pa.float64())], names=["a", "b", "shared", "united", "likely"])
+
+    return met.mapInArrow(run, "a long, b long, shared long, united long, likely double")
+
+
+def remaining(named: DataFrame, found: DataFrame, limit: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's rows that may still join components.
 
-    return met.mapInArrow(run, "a long, b long, shared long, united long")
+    One of them is outside the component of the bucket's first pivot, and their
+    distances to that pivot differ by `limit` at most.
+    """
+    first = found.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
+    cell = F.floor(F.col("far") / F.lit(max(limit, 1e-9)))
+    rows = named.join(first, "pivot", "left").withColumn("main", F.coalesce("main", "pivot")).withColumn("cell", cell)
+    beside = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))
+    outer = rows.filter("component <> main").select("band", F.col("row").alias("x"), F.col("component").alias("cx"), F.col("far").alias("fx"), beside.alias("cell"))
+    near = (F.col("cx") != F.col("component")) & (F.abs(F.col("fx") - F.col("far")) <= limit + 1e-9)
+    return outer.join(rows, ["band", "cell"]).filter(near).select(F.least("x", "row").alias("a"), F.greatest("x", "row").alias("b")).distinct()
+
+
+def near_links(bands: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Components (node, component) of the linked ones among rows that share a band.
+
+    `bands` has (band, row). A bucket, the rows of one band, is compared with
+    pivots instead of pairwise: first its least row. Rows found in one component
+    need no more comparison with each other. Where a bucket still holds several
+    components, further pivots follow, each compared with the rows of other
+    components, and is then done with. What remains after PIVOTS is exact too:
+    every row outside the component of the bucket's first pivot meets the other
+    rows, except where the triangle inequality of the Jaccard distance excludes
+    a link: their distances to the first pivot differ by more than the threshold's.
+    """
+    sizes = bands.groupBy("band").agg(F.min("row").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    left = table(bands.join(sizes, "band"), "buckets")
+    pairs = left.filter("row <> pivot").select(F.col("pivot").alias("a"), F.col("row").alias("b")).distinct()
+    wanted = left.select("row").distinct()
+    texts = table(texts.join(wanted, "row"), "near-texts")
+    seen = table(verified(pairs, texts, size, percent), "near-pairs")
+    found = components(seen.filter(100 * F.col("shared") >= percent * F.col("united")).select("a", "b"))
+    far = seen.select(F.col("a").alias("pivot"), F.col("b").alias("row"), (1 - F.col("shared") / F.col("united")).alias("far"))
+    # The first pivot is done with: what follows is about the other rows of each bucket.
+    left = left.join(far, ["pivot", "row"])
+    for turn in range(1, PIVOTS + 2):
+        named = left.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+        ranked = F.struct(F.xxhash64("row", F.lit(turn)), F.col("row"), F.col("component"))
+        mixed = named.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(ranked).alias("next")).filter("least <> most")
+        named = table(named.join(mixed.select("band", F.col("next.row").alias("turn"), F.col("next.component").alias("own")), "band"), "buckets")
+        if named.isEmpty():
+            break
+        if turn <= PIVOTS:
+            pairs = named.filter("row <> turn and component <> own").select(F.least("turn", "row").alias("a"), F.greatest("turn", "row").alias("b")).distinct()
+            left = named.filter("row <> turn").drop("turn", "own", "component")
+        else:
+            pairs = remaining(named, found, 1 - percent / 100)
+        pairs = table(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        more = table(verified(pairs, texts, size, percent), "near-pairs")
+        seen = seen.unionByName(more)
+        new = more.filter(100 * F.col("shared") >= percent * F.col("united")).select("a", "b")
+        if not new.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
+    return found
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with n_shingles, component_id and kept.
+
+    Texts are linked if at least `percent` % of their united distinct shingles
+    of `size` words are shared (A to Z lower-cased, words split at ASCII white
+    space). Registers of a SetSketch are cut into bands; rows that share a band
+    are candidates, estimated by likelihood and confirmed on the full sets. Rows
+    with the same words are one row throughout, and join at the end.
+
+    component_id is the least key that links reach, and `kept` holds for one row
+    of each component: that of the least key, the first of them if it repeats. A
+    text with fewer words than `size` has its sequence as its one shingle. A null
+    or empty text has none and is linked with nothing: it keeps its own key. Null
+    keys come last among keys. Columns of the added names are replaced.
+
+    A candidate is missed with a probability under 1e-6 at a similarity of 0.8.
+    """
+    own = ["n_shingles", "component_id", "kept"]
+    docs = docs.drop(*own)
+    rows = table(sketched(docs, size, text), "near-rows")
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__near_row").alias("row"))
+    classes = rows.filter("__near_n > 0").groupBy("__near_content").agg(F.min("__near_row").alias("__near_row"), F.min(order).alias("__near_first"))
+    classes = table(classes, "near-classes")
+    single = rows.select("__near_row", "__near_n", "__near_sketch", F.col(text).alias("text")).join(classes.select("__near_row"), "__near_row")
+    width = 2 * ROWS
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("__near_sketch").substr(i * width + 1, F.lit(width))))
+    bands = rows.select("__near_row", "__near_sketch").join(classes.select("__near_row"), "__near_row").select(F.explode(cuts).alias("band"), F.col("__near_row").alias("row"))
+    found = near_links(bands, single.select(F.col("__near_row").alias("row"), F.col("__near_n").alias("n"), F.col("__near_sketch").alias("sketch"), "text"), size, percent)
+    linked = classes.join(found.withColumnRenamed("node", "__near_row"), "__near_row", "left").withColumn("component", F.coalesce("component", "__near_row"))
+    least = linked.groupBy("component").agg(F.min("__near_first").alias("first"))
+    named = linked.join(least, "component").select("__near_content", "first")
+    return rows.join(named, "__near_content", "left").select(
+        *docs.columns,
+        F.col("__near_n").alias("n_shingles"),
+        F.when(F.col("first").isNull(), F.col(key)).otherwise(F.col("first.key")).alias("component_id"),
+        (F.col("first").isNull() | (F.col("first.row") == F.col("__near_row"))).alias("kept"),
+    )
