@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import mixing, packing, setsketch, suffix_tree
+from sievework.llm import exact_dedup, mixing, packing, setsketch, suffix_tree
 
 
 def vocabulary() -> str:
@@ -25,6 +25,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("mix_rate", 6).alias("rate"), F.col("mix_copies").alias("copies"), F.col("mix_copy").alias("copy"), F.col("mix_order").alias("order_key"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet", maxBytesPerTrigger=str(64 << 30))
+    return found.withColumnRenamed("text_digest", "text_sha256")
+
+
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.suffix_tree_scores(documents(spark, sf_dir), lambda key: suffix_tree.fold(key) != 1)
 
@@ -38,7 +43,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op10_setsketch": op10_setsketch}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op3_exact_dedup": op3_exact_dedup, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op10_setsketch": op10_setsketch}
 
 _LOG_FACTORIALS = ", ".join(repr(__import__("math").lgamma(k + 1)) + "::DOUBLE" for k in range(mixing.LEVELS))
 
@@ -65,4 +70,8 @@ ORACLE_SQL: dict[str, str] = {
                CAST('0x' || md5('mix|order|' || ident || '|' || CAST(k AS VARCHAR))[1:15] AS BIGINT) AS order_key,
                sha256(text) AS text_sha256
         FROM copied""",
+    "op3_exact_dedup": r"""
+        WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+        FROM t WINDOW w AS (PARTITION BY text_sha256)""",
 }
