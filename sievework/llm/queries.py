@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact_dedup, mixing, packing, setsketch, suffix_tree
+from sievework.llm import exact_dedup, mixing, packing, setsketch, suffix_tree, syncmers
 
 
 def vocabulary() -> str:
@@ -39,11 +39,15 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(documents(spark, sf_dir))
+
+
 def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op3_exact_dedup": op3_exact_dedup, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op10_setsketch": op10_setsketch}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op3_exact_dedup": op3_exact_dedup, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op9_syncmers": op9_syncmers, "op10_setsketch": op10_setsketch}
 
 _LOG_FACTORIALS = ", ".join(repr(__import__("math").lgamma(k + 1)) + "::DOUBLE" for k in range(mixing.LEVELS))
 
