@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact_dedup, mixing, packing, setsketch, suffix_tree, syncmers
+from sievework.llm import exact_dedup, mixing, packing, setsketch, sharding, suffix_tree, syncmers
 
 
 def vocabulary() -> str:
@@ -30,6 +30,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("text_digest", "text_sha256")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(documents(spark, sf_dir), 8).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.suffix_tree_scores(documents(spark, sf_dir), lambda key: suffix_tree.fold(key) != 1)
 
@@ -47,7 +51,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op3_exact_dedup": op3_exact_dedup, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op9_syncmers": op9_syncmers, "op10_setsketch": op10_setsketch}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op3_exact_dedup": op3_exact_dedup, "op4_sharding": op4_sharding, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op9_syncmers": op9_syncmers, "op10_setsketch": op10_setsketch}
 
 _LOG_FACTORIALS = ", ".join(repr(__import__("math").lgamma(k + 1)) + "::DOUBLE" for k in range(mixing.LEVELS))
 
