@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact_dedup, mixing, packing, setsketch, sharding, suffix_tree, syncmers
+from sievework.llm import exact_dedup, mixing, packing, quality, setsketch, sharding, suffix_tree, syncmers
 
 
 def vocabulary() -> str:
@@ -25,6 +25,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", F.round("mix_rate", 6).alias("rate"), F.col("mix_copies").alias("copies"), F.col("mix_copy").alias("copy"), F.col("mix_order").alias("order_key"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.scored(documents(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet", maxBytesPerTrigger=str(64 << 30))
     return found.withColumnRenamed("text_digest", "text_sha256")
@@ -51,7 +56,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op3_exact_dedup": op3_exact_dedup, "op4_sharding": op4_sharding, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op9_syncmers": op9_syncmers, "op10_setsketch": op10_setsketch}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_sharding": op4_sharding, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op9_syncmers": op9_syncmers, "op10_setsketch": op10_setsketch}
 
 _LOG_FACTORIALS = ", ".join(repr(__import__("math").lgamma(k + 1)) + "::DOUBLE" for k in range(mixing.LEVELS))
 
