@@ -13,16 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.llm.components import components
-from sievework.llm.words import SEED, blocks, hashed_words, mix, shingles
+from sievework.llm.words import SEED, blocks, hashed_words, shingles
 from sievework.llm.work import column, table, text_bytes
 
-#: Registers are cut into BANDS bands of ROWS. At a similarity of 0.8 a link shares no band
-#: with probability (1 - 0.8 ** 5) ** 36 < 1e-6, and less above.
-ROWS, BANDS = 5, 36
+#: Registers are cut into BANDS bands of ROWS. A link shares no band with probability
+#: (1 - 0.8 ** 6) ** 40 < 6e-6 at a similarity of 0.8, and below 6e-9 at 0.85.
+ROWS, BANDS = 6, 40
 #: Registers grow by one as the minimum shrinks by this factor.
 FACTOR = 1.02
-#: Pivots of a bucket tried after the first before its remaining pairs are listed.
-PIVOTS = 3
 #: Parts in which a pivot's comparisons are dealt out.
 SALTS = 64
 
@@ -94,104 +92,132 @@ def sketched(docs: DataFrame, size: int, text: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b, shared, united, likely) for each of `pairs` (a, b).
+def parts_of(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
-    shared and united are counted on the full shingle sets. likely is the
-    estimate from the registers; where it is below half the threshold (over ten
-    standard errors), the sets are not compared and shared is taken from it.
 
-    Rows of b, and one of a for each of the SALTS parts that its pairs fall in,
-    meet sorted by (a, part), so a task holds one set of a at a time.
+def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """For each of `pairs` (a, b): sizes, shared shingles, the likelihood estimate, and b as it differs from a.
+
+    `held` has a bit for each shingle of a, in order of their hashes, set if b
+    has it; `more` has the hashes of b's other shingles. Rows of b, and one of a
+    for each of the SALTS parts that its pairs fall in, meet sorted by (a, part),
+    so a task holds one set of a at a time.
     """
     salted = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    right = salted.join(texts.withColumnRenamed("row", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "n", "sketch", "text")
-    left = salted.select("a", "part").distinct().join(texts.withColumnRenamed("row", "a"), "a").select("a", "part", F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), "n", "sketch", "text")
-    parts = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = left.unionByName(right).repartition(parts, "a", "part").sortWithinPartitions("a", "part", "role")
+    right = salted.join(texts.withColumnRenamed("row", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "sketch", "text")
+    left = salted.select("a", "part").distinct().join(texts.withColumnRenamed("row", "a"), "a").select("a", "part", F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), "sketch", "text")
+    met = left.unionByName(right).repartition(parts_of(pairs), "a", "part").sortWithinPartitions("a", "part", "role")
+    schema = "a long, b long, size_a long, size_b long, shared long, likely double, held binary, more binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: tuple = (None, 0, None)
+        first: tuple = (np.empty(0, np.uint64), np.empty(0, np.uint16))
         for batch in batches:
             texts = text_bytes(column(batch, "text"))
-            a, role, b, n, sketch = (column(batch, x).to_pylist() for x in ("a", "role", "b", "n", "sketch"))
+            a, role, b, sketch = (column(batch, x).to_pylist() for x in ("a", "role", "b", "sketch"))
             out: list[tuple] = []
             for i, j in blocks(texts):
                 found, many = shingles(*hashed_words(texts[i:j]), size)
                 for k, (e, m) in enumerate(zip(np.cumsum(many).tolist(), many.tolist(), strict=True), i):
-                    mine = found[e - m : e]
-                    marks = np.frombuffer(sketch[k], np.uint16)
+                    mine, marks = np.unique(found[e - m : e]), np.frombuffer(sketch[k], np.uint16)
                     if role[k] == 0:
-                        first = (np.unique(mine), n[k], marks)
+                        first = (mine, marks)
                         continue
-                    likely = likelihood_estimate(first[2], marks, first[1], n[k])
-                    both = first[1] + n[k]
-                    shared = len(np.intersect1d(first[0], np.unique(mine), assume_unique=True)) if 200 * likely >= percent else int(both * likely / (1 + likely))
-                    out.append((a[k], b[k], shared, both - shared, likely))
+                    at = np.minimum(np.searchsorted(first[0], mine), len(first[0]) - 1)
+                    there = first[0][at] == mine
+                    bits = np.zeros(len(first[0]), bool)
+                    bits[at[there]] = True
+                    likely = likelihood_estimate(first[1], marks, len(first[0]), len(mine))
+                    out.append((a[k], b[k], len(first[0]), len(mine), int(there.sum()), likely, np.packbits(bits).tobytes(), mine[~there].tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in list(zip(*out, strict=True))[:4]], pa.array([x[4] for x in out], pa.float64())], names=["a", "b", "shared", "united", "likely"])
-
-    return met.mapInArrow(run, "a long, b long, shared long, united long, likely double")
-
+                columns = list(zip(*out, strict=True))
+                kinds = [pa.int64()] * 5 + [pa.float64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["a", "b", "size_a", "size_b", "shared", "likely", "held", "more"])
+
+    return met.mapInArrow(run, schema)
+
+
+class _Block:
+    """Some rows of a bucket, each as it differs from the bucket's pivot."""
+
+    def __init__(self, rows: list[tuple]):
+        self.row, self.component, self.size = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        self.held = np.stack([np.frombuffer(r[3], np.uint8) for r in rows])
+        extra = [np.frombuffer(r[4], np.uint64) for r in rows]
+        owner = np.repeat(np.arange(len(rows)), [len(x) for x in extra])
+        hashes = np.concatenate(extra)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner = hashes[order], owner[order]
+
+    def links(self, row: tuple, percent: int) -> list[int]:
+        """Rows of the block linked to `row`, one of each other component."""
+        n, component, size, held, more = row
+        other = np.flatnonzero((self.component != component) & (100 * np.minimum(self.size, size) >= percent * np.maximum(self.size, size)))
+        if not len(other):
+            return []
+        shared = np.bitwise_count(self.held[other] & np.frombuffer(held, np.uint8)).sum(1, dtype=np.int64)
+        hashes = np.frombuffer(more, np.uint64)
+        lo, hi = np.searchsorted(self.hashes, hashes), np.searchsorted(self.hashes, hashes, side="right")
+        hits = [self.owner[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True) if y > x]
+        if hits:
+            shared += np.bincount(np.concatenate(hits), minlength=len(self.row))[other]
+        linked = other[100 * shared >= percent * (self.size[other] + size - shared)]
+        return self.row[linked[np.unique(self.component[linked], return_index=True)[1]]].tolist()
+
+
+def remaining(seen: DataFrame, found: DataFrame, percent: int, block: int = 2000) -> DataFrame:
+    """Links (a, b) between rows compared with the same pivot, but not yet in one component.
+
+    A row outside its pivot's component is an outer row. Blocks of at most about
+    `block` outer rows stay in memory while all rows of the pivot stream by; the
+    shared shingles follow from how both differ from the pivot. Only links are
+    returned, for each row one to each component.
+    """
+    named = found.withColumnRenamed("node", "b").withColumnRenamed("component", "__c")
+    pivot = found.withColumnRenamed("node", "a").withColumnRenamed("component", "__p")
+    rows = seen.join(named, "b", "left").withColumn("component", F.coalesce("__c", "b")).join(pivot, "a", "left").withColumn("outer", F.col("component") != F.coalesce("__p", "a"))
+    rows = rows.select("a", "b", "component", F.col("size_b").alias("size"), "held", "more", "outer")
+    blocks_of = rows.filter("outer").groupBy("a").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    rows = rows.join(blocks_of, "a")
+    part = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
+    outer = rows.filter("outer").select("a", part.alias("part"), F.lit(0).alias("role"), "b", "component", "size", "held", "more")
+    every = rows.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("role"), "b", "component", "size", "held", "more")
+    met = outer.unionByName(every).repartition(parts_of(seen), "a", "part").sortWithinPartitions("a", "part", "role")
 
-def remaining(named: DataFrame, found: DataFrame, limit: float) -> DataFrame:
-    """Pairs (a, b) of a bucket's rows that may still join components.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, rows, held = None, [], None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for a, part, role, *row in zip(*[column(batch, c).to_pylist() for c in ("a", "part", "role", "b", "component", "size", "held", "more")], strict=True):
+                if (a, part) != where:
+                    where, rows, held = (a, part), [], None
+                if role == 0:
+                    rows.append(tuple(row))
+                    continue
+                held = held or _Block(rows)
+                out += [(row[0], x) for x in held.links(tuple(row), percent)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["a", "b"])
 
-    One of them is outside the component of the bucket's first pivot, and their
-    distances to that pivot differ by `limit` at most.
-    """
-    first = found.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
-    cell = F.floor(F.col("far") / F.lit(max(limit, 1e-9)))
-    rows = named.join(first, "pivot", "left").withColumn("main", F.coalesce("main", "pivot")).withColumn("cell", cell)
-    beside = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))
-    outer = rows.filter("component <> main").select("band", F.col("row").alias("x"), F.col("component").alias("cx"), F.col("far").alias("fx"), beside.alias("cell"))
-    near = (F.col("cx") != F.col("component")) & (F.abs(F.col("fx") - F.col("far")) <= limit + 1e-9)
-    return outer.join(rows, ["band", "cell"]).filter(near).select(F.least("x", "row").alias("a"), F.greatest("x", "row").alias("b")).distinct()
+    return met.mapInArrow(run, "a long, b long")
 
 
 def near_links(bands: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Components (node, component) of the linked ones among rows that share a band.
 
-    `bands` has (band, row). A bucket, the rows of one band, is compared with
-    pivots instead of pairwise: first its least row. Rows found in one component
-    need no more comparison with each other. Where a bucket still holds several
-    components, further pivots follow, each compared with the rows of other
-    components, and is then done with. What remains after PIVOTS is exact too:
-    every row outside the component of the bucket's first pivot meets the other
-    rows, except where the triangle inequality of the Jaccard distance excludes
-    a link: their distances to the first pivot differ by more than the threshold's.
+    `bands` has (band, row). The rows of a band, a bucket, are compared with one
+    pivot, its least row, instead of pairwise. Two rows of a bucket that are in
+    the pivot's component need no more comparison; all others of the same pivot
+    are compared by remaining(). So every pair that shares a band is linked,
+    found unlike, or in one component.
     """
-    sizes = bands.groupBy("band").agg(F.min("row").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    left = table(bands.join(sizes, "band"), "buckets")
-    pairs = left.filter("row <> pivot").select(F.col("pivot").alias("a"), F.col("row").alias("b")).distinct()
-    wanted = left.select("row").distinct()
-    texts = table(texts.join(wanted, "row"), "near-texts")
-    seen = table(verified(pairs, texts, size, percent), "near-pairs")
-    found = components(seen.filter(100 * F.col("shared") >= percent * F.col("united")).select("a", "b"))
-    far = seen.select(F.col("a").alias("pivot"), F.col("b").alias("row"), (1 - F.col("shared") / F.col("united")).alias("far"))
-    # The first pivot is done with: what follows is about the other rows of each bucket.
-    left = left.join(far, ["pivot", "row"])
-    for turn in range(1, PIVOTS + 2):
-        named = left.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-        ranked = F.struct(F.xxhash64("row", F.lit(turn)), F.col("row"), F.col("component"))
-        mixed = named.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(ranked).alias("next")).filter("least <> most")
-        named = table(named.join(mixed.select("band", F.col("next.row").alias("turn"), F.col("next.component").alias("own")), "band"), "buckets")
-        if named.isEmpty():
-            break
-        if turn <= PIVOTS:
-            pairs = named.filter("row <> turn and component <> own").select(F.least("turn", "row").alias("a"), F.greatest("turn", "row").alias("b")).distinct()
-            left = named.filter("row <> turn").drop("turn", "own", "component")
-        else:
-            pairs = remaining(named, found, 1 - percent / 100)
-        pairs = table(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        more = table(verified(pairs, texts, size, percent), "near-pairs")
-        seen = seen.unionByName(more)
-        new = more.filter(100 * F.col("shared") >= percent * F.col("united")).select("a", "b")
-        if not new.isEmpty():
-            found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new))
-    return found
+    sizes = bands.groupBy("band").agg(F.min("row").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    pairs = table(bands.join(sizes, "band").filter("row <> a").select("a", F.col("row").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    seen = table(verified(pairs, table(texts.join(wanted, "row"), "near-texts"), size), "near-pairs")
+    found = components(seen.filter(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("a", "b"))
+    more = table(remaining(seen, found, percent), "near-links")
+    return found if more.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -200,7 +226,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     Texts are linked if at least `percent` % of their united distinct shingles
     of `size` words are shared (A to Z lower-cased, words split at ASCII white
     space). Registers of a SetSketch are cut into bands; rows that share a band
-    are candidates, estimated by likelihood and confirmed on the full sets. Rows
+    are candidates, estimated by likelihood and confirmed on their full sets. Rows
     with the same words are one row throughout, and join at the end.
 
     component_id is the least key that links reach, and `kept` holds for one row
@@ -209,7 +235,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     or empty text has none and is linked with nothing: it keeps its own key. Null
     keys come last among keys. Columns of the added names are replaced.
 
-    A candidate is missed with a probability under 1e-6 at a similarity of 0.8.
+    A link is missed with a probability under 6e-6 at a similarity of 0.8, under 6e-9 at 0.85.
     """
     own = ["n_shingles", "component_id", "kept"]
     docs = docs.drop(*own)
