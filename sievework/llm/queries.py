@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact_dedup, mixing, packing, quality, setsketch, sharding, suffix_tree, syncmers
+from sievework.llm import exact_dedup, mixing, packing, quality, setsketch, sharding, suffix_tree, syncmers, wrappers
 
 
 def vocabulary() -> str:
@@ -48,6 +48,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return wrappers.extracted(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(documents(spark, sf_dir))
 
@@ -56,7 +61,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_sharding": op4_sharding, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op9_syncmers": op9_syncmers, "op10_setsketch": op10_setsketch}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_sharding": op4_sharding, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op7_wrappers": op7_wrappers, "op9_syncmers": op9_syncmers, "op10_setsketch": op10_setsketch}
 
 _LOG_FACTORIALS = ", ".join(repr(__import__("math").lgamma(k + 1)) + "::DOUBLE" for k in range(mixing.LEVELS))
 
