@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact_dedup, mixing, packing, quality, setsketch, sharding, suffix_tree, syncmers, wrappers
+from sievework.llm import exact_dedup, mixing, packing, quality, setsketch, sharding, suffix_tree, syncmers, warc, wrappers
 
 
 def vocabulary() -> str:
@@ -53,6 +53,19 @@ def op7_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extracted(pages).select("page_id", "url", "text", "n_chars")
 
 
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of pages as an HTTP response record."""
+    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", F.concat(F.lit("<urn:pages:"), F.col("page_id").cast("string"), F.lit(">")).alias("record_id"), F.col("url").alias("target_uri"), F.lit("2024-01-01T00:00:00Z").alias("date"), F.concat(F.encode(head, "UTF-8"), body).alias("block"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derivatives(responses(spark, sf_dir), keep=("page_id",))
+    return records.select("page_id", "record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "content_type", F.size("headers").alias("n_headers"), "payload_digest", "block_digest", "content_length", F.sha2("block", 256).alias("block_sha256"))
+
+
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(documents(spark, sf_dir))
 
@@ -61,7 +74,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_sharding": op4_sharding, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op7_wrappers": op7_wrappers, "op9_syncmers": op9_syncmers, "op10_setsketch": op10_setsketch}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_sharding": op4_sharding, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op7_wrappers": op7_wrappers, "op8_warc": op8_warc, "op9_syncmers": op9_syncmers, "op10_setsketch": op10_setsketch}
 
 _LOG_FACTORIALS = ", ".join(repr(__import__("math").lgamma(k + 1)) + "::DOUBLE" for k in range(mixing.LEVELS))
 
