@@ -1,4 +1,4 @@
-"""The queries of the engine's own operators, and their SQL."""
+"""All queries of the engine's own operators, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from sievework.plans import retrieval
+
+GROUPS = (retrieval,)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for group in GROUPS for name, query in group.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for group in GROUPS for name, sql in group.ORACLE_SQL.items()}
