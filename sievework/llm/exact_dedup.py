@@ -12,8 +12,9 @@ from sievework.llm.work import folder, table
 #: The state store that keeps its state on disk, with snapshots in the checkpoint.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-#: All state partitions of an executor share this memory, however many there are; the rest is on disk.
-ROCKSDB_MEMORY = {"boundedMemoryUsage": "true", "maxMemoryUsageMB": "200", "writeBufferSizeMB": "2", "blockCacheSizeMB": "2"}
+#: All state partitions of an executor share this memory, however many there are; the rest is on
+#: disk, without room reserved ahead. A micro-batch checkpoints its changes, not all of the state.
+ROCKSDB_OPTIONS = {"boundedMemoryUsage": "true", "maxMemoryUsageMB": "200", "writeBufferSizeMB": "2", "blockCacheSizeMB": "2", "allowFAllocate": "false", "changelogCheckpointing.enabled": "true"}
 
 
 def normalised(text: Column) -> Column:
@@ -47,7 +48,7 @@ def streamed_state(spark: SparkSession, path: str, key: str, text: str, digest:
     """
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    for name, value in ROCKSDB_MEMORY.items():
+    for name, value in ROCKSDB_OPTIONS.items():
         session.conf.set(f"spark.sql.streaming.stateStore.rocksdb.{name}", value)
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     base, path = folder(spark, "dedup-state"), path.rstrip("/")
