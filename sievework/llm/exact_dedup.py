@@ -30,9 +30,9 @@ def _arrivals(docs: DataFrame, key: str, text: str, digest: Callable[[Column], C
     """Digest and locator of each row; a locator is the file and the row in it."""
     return docs.select(
         "*",
-        normalised(F.col(text)).alias("__dup_text"),
+        digest(normalised(F.col(text))).alias("__dup_digest"),
         F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("__dup_place"),
-    ).withColumn("__dup_digest", digest(F.col("__dup_text")))
+    )
 
 
 def streamed_state(spark: SparkSession, path: str, key: str, text: str, digest: Callable[[Column], Column], options: dict[str, str]) -> DataFrame:
@@ -90,7 +90,7 @@ def exact_duplicates(spark: SparkSession, path: str, key: str = "doc_id", text:
     state = streamed_state(spark, path, key, text, digest, options)
     rows = _arrivals(spark.read.parquet(path), key, text, digest)
     met = rows.join(state, rows["__dup_digest"] == state["digest"]).select(
-        *[rows[c] for c in columns], F.col("__dup_place"), F.col("__dup_digest"), F.col("first").alias("__dup_first"), F.col("n").alias("__dup_n"), F.when(F.col("n") > 1, F.col("__dup_text")).alias("__dup_text")
+        *[rows[c] for c in columns], F.col("__dup_place"), F.col("__dup_digest"), F.col("first").alias("__dup_first"), F.col("n").alias("__dup_n"), F.when(F.col("n") > 1, normalised(rows[text])).alias("__dup_text")
     )
     met = table(met, "dedup-rows")
     hits = met.filter("__dup_n > 1")
