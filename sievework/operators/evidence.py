@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.functions.cleaning import EVIDENCE_STOPWORDS, clean_natural_text, clean_science_text, is_duplicate, is_informative, is_science_unit, leaks_identifier
+from sievework.functions.cleaning import EVIDENCE_STOPWORDS, clean_natural_text, clean_science_text, is_informative, is_science_unit, leaks_identifier, squeezed
 from sievework.functions.sentences import ensured_sentence, list_lines, sentence_units, sentences, split_units, trimmed_at_boundary
 from sievework.functions.similarity import jaccard
 from sievework.functions.tokens import all_of, bm25_tokens, evidence_tokens
@@ -83,33 +83,52 @@ def record_score(text: Column, query: Column, family: Column, value: Column) ->
     return F.when(shared >= 2, score)
 
 
-def excerpt(text: Column, query: Column, most: int, n: int) -> Column:
-    """The n best science sentences of a text in their own order, trimmed."""
-    cleaned = clean_science_text(text)
-    units = F.filter(sentence_units(cleaned), is_science_unit)
+def with_excerpt(rows: DataFrame, text: str, query_words: str, most: int, n: int, name: str = "excerpt") -> DataFrame:
+    """`rows` with the n best science sentences of a text in their own order, trimmed.
 
-    def scored(u: Column, i: Column) -> Column:
-        shared = F.size(F.array_intersect(query, words(u)))
+    Each step is a column of its own, so that no text is cleaned or split twice.
+    """
+    stepped = rows.withColumn("__clean", clean_science_text(F.col(text))).withColumn("__units", F.transform(F.filter(sentence_units(F.col("__clean")), is_science_unit), lambda u, i: F.struct(i.alias("i"), u.alias("u"), words(u).alias("w"))))
+
+    def scored(x: Column) -> Column:
+        u = x["u"]
+        shared = F.size(F.array_intersect(query_words, x["w"]))
         bonus = F.when(u.rlike(r"\d"), 0.8).otherwise(0.0) + F.when(u.rlike(EXCERPT_CONDITION), 0.6).otherwise(0.0)
         labels = F.size(all_of(u, METADATA))
-        return F.struct((-(overlap_score(shared, query, 2.0, 8.0) + bonus + F.least(F.length(u), F.lit(260)) / 520.0 - 1.2 * labels)).alias("s"), i.alias("i"), u.alias("u"))
+        return F.struct((-(overlap_score(shared, F.col(query_words), 2.0, 8.0) + bonus + F.least(F.length(u), F.lit(260)) / 520.0 - 1.2 * labels)).alias("s"), x["i"].alias("i"), u.alias("u"))
+
+    best = stepped.withColumn("__best", F.slice(F.array_sort(F.transform("__units", scored)), 1, n))
+    chosen = F.array_join(F.transform(F.array_sort(F.transform("__best", lambda x: F.struct(x["i"], x["u"]))), lambda x: x["u"]), " ")
+    alone = F.when((F.length("__clean") >= 20) & is_science_unit(F.col("__clean")), F.col("__clean")).otherwise("")
+    joined = best.withColumn("__chosen", F.when(F.size("__units") > 0, chosen).otherwise(alone))
+    return joined.withColumn(name, F.when(F.col("__chosen") == "", "").otherwise(trimmed_at_boundary(F.col("__chosen"), most))).drop("__clean", "__units", "__best", "__chosen")
+
+
+def tokenised(texts: Column) -> Column:
+    """Texts with their words, for diverse() and distinct_units()."""
+    return F.transform(texts, lambda x: F.struct(x.alias("text"), F.lower(squeezed(x, " ")).alias("plain"), words(x).alias("w")))
 
-    best = F.slice(F.array_sort(F.transform(units, scored)), 1, n)
-    chosen = F.array_join(F.transform(F.array_sort(F.transform(best, lambda x: F.struct(x["i"], x["u"]))), lambda x: x["u"]), " ")
-    alone = F.when((F.length(cleaned) >= 20) & is_science_unit(cleaned), trimmed_at_boundary(cleaned, most)).otherwise("")
-    return F.when(F.size(units) > 0, trimmed_at_boundary(chosen, most)).otherwise(alone)
+
+def _greedy(ranked: Column, n: int, alike: Callable[[Column, Column], Column]) -> Column:
+    none = F.slice(ranked, 1, 0)
+    kept = F.aggregate(ranked, none, lambda acc, x: F.when((F.size(acc) >= n) | F.exists(acc, lambda y: alike(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    return F.transform(kept, lambda x: x["text"])
 
 
 def diverse(ranked: Column, n: int, threshold: float = 0.72) -> Column:
-    """The first n of an array of texts of which none is alike to one before it that was taken."""
-    none = F.array().cast("array<string>")
-    return F.aggregate(ranked, none, lambda kept, x: F.when((F.size(kept) >= n) | F.exists(kept, lambda y: jaccard(words(x), words(y)) >= threshold), kept).otherwise(F.concat(kept, F.array(x))))
+    """The first n of an array from tokenised() of which none shares `threshold` of its words with one taken before."""
+    return _greedy(ranked, n, lambda x, y: jaccard(x["w"], y["w"]) >= threshold)
+
+
+def distinct_units(ranked: Column, n: int, threshold: float = 0.68) -> Column:
+    """As diverse(); equal texts and ones that contain the other, both of 90 characters, are alike too."""
 
+    def alike(x: Column, y: Column) -> Column:
+        a, b = x["plain"], y["plain"]
+        within = (F.least(F.length(a), F.length(b)) >= 90) & (F.contains(a, b) | F.contains(b, a))
+        return (a == b) | within | (jaccard(x["w"], y["w"]) >= threshold)
 
-def distinct_units(ranked: Column, n: int) -> Column:
-    """As diverse(), with is_duplicate() as the test."""
-    none = F.array().cast("array<string>")
-    return F.aggregate(ranked, none, lambda kept, x: F.when((F.size(kept) >= n) | F.exists(kept, lambda y: is_duplicate(x, y)), kept).otherwise(F.concat(kept, F.array(x))))
+    return _greedy(ranked, n, alike)
 
 
 def _fit(rows: Iterable[tuple[int, str]], budget_: int) -> list[tuple[int, str]]:
@@ -233,18 +252,21 @@ def deep_papers(units: DataFrame, query: str, core: str, card: str) -> DataFrame
     return rows.groupBy(query, core).applyInPandas(choose, schema)
 
 
-def abstracts(rows: DataFrame, text: str, query_words: str, most: int = 900) -> Column:
-    """An abstract whole if it is short; else its first unit and the best others, in order, within `most`."""
-    cleaned = clean_natural_text(F.col(text))
-    units = F.filter(F.transform(split_units(cleaned), ensured_sentence), lambda u: F.length(u) >= 30)
-    nothing = F.lit("")
-    ranked = F.array_sort(F.transform(units, lambda u, i: F.struct((-unit_score(u, F.col(query_words), nothing, F.lit(True))).alias("s"), i.alias("i"))))
-    size = lambda chosen: F.aggregate(chosen, F.lit(-1), lambda n, i: n + 1 + F.length(F.element_at(units, (i + 1).cast("int"))))
-    start = F.array(F.lit(0))
-    grown = F.aggregate(ranked, start, lambda kept, x: F.when((size(kept) >= most * 0.78) & (F.size(kept) > 1) | (F.size(kept) >= 5), kept).otherwise(F.array_union(kept, F.array(x["i"]))))
-    state = F.struct(F.lit("").alias("text"))
-    fitted = F.aggregate(F.array_sort(grown), state, lambda acc, i: F.struct(F.when(F.length(acc["text"]) + F.length(F.element_at(units, i + 1)) + 1 <= most, F.trim(F.concat_ws(" ", acc["text"], F.element_at(units, i + 1)))).otherwise(acc["text"]).alias("text")), lambda acc: acc["text"])
-    return F.when(cleaned == "", "").when((F.length(cleaned) <= most) | (F.size(units) == 0), ensured_sentence(cleaned)).otherwise(fitted)
+def with_abstract(rows: DataFrame, text: str, query_words: str, most: int = 900, name: str = "abstract") -> DataFrame:
+    """`rows` with an abstract: whole if it is short, else its first unit and the best others, in order, within `most`."""
+    stepped = rows.withColumn("__clean", clean_natural_text(F.col(text))).withColumn("__units", F.filter(F.transform(split_units(F.col("__clean")), ensured_sentence), lambda u: F.length(u) >= 30))
+    ranked = F.array_sort(F.transform("__units", lambda u, i: F.struct((-unit_score(u, F.col(query_words), F.lit(""), F.lit(True))).alias("s"), i.alias("i"), F.length(u).alias("n"))))
+    first = F.struct(F.array(F.lit(0)).alias("kept"), F.length(F.get("__units", F.lit(0))).alias("n"))
+
+    def grow(acc: Column, x: Column) -> Column:
+        full = ((F.size(acc["kept"]) > 1) & (acc["n"] >= most * 0.78)) | (F.size(acc["kept"]) >= 5) | F.array_contains(acc["kept"], x["i"])
+        return F.struct(F.when(full, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x["i"]))).alias("kept"), F.when(full, acc["n"]).otherwise(acc["n"] + 1 + x["n"]).alias("n"))
+
+    grown = stepped.withColumn("__kept", F.array_sort(F.aggregate(ranked, first, grow, lambda acc: acc["kept"])))
+    add = lambda acc, i: F.when(F.length(acc) + F.length(F.get("__units", i)) + 1 <= most, F.trim(F.concat_ws(" ", acc, F.get("__units", i)))).otherwise(acc)
+    fitted = F.aggregate("__kept", F.lit(""), add)
+    whole = (F.length("__clean") <= most) | (F.size("__units") == 0)
+    return grown.withColumn(name, F.when(F.col("__clean") == "", "").when(whole, ensured_sentence(F.col("__clean"))).otherwise(fitted)).drop("__clean", "__units", "__kept")
 
 
 def source_tier(ranking: DataFrame, deep: DataFrame, abstract: DataFrame, keys: list[str], core: str) -> DataFrame:

@@ -50,9 +50,9 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Excerpts of each question's ten best documents, and which of them are kept as diverse."""
     top = _ranking(spark, sf_dir).filter("rank <= 10").join(evidence_docs(spark, sf_dir), "doc_id")
     met = top.join(questions(spark, sf_dir).select("item_id", E.words(F.col("text")).alias("q")), "item_id")
-    cut = met.select("item_id", "rank", E.excerpt(F.col("text"), F.col("q"), 330, 2).alias("excerpt"))
+    cut = E.with_excerpt(met, "text", "q", 330, 2).select("item_id", "rank", "excerpt")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "excerpt"))), lambda x: x["excerpt"])
-    kept = cut.groupBy("item_id").agg(ordered.alias("x")).select("item_id", F.size("x").alias("excerpts"), E.diverse(F.col("x"), 5).alias("kept"), E.distinct_units(F.col("x"), 5).alias("units"))
+    kept = cut.groupBy("item_id").agg(ordered.alias("x")).withColumn("x", E.tokenised(F.col("x"))).select("item_id", F.size("x").alias("excerpts"), E.diverse(F.col("x"), 5).alias("kept"), E.distinct_units(F.col("x"), 5).alias("units"))
     return kept.select("item_id", "excerpts", F.size("kept").alias("kept"), F.size("units").alias("units"), F.sha2(F.array_join("kept", "\n"), 256).alias("sha256"))
 
 
@@ -70,7 +70,7 @@ def deep_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def abstract_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = evidence_docs(spark, sf_dir).withColumn("q", F.array(F.lit("the"), F.lit("control")))
-    found = docs.select("doc_id", E.abstracts(docs, "text", "q").alias("abstract"))
+    found = E.with_abstract(docs, "text", "q")
     return found.select("doc_id", F.length("abstract").alias("n_chars"), F.sha2("abstract", 256).alias("sha256"))
 
 
