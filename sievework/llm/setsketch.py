@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from sievework.llm.components import components
 from sievework.llm.words import SEED, blocks, hashed_words, shingles
-from sievework.llm.work import column, table, text_bytes
+from sievework.llm.work import column, hashed_joins, table, text_bytes
 
 #: Registers are cut into BANDS bands of ROWS. A link shares no band with probability
 #: (1 - 0.8 ** 6) ** 40 < 6e-6 at a similarity of 0.8, and below 6e-9 at 0.85.
@@ -211,13 +211,13 @@ def near_links(bands: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     are compared by remaining(). So every pair that shares a band is linked,
     found unlike, or in one component.
 
-    Texts meet the rows to compare by a merge join at every size: a broadcast
-    would only fit small tables, and the shuffle is then the same share of any.
+    Texts meet the rows to compare by a shuffle at every size: a broadcast would
+    only fit small tables. The side that is hashed has only row numbers.
     """
     sizes = bands.groupBy("band").agg(F.min("row").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     pairs = table(bands.join(sizes, "band").filter("row <> a").select("a", F.col("row").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    seen = table(verified(pairs, table(texts.join(wanted.hint("merge"), "row"), "near-texts"), size), "near-pairs")
+    seen = table(verified(pairs, table(texts.join(wanted.hint("shuffle_hash"), "row"), "near-texts"), size), "near-pairs")
     found = components(seen.filter(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("a", "b"))
     more = table(remaining(seen, found, percent), "near-links")
     return found if more.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
@@ -249,8 +249,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     texts = rows.select(F.col("__near_row").alias("row"), F.col("__near_sketch").alias("sketch"), F.col(text).alias("text"))
     width = 2 * ROWS
     cuts = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("__near_sketch").substr(i * width + 1, F.lit(width))))
-    bands = rows.select("__near_row", "__near_sketch").join(classes.select("__near_row").hint("merge"), "__near_row").select(F.explode(cuts).alias("band"), F.col("__near_row").alias("row"))
-    found = near_links(bands, texts, size, percent)
+    bands = rows.select("__near_row", "__near_sketch").join(classes.select("__near_row").hint("shuffle_hash"), "__near_row").select(F.explode(cuts).alias("band"), F.col("__near_row").alias("row"))
+    with hashed_joins(docs.sparkSession):
+        found = near_links(bands, texts, size, percent)
     linked = classes.join(found.withColumnRenamed("node", "__near_row"), "__near_row", "left").withColumn("component", F.coalesce("component", "__near_row"))
     least = linked.groupBy("component").agg(F.min("__near_first").alias("first"))
     named = linked.join(least, "component").select("__near_content", "first")
