@@ -72,21 +72,8 @@ def streamed_state(spark: SparkSession, path: str, key: str, text: str, digest:
     return changes.groupBy("digest").agg(latest).select("digest", "entry.first", "entry.n")
 
 
-def exact_duplicates(spark: SparkSession, path: str, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, columns: list[str] | None = None, **options: str) -> DataFrame:
-    """The rows of the Parquet table at `path` with keep_id, group_size, kept and text_digest.
-
-    Texts are equal when they are after each run of ASCII white space is one
-    space; null is empty. A stream over the table's files keeps for each digest
-    the row of the least key (streamed_state()). A hit, a row whose digest came
-    before or after, is checked byte by byte against that row's text, found by
-    its locator; rows that differ in spite of an equal digest are grouped by
-    their bytes. Null keys come last; of rows with the same key, the first in
-    the table's files. Of each group the least row is `kept`.
-
-    `columns` are those to return besides (by default, the key); `options` go to
-    the stream's file source (maxFilesPerTrigger, maxBytesPerTrigger).
-    """
-    columns = columns or [key]
+def _grouped(spark: SparkSession, path: str, key: str, text: str, digest: Callable[[Column], Column], columns: list[str], options: dict[str, str]) -> DataFrame:
+    """The columns, the row's place and digest, and its group's first place and size."""
     state = streamed_state(spark, path, key, text, digest, options)
     rows = _arrivals(spark.read.parquet(path), key, text, digest)
     met = rows.join(state, rows["__dup_digest"] == state["digest"]).select(
@@ -101,13 +88,33 @@ def exact_duplicates(spark: SparkSession, path: str, key: str = "doc_id", text:
     same = (F.col("__dup_digest") == F.col("__dup_group")) & F.col("__dup_other").eqNullSafe(F.col("__dup_bytes"))
     repeated = checked.join(groups, same).select(*columns, "__dup_place", "__dup_digest", "__dup_first", "__dup_n")
     single = met.filter("__dup_n = 1").select(*columns, "__dup_place", "__dup_digest", "__dup_first", "__dup_n")
-    return single.unionByName(repeated).select(
-        *columns, F.col("__dup_first.key").alias("keep_id"), F.col("__dup_n").alias("group_size"), (F.col("__dup_place") == F.col("__dup_first")).alias("kept"), F.col("__dup_digest").alias("text_digest")
-    )
+    return single.unionByName(repeated)
+
+
+def exact_duplicates(spark: SparkSession, path: str, key: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, columns: list[str] | None = None, **options: str) -> DataFrame:
+    """The rows of the Parquet table at `path` with keep_id, group_size, kept and text_digest.
+
+    Texts are equal when they are after each run of ASCII white space is one
+    space; null is empty. A stream over the table's files keeps for each digest
+    the row of the least key (streamed_state()). A hit, a row whose digest came
+    before or after, is checked byte by byte against that row's text, found by
+    its locator; rows that differ in spite of an equal digest are grouped by
+    their bytes. Null keys come last; of rows with the same key, the first in
+    the table's files. Of each group the least row is `kept`.
+
+    `columns` are those to return besides (by default, the key); `options` go to
+    the stream's file source (maxFilesPerTrigger, maxBytesPerTrigger). Columns
+    of the added names are replaced.
+    """
+    own = ["keep_id", "group_size", "kept", "text_digest"]
+    columns = [c for c in columns or [key] if c not in own]
+    found = _grouped(spark, path, key, text, digest, columns, options)
+    return found.select(*columns, F.col("__dup_first.key").alias("keep_id"), F.col("__dup_n").alias("group_size"), (F.col("__dup_place") == F.col("__dup_first")).alias("kept"), F.col("__dup_digest").alias("text_digest"))
 
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of any DataFrame that exact_duplicates() keeps, with its columns."""
     spark, path = docs.sparkSession, folder(docs.sparkSession, "dedup-docs")
     docs.write.option("compression", "zstd").parquet(path)
-    return exact_duplicates(spark, path, key, text, columns=docs.columns).filter("kept").select(*docs.columns)
+    found = _grouped(spark, path, key, text, sha256, docs.columns, {})
+    return found.filter(F.col("__dup_place") == F.col("__dup_first")).select(*docs.columns)
