@@ -7,6 +7,8 @@ that the one before kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm import exact_dedup, mixing, packing, quality, setsketch
@@ -14,10 +16,21 @@ from sievework.llm.queries import vocabulary
 from sievework.llm.work import table
 
 
+#: Columns that stages read by name.
+READ = ("doc_id", "text", "source")
+
+
+def with_own_columns(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The stage's rows with the columns of `docs`, also where a stage adds columns of the same names."""
+    aside = {c: f"__own_{c}" for c in docs.columns if c not in READ}
+    found = stage(docs.withColumnsRenamed(aside))
+    return found.drop(*aside).withColumnsRenamed({v: k for k, v in aside.items()})
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the table of labels, does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.scored(docs, labels).filter("predicted = 1").select(*docs.columns)
+    return with_own_columns(docs, lambda d: quality.scored(d, labels).filter("predicted = 1")).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +40,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 over shingles of five words."""
-    return setsketch.near_duplicates(docs).filter("kept").select(*docs.columns)
+    return with_own_columns(docs, lambda d: setsketch.near_duplicates(d).filter("kept")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by Poisson counts, sources weighing the square root of their number of documents."""
-    return mixing.poisson_mix(docs).select(*docs.columns)
+    return with_own_columns(docs, mixing.poisson_mix).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
