@@ -143,7 +143,19 @@ def deduplicated(rows: DataFrame, row_id: str, text: str, least: int = 24) -> Da
     return whole.select(row_id, F.array_join(F.filter(F.transform("x", lambda y: y["part"]), lambda s: s != ""), "\n\n").alias("text"), F.flatten(F.transform("x", lambda y: y["gone"])).alias("removed"))
 
 
-def constraints(text: Column, patterns: list[str]) -> Column:
-    """All matches of each pattern in turn, the first of each spelling without regard to case."""
-    found = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns]))
+# What a question demands in so many words.
+CONSTRAINTS = (
+    r"(?i)\bone\s+(?:experiment|intervention|major change|comparator|control|readout)\b[^.?!]*",
+    r"(?i)\bnot a campaign\b",
+    r"(?i)\bfixed\s+(?:device stack|stack|composition|architecture|protocol)\b[^.?!]*",
+    r"(?i)\bmatched\s+(?:controls?|conditions?|degradation progress|initial states?)\b[^.?!]*",
+    r"(?i)\bwithout\s+(?:changing|altering|assuming)\b[^.?!]*",
+    r"(?i)\bmust\s+(?:remain|be held|be fixed)\b[^.?!]*",
+)
+
+
+def constraints(text: Column, patterns: tuple[str, ...] = CONSTRAINTS) -> Column:
+    """All matches of each pattern in turn, trimmed, the first of each spelling without regard to case."""
+    each = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns]))
+    found = F.filter(F.transform(each, lambda x: F.btrim(F.regexp_replace(x, r"\s+", " "), F.lit(" ;,."))), lambda x: x != "")
     return F.aggregate(found, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))))

@@ -184,3 +184,31 @@ def applied(base: DataFrame, anchors: DataFrame, patches: DataFrame, query: str,
 
 def reason_counts(rows: DataFrame, reasons_: str) -> DataFrame:
     return rows.select(F.explode(reasons_).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
+
+
+def prompt(template: str, **columns: Column) -> Column:
+    """A template with {names} filled by columns; null is empty."""
+    out = F.lit(template)
+    for name, value in columns.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def numbered_lines(items: Column, id_field: str, text_field: str, between: str = "\n") -> Column:
+    """'[id] text' of each item, as prompts list anchors and evidence."""
+    return F.array_join(F.transform(items, lambda x: F.concat(F.lit("["), x[id_field], F.lit("] "), x[text_field])), between)
+
+
+def revised(base: DataFrame, anchors: DataFrame, candidates: DataFrame, query: str, answer: str) -> DataFrame:
+    """Answers after the whole revision: gate, order, budget of two, patches, repeats removed.
+
+    `candidates` has the columns of gate_reasons(), its ratio as `similarity`,
+    and added_words. An answer without an eligible patch stays, but for repeats.
+    """
+    from sievework.functions.sentences import deduplicated
+
+    gated = candidates.withColumn("gate_reasons", gate_reasons(F.col("similarity")))
+    fine = gated.filter(eligible(F.col("gate_reasons"))).withColumn("revised_text", F.when(F.col("decision") == "ACCEPT_AFTER_DOWNGRADE", F.col("bounded_revision")).otherwise(F.col("revised_text")))
+    chosen = budgeted(fine, query, order_key()).filter("verdict = 'selected'")
+    patched = applied(base, anchors, chosen, query, answer)
+    return deduplicated(patched, query, "revised_answer").withColumnRenamed("text", "revised_answer").join(patched.select(query, "actions"), query)

@@ -241,3 +241,9 @@ def mcq_accuracy(questions: DataFrame, predictions: DataFrame, position: str, ex
 
 def board(rows: DataFrame, model: str, score: str) -> DataFrame:
     return rows.groupBy(model).agg(F.count("*").alias("items"), F.avg(score).alias("arithmetic"), F.median(score).alias("median"))
+
+
+def prediction_rows(answers: DataFrame, item: str, label: str, answer: str, route: str, finish: str) -> DataFrame:
+    """Prediction records: the answer with its digest, route, and whether it was cut but kept."""
+    text = F.coalesce(F.col(answer), F.lit(""))
+    return answers.select(F.col(item).alias("benchmark_id"), F.lit(label).alias("model"), text.alias("answer"), F.sha2(text, 256).alias("answer_sha256"), F.col(route).alias("prompt_route"), F.col(finish).alias("finish_reason"), ((F.col(finish) == "length") & (F.trim(text) != "")).alias("nonempty_length_limited_retained"))

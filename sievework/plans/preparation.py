@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions import sentences as D
 from sievework.functions import tokens as T
 from sievework.functions.python import best_ratio
 from sievework.functions.sentences import Anchors, sentences
 from sievework.operators import evidence as E
 from sievework.operators import patches as P
 from sievework.operators import retrieval as R
+from sievework.operators import scoring as S
 from sievework.operators import training as L
 from sievework.operators import validation as V
 from sievework.plans.tables import evidence_docs, load, questions
+from sievework.plans.texts import _evidence
 
 
 def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,6 +162,39 @@ def patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "actions", F.length("revised_answer").alias("n_chars"), F.sha2("revised_answer", 256).alias("sha256"))
 
 
+def patch_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole revision of each query's base answer."""
+    rows = patch_rows(spark, sf_dir).withColumn("similarity", F.lit(0.0))
+    base = rows.groupBy("query_id").agg(F.first("base_answer").alias("text"))
+    anchors = base.lateralJoin(Anchors(F.col("text").outer())).drop("text")
+    return P.revised(base, anchors, rows, "query_id", "text").select("query_id", "revised_answer", "actions", F.size("removed").alias("removed"))
+
+
+def record_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best documents of each of ten questions as evidence records; their value is their length."""
+    asked = questions(spark, sf_dir).filter("item_id < 10").select("item_id", E.words(F.col("text")).alias("q"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "n_chars").join(F.broadcast(asked))
+    scored = docs.withColumn("score", F.round(E.record_score(F.col("text"), F.col("q"), F.lit("stability_failure"), F.col("n_chars").cast("double")), 6)).filter("score is not null")
+    return R.ranked(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], 5).select("item_id", "doc_id", "score", "rank")
+
+
+def constraint_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.col("text"), F.lit(" Use one control only; must be fixed. Without changing it, ONE CONTROL ONLY; must be fixed."))
+    return questions(spark, sf_dir).select("item_id", F.array_join(D.constraints(text), "|").alias("found"))
+
+
+def prediction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = load(spark, sf_dir, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("item"), "text", F.lit("general").alias("route"), F.when(F.col("turn") % 3 == 0, "length").otherwise("stop").alias("finish"))
+    return S.prediction_rows(talk, "item", "m", "text", "route", "finish").drop("answer")
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt of each question and its evidence blocks."""
+    blocks = _blocks(spark, sf_dir).filter("rank <= 3").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("evidence_id", "text"))).alias("e"))
+    met = blocks.join(questions(spark, sf_dir), "item_id")
+    return met.select("item_id", F.sha2(P.prompt("# Question\n{q}\n# Evidence\n{e}", q=F.col("text"), e=P.numbered_lines(F.col("e"), "evidence_id", "text")), 256).alias("sha256"))
+
+
 def candidate_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("candidate_id")
     rows = patch_rows(spark, sf_dir).select(
@@ -259,7 +295,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         evidence_compile, packet_qc, packet_report, packet_budget, source_tier, excerpts, deep_packets, abstract_compile, gate_reasons, gate_similarity, reason_counts, patch_budget, critic_selection, patch_apply,
-        candidate_validation, enum_normalise, key_alignment_check, repeated_keys, first_per_family, canonical_questions, json_objects, contiguous_packing, nextfit_packing, weighted_examples, sft_filter,
+        patch_revision, record_ranking, constraint_phrases, prediction_rows, prompts, candidate_validation, enum_normalise, key_alignment_check, repeated_keys, first_per_family, canonical_questions, json_objects, contiguous_packing, nextfit_packing, weighted_examples, sft_filter,
         lr_schedule, checkpoint_retention, moving_loss, resume_antijoin, sha_manifest,
     )
 }
@@ -296,6 +332,13 @@ ORACLE_SQL = {
         f AS (SELECT *, min(i) FILTER (len(rs) = 0) OVER (PARTITION BY query_id, candidate_id) AS first FROM x)
         SELECT query_id, i AS place, candidate_id, evidence, CAST(CASE WHEN op = 'APPEND_AFTER_ANCHOR' THEN n ELSE greatest(0, n - CASE WHEN i % 13 = 0 THEN 0 ELSE 5 END) END AS INTEGER) AS added_words,
                CASE WHEN len(rs) = 0 AND i > first THEN 'invalid_candidate_id' ELSE coalesce(array_to_string(rs, ','), '') END AS reasons FROM f""",
+    "prediction_rows": "SELECT conv_id * 100 + turn AS benchmark_id, 'm' AS model, sha256(coalesce(text, '')) AS answer_sha256, 'general' AS prompt_route, CASE WHEN turn % 3 = 0 THEN 'length' ELSE 'stop' END AS finish_reason, turn % 3 = 0 AND trim(coalesce(text, '')) <> '' AS nonempty_length_limited_retained FROM conversations WHERE role = 'assistant'",
+    "constraint_phrases": "SELECT item_id, 'one control only; must be fixed|Without changing it, ONE CONTROL ONLY; must be fixed|must be fixed' AS found FROM benchmark",
+    "record_ranking": f"""WITH q AS (SELECT item_id, {_evidence('text')} AS q FROM benchmark WHERE item_id < 10), d AS (SELECT doc_id, n_chars, {_evidence('text')} AS w FROM documents),
+        s AS (SELECT item_id, doc_id, len(list_intersect(q, w)) AS k, len(q) AS n, len(list_intersect({E.FAMILY_WORDS['stability_failure'].split()!r}, w)) AS f, n_chars FROM q, d),
+        r AS (SELECT item_id, doc_id, round(k * 2.2 + 10.0 * k / greatest(1, n) + 0.55 * f + ln(1 + n_chars) / 2.5 + 2, 6)::DOUBLE AS score FROM s WHERE k >= 2),
+        o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r)
+        SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 5""",
     "enum_normalise": "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN upper(event_type) ELSE 'OTHER' END AS kind, 'DEVICE_STACK_MISMATCH' AS risks, true AS unknown FROM events",
     "key_alignment_check": "SELECT doc_id, 'left' AS side FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'right' FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "repeated_keys": "SELECT md5(text) AS md5, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
