@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,7 +77,7 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_sharding": op4_sharding, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op7_wrappers": op7_wrappers, "op8_warc": op8_warc, "op9_syncmers": op9_syncmers, "op10_setsketch": op10_setsketch}
 
-_LOG_FACTORIALS = ", ".join(repr(__import__("math").lgamma(k + 1)) + "::DOUBLE" for k in range(mixing.LEVELS))
+_LOG_FACTORIALS = ", ".join(repr(math.lgamma(k + 1)) + "::DOUBLE" for k in range(mixing.LEVELS))
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": f"""
