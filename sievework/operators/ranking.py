@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.prefix import running_sum
+
 
 def valid_groups(rows: DataFrame, query: str, candidate: str, text: str, grade: str) -> DataFrame:
     """Per query: candidates, grade levels, and the first reason why it can't be ranked, if any."""
@@ -117,8 +119,8 @@ def stratified_sample(rows: DataFrame, query: str, candidate: str, grade: str, c
 
 
 def epoch_lists(queries: DataFrame, query: str, lists: int, seed: int) -> DataFrame:
-    """(query, list, seed) in a random order: `lists` examples of each query, with a seed of its own."""
-    numbered = queries.select(query).distinct().withColumn("__g", F.row_number().over(Window.orderBy(query)) - 1)
+    """(query, list, seed) in a random order: `lists` examples of each query (an integer), with a seed of its own."""
+    numbered = running_sum(queries.select(query).distinct().withColumn("__one", F.lit(1)), query, "__one", "__g").drop("__one")
     each = numbered.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))))
     seeded = each.withColumn("seed", (F.lit(seed) + F.col("__g") * 1009 + F.col("list") * 9176).cast("long"))
     return seeded.drop("__g").orderBy(hashed(str(seed), F.col("seed").cast("string")))

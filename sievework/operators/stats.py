@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.operators.prefix import running_sum
+
 #: Fixed values of the estimator.
 MAD_NORMALISER, HUBER_C, TOLERANCE, ITERATIONS = 0.6744897501960817, 1.345, 1e-12, 1000
 
@@ -80,14 +82,14 @@ def nearest_rank(value: str, q: float) -> Column:
 def paired_bootstrap(pairs: DataFrame, item: str, left: str, right: str, iterations: int = 10_000, seed: int = 20260903) -> DataFrame:
     """One row: the mean difference and its 95 % interval over resampled pairs, ends by nearest rank.
 
-    Replicate r draws n pairs with replacement: the i-th draw is the pair whose
-    number (by item) is a hash of (seed, r, i) modulo n. Draws are generated and
+    Items are integers without repeats. Replicate r draws n pairs with
+    replacement: the i-th draw is the pair whose number (by item) is a hash of (seed, r, i) modulo n. Draws are generated and
     summed where they are made; what is shuffled is one sum per replicate and task.
     """
     n = pairs.count()
     if not n or iterations < 40:
         raise ValueError("nonempty pairs and at least 40 replicates are required")
-    numbered = pairs.select((F.row_number().over(Window.orderBy(item)) - 1).cast("long").alias("i"), (F.col(left) - F.col(right)).alias("d"))
+    numbered = running_sum(pairs.withColumn("__one", F.lit(1)), item, "__one", "i").select(F.col("i").cast("long").alias("i"), (F.col(left) - F.col(right)).alias("d"))
     draws = pairs.sparkSession.range(iterations * n).select((F.col("id") / F.lit(n)).cast("long").alias("r"), F.pmod(drawn(seed, F.col("id")), F.lit(n)).alias("i"))
     means = draws.join(F.broadcast(numbered) if n <= 100_000 else numbered, "i").groupBy("r").agg((F.sum("d") / n).alias("m"))
     low, high = max(0, math.ceil(0.025 * iterations) - 1), max(0, math.ceil(0.975 * iterations) - 1)

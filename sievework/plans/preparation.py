@@ -15,6 +15,7 @@ from sievework.operators import retrieval as R
 from sievework.operators import scoring as S
 from sievework.operators import training as L
 from sievework.operators import validation as V
+from sievework.plans.retrieval import _bm25_sql
 from sievework.plans.tables import evidence_docs, load, questions
 from sievework.plans.texts import _evidence
 
@@ -240,8 +241,8 @@ def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _word_ids(text: F.Column) -> F.Column:
-    """A whitespace tokenizer for tests: a word's id is its CRC-32 modulo 50,000."""
-    return F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: (F.crc32(w.cast("binary")) % 50_000).cast("int"))
+    """A whitespace tokenizer for tests: a word's id is the first 16 bits of its MD5."""
+    return F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int"))
 
 
 def contiguous_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +321,16 @@ _ROWS = f"""
         CASE WHEN sparse AND role = 'TARGET_OBSERVATION' AND sup <> 'EXPLICIT' THEN 'G3_EXTERNAL_FACT_AS_TARGET_OBSERVATION' END, CASE WHEN down AND bnd = '' THEN 'G5_EMPTY_BOUNDED_REVISION' END, CASE WHEN NOT down AND bnd <> '' THEN 'G5_UNREQUESTED_BOUNDED_REVISION' END,
         CASE WHEN NOT down AND i % 6 = 0 AND i % 9 <> 3 THEN 'G2_NEW_NUMERIC_DETAIL' END, CASE WHEN op = 'APPEND_AFTER_ANCHOR' AND eff = '' THEN 'G6_ALREADY_PRESENT' END], lambda x: x IS NOT NULL))) AS reasons FROM d)"""
 
+_IDS = "list_transform(list_filter(string_split_regex({e}, '\\s+'), lambda w: w <> ''), lambda w: CAST('0x' || md5(w)[1:4] AS INTEGER))"
+
 ORACLE_SQL = {
+    "source_tier": f"""WITH {_bm25_sql('true', 40)} SELECT item_id, CAST(rank AS INTEGER) AS rank, top.doc_id, CASE WHEN lang = 'en' AND top.doc_id % 3 = 0 THEN 'science_core' WHEN top.doc_id % 3 <> 2 THEN 'frozen_abstract' ELSE 'bibliographic_only' END AS tier
+        FROM top JOIN documents d ON d.doc_id = top.doc_id""",
+    "contiguous_packing": f"""WITH t AS (SELECT doc_id, list_append({_IDS.format(e="coalesce(text, '')")}, 1) AS l FROM documents), u AS (SELECT doc_id, unnest(range(len(l))) AS i, unnest(l) AS id FROM t WHERE len(l) > 1),
+        p AS (SELECT id, row_number() OVER (ORDER BY doc_id, i) - 1 AS pos FROM u), b AS (SELECT pos // 1024 AS block, list(id ORDER BY pos) AS ids FROM p GROUP BY 1)
+        SELECT block, CAST(len(ids) AS INTEGER) AS valid, md5(array_to_string(list_concat(ids, list_transform(range(1024 - len(ids)), lambda x: 0)), ',')) AS ids_md5 FROM b""",
+    "weighted_examples": f"""WITH t AS (SELECT conv_id, arg_max(text, turn) AS a, string_agg(text, ' ' ORDER BY turn) AS p FROM conversations GROUP BY 1), n AS (SELECT conv_id, least(len({_IDS.format(e='a')}), 32) AS k, len({_IDS.format(e='p')}) AS m FROM t)
+        SELECT conv_id, CAST(k + least(m, 128 - k) AS INTEGER) AS n, CAST(k AS INTEGER) AS learned, 2.0::DOUBLE AS weight FROM n""",
     "packet_budget": "SELECT r AS rank, CAST(CASE WHEN r <= 8 THEN 1900 WHEN r <= 20 THEN 1300 ELSE 800 END AS INTEGER) AS chars, CAST(CASE WHEN r <= 8 THEN 8 WHEN r <= 20 THEN 6 ELSE 4 END AS INTEGER) AS units, CAST(CASE WHEN r <= 8 THEN 720 WHEN r <= 20 THEN 520 ELSE 320 END AS INTEGER) AS card_chars FROM range(1, 41) t(r)",
     "gate_reasons": f"WITH {_ROWS} SELECT candidate_id, coalesce(array_to_string(reasons, ','), '') AS reasons, len(list_filter(reasons, lambda x: regexp_matches(x, '{P.GATES}'))) = 0 AS eligible FROM g",
     "reason_counts": f"WITH {_ROWS} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM g) GROUP BY reason",

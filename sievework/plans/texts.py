@@ -136,7 +136,7 @@ def strict_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strict_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.strict_scores(_answers(spark, sf_dir), "answer", "reference", "support", "keys")
-    return found.select("item_id", "evidence_quality", "reasoning_quality", "confidence", "needs_review", F.to_json("key_points").alias("key_points"))
+    return found.select("item_id", "evidence_quality", "reasoning_quality", "confidence", "needs_review", F.size("key_points").alias("key_points"))
 
 
 def answer_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,6 +301,10 @@ ORACLE_SQL = {
                count(*) FILTER ((u = '' OR regexp_matches(u, '^(?:\\p{{Lu}}|\\p{{Nd}}|[(\\[])') OR regexp_matches(lower(u), '^(?:p-i-n|n-i-p)')) AND NOT {_any('u', C.GENERIC)} AND NOT regexp_matches({_ascii('u')}, '{C.MALFORMED}') AND len(v) >= 6
                                 AND NOT (length(u) >= 70 AND NOT regexp_matches({_ascii('u')}, '{C.VERB}')) AND NOT (len(v) >= 24 AND len(list_distinct(v)) / len(v) < 0.40)) AS informative FROM w GROUP BY doc_id""",
     "strict_score": f"WITH {_ANSWERS}, {_STRICT} SELECT item_id, strict_score, {', '.join(f'round({c}, 4)::DOUBLE AS {c}' for c in ('key_fraction', 'reference_cosine', 'reference_coverage', 'source_coverage', 'specific_coverage', 'numeric_coverage', 'raw_score'))}, CAST(answer_tokens AS INTEGER) AS answer_tokens, CAST(markers AS INTEGER) AS markers, coalesce(array_to_string(flags, ','), '') AS flags FROM st",
+    "strict_labels": f"""WITH {_ANSWERS}, {_STRICT}, l AS (SELECT *, least(key_fraction, greatest(reference_cosine, reference_coverage), greatest(ev, 0.01)) AS sure FROM st),
+        lb AS (SELECT *, CASE WHEN len(flags) > 0 OR sure < 0.12 THEN 'low' WHEN sure < 0.25 THEN 'medium' ELSE 'high' END AS confidence FROM l)
+        SELECT item_id, CASE WHEN ev >= 0.40 THEN 'strong' WHEN ev >= 0.24 THEN 'adequate' WHEN ev >= 0.10 THEN 'weak' ELSE 'absent' END AS evidence_quality, CASE WHEN rs >= 0.4 THEN 'strong' WHEN rs >= 0.3 THEN 'adequate' WHEN rs >= 0.2 THEN 'weak' ELSE 'absent' END AS reasoning_quality,
+               confidence, len(flags) > 0 OR strict_score <= 2.5 OR confidence <> 'high' AS needs_review, CAST(4 AS INTEGER) AS key_points FROM lb""",
     "answer_features": f"WITH {_ANSWERS}, {_FEATURES} SELECT item_id, CAST(f_tokens AS INTEGER) AS f_tokens, f_key_fraction, f_ref_cosine::DOUBLE AS f_ref_cosine, f_ref_coverage::DOUBLE AS f_ref_coverage, f_source_coverage::DOUBLE AS f_source_coverage, f_specific_coverage::DOUBLE AS f_specific_coverage, f_numeric_coverage::DOUBLE AS f_numeric_coverage, CAST(f_markers AS INTEGER) AS f_markers FROM ft",
     "rescue": f"""WITH {_ANSWERS}, {_STRICT}, {_FEATURES}, j AS (SELECT st.item_id, strict_score AS s, flags, answer, round(key_fraction, 4) AS sk, ft.*, greatest(f_ref_cosine, f_ref_coverage) AS ref FROM st JOIN ft USING (item_id)),
         o AS (SELECT *, f_specific_coverage >= 0.25 OR f_numeric_coverage >= 0.45 OR ref >= 0.42 AS ev, ref >= 0.38 OR (f_ref_cosine >= 0.32 AND f_ref_coverage >= 0.28) AS ok, f_key_fraction >= 0.5 OR sk >= 0.5 AS ky FROM j),
