@@ -303,6 +303,20 @@ def test_main_text(spark):
     assert wrappers.extracted(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body class="has-sidebar"><div class="content with-sidebar"><article class="post ad-free"><header class="article-header"><h1>T</h1></header><p>A</p><div class="sidebar">S</div></article></div><div class="sidebar"><p>no</p></div></body>', "T A"),
+        ('<body><div id="header">H</div><div class="content"><p>A b</p><p>C</p></div><div id="comments"><article class="comment">c</article></div><footer>f</footer></body>', "A b C"),
+        ('<main><section class="post"><p>x</p></section></main><div class="menu">m</div>', "x"),
+        ('<div class="cookieNotice">We use</div><p>y</p><noscript>z</noscript>', "y"),
+    ],
+)
+def test_marks(page, text):
+    tree = wrappers.parsed(page)
+    assert wrappers.main_text(page, wrappers.form_of(tree), frozenset()) == text
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     a = wrappers.form_of(wrappers.parsed("<div><p>a</p><p>b</p></div>"))
     b = wrappers.form_of(wrappers.parsed("<div><p>a</p><ul><li>x</li></ul></div>"))
