@@ -87,10 +87,10 @@ class Network:
 def fit(texts: list[bytes], labels: np.ndarray, steps: int = 500, chunks: int = 12, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Network:
     """A network trained by Adam, so that a junk text's worst chunk is junk and a good text's is not.
 
-    About `steps` batches are read, each text as often; each time up to `chunks` random chunks of it. The gradient
-    reaches the filters at their strongest places in the worst chunk. Junk and
-    good texts weigh the same in all. Without texts of both kinds the
-    network's answer is their share.
+    About `steps` batches are read, each text as often, and each time up to
+    `chunks` random chunks of it. The gradient reaches the filters at their
+    strongest places in the worst chunk. Junk and good texts weigh the same in
+    all. Without texts of both kinds the network's answer is their share.
     """
     rng = np.random.default_rng(seed)
     share = float(labels.mean()) if len(labels) else 0.5
@@ -159,9 +159,10 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = 3000, key: str = "do
     """A network fitted to at most `rows` labelled texts outside the held-out fold.
 
     The sample is bounded by that parameter: for each label, the rows least by
-    a hash of their key, up to half of `rows` each. Labels other than 0 and 1 are not learned from.
+    a hash of their key, up to half of `rows` each. Labels other than 0 and 1 are
+    not learned from; of several for one key, the least counts.
     """
-    usable = labels.filter(F.col(label).isin(0, 1)).filter(fold(key) != 0).select(key, F.col(label).alias("__label")).dropDuplicates([key])
+    usable = labels.filter(F.col(label).isin(0, 1)).filter(fold(key) != 0).groupBy(key).agg(F.min(label).alias("__label"))
     order = F.xxhash64(F.col(key))
     some = usable.filter("__label = 0").orderBy(order).limit(rows // 2).unionByName(usable.filter("__label = 1").orderBy(order).limit(rows // 2))
     pairs = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)).join(F.broadcast(some), key).orderBy(order, text).select(text, "__label").toArrow()
