@@ -14,7 +14,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 #: All state partitions of an executor share this memory, however many there are; the rest is on
 #: disk, without room reserved ahead. A micro-batch checkpoints its changes, not all of the state.
-ROCKSDB_OPTIONS = {"boundedMemoryUsage": "true", "maxMemoryUsageMB": "200", "writeBufferSizeMB": "2", "blockCacheSizeMB": "2", "allowFAllocate": "false", "changelogCheckpointing.enabled": "true"}
+ROCKSDB_OPTIONS = {"boundedMemoryUsage": "true", "maxMemoryUsageMB": "100", "writeBufferSizeMB": "2", "blockCacheSizeMB": "2", "allowFAllocate": "false", "changelogCheckpointing.enabled": "true"}
 
 
 def normalised(text: Column) -> Column:
@@ -50,6 +50,8 @@ def streamed_state(spark: SparkSession, path: str, key: str, text: str, digest:
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     for name, value in ROCKSDB_OPTIONS.items():
         session.conf.set(f"spark.sql.streaming.stateStore.rocksdb.{name}", value)
+    # Executors let go of a stopped stream's stores at their next maintenance, a minute later by default.
+    session.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "5s")
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     base, path = folder(spark, "dedup-state"), path.rstrip("/")
     schema = spark.read.parquet(path).schema
