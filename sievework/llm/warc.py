@@ -76,7 +76,9 @@ def charset(fields: list[tuple[str, str]], payload: bytes) -> str:
     return name
 
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Raw text without an end tag goes on to the end of the page; other elements are dropped only if they end. Nothing else in a
+#: head is text of it: any other text or element ends the head, with or without its end tag.
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(noscript|template|svg(?![^>]*/>))\b[^>]*>.*?</\2\s*>", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|section|article|main|header|footer|nav|aside|blockquote|pre|form|td|th)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
 

@@ -1,0 +1,23 @@
+"""Plain text of pages whose end tags are missing."""
+
+from sievework.llm.warc import derived, plain_text
+
+
+def test_head_without_end_tag():
+    assert plain_text("<head><title>t</title><body><p>text") == "text"
+    assert plain_text("<html><head><meta charset=utf-8><style>p{}</style><p>one<p>two") == "one\ntwo"
+    assert plain_text("<head><title>t</title><link rel=x></head><body>text</body>") == "text"
+
+
+def test_only_raw_text_runs_to_the_end():
+    for tag in ("noscript", "template", "svg"):
+        assert plain_text(f"<p>a</p><{tag}><p>b</p>") == "a\nb"
+        assert plain_text(f"<p>a</p><{tag}>gone</{tag}><p>b</p>") == "a\nb"
+    assert plain_text("<svg/><p>a</p><svg><path/></svg><p>b</p>") == "a\nb"
+    for tag in ("script", "style", "title"):
+        assert plain_text(f"<p>a</p><{tag}>x <p>y</p>") == "a"
+
+
+def test_record_has_the_text():
+    block = b"HTTP/1.1 200 OK\r\n\r\n<head><title>t</title><body><p>text"
+    assert derived("<urn:a>", None, None, block)[1]["block"] == b"text"
