@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html
 import json
 import re
@@ -35,6 +37,8 @@ HEADS = frozenset("header masthead".split())
 #: Words of an article or main element that is no article of the page's own.
 REMARKS = frozenset("comment comments reply replies related recommended sponsored promo".split())
 MARKS = "!~^"
+#: Elements that name what follows them: their text is kept though it is the same on many pages.
+LABELS = frozenset("h1 h2 h3 h4 h5 h6 hgroup dt th caption summary".split())
 #: A start tag closes an open one of these, up to the nearest element that holds it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
@@ -42,7 +46,8 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|
 _MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 
-# A form is ["t"] (text), ["e", name, [forms]], ["?", form] or ["+", [forms]].
+# A form is ["t"] (a slot: its text varies), ["t", digest, least, greatest] (the same text wherever it was seen, and the range
+# of likeness() of the pages that have it), ["e", name, [forms]], ["?", form] or ["+", [forms]].
 TEXT = ["t"]
 
 
@@ -153,7 +158,7 @@ def merged(a: list, b: list) -> list:
     if "+" in (a[0], b[0]):
         out = ["+", aligned(a[1] if a[0] == "+" else [a], b[1] if b[0] == "+" else [b])]
     elif a[0] == "t":
-        out = TEXT
+        out = ["t", a[1], min(a[2], b[2]), max(a[3], b[3])] if len(a) == len(b) == 4 and a[1] == b[1] else TEXT
     else:
         out = ["e", a[1], folded(aligned(a[2], b[2]))]
     return ["?", out] if optional else out
@@ -205,66 +210,99 @@ def folded(forms: list) -> list:
     return forms
 
 
-def form_of(node: Node) -> list:
-    return ["e", node.name, folded([TEXT if isinstance(x, str) else form_of(x) for x in node.children])]
+def form_of(node: Node, like: int = 0) -> list:
+    return ["e", node.name, folded([["t", digest(x), like, like] if isinstance(x, str) else form_of(x, like) for x in node.children])]
+
+
+def shape(form: list) -> list:
+    """A form without its texts."""
+    if form[0] == "t":
+        return TEXT
+    if form[0] == "e":
+        return ["e", form[1], [shape(x) for x in form[2]]]
+    return ["?", shape(form[1])] if form[0] == "?" else ["+", [shape(x) for x in form[1]]]
 
 
 def inferred(forms: list[list]) -> list:
-    """One wrapper for all forms, aligned one after the other."""
-    out = forms[0]
-    for form in forms[1:]:
-        out = merged(out, form)
-    return out
+    """One wrapper for all forms: those of one shape as one, then the shapes aligned one after the other, in a fixed order."""
+    of: dict[str, list] = {}
+    for form in forms:
+        name = json.dumps(shape(form))
+        of[name] = merged(of[name], form) if name in of else form
+    return functools.reduce(merged, [of[name] for name in sorted(of)])
+
 
+def matched(form: list, node: Node, path: tuple[str, ...] = (), known: dict | None = None) -> list[tuple[tuple[str, ...], str, bool]] | None:
+    """The page's texts, with the names around them and whether they are the template's; None if the wrapper does not fit.
 
-def matched(form: list, node: Node, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str]] | None:
-    """The page's texts with the names around the slots they fill; None if the wrapper does not fit."""
+    A text is the template's if it was the same in all pages that have it, and
+    at least two of them are unlike each other. A label is not. `known` holds
+    what was matched before.
+    """
     if form[1] != node.name:
         return None
-    return _fill(form[2], node.children, (*path, node.name))
+    known = {} if known is None else known
+    at = id(form), id(node)
+    if at not in known:
+        known[at] = _fill(form[2], node.children, (*path, node.name), known)
+    return known[at]
 
 
-def _fill(forms: list, children: list, path: tuple[str, ...]) -> list | None:
-    found: list = []
-    at = 0
+def _fill(forms: list, children: list, path: tuple[str, ...], known: dict) -> list | None:
+    """The texts of `children` by `forms`: of all ways that fit, the one whose first optional and repeated forms take most."""
+    named = LABELS.intersection(x.rstrip(MARKS) for x in path)
 
-    def one(form: list) -> bool:
-        nonlocal at
+    def one(form: list, at: int) -> dict[int, tuple | None]:
+        """Where this form can end that begins at a child, and the chain of texts there."""
         if form[0] == "?":
-            before, size = at, len(found)
-            if not one(form[1]):
-                at = before
-                del found[size:]
-            return True
+            found = one(form[1], at)
+            found.setdefault(at, None)
+            return found
         if form[0] == "+":
-            times = 0
-            while at < len(children):
-                before, size = at, len(found)
-                if not all(one(x) for x in form[1]) or at == before:
-                    at = before
-                    del found[size:]
-                    break
-                times += 1
-            return times > 0 or all(x[0] == "?" for x in form[1])
+            ends: dict[int, tuple | None] = {}
+            open_ = [(at, None)]
+            while open_:
+                begin, before = open_.pop()
+                for end, x in run(form[1], begin, before).items():
+                    if end not in ends:
+                        ends[end] = x
+                        if end > begin:
+                            open_.append((end, x))
+            return dict(sorted(ends.items(), reverse=True))
         if at == len(children):
-            return False
+            return {}
         child = children[at]
         if form[0] == "t":
             if not isinstance(child, str):
-                return False
-            found.append((path, child))
-        else:
-            inner = None if isinstance(child, str) else matched(form, child, path)
-            if inner is None:
-                return False
-            found.extend(inner)
-        at += 1
-        return True
-
-    for form in forms:
-        if not one(form):
-            return None
-    return found if at == len(children) else None
+                return {}
+            common = len(form) == 4 and form[2] < form[3] and form[1] == digest(child)
+            return {at + 1: (None, [(path, child, common and not named)])}
+        inner = None if isinstance(child, str) else matched(form, child, path, known)
+        return {} if inner is None else {at + 1: (None, inner)}
+
+    def run(some: list, at: int, before: tuple | None) -> dict[int, tuple | None]:
+        """Where the forms can end one after the other."""
+        states = {at: before}
+        for form in some:
+            after: dict[int, tuple | None] = {}
+            for begin, chain in states.items():
+                for end, x in one(form, begin).items():
+                    after.setdefault(end, chain if x is None else (chain, x))
+            states = after
+        return states
+
+    def flat(chain: tuple | None) -> list:
+        out, rest = [], [chain]
+        while rest:
+            x = rest.pop()
+            if isinstance(x, list):
+                out.extend(x)
+            elif x is not None:
+                rest += [x[1], x[0]]
+        return out
+
+    ends = run(forms, 0, None)
+    return flat(ends[len(children)]) if len(children) in ends else None
 
 
 def walked(node: Node, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str]]:
@@ -277,6 +315,7 @@ def walked(node: Node, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str,
             yield from walked(x, here)
 
 
+@functools.lru_cache(1 << 14)
 def apart(path: tuple[str, ...]) -> bool:
     """Whether a slot is in something that is not the article. A header within the article is of it."""
     tags = [name.rstrip(MARKS) for name in path]
@@ -292,40 +331,34 @@ def apart(path: tuple[str, ...]) -> bool:
     return False
 
 
-def region(form: list) -> str:
-    """Which element of the wrapper holds the article: article, else main, else the whole body."""
-    names = set()
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest())
 
-    def look(x: list, path: tuple[str, ...]) -> None:
-        if x[0] == "e":
-            path = (*path, x[1])
-            if not apart(path):
-                names.add(x[1].rstrip(MARKS))
-        for y in x[2] if x[0] == "e" else [x[1]] if x[0] == "?" else x[1] if x[0] == "+" else []:
-            look(y, path)
 
-    look(form, ())
-    return "article" if "article" in names else "main" if "main" in names else ""
+def article(texts: list[tuple]) -> list[tuple]:
+    """Those of a page's texts that are in its article.
 
+    The article is the first of the elements article and main that the page
+    has; a page with neither gives all that are not apart.
+    """
+    texts = [x for x in texts if not apart(x[0])]
+    for where in ("article", "main"):
+        if inside := [x for x in texts if where in x[0]]:
+            return inside
+    return texts
 
-def digest(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
+def likeness(tree: Node) -> int:
+    """A number that pages share as likely as their articles share runs of three words: copies do, other pages hardly."""
+    words = " ".join(x[1] for x in article(list(walked(tree)))).encode("utf-8", "surrogatepass").split()
+    return min(zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2)))
 
-def main_text(page: str, wrapper: list, fixed: frozenset[tuple[str, int]]) -> str:
-    """The texts of the wrapper's slots in the article.
 
-    The article is the first of the elements article and main that the page
-    has; a page with neither gives all slots that are not apart, without the fixed texts.
-    """
+def main_text(page: str, wrapper: list) -> str:
+    """The texts of the wrapper's slots in the article, without the template's. A page that it does not fit gives all texts of its article."""
     tree = parsed(page)
     texts = matched(wrapper, tree)
-    texts = list(walked(tree)) if texts is None else texts
-    texts = [(p, t) for p, t in texts if not apart(p)]
-    for where in ("article", "main"):
-        if inside := [t for p, t in texts if where in p]:
-            return " ".join(inside)
-    return " ".join(t for p, t in texts if (" ".join(p), digest(t)) not in fixed)
+    return " ".join(x[1] for x in article(list(walked(tree)) if texts is None else texts) if len(x) == 2 or not x[2])
 
 
 def host(url: str) -> Column:
@@ -333,49 +366,49 @@ def host(url: str) -> Column:
 
 
 def wrappers(pages: DataFrame, url: str, page: str, parts: int = 16) -> DataFrame:
-    """(host, wrapper, fixed): the wrapper of each host from all its pages, as JSON.
+    """(host, wrapper): the wrapper of each host from all its pages, as JSON.
 
-    Each page's tokens become a form with its repeats folded. Equal forms of a
-    host are counted before the shuffle, so a host with many pages and one
-    template sends a few rows. The different forms of a host are aligned in
-    `parts` groups, and then the groups' wrappers. Short texts that at least
-    three pages, and three tenths of the host's, have at one path are fixed.
+    Each page's tokens become a form with its repeats folded. Forms of one shape
+    are one form before the shuffle, in which texts that differ are slots and
+    equal ones stay, so a host with many pages and one template sends a few
+    rows. The different shapes of a host are aligned in `parts` groups, and then
+    the groups' wrappers. Neither the number nor the order of pages counts.
     """
-    schema = "host string, kind int, path string, form string, n long"
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[tuple[str, str], list] = {}
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([zlib.crc32(k[1].encode()) % parts for k in rows], pa.int32()), pa.array([json.dumps(f) for f in rows.values()], pa.string())], names=["host", "part", "form"])
+            rows.clear()
+            return made
+
         for batch in batches:
-            rows: dict[tuple, int] = {}
             for where, text in zip(column(batch, "host").to_pylist(), column(batch, page).to_pylist(), strict=True):
                 tree = parsed(text or "")
-                form = form_of(tree)
-                rows[where, 0, "", json.dumps(form)] = rows.get((where, 0, "", json.dumps(form)), 0) + 1
-                if not region(form):
-                    for p, t in {(" ".join(p), digest(t)) for p, t in walked(tree) if len(t) < 200}:
-                        rows[where, 1, p, str(t)] = rows.get((where, 1, p, str(t)), 0) + 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows]), pa.array([k[1] for k in rows], pa.int32()), pa.array([k[2] for k in rows]), pa.array([k[3] for k in rows]), pa.array(list(rows.values()), pa.int64())], names=["host", "kind", "path", "form", "n"])
-
-    counted = pages.select(host(url).alias("host"), page).mapInArrow(forms, schema).groupBy("host", "kind", "path", "form").agg(F.sum("n").alias("n"))
-    counted = table(counted, "page-forms")
+                form = form_of(tree, likeness(tree))
+                at = where, json.dumps(shape(form))
+                rows[at] = merged(rows[at], form) if at in rows else form
+                if len(rows) == 5_000:
+                    yield out()
+        if rows:
+            yield out()
 
     def align(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = sorted(zip(-rows["n"], rows["form"], strict=True))
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "form": [json.dumps(inferred([json.loads(f) for _, f in ordered]))], "n": [int(rows["n"].sum())]})
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "form": [json.dumps(inferred([json.loads(f) for f in rows["form"]]))]})
 
-    shapes = counted.filter("kind = 0").select("host", "form", "n", F.pmod(F.xxhash64("form"), F.lit(parts)).alias("part"))
-    some = shapes.groupBy("host", "part").applyInPandas(align, "host string, form string, n long")
-    whole = some.groupBy("host").applyInPandas(align, "host string, form string, n long")
-    often = counted.filter("kind = 1 and n >= 3").withColumnRenamed("form", "crc").join(whole.select("host", F.col("n").alias("pages")), "host").filter(F.col("n") >= 0.3 * F.col("pages"))
-    fixed = often.groupBy("host").agg(F.to_json(F.collect_set(F.struct("path", "crc"))).alias("fixed"))
-    return table(whole.join(fixed, "host", "left").select("host", F.col("form").alias("wrapper"), "fixed"), "wrappers")
+    shapes = pages.select(host(url).alias("host"), page).mapInArrow(forms, "host string, part int, form string")
+    some = shapes.groupBy("host", "part").applyInPandas(align, "host string, form string")
+    whole = some.groupBy("host").applyInPandas(align, "host string, form string")
+    return table(whole.select("host", F.col("form").alias("wrapper")), "wrappers")
 
 
 def extracted(pages: DataFrame, url: str = "url", page: str = "html", text: str = "text") -> DataFrame:
     """`pages` with the main text of each and its n_chars.
 
     Wrappers are inferred per host (wrappers()) and matched with each page; the
-    slots in the article give the text: references decoded, white space of a
+    slots in the article give the text, and what is the same on all unlike pages
+    at one place of the wrapper is left out as the template's, but for headings: references decoded, white space of a
     block one space, blocks joined by one space. Menus, headers, footers,
     sidebars, notices, adverts, forms, scripts, styles and comments are known by
     the elements and attribute words listed above. A null or empty page has an
@@ -384,18 +417,18 @@ def extracted(pages: DataFrame, url: str = "url", page: str = "html", text: str
     """
     pages = pages.drop(*[c for c in (text, "n_chars") if c in pages.columns])
     known = wrappers(pages, url, page)
-    met = pages.withColumn("__host", host(url)).join(known.withColumnsRenamed({"host": "__host", "wrapper": "__wrapper", "fixed": "__fixed"}), "__host", "left").select(*pages.columns, "__wrapper", "__fixed")
+    met = pages.withColumn("__host", host(url)).join(known.withColumnsRenamed({"host": "__host", "wrapper": "__wrapper"}), "__host", "left").select(*pages.columns, "__wrapper")
     names = pages.columns
     schema = T.StructType([*pages.schema.fields, T.StructField(text, T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, tuple] = {}
+        seen: dict[str, list] = {}
         for batch in batches:
             out = []
-            for p, w, f in zip(*[column(batch, c).to_pylist() for c in (page, "__wrapper", "__fixed")], strict=True):
-                if (w, f) not in seen:
-                    seen[w, f] = (json.loads(w), frozenset((x["path"], int(x["crc"])) for x in json.loads(f or "[]")))
-                out.append(main_text(p or "", *seen[w, f]))
+            for p, w in zip(*[column(batch, c).to_pylist() for c in (page, "__wrapper")], strict=True):
+                if w not in seen:
+                    seen[w] = json.loads(w)
+                out.append(main_text(p or "", seen[w]))
             yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in names], pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=[*names, text, "n_chars"])
 
     return met.mapInArrow(run, schema)

@@ -1,0 +1,53 @@
+"""What alignment takes for a host's template, and what it leaves as text."""
+
+import json
+
+from sievework.llm import wrappers as W
+
+WORDS = "alder birch cedar dogwood elm fir gorse hazel ivy juniper kelp larch maple nettle oak pine".split()
+
+
+def words(i, n=12):
+    return " ".join(WORDS[(i * 7 + j * (i + 3)) % 16] + str(i) for j in range(n))
+
+
+def wrapper(pages):
+    trees = [W.parsed(p) for p in pages]
+    return W.inferred([json.loads(json.dumps(W.form_of(t, W.likeness(t)))) for t in trees])
+
+
+def texts(pages):
+    found = wrapper(pages)
+    return [W.main_text(p, found) for p in pages]
+
+
+NOTICED = [f'<body><article><h1>{words(i, 3)}</h1><div class="x1">We moved</div><p>{words(i)}</p><h2>Abstract</h2><p>{words(i + 20)}</p></article>' for i in range(5)]
+
+
+def test_text_of_all_pages_is_the_template():
+    assert texts(NOTICED) == [f"{words(i, 3)} {words(i)} Abstract {words(i + 20)}" for i in range(5)]
+
+
+def test_the_wrapper_decides():
+    other = wrapper([p.replace("We moved", f"Note {i}") for i, p in enumerate(NOTICED)])
+    assert "We moved" in W.main_text(NOTICED[0], other)
+    assert "We moved" in W.main_text(NOTICED[0], ["e", "", []])
+    assert "We moved" not in W.main_text(NOTICED[0], wrapper(NOTICED))
+
+
+def test_optional_forms_give_way():
+    form = ["e", "", [["?", ["e", "p", [W.TEXT]]], ["?", ["e", "h1", [W.TEXT]]], ["e", "p", [W.TEXT]]]]
+    assert [t for _, t, _ in W.matched(form, W.parsed("<p>a</p>"))] == ["a"]
+    assert [t for _, t, _ in W.matched(form, W.parsed("<p>a</p><h1>b</h1><p>c</p>"))] == ["a", "b", "c"]
+    assert W.matched(form, W.parsed("<h1>b</h1>")) is None
+
+
+def test_order_and_number_of_pages_do_not_count():
+    assert wrapper(NOTICED) == wrapper(NOTICED[::-1]) == wrapper(NOTICED * 3)
+
+
+def test_spark_gives_the_same(spark):
+    rows = [(i, "http://h.example/", p) for i, p in enumerate(NOTICED)]
+    found = W.extracted(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(3)).orderBy("page_id").collect()
+    assert [r["text"] for r in found] == texts(NOTICED)
+    assert [r["n_chars"] for r in found] == [len(x) for x in texts(NOTICED)]
