@@ -51,3 +51,24 @@ def test_spark_gives_the_same(spark):
     found = W.extracted(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(3)).orderBy("page_id").collect()
     assert [r["text"] for r in found] == texts(NOTICED)
     assert [r["n_chars"] for r in found] == [len(x) for x in texts(NOTICED)]
+
+
+def test_copies_on_a_small_host_stay_whole(spark):
+    copy = f"<body><div><p>{words(1, 4)}</p></div><div>{words(2, 4)}</div>"
+    others = [f"<body><div><p>{words(i, 4)}</p></div><div>{words(i + 9, 4)}</div>" for i in (3, 4)]
+    whole = f"{words(1, 4)} {words(2, 4)}"
+    assert texts([copy] * 3) == [whole] * 3
+    assert texts([copy] * 3 + others)[:3] == [whole] * 3
+    rows = [(i, "http://h.example/", copy) for i in range(3)]
+    assert [r["text"] for r in W.extracted(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()] == [whole] * 3
+
+
+def test_long_template_text_of_two_pages_goes():
+    long = "This site was moved to a new place. " * 8
+    pages = [f"<body><div><div>{long}</div><h1>{words(i, 3)}</h1><p>{words(i, 60)}</p><h2>Ingredients</h2><p>{words(i + 9)}</p></div>" for i in (1, 2)]
+    assert texts(pages) == [f"{words(i, 3)} {words(i, 60)} Ingredients {words(i + 9)}" for i in (1, 2)]
+
+
+def test_near_copies_are_like_each_other():
+    a, b = (f"<body><div>{words(1, 200)}</div><div>{x} at last</div>" for x in ("one", "two"))
+    assert texts([a, b]) == [f"{words(1, 200)} one at last", f"{words(1, 200)} two at last"]
