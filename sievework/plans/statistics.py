@@ -85,6 +85,19 @@ def study_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("items", "iterations", *[F.round(c, 6).alias(c) for c in ("difference", "low", "high")])
 
 
+def paired_bootstrap_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paired_bootstrap with the operator's own number of replicates."""
+    found = J.paired_bootstrap(pairs(spark, sf_dir), "user_id", "pro", "flash")
+    return found.select("items", "iterations", *[F.round(c, 6).alias(c) for c in ("difference", "low", "high")])
+
+
+def study_bootstrap_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """study_bootstrap with the operator's own number of replicates."""
+    means = J.study_means(pairs(spark, sf_dir), "study", "condition", "pro", "flash").withColumn("zero", F.lit(0.0))
+    found = J.paired_bootstrap(means, "study", "difference", "zero", seed=20260913)
+    return found.select("items", "iterations", *[F.round(c, 6).alias(c) for c in ("difference", "low", "high")])
+
+
 def agreement_pearson_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = scored_ledger(spark, sf_dir).groupBy("model", "family").agg(F.round(F.avg("score"), 6).alias("automatic"), F.round(F.avg("adequacy"), 6).alias("human"))
     found = J.agreement(means, "human", "automatic")
@@ -188,7 +201,7 @@ def mcq_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        item_score_v43, board_mean_median, huber_board, rollup_cube, grouping_sets_board, anchored_score, win_tie_loss, paired_bootstrap, study_bootstrap, agreement_pearson_spearman,
+        item_score_v43, board_mean_median, huber_board, rollup_cube, grouping_sets_board, anchored_score, win_tie_loss, paired_bootstrap, study_bootstrap, paired_bootstrap_full, study_bootstrap_full, agreement_pearson_spearman,
         nearest_rank_percentiles, reproduce_board, token_loss, group_validation, ranking_metrics_padded, ranking_metrics_unpadded, ranking_macro_mean, source_recall_mrr, dataset_summary,
         lambdarank_loss, stratified_sample, epoch_lists, train_validation_overlap, best_epoch, margin_scores, mcq_accuracy,
     )
@@ -204,13 +217,13 @@ _PAIRS = """
     pr AS (SELECT user_id, user_id % 10 AS study, 'E' AS condition, pro, flash FROM m WHERE pro IS NOT NULL AND flash IS NOT NULL)"""
 
 
-def _boot(source: str, order: str, seed: int) -> str:
+def _boot(source: str, order: str, seed: int, times: int = 400) -> str:
     return f"""
     nb AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS i, d FROM {source}), cnt AS (SELECT count(*) AS n FROM nb),
-    dr AS (SELECT (id // n) AS r, CAST('0x' || md5('{seed}|' || CAST(id AS VARCHAR))[1:15] AS BIGINT) % n AS i FROM cnt, LATERAL (SELECT unnest(range(400 * n)) AS id)),
+    dr AS (SELECT (id // n) AS r, CAST('0x' || md5('{seed}|' || CAST(id AS VARCHAR))[1:15] AS BIGINT) % n AS i FROM cnt, LATERAL (SELECT unnest(range({times} * n)) AS id)),
     ms AS (SELECT r, sum(d) / max(n) AS m FROM dr JOIN nb USING (i), cnt GROUP BY r),
     o AS (SELECT m, row_number() OVER (ORDER BY m) AS k FROM ms)
-    SELECT (SELECT count(*) FROM nb) AS items, CAST(400 AS INTEGER) AS iterations, round((SELECT avg(d) FROM nb), 6) AS difference, round(max(m) FILTER (k = 10), 6) AS low, round(max(m) FILTER (k = 390), 6) AS high FROM o"""
+    SELECT (SELECT count(*) FROM nb) AS items, CAST({times} AS INTEGER) AS iterations, round((SELECT avg(d) FROM nb), 6) AS difference, round(max(m) FILTER (k = {-(-times // 40)}), 6) AS low, round(max(m) FILTER (k = {-(-times * 39 // 40)}), 6) AS high FROM o"""
 
 
 _CAND = """
@@ -249,6 +262,8 @@ ORACLE_SQL = {
     "win_tie_loss": f"WITH {_PAIRS} SELECT count(*) FILTER (pro > flash) AS wins, count(*) FILTER (pro = flash) AS ties, count(*) FILTER (pro < flash) AS losses, count(*) FILTER (pro - flash >= 5) AS gains, count(*) FILTER (pro - flash <= -5) AS drops FROM pr",
     "paired_bootstrap": f"WITH {_PAIRS}, src AS (SELECT user_id, pro - flash AS d FROM pr), {_boot('src', 'user_id', 20260903)}",
     "study_bootstrap": f"WITH {_PAIRS}, src AS (SELECT study, avg(pro - flash) AS d FROM pr GROUP BY study), {_boot('src', 'study', 20260913)}",
+    "paired_bootstrap_full": f"WITH {_PAIRS}, src AS (SELECT user_id, pro - flash AS d FROM pr), {_boot('src', 'user_id', 20260903, 10_000)}",
+    "study_bootstrap_full": f"WITH {_PAIRS}, src AS (SELECT study, avg(pro - flash) AS d FROM pr GROUP BY study), {_boot('src', 'study', 20260913, 10_000)}",
     "agreement_pearson_spearman": f"""
         WITH {_LEDGER}, m AS (SELECT round(avg(score), 6) AS y, round(avg(adequacy), 6) AS x FROM s GROUP BY model, family),
         r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM m)
