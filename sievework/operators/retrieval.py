@@ -76,14 +76,20 @@ def first_per_core(hits: DataFrame, question_id: str, core: str, limit: int) ->
     return ranked(best, [question_id], [F.asc("facet_rank")], limit, "core_rank")
 
 
-def dense_scores(queries: DataFrame, facets: DataFrame, query_id: str, vector: str = "embedding") -> DataFrame:
+def dense_scores(queries: DataFrame, facets: DataFrame, query_id: str, vector: str = "embedding", block: int | None = None) -> DataFrame:
     """All facets with the dot product of each query's vector.
 
     The queries are a stated set against all facets: each facet's row meets an
-    array of all query vectors, a single row, so nothing is shuffled.
+    array of all query vectors, a single row, so nothing is shuffled. With
+    `block`, queries whose ids are in one run of that length are one row, and
+    Spark chooses how the rows meet: a query set that grows needs no single row.
     """
-    asked = queries.agg(F.array_sort(F.collect_list(F.struct(F.col(query_id).alias("id"), F.col(vector).alias("v")))).alias("__asked"))
-    met = facets.join(F.broadcast(asked)).withColumn("__q", F.explode("__asked"))
+    if block:
+        blocks = queries.groupBy(F.floor(F.col(query_id) / block).alias("__block"))
+    else:
+        blocks = queries.groupBy()
+    asked = blocks.agg(F.array_sort(F.collect_list(F.struct(F.col(query_id).alias("id"), F.col(vector).alias("v")))).alias("__asked")).drop("__block")
+    met = facets.crossJoin(asked if block else F.broadcast(asked)).withColumn("__q", F.explode("__asked"))
     return met.select(F.col("__q.id").alias(query_id), *[c for c in facets.columns if c != vector], F.round(dot(F.col("__q.v"), F.col(vector)), 9).alias("score"))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievework.plans import extensions, preparation, retrieval, statistics, texts
+from sievework.plans import extensions, preparation, retrieval, statistics, texts, whole
 
-GROUPS = (retrieval, statistics, texts, preparation, extensions)
+GROUPS = (retrieval, statistics, texts, preparation, extensions, whole)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for group in GROUPS for name, query in group.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for group in GROUPS for name, sql in group.ORACLE_SQL.items()}

@@ -60,12 +60,12 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("item_id", "excerpts", F.size("kept").alias("kept"), F.size("units").alias("units"), F.sha2(F.array_join("kept", "\n"), 256).alias("sha256"))
 
 
-def deep_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def deep_packets(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Topic packs from documents: the core is the id modulo 50, types in turn, the retrieval text that of the document itself."""
     families = F.array(*[F.lit(f) for f in E.FAMILY_WORDS])
     types = F.array(*[F.lit(t) for t in E.TYPE_BOOST["stability_failure"]])
     packs = load(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("core_id"), F.col("doc_id").alias("card_id"), F.element_at(types, (F.col("doc_id") % 6 + 1).cast("int")).alias("card_type"), F.col("text").alias("embedding_text"), F.col("text").alias("retrieval_text"))
-    asked = questions(spark, sf_dir).filter("item_id < 10").select("item_id", E.words(F.col("text")).alias("query_words"), F.element_at(families, (F.col("item_id") % 4 + 1).cast("int")).alias("family"))
+    asked = questions(spark, sf_dir).filter("true" if whole else "item_id < 10").select("item_id", E.words(F.col("text")).alias("query_words"), F.element_at(families, (F.col("item_id") % 4 + 1).cast("int")).alias("family"))
     ranked = asked.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(25)))).withColumn("core_id", F.pmod(F.col("item_id") + F.col("rank"), F.lit(50)))
     chosen = E.topic_packs(packs.join(ranked, "core_id"), "item_id", "core_id", "card_id")
     found = E.deep_papers(E.paper_units(chosen, "item_id", "core_id", "card_id"), "item_id", "core_id", "card_id")
@@ -171,9 +171,9 @@ def patch_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.revised(base, anchors, rows, "query_id", "text").select("query_id", "revised_answer", "actions", F.size("removed").alias("removed"))
 
 
-def record_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best documents of each of ten questions as evidence records; their value is their length."""
-    asked = questions(spark, sf_dir).filter("item_id < 10").select("item_id", E.words(F.col("text")).alias("q"))
+def record_ranking(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """The five best documents of each of ten questions (`whole`: of all) as evidence records; their value is their length."""
+    asked = questions(spark, sf_dir).filter("true" if whole else "item_id < 10").select("item_id", E.words(F.col("text")).alias("q"))
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "n_chars").join(F.broadcast(asked))
     scored = docs.withColumn("score", F.round(E.record_score(F.col("text"), F.col("q"), F.lit("stability_failure"), F.col("n_chars").cast("double")), 6)).filter("score is not null")
     return R.ranked(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], 5).select("item_id", "doc_id", "score", "rank")

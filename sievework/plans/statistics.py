@@ -192,10 +192,11 @@ def margin_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.margin_scores(rows, "base").select("candidate", F.round("probability", 6).alias("probability"), F.round("entropy", 6).alias("entropy"), F.round("delta", 6).alias("delta"))
 
 
-def mcq_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = load(spark, sf_dir, "benchmark").filter("item_id < 40").select((F.col("item_id") + 1).alias("position"), F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (F.col("item_id") % 4 + 1).cast("int")).alias("correct_option"))
+def mcq_accuracy(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    rows = load(spark, sf_dir, "benchmark").filter("true" if whole else "item_id < 40")
+    asked = rows.select((F.col("item_id") + 1).alias("position"), F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (F.col("item_id") % 4 + 1).cast("int")).alias("correct_option"))
     said = asked.select("position", F.when(F.col("position") % 5 == 0, F.lit("B")).otherwise(F.concat(F.lit(" "), F.lower("correct_option"))).alias("predicted_option"))
-    return S.mcq_accuracy(asked, said, "position", 40)
+    return S.mcq_accuracy(asked, said, "position", rows.count() if whole else 40)
 
 
 QUERIES = {

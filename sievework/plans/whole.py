@@ -1,0 +1,31 @@
+"""Queries of the other groups that ask for a few stated ids, here for all: every question, and every twentieth vector.
+
+Vector 20 n is query n, so that fusion pairs it with question n. Their SQL is
+that of the others with the wider condition.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+from sievework.plans import preparation, retrieval, statistics
+
+_BASE = {f.__name__: f for f in (retrieval.dense_dot_topk, retrieval.lane_zscore_topk, retrieval.core_aggregate, retrieval.lexical_first_core, retrieval.fts_first_core, retrieval.rrf_fusion, retrieval.hybrid_results, preparation.deep_packets, preparation.record_ranking, statistics.mcq_accuracy)}
+_WIDER = {
+    "SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20": "SELECT vec_id // 20 AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0",
+    "core_rank, round(score, 6) AS score": "core_rank, round(score, 9) AS score",
+    "vec_id, round(z, 6) AS z": "vec_id, round(z, 9) AS z",
+    "FROM benchmark WHERE item_id < 10": "FROM benchmark",
+    "FROM benchmark WHERE item_id < 20": "FROM benchmark",
+    "FROM benchmark WHERE item_id < 40": "FROM benchmark",
+}
+
+
+def _widened(sql: str) -> str:
+    for narrow, wide in _WIDER.items():
+        sql = sql.replace(narrow, wide)
+    return sql
+
+
+QUERIES = {f"{name}_whole": partial(query, whole=True) for name, query in _BASE.items()}
+ORACLE_SQL = {f"{name}_whole": _widened(group.ORACLE_SQL[name]) for name in _BASE for group in (retrieval, preparation, statistics) if name in group.ORACLE_SQL}
