@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import html
+import json
 import re
 import unicodedata
 
@@ -125,3 +126,69 @@ def unescaped(texts: pd.Series) -> pd.Series:
 def best_ratio(sentence: pd.Series, others: pd.Series) -> pd.Series:
     """The greatest matching-blocks ratio of a sentence with any of an array of others; 0 without any."""
     return pd.Series([max((difflib.SequenceMatcher(None, a or "", b or "", autojunk=True).ratio() for b in (bs if bs is not None else [])), default=0.0) for a, bs in zip(sentence, others, strict=True)])
+
+
+#: Fixed names: where a row's keywords come from, in order.
+KEYWORD_NAMES = ("keywords", "extra_keywords", "retrieval_terms", "terms", "synonyms", "query_plan", "raw_content")
+_WORDS = T.ArrayType(T.StringType())
+_OBLIGATION = T.StructType([T.StructField(n, _WORDS if n in ("draft_anchor_ids", "missing_or_weak_dimensions") else T.StringType()) for n in ("id", "requirement", "kind", "draft_anchor_ids", "coverage", "missing_or_weak_dimensions")])
+OBLIGATIONS = T.StructType([T.StructField("valid", T.ArrayType(_OBLIGATION)), T.StructField("reasons", _WORDS)])
+
+
+def flat_terms(value: object) -> list[str]:
+    """All non-blank strings of nested lists and objects, in order."""
+    if isinstance(value, str):
+        return [value.strip()] if value.strip() else []
+    inner = value if isinstance(value, list) else value.values() if isinstance(value, dict) else ()
+    return [term for x in inner for term in flat_terms(x)]
+
+
+def _object(text: str | None) -> dict:
+    """A JSON object; anything else is an empty one."""
+    try:
+        value = json.loads(text or "")
+    except ValueError:
+        return {}
+    return value if isinstance(value, dict) else {}
+
+
+@F.pandas_udf(T.StringType())
+def keyword_string(rows: pd.Series) -> pd.Series:
+    """The terms of a JSON row's keyword fields, without regard to case each once, joined by spaces: at most 4,000 characters."""
+
+    def joined(text: str | None) -> str:
+        unique: dict[str, str] = {}
+        for term in flat_terms([_object(text).get(name) for name in KEYWORD_NAMES]):
+            unique.setdefault(term.casefold(), term)
+        return " ".join(unique.values())[:4000]
+
+    return rows.map(joined)
+
+
+def checked_obligations(payload: dict, known: set[str]) -> tuple[list[dict], list[str]]:
+    """The valid obligations and why others are not: no object, or an id that is blank or repeated or a blank requirement."""
+    raw = payload.get("obligations")
+    if not isinstance(raw, list):
+        return [], ["obligations_not_list"]
+    text = lambda x: str(x or "").strip()
+    valid: dict[str, dict] = {}
+    reasons = []
+    for i, item in enumerate(raw, 1):
+        if not isinstance(item, dict):
+            reasons.append(f"obligation_{i}_not_object")
+            continue
+        name, requirement = text(item.get("id")), text(item.get("requirement"))
+        if not name or name in valid or not requirement:
+            reasons.append(f"obligation_{i}_invalid_identity")
+            continue
+        ids = [str(x).strip() for x in item.get("draft_anchor_ids") or []]
+        weak = [str(x).strip() for x in item.get("missing_or_weak_dimensions") or []]
+        valid[name] = {"id": name, "requirement": requirement, "kind": text(item.get("kind")), "draft_anchor_ids": [x for x in ids if x in known], "coverage": text(item.get("coverage")), "missing_or_weak_dimensions": [x for x in weak if x]}
+    return list(valid.values()), reasons if valid else [*reasons, "no_valid_obligations"]
+
+
+@F.pandas_udf(OBLIGATIONS)
+def obligations(payloads: pd.Series, anchor_ids: pd.Series) -> pd.DataFrame:
+    """checked_obligations() of a JSON payload and the array of its answer's anchors."""
+    found = [checked_obligations(_object(p), set(() if a is None else a)) for p, a in zip(payloads, anchor_ids, strict=True)]
+    return pd.DataFrame(found, columns=["valid", "reasons"])

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievework.functions.sentences import sentence_key
 from sievework.functions.tokens import all_of, compare_text, word_count
 
 # The enumerations of candidates and reviews.
@@ -182,6 +183,37 @@ def applied(base: DataFrame, anchors: DataFrame, patches: DataFrame, query: str,
     return met.select(query, F.trim(built).alias("revised_answer"), F.coalesce(F.size("spans"), F.lit(0)).alias("actions"))
 
 
+def rematerialised(base: DataFrame, anchors: DataFrame, patches: DataFrame, query: str, answer: str, effect: str = "effect_class") -> DataFrame:
+    """Each answer with its accepted patches, and (candidate_id, target_anchor_id, action) of each in the order of the answer.
+
+    A replacement that neither corrects a causal error nor contains its anchor's
+    sentence keeps the anchor and goes after it. A blank text, another operation
+    or an unknown anchor raises an error. Several patches of one anchor are joined as by applied().
+    """
+    known = anchors.select(query, F.col("anchor_id").alias("target_anchor_id"), "start", "anchor_text")
+    key = sentence_key(F.col("anchor_text"))
+    contained = (key != "") & F.contains(sentence_key(F.col("revised_text")), key)
+    fault = (
+        F.when(F.col("anchor_text").isNull(), F.concat(F.lit("unknown anchor: "), F.coalesce("target_anchor_id", F.lit(""))))
+        .when(F.trim(F.coalesce("revised_text", F.lit(""))) == "", F.lit("an accepted patch needs a text"))
+        .when(~F.coalesce(F.col("operation").isin(*OPERATIONS), F.lit(False)), F.concat(F.lit("unknown operation: "), F.coalesce("operation", F.lit(""))))
+    )
+    action = (
+        F.when(fault.isNotNull(), F.raise_error(fault).cast("string"))
+        .when(F.col("operation") == "APPEND_AFTER_ANCHOR", "append_then_deduplicate")
+        .when(F.coalesce(F.col(effect), F.lit("")) == "CORRECTS_CAUSAL_ERROR", "destructive_replace_allowed_causal_correction")
+        .when(contained, "replace_already_preserves_anchor")
+        .otherwise("noncorrective_replace_preserved_anchor")
+    )
+    judged = patches.join(known, [query, "target_anchor_id"], "left").withColumn("action", action)
+    keeps = F.col("action").isin("append_then_deduplicate", "noncorrective_replace_preserved_anchor")
+    placed = judged.withColumn("operation", F.when(keeps, "APPEND_AFTER_ANCHOR").otherwise("REPLACE_ANCHOR"))
+    entry = F.struct("start", F.col("candidate_id").cast("string").alias("candidate_id"), "target_anchor_id", "action")
+    actions = judged.groupBy(query).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x.dropFields("start")).alias("actions"))
+    text = applied(base, anchors, placed.drop("start", "anchor_text", "action"), query, answer).drop("actions")
+    return text.join(actions, query, "left")
+
+
 def reason_counts(rows: DataFrame, reasons_: str) -> DataFrame:
     return rows.select(F.explode(reasons_).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason")
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions import cleaning as C
 from sievework.functions import sentences as D
 from sievework.functions import tokens as T
-from sievework.functions.python import best_ratio
+from sievework.functions.python import best_ratio, keyword_string, obligations
 from sievework.functions.sentences import Anchors, sentences
 from sievework.operators import evidence as E
 from sievework.operators import patches as P
@@ -292,12 +293,44 @@ def sha_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.octet_length(t).alias("bytes"), F.sha2(t, 256).alias("sha256"))
 
 
+def direct_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records: kind, group and marker in turn by the id."""
+    i = F.col("doc_id")
+    kind, group, name = _pick(("atomic_unit", "Atomic", "parent"), i), _pick((*C.DIRECT_GROUPS, "lineage"), F.floor(i / 3)), F.concat(_pick((*C.DIRECT_MARKERS, "story"), F.floor(i / 5)), F.lit("_"), i.cast("string"))
+    return load(spark, sf_dir, "documents").select("doc_id", C.is_direct_record(kind, group, name, F.col("text")).alias("direct"))
+
+
+def row_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords of questions: nested terms that repeat in another case."""
+    words = F.split("text", " ")
+    row = F.to_json(F.struct(words.alias("keywords"), F.struct(F.upper("text").alias("all"), F.array(F.transform(words, F.upper)).alias("each")).alias("query_plan")))
+    return questions(spark, sf_dir).select("item_id", keyword_string(row).alias("keywords"))
+
+
+def obligation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Obligations of questions: ids repeat for every third, requirements are blank for every fifth."""
+    i = F.col("item_id")
+    one = lambda n: F.struct(F.when(i % 3 == 0, "O1").otherwise(F.lit(f"O{n}")).alias("id"), F.when(i % 5 == 0, " ").otherwise(F.col("text")).alias("requirement"), F.array(F.lit("S001"), F.lit("S009")).alias("draft_anchor_ids"))
+    found = obligations(F.to_json(F.struct(F.array(one(1), one(2)).alias("obligations"))), F.array(F.lit("S001")))
+    return questions(spark, sf_dir).select("item_id", found.alias("x")).select("item_id", F.size("x.valid").alias("valid"), "x.reasons")
+
+
+def rematerialise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replacements at the first two anchors of each assistant turn; the second corrects an error."""
+    talk = load(spark, sf_dir, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "text")
+    anchors = talk.lateralJoin(Anchors(F.col("text").outer())).drop("text")
+    first = F.col("anchor_id") == "S001"
+    chosen = anchors.filter("anchor_id in ('S001', 'S002')").select("query_id", F.col("anchor_id").alias("target_anchor_id"), F.col("anchor_id").alias("candidate_id"), F.lit("REPLACE_ANCHOR").alias("operation"), F.lit("A control is needed.").alias("revised_text"), F.when(first, "LIMITS_OR_BOUNDS").otherwise("CORRECTS_CAUSAL_ERROR").alias("effect_class"))
+    found = P.rematerialised(talk, anchors, chosen, "query_id", "text")
+    return found.select("query_id", F.transform("actions", lambda x: x["action"]).alias("actions"), F.sha2("revised_answer", 256).alias("sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         evidence_compile, packet_qc, packet_report, packet_budget, source_tier, excerpts, deep_packets, abstract_compile, gate_reasons, gate_similarity, reason_counts, patch_budget, critic_selection, patch_apply,
         patch_revision, record_ranking, constraint_phrases, prediction_rows, prompts, candidate_validation, enum_normalise, key_alignment_check, repeated_keys, first_per_family, canonical_questions, json_objects, contiguous_packing, nextfit_packing, weighted_examples, sft_filter,
-        lr_schedule, checkpoint_retention, moving_loss, resume_antijoin, sha_manifest,
+        direct_records, row_keywords, obligation_validation, rematerialise, lr_schedule, checkpoint_retention, moving_loss, resume_antijoin, sha_manifest,
     )
 }
 
