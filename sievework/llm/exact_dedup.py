@@ -35,14 +35,20 @@ def _arrivals(docs: DataFrame, key: str, text: str, digest: Callable[[Column], C
     )
 
 
+def bounded(spark: SparkSession, path: str, batches: int = 4, most: int = 1 << 30) -> dict[str, str]:
+    """Options for micro-batches of a part of the table's files, at most `most` bytes (or one file) each."""
+    size = int(str(spark.read.parquet(path)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return {"maxBytesPerTrigger": str(max(1, min(most, -(-size // batches))))}
+
+
 def streamed_state(spark: SparkSession, path: str, key: str, text: str, digest: Callable[[Column], Column], options: dict[str, str]) -> DataFrame:
     """(digest, first, n) of all texts under `path`, gathered by a stream.
 
     The stream's state has for each digest, without expiry, the place of the
     least key seen (its identifier and content locator) and how often the digest
     came. It lives in RocksDB on the executors' disks; its changes go to the
-    checkpoint with each micro-batch, so a lost executor or driver resumes from
-    the last. Rows of a digest are combined before the shuffle, so copies cost
+    checkpoint with each micro-batch, so a lost executor resumes from the last.
+    The folder is fresh, so a restarted driver begins anew. Rows of a digest are combined before the shuffle, so copies cost
     one state update per task. Each micro-batch writes the entries it changed
     under its own number, which a repeated batch overwrites.
     """

@@ -32,7 +32,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = exact_dedup.exact_duplicates(spark, f"{sf_dir}/documents.parquet", maxBytesPerTrigger=str(64 << 30))
+    path = f"{sf_dir}/documents.parquet"
+    found = exact_dedup.exact_duplicates(spark, path, **exact_dedup.bounded(spark, path))
     return found.withColumnRenamed("text_digest", "text_sha256")
 
 
