@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,31 +22,37 @@ PAD = 0
 LEVELS = 5
 
 
-def repeats(data: np.ndarray) -> np.ndarray:
-    """For each byte, how much of the last 24 repeats what stood 3 to 20 bytes before: 0 to LEVELS - 1."""
+def repeats(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each byte, how much of the last 24 repeats what stood 3 to 20 bytes before: 0 to LEVELS - 1.
+
+    `begin` is where the text of each byte begins: nothing before it counts, so
+    a byte's level depends on its own text alone.
+    """
     n = len(data)
     if n < 8:
         return np.zeros(n, np.int64)
     four = data[3:].astype(np.uint32) | data[2:-1].astype(np.uint32) << 8 | data[1:-2].astype(np.uint32) << 16 | data[:-3].astype(np.uint32) << 24
     same = np.zeros(len(four), bool)
     for lag in range(3, min(21, len(four))):
-        same[lag:] |= four[lag:] == four[:-lag]
+        same[lag:] |= (four[lag:] == four[:-lag]) & (begin[lag + 3 :] == begin[: -lag - 3])
     sums = np.concatenate((np.zeros(4, np.int32), np.cumsum(same, dtype=np.int32)))
-    recent = sums[1:] - np.concatenate((np.zeros(min(24, n), np.int32), sums[1 : n - 23] if n > 24 else np.empty(0, np.int32)))[:n]
+    recent = sums[1:] - sums[np.maximum(np.arange(n) - 23, begin)]
     return np.minimum(recent * LEVELS // 25, LEVELS - 1).astype(np.int64)
 
 
-def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts in one array, each with WIDTH pad bytes after it; where chunks begin and end, and whose they are."""
-    bounds, of, at, parts = [], [], 0, []
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one array, each with WIDTH pad bytes after it; where each byte's text begins; where chunks begin and end; whose they are."""
+    bounds, of, at, parts, starts = [], [], 0, [], []
     for i, t in enumerate(texts):
         n = max(1, len(t))
         first = np.arange(0, max(1, n - (CHUNK - STRIDE)), STRIDE)
         bounds.append(np.stack([at + first, at + np.minimum(first + CHUNK, n)], 1))
         of.append(np.full(len(first), i))
         parts += [t if t else bytes([PAD]), bytes([PAD]) * WIDTH]
+        starts.append(at)
         at += n + WIDTH
-    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate(bounds), np.concatenate(of)
+    begin = np.repeat(starts, np.diff([*starts, at]))
+    return np.frombuffer(b"".join(parts), np.uint8), begin, np.concatenate(bounds), np.concatenate(of)
 
 
 @dataclass
@@ -59,38 +65,40 @@ class Network:
     out: np.ndarray  # (FILTERS,)
     bias: float
 
-    def responses(self, data: np.ndarray) -> np.ndarray:
+    def responses(self, data: np.ndarray, level: np.ndarray) -> np.ndarray:
         """(place, filter): each filter at each byte."""
         n = len(data) - WIDTH + 1
-        found = self.levels[repeats(data)[WIDTH - 1 :]] + self.offset
+        found = self.levels[level[WIDTH - 1 :]] + self.offset
         for j in range(WIDTH):
             found += self.bytes_[j][data[j : j + n]]
         return found
 
-    def chunks(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(chunk, filter): the greatest response in each chunk, and the logits that the chunks are junk."""
-        found = self.responses(data)
-        pooled = np.maximum.reduceat(found, bounds.ravel(), axis=0)[::2]
-        return pooled, np.maximum(pooled, 0) @ self.out + self.bias
+    def logits(self, pooled: np.ndarray) -> np.ndarray:
+        """The logit that each chunk is junk; a sum in a fixed order, so it's the same in any batch."""
+        out = np.full(len(pooled), self.bias)
+        for f in range(FILTERS):
+            out += np.maximum(pooled[:, f], 0).astype(np.float64) * float(self.out[f])
+        return out
 
     def good(self, texts: list[bytes]) -> np.ndarray:
-        """The probability that each whole text is of quality."""
+        """The probability that each whole text is of quality; of each text alone, whatever the others are."""
         out = np.empty(len(texts))
         for i, j in blocks(texts, 1 << 18):
-            data, bounds, of = joined(texts[i:j])
+            data, begin, bounds, of = joined(texts[i:j])
+            pooled = np.maximum.reduceat(self.responses(data, repeats(data, begin)), bounds.ravel(), axis=0)[::2]
             logit = np.full(j - i, -np.inf)
-            np.maximum.at(logit, of, self.chunks(data, bounds)[1])
+            np.maximum.at(logit, of, self.logits(pooled))
             out[i:j] = 1 / (1 + np.exp(np.clip(logit, -40, 40)))
         return out
 
 
-def fit(texts: list[bytes], labels: np.ndarray, steps: int = 500, chunks: int = 12, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Network:
+def fit(texts: list[bytes], labels: np.ndarray, steps: int = 500, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Network:
     """A network trained by Adam, so that a junk text's worst chunk is junk and a good text's is not.
 
-    About `steps` batches are read, each text as often, and each time up to
-    `chunks` random chunks of it. The gradient reaches the filters at their
-    strongest places in the worst chunk. Junk and good texts weigh the same in
-    all. Without texts of both kinds the network's answer is their share.
+    About `steps` batches are read, each text as often, and each time all its
+    chunks. The gradient reaches the filters at their strongest places in the
+    worst chunk. Junk and good texts weigh the same in all. Without texts of both
+    kinds the network's answer is their share.
     """
     rng = np.random.default_rng(seed)
     share = float(labels.mean()) if len(labels) else 0.5
@@ -107,37 +115,30 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 500, chunks: int =
         order = rng.permutation(len(texts))
         for b in range(0, len(order), batch):
             ids = order[b : b + batch]
-            picked, of = [], []
-            for place, i in enumerate(ids):
-                t = texts[i]
-                many = max(1, -(-(len(t) - (CHUNK - STRIDE)) // STRIDE))
-                for c in rng.choice(many, min(chunks, many), replace=False):
-                    picked.append(t[c * STRIDE : c * STRIDE + CHUNK])
-                    of.append(place)
             net.bias = float(params["bias"][0])
-            parts = [(p or bytes([PAD])) + bytes([PAD]) * WIDTH for p in picked]
-            data = np.frombuffer(b"".join(parts), np.uint8)
-            ends = np.cumsum([len(p) for p in parts])
-            starts = np.concatenate(([0], ends[:-1]))
-            found = net.responses(data)
-            level = repeats(data)
-            pooled = np.maximum.reduceat(found, np.minimum(starts, len(found) - 1), axis=0)
-            logit = np.maximum(pooled, 0) @ net.out + net.bias
-            of = np.array(of)
-            worst = np.array([np.flatnonzero(of == i)[np.argmax(logit[of == i])] for i in range(len(ids))])
-            p = 1 / (1 + np.exp(-logit[worst]))
-            slope = ((p - (1 - labels[ids])) * weight[ids] / len(ids)).astype(np.float32)
             grads = {k: np.zeros_like(v) for k, v in params.items()}
-            grads["bias"][0] = slope.sum()
-            grads["out"] = np.maximum(pooled[worst], 0).T @ slope + 1e-4 * net.out
-            back = slope[:, None] * net.out * (pooled[worst] > 0)
-            for row, w in enumerate(worst):
-                lo, hi = starts[w], min(ends[w], len(found))
-                top = lo + np.argmax(found[lo:hi], axis=0)
-                for j in range(WIDTH):
-                    np.add.at(grads["bytes_"][j], (data[top + j], np.arange(FILTERS)), back[row])
-                np.add.at(grads["levels"], (level[top + WIDTH - 1], np.arange(FILTERS)), back[row])
-                grads["offset"] += back[row]
+            picked = [texts[i] for i in ids]
+            for i, j in blocks(picked, 1 << 18):
+                data, begin, bounds, of = joined(picked[i:j])
+                level = repeats(data, begin)
+                found = net.responses(data, level)
+                pooled = np.maximum.reduceat(found, bounds.ravel(), axis=0)[::2]
+                logit = net.logits(pooled)
+                worst = np.lexsort((-np.arange(len(of)), logit, of))[np.searchsorted(of, np.arange(j - i), side="right") - 1]
+                mine = ids[i:j]
+                p = 1 / (1 + np.exp(-logit[worst]))
+                slope = ((p - (1 - labels[mine])) * weight[mine] / len(ids)).astype(np.float32)
+                grads["bias"][0] += slope.sum()
+                grads["out"] += np.maximum(pooled[worst], 0).T @ slope
+                back = slope[:, None] * net.out * (pooled[worst] > 0)
+                for row, w in enumerate(worst):
+                    lo, hi = bounds[w]
+                    top = lo + np.argmax(found[lo:hi], axis=0)
+                    for k in range(WIDTH):
+                        np.add.at(grads["bytes_"][k], (data[top + k], np.arange(FILTERS)), back[row])
+                    np.add.at(grads["levels"], (level[top + WIDTH - 1], np.arange(FILTERS)), back[row])
+                    grads["offset"] += back[row]
+            grads["out"] += 1e-4 * net.out
             grads["bytes_"] += 1e-5 * params["bytes_"]
             step += 1
             fall = rate * (1 - turn / rounds)
@@ -155,17 +156,22 @@ def fold(key: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def trained(docs: DataFrame, labels: DataFrame, rows: int = 3000, key: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
-    """A network fitted to at most `rows` labelled texts outside the held-out fold.
+def trained(docs: DataFrame, labels: DataFrame, rows: int = 3000, most: int = 1 << 26, key: str = "doc_id", text: str = "text", label: str = "quality") -> Network:
+    """A network fitted to at most `rows` labelled texts, of `most` bytes in all, outside the held-out fold.
 
-    The sample is bounded by that parameter: for each label, the rows least by
-    a hash of their key, up to half of `rows` each. Labels other than 0 and 1 are
-    not learned from; of several for one key, the least counts.
+    The sample is bounded by these parameters: for each label, the keys least by
+    a hash, up to half of `rows` each; of their texts in that order, those that
+    end within `most` bytes. The texts are read whole. Labels other than 0 and 1
+    are not learned from; of several for one key, the least counts.
     """
     usable = labels.filter(F.col(label).isin(0, 1)).filter(fold(key) != 0).groupBy(key).agg(F.min(label).alias("__label"))
     order = F.xxhash64(F.col(key))
     some = usable.filter("__label = 0").orderBy(order).limit(rows // 2).unionByName(usable.filter("__label = 1").orderBy(order).limit(rows // 2))
-    pairs = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias(text)).join(F.broadcast(some), key).orderBy(order, text).select(text, "__label").toArrow()
+    whole = F.coalesce(F.col(text), F.lit("")).alias(text)
+    pairs = docs.select(key, whole).join(F.broadcast(some), key).withColumn("__order", order)
+    so_far = Window.orderBy("__order", key, text).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = pairs.withColumn("__bytes", F.sum(F.octet_length(text) + 1).over(so_far)).filter(F.col("__bytes") <= most)
+    pairs = within.orderBy("__bytes").select(text, "__label").toArrow()
     texts = [t or b"" for t in text_bytes(pairs.column(0).combine_chunks())] if pairs.num_rows else []
     return fit(texts, pairs.column(1).to_numpy().astype(np.int64) if pairs.num_rows else np.empty(0, np.int64))
 
@@ -174,13 +180,14 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int
     """`docs` with held_out, score (that the text is of quality) and predicted (score >= threshold).
 
     The whole text counts: overlapping chunks cover it, and its worst chunk
-    gives the score. Only the text enters it. A null or empty text is one pad
+    gives the score. Only the text enters it: equal texts have equal scores in any
+    batch. A null or empty text is one pad
     byte. Without usable labels every score is the share of good ones, 0.5 if
     there are none. Columns of the added names are replaced.
     """
     own = ["held_out", "score", "predicted"]
     docs = docs.drop(*own)
-    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, rows, key, text))
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, rows, key=key, text=text))
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
