@@ -16,8 +16,8 @@ from sievework.llm.work import column
 
 #: A k-mer is this many code points; it is chosen by its substrings of INNER code points.
 K, INNER = 16, 6
-#: Anchors that a fingerprint keeps: those of the least hashes, with their places.
-KEPT = 64
+#: Anchors that a fingerprint keeps, those of the least hashes, with their places: one of DENSITY, but at least KEPT.
+KEPT, DENSITY = 64, 64
 #: Anchors of a matching pair may be shifted against the others by this share of the text.
 SHIFT = 0.1
 
@@ -60,19 +60,13 @@ def _whole(points: np.ndarray) -> np.ndarray:
 
 
 class Fingerprint:
-    """The KEPT anchors of least hashes, distinct, each at its first place."""
+    """The anchors of least hashes, distinct, each at its first place; more of a longer text, one of DENSITY."""
 
     def __init__(self, points: np.ndarray):
         hashes, places = anchors(points)
-        if len(hashes) > 4 * KEPT:  # only the least matter
-            some = np.partition(hashes, 4 * KEPT)[4 * KEPT]
-            low = hashes <= some
-            distinct = np.unique(hashes[low])
-            if len(distinct) >= KEPT:
-                hashes, places = hashes[low], places[low]
         self.hashes, first = np.unique(hashes, return_index=True)
-        self.hashes, first = self.hashes[:KEPT], first[:KEPT]
-        self.places = places[first]
+        kept = max(KEPT, -(-len(self.hashes) // DENSITY))
+        self.hashes, self.places = self.hashes[:kept], places[first[:kept]]
         self.length = len(points)
 
     def text(self) -> str:
@@ -83,15 +77,17 @@ class Fingerprint:
         return out.tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
-        """The share of the union's KEPT least anchors that both have, at matching places.
+        """The share of the union's least anchors that both have, at matching places.
 
-        Anchors match if their places are apart by about what the others' are:
-        by the median shift, give or take SHIFT of the longer text. Two texts
-        without anchors are alike, and one is not like another with some.
+        As many of the union count as the smaller fingerprint has, KEPT at least:
+        of these both fingerprints tell whether their text has them. Anchors
+        match if their places are apart by about what the others' are: by the
+        median shift, give or take SHIFT of the longer text. Two texts without
+        anchors are alike, and one is not like another with some.
         """
         if not len(self.hashes) or not len(other.hashes):
             return float(len(self.hashes) == len(other.hashes))
-        union = np.union1d(self.hashes, other.hashes)[:KEPT]
+        union = np.union1d(self.hashes, other.hashes)[: max(KEPT, min(len(self.hashes), len(other.hashes)))]
         shared, mine, theirs = np.intersect1d(self.hashes, other.hashes, assume_unique=True, return_indices=True)
         shared = shared <= union[-1]
         if not shared.any():
@@ -101,14 +97,19 @@ class Fingerprint:
         return float(fits.sum() / len(union))
 
 
-def splitters(docs: DataFrame, key: str, per: int) -> list:
-    """Keys that cut the table into ranges of about `per` rows; at most 16,384 of them."""
+def splitters(docs: DataFrame, key: str, per: int) -> list[int]:
+    """Keys that cut the table into ranges of about `per` rows; at most 16,384 of them, or four for each shuffle partition.
+
+    Ranges only deal rows to tasks, which sort them on disk where they are large.
+    """
     rows = docs.count()
-    many = int(min(16_384, rows // per))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = int(min(max(16_384, 4 * parts), rows // per))
     if many < 1:
         return []
+    # The quantiles are doubles; a rounded splitter is still a splitter, as long as all rows see the same one.
     cuts = docs.select(F.col(key).alias("k")).filter("k is not null").approxQuantile("k", [i / (many + 1) for i in range(1, many + 1)], 1 / (4 * (many + 1)))
-    return sorted({int(x) for x in cuts})
+    return sorted({max(-(2**63), min(2**63 - 1, int(x))) for x in cuts})
 
 
 def with_next(docs: DataFrame, key: str, text: str, per: int = 1000) -> tuple[DataFrame, list]:
@@ -116,35 +117,37 @@ def with_next(docs: DataFrame, key: str, text: str, per: int = 1000) -> tuple[Da
 
     Columns: the key, text, range (__fp_range) and last (__fp_last: the row is
     there only as the one after the range's last). Only splitters and the first
-    key of each range come to the driver, at most 16,384 each.
+    key of each range come to the driver, as many as splitters() says. Null keys
+    are in a range of their own, the first. Nulls never reach the Python
+    functions, where they would turn 64-bit keys into doubles.
     """
     cuts = np.array(splitters(docs, key, per), dtype=np.int64)
+    number, there = F.coalesce(F.col(key).cast("long"), F.lit(0)), F.col(key).isNotNull()
 
     @F.pandas_udf("int")
     def placed(keys):
         import pandas as pd
 
-        return pd.Series(np.searchsorted(cuts, keys.fillna(-(2**63)).to_numpy(dtype=np.int64), side="right").astype(np.int32))
+        return pd.Series((np.searchsorted(cuts, keys.to_numpy(dtype=np.int64), side="right") + 1).astype(np.int32))
 
-    keyed = docs.select(key, text).withColumn("__fp_range", placed(F.col(key).cast("long")) if len(cuts) else F.lit(0))
-    firsts = keyed.groupBy("__fp_range").agg(F.min(F.struct(F.col(key).isNotNull().alias("some"), F.col(key).alias("k"))).alias("first")).orderBy("__fp_range").collect()
-    order = [(r["__fp_range"], r["first"]["k"]) for r in firsts]
+    keyed = docs.select(key, text).withColumn("__fp_range", F.when(there, placed(number) if len(cuts) else F.lit(1)).otherwise(0))
+    firsts = keyed.groupBy("__fp_range").agg(F.min(key).alias("k")).orderBy("__fp_range").collect()
+    order = [(r["__fp_range"], r["k"]) for r in firsts]
     before = {k: order[i - 1][0] for i, (_, k) in enumerate(order)}
     known = np.array(sorted(k for k in before if k is not None), dtype=np.int64)
     ranges = np.array([before[k] for k in known.tolist()], dtype=np.int32)
-    empty = before.get(None, -1)
 
     @F.pandas_udf("int")
     def follows(keys):
         import pandas as pd
 
-        there = keys.notna().to_numpy()
-        at = np.minimum(np.searchsorted(known, keys.fillna(0).to_numpy(dtype=np.int64)), max(0, len(known) - 1))
-        hit = there & (known[at] == keys.fillna(0).to_numpy(dtype=np.int64)) if len(known) else np.zeros(len(keys), bool)
-        return pd.Series(np.where(hit, ranges[at] if len(known) else -1, np.where(there, -1, empty)).astype(np.int32))
+        keys = keys.to_numpy(dtype=np.int64)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return pd.Series(np.where(known[at] == keys, ranges[at], -1).astype(np.int32))
 
+    follow = F.when(there, follows(number) if len(known) else F.lit(-1)).otherwise(before.get(None, -1))
     dealt = F.array(F.struct(F.col("__fp_range").alias("r"), F.lit(False).alias("last")), F.struct(F.col("__fp_before").alias("r"), F.lit(True).alias("last")))
-    return keyed.withColumn("__fp_before", follows(F.col(key).cast("long"))).withColumn("__fp", F.explode(F.filter(dealt, lambda x: x["r"] >= 0))).select(key, text, F.col("__fp.r").alias("__fp_range"), F.col("__fp.last").alias("__fp_last")), order
+    return keyed.withColumn("__fp_before", follow).withColumn("__fp", F.explode(F.filter(dealt, lambda x: x["r"] >= 0))).select(key, text, F.col("__fp.r").alias("__fp_range"), F.col("__fp.last").alias("__fp_last")), order
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,15 +155,20 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     The edited text has, in place of the last floor(n / 4) of n code points, the
     first as many (or all) of the next text by ascending key; after the last
-    comes the first. Rows are dealt by ranges of an integer key and read in
-    order, so each task holds two texts at a time. Rows with the same key are
-    ordered by their text; null keys come first; a null text is empty; a single
-    row follows itself.
+    comes the first. Rows are dealt by ranges of the key, which must be of an
+    integer type (TypeError otherwise), and read in order, so each task holds two
+    texts at a time. Rows with the same key are ordered by their text; null keys
+    come first; a null text is empty; a single row follows itself.
+
+    A fingerprint keeps at least KEPT anchors and one of DENSITY beyond, so it
+    grows with its text; a likeness errs by about 1 / (2 * sqrt(KEPT)).
 
     Columns: the key, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.
     """
-    dealt, order = with_next(docs, key, text)
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be of an integer type, not {docs.schema[key].dataType.simpleString()}")
+    dealt, _ = with_next(docs, key, text)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     met = dealt.repartition(parts, "__fp_range").sortWithinPartitions(F.col("__fp_range"), F.col("__fp_last"), F.col(key).asc_nulls_first(), F.col(text).asc_nulls_first())
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("n_chars", T.LongType()), *[T.StructField(n, T.StringType()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")], T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
