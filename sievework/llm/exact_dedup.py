@@ -48,9 +48,10 @@ def streamed_state(spark: SparkSession, path: str, key: str, text: str, digest:
     least key seen (its identifier and content locator) and how often the digest
     came. It lives in RocksDB on the executors' disks; its changes go to the
     checkpoint with each micro-batch, so a lost executor resumes from the last.
-    The folder is fresh, so a restarted driver begins anew. Rows of a digest are combined before the shuffle, so copies cost
-    one state update per task. Each micro-batch writes the entries it changed
-    under its own number, which a repeated batch overwrites.
+    The folder is fresh, so a restarted driver begins anew. Rows of a digest are
+    combined before the shuffle, so copies cost one state update per task. Each
+    micro-batch writes the entries it changed under its own number, which a
+    repeated batch overwrites.
     """
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -120,9 +121,26 @@ def exact_duplicates(spark: SparkSession, path: str, key: str = "doc_id", text:
     return found.select(*columns, F.col("__dup_first.key").alias("keep_id"), F.col("__dup_n").alias("group_size"), (F.col("__dup_place") == F.col("__dup_first")).alias("kept"), F.col("__dup_digest").alias("text_digest"))
 
 
+def stored_at(docs: DataFrame) -> str | None:
+    """The folder of Parquet files that `docs` reads as it is, without partition columns; None if it is anything else."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return None
+    relation = plan.relation()
+    roots = relation.location().rootPaths()
+    if relation.fileFormat().getClass().getSimpleName() != "ParquetFileFormat" or relation.partitionSchema().nonEmpty() or roots.size() != 1:
+        return None
+    return roots.head().toString()
+
+
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of any DataFrame that exact_duplicates() keeps, with its columns."""
-    spark, path = docs.sparkSession, folder(docs.sparkSession, "dedup-docs")
-    docs.write.option("compression", "zstd").parquet(path)
-    found = _grouped(spark, path, key, text, sha256, docs.columns, {})
+    """The rows of any DataFrame that exact_duplicates() keeps, with its columns.
+
+    A stream reads files, so anything but a stored table is written first.
+    """
+    spark, path = docs.sparkSession, stored_at(docs)
+    if path is None:
+        path = folder(spark, "dedup-docs")
+        docs.write.option("compression", "zstd").parquet(path)
+    found = _grouped(spark, path, key, text, sha256, docs.columns, bounded(spark, path))
     return found.filter(F.col("__dup_place") == F.col("__dup_first")).select(*docs.columns)

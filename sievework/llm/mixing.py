@@ -73,7 +73,8 @@ def poisson_mix(
     A source with weight w and n of all N documents gets the rate
     w / sum(w) * N * size / n. Each document draws its number of copies from
     the Poisson distribution of that mean, by inverting it at a number hashed
-    from seed and key, and the copies are sorted by a hash over the cluster.
+    from seed and key, and the copies are sorted by a hash over the cluster (a
+    partition for each of spark.sql.shuffle.partitions, in order).
     Without `weights` a source weighs n ** temperature; with them, a source not
     named has weight 0.
 
@@ -98,6 +99,9 @@ def poisson_mix(
     )
     count = inverted(F.col("__mix_cdf"), unit(F.lit(seed), ident, F.lit("0"))) + steps
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), ident, F.col("mix_copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # The sort key is uniform over 60 bits, so its range needs no sample: a sampled sort would draw everything twice.
+    place = F.least(F.lit(parts - 1), F.floor(F.col("mix_order") / F.lit(2.0**60) * parts)).cast("int")
     return (
         named.join(table(rates(docs, weights, temperature, size, source), "mix-rates"), "__mix_source")
         .withColumn("mix_copies", count)
@@ -106,5 +110,6 @@ def poisson_mix(
         .withColumn("mix_order", order)
         .withColumnRenamed("__mix_rate", "mix_rate")
         .select(*docs.columns, *own)
-        .orderBy("mix_order", key, "mix_copy")
+        .repartitionById(parts, place)
+        .sortWithinPartitions("mix_order", key, "mix_copy")
     )

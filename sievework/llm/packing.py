@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from sievework.llm.work import column, text_bytes
 
-#: Words, and parts of words, kept in a worker's memory before it starts afresh.
-REMEMBERED = 500_000
+#: Words, and parts of words, kept in a worker's memory before it starts afresh, and the longest ones kept, in bytes.
+REMEMBERED, LONGEST = 500_000, 64
 #: A word that is Latin letters and then, perhaps, ASCII punctuation without an apostrophe.
 SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -46,14 +46,17 @@ class _Words(dict):
                 out += self._part(marks)
         else:
             out = np.array(self.encoder.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = out
+        if len(word) <= LONGEST:
+            self[word] = out
         return out
 
     def _part(self, part: bytes) -> bytes:
         out = self.parts.get(part)
         if out is None:
             ids = [x.id for x in self.model.tokenize(part.decode("latin-1").translate(self.letters))]
-            out = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+            out = struct.pack(f"<{len(ids)}I", *ids)
+            if len(part) <= LONGEST:
+                self.parts[part] = out
         return out
 
     def trim(self) -> None:
@@ -98,15 +101,16 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def assign(lengths: list[int], capacity: int, linear: float, quadratic: float, tries: int = 8) -> list[tuple[int, int, int, int, int]]:
+def assign(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one window.
 
     A document of at least `capacity` tokens fills whole sequences first. As
     many full sequences as the rest needs are opened; what does not fill one
     is spread over sequences whose capacities are powers of two, which need no
-    padding. Pieces go in descending order to the sequence of lowest cost that
-    has room, cost being linear * n + quadratic * n ** 2 summed over pieces; a
-    piece that fits none of the `tries` cheapest open ones is cut there.
+    padding. Pieces go in descending order to the sequence of lowest cost, of all
+    that have room, cost being linear * n + quadratic * n ** 2 summed over pieces.
+    Only a piece that no open sequence has room for is cut: the roomiest takes a
+    part, and what is left goes on as a piece.
     """
     out, rest, opened = [], [], 0
     for d, n in enumerate(lengths):
@@ -115,30 +119,22 @@ def assign(lengths: list[int], capacity: int, linear: float, quadratic: float, t
             out.append((d, k * capacity, capacity, opened, 0))
             opened += 1
         if n % capacity:
-            rest.append((n % capacity, d, whole * capacity))
-    total = sum(r[0] for r in rest)
-    room = [capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if total % capacity >> b & 1]
-    size = room[:]
-    heap = [(0.0, s) for s in range(len(room))]
-    for n, d, start in sorted(rest, key=lambda r: (-r[0], r[1])):
-        while n:
-            passed = []
-            while heap and len(passed) < tries and room[heap[0][1]] < n:
-                passed.append(heapq.heappop(heap))
-            if not heap or room[heap[0][1]] < n:  # no room for all of it: the roomiest of those tried takes a part
-                best = max(passed, key=lambda x: (room[x[1]], -x[1]))
-                passed.remove(best)
-            else:
-                best = heapq.heappop(heap)
-            for x in passed:
-                heapq.heappush(heap, x)
-            cost, s = best
-            k = min(n, room[s])
-            out.append((d, start, k, opened + s, size[s] - room[s]))
-            room[s] -= k
-            start, n = start + k, n - k
-            if room[s]:
-                heapq.heappush(heap, (cost + linear * k + quadratic * k * k, s))
+            rest.append((-(n % capacity), d, whole * capacity))
+    total = -sum(r[0] for r in rest)
+    size = np.array([capacity] * (total // capacity) + [1 << b for b in range(capacity.bit_length() - 1, -1, -1) if total % capacity >> b & 1], np.int64)
+    room, cost = size.copy(), np.zeros(len(size))
+    heapq.heapify(rest)
+    while rest:
+        n, d, start = heapq.heappop(rest)
+        s = int(np.argmin(np.where(room >= -n, cost, np.inf)))
+        if room[s] < -n:
+            s = int(np.argmax(room))
+        k = min(-n, int(room[s]))
+        out.append((d, start, k, opened + s, int(size[s] - room[s])))
+        room[s] -= k
+        cost[s] += linear * k + quadratic * k * k
+        if k < -n:
+            heapq.heappush(rest, (n + k, d, start + k))
     return out
 
 

@@ -11,17 +11,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths that folder() gave out while a scratch() lasts, the innermost last.
+_SCRATCH: list[list[str]] = []
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    It is the session's spark.checkpoint.dir. Where that is unset (tests on one
-    machine), the session gets a temporary folder of its own.
+    It is the session's spark.checkpoint.dir. Where that is unset, a session on
+    one machine (tests) gets a temporary folder; on a cluster that would be the
+    driver's own disk, so there it is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder that folder() gave out."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables made while it lasts are deleted at its end: what is to stay is written elsewhere before."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete(spark, path)
 
 
 def table(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
