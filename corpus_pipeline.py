@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm import exact_dedup, mixing, packing, quality, setsketch
 from sievework.llm.queries import vocabulary
-from sievework.llm.work import table
+from sievework.llm.work import delete, folder, scratch
 
 
 #: Columns that stages read by name.
@@ -66,8 +66,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`, each written to the shared folder before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of `sf_dir`, each written to the shared folder before the next.
+
+    A stage's own intermediate tables are deleted when its result is written, and that result when the next is.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = folder(spark, f"pipeline-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.schema(docs.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
