@@ -65,10 +65,13 @@ def split_response(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
 
 
 def charset(fields: list[tuple[str, str]], payload: bytes) -> str:
-    """The payload's encoding: as its header says, else its meta element, else UTF-8."""
+    """The payload's encoding: as its header says, else its first meta element that names one, else UTF-8."""
     said = next((v for n, v in fields if n.lower() == "content-type"), "")
-    found = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", said, re.I) or re.search(rb"<meta[^>]{0,200}charset\s*=\s*[\"']?([\w.:-]+)", payload[:4096], re.I)
-    name = (found[1].decode("latin-1") if isinstance(found[1], bytes) else found[1]) if found else "utf-8"
+    found = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", said, re.I)
+    if not found:
+        metas = re.finditer(rb"<meta\b([^>]*+)>", payload[: payload.rfind(b">") + 1], re.I)
+        found = next((x for m in metas if (x := re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", m[1].decode("latin-1"), re.I))), None)
+    name = found[1] if found else "utf-8"
     try:
         "".encode(name)
     except (LookupError, ValueError):
@@ -76,27 +79,59 @@ def charset(fields: list[tuple[str, str]], payload: bytes) -> str:
     return name
 
 
-#: Raw text without an end tag goes on to the end of the page; other elements are dropped only if they end. Nothing else in a
-#: head is text of it: any other text or element ends the head, with or without its end tag.
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(noscript|template|svg(?![^>]*/>))\b[^>]*>.*?</\2\s*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|section|article|main|header|footer|nav|aside|blockquote|pre|form|td|th)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
+#: Elements whose content is no text of the page. RAW ones without an end tag go on to the end of the page; the others are
+#: dropped only if they end. Nothing else in a head is text of it: any other text or element ends the head, with or without
+#: its end tag.
+RAW = frozenset(("script", "style", "title"))
+_HIDDEN = re.compile(r"<!--|<(script|style|title|noscript|template|svg)\b([^>]*+)>", re.I)
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "title", "noscript", "template", "svg")}
+_BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|section|article|main|header|footer|nav|aside|blockquote|pre|form|td|th)\b[^>]*+>", re.I)
+_TAG = re.compile(r"</?[A-Za-z!?][^>]*+>")
+
+
+def visible(page: str) -> str:
+    """A page without comments and hidden elements; each place is looked at once, however many of them never end."""
+    parts, at, endless = [], 0, set()
+    tags = page.rfind(">") + 1  # nothing after it is a tag
+    while m := _HIDDEN.search(page, at, tags):
+        parts.append(page[at : m.start()])
+        at = m.end()
+        if m[1] is None:
+            end = page.find("-->", at)
+            at = len(page) if end < 0 else end + 3
+            parts.append(" ")
+            continue
+        tag = m[1].lower()
+        end = None if tag in endless or (tag == "svg" and m[2].endswith("/")) else _ENDS[tag].search(page, at)
+        if end:
+            at = end.end()
+        elif tag in RAW:
+            at = len(page)
+        elif not m[2].endswith("/"):
+            endless.add(tag)
+        parts.append(" ")
+    comment = page.find("<!--", max(at, tags))
+    parts.append(page[at:] if comment < 0 else page[at:comment])
+    return "".join(parts)
 
 
 def plain_text(page: str) -> str:
     """All visible text of a page, a line per block."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page)))
-    lines = (" ".join(html.unescape(x).split()) for x in text.split("\n"))
+    text = visible(page)
+    tags = text.rfind(">") + 1
+    lines = (" ".join(html.unescape(x).split()) for x in (_TAG.sub("", _BREAK.sub("\n", text[:tags])) + text[tags:]).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
 def links(page: str) -> list[str]:
-    return [html.unescape(m[1] or m[2] or m[3] or "") for m in re.finditer(r"<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", page, re.I)]
+    found = (re.search(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", m[1], re.I) for m in re.finditer(r"<a\b([^>]*+)>", page[: page.rfind(">") + 1], re.I))
+    return [html.unescape(m[1] or m[2] or m[3] or "") for m in found if m]
 
 
 def title(page: str) -> str:
-    m = re.search(r"<title\b[^>]*>(.*?)</title", page, re.S | re.I)
-    return " ".join(html.unescape(m[1]).split()) if m else ""
+    m = re.search(r"<title\b[^>]*+>", page[: page.rfind(">") + 1], re.I)
+    end = re.compile("</title", re.I).search(page, m.end()) if m else None
+    return " ".join(html.unescape(page[m.end() : end.start()]).split()) if m and end else ""
 
 
 def derived(source_id: str, uri: str | None, date: str | None, block: bytes) -> list[dict]:
@@ -130,12 +165,13 @@ def derivatives(responses: DataFrame, source_id: str = "record_id", uri: str = "
 
     `responses` has an identifier, an address, a date and the block of an HTTP
     response (bytes, or text as UTF-8). The records keep the source's header
-    fields and digests; columns `keep` are carried along. Each response is done
+    fields and digests; columns `keep` are carried along, but for those with a name of the records'
+    own. Each response is done
     by itself, so nothing is shuffled. A null block is empty, its records have
     empty blocks but for digests; a null identifier gives records that refer to
     an identifier made from the address. Repeated rows give repeated records.
     """
-    kept = [responses.schema[c] for c in keep]
+    kept = [responses.schema[c] for c in keep if c not in RECORD.fieldNames()]
     schema = T.StructType([*kept, *RECORD.fields])
     names = [f.name for f in kept]
 
@@ -153,7 +189,7 @@ def derivatives(responses: DataFrame, source_id: str = "record_id", uri: str = "
                 made = pa.Table.from_pylist(rows, schema=ARROW)
                 yield pa.RecordBatch.from_arrays([*[pa.array([c[k] for k in at], batch.schema.field(n).type) for c, n in zip(carried, names, strict=True)], *[x.combine_chunks() for x in made.columns]], names=[*names, *ARROW.names])
 
-    return responses.select(*dict.fromkeys([*keep, source_id, uri, date, block])).mapInArrow(run, schema)
+    return responses.select(*dict.fromkeys([*names, source_id, uri, date, block])).mapInArrow(run, schema)
 
 
 ARROW = pa.schema(

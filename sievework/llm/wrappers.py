@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import difflib
 import functools
 import hashlib
 import html
 import json
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +26,8 @@ BLOCKS = frozenset(
 )
 #: Elements whose content is never text of the page.
 SILENT = frozenset("script style head title noscript template svg math iframe object canvas audio video select textarea button option datalist map".split())
+#: Of these, the ones whose content is raw text: without an end tag they go on to the page's end.
+RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements, and words in class, id and role, that mark what is not the article.
 ASIDE = frozenset("nav footer aside form dialog menu search".split())
@@ -37,15 +41,26 @@ HEADS = frozenset("header masthead".split())
 #: Words of an article or main element that is no article of the page's own.
 REMARKS = frozenset("comment comments reply replies related recommended sponsored promo".split())
 MARKS = "!~^"
+MARKED = frozenset(MARKS)
 #: Elements that name what follows them: their text is kept though it is the same on many pages.
 LABELS = frozenset("h1 h2 h3 h4 h5 h6 hgroup dt th caption summary".split())
+#: All elements whose name alone says something about the text in them.
+NAMED = ASIDE | LABELS | {"article", "main", "header"}
 #: A start tag closes an open one of these, up to the nearest element that holds it.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in SILENT}
 _MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _WORD = re.compile(r"[a-z]+")
 
+#: Sequences whose table of common runs would be larger than this are aligned by their longest matching stretches instead.
+TABLE = 1 << 20
+#: Forms of a host that one step aligns.
+STEP = 32
+#: Bytes of forms that a task holds before it hands them on.
+HELD = 1 << 25
+
 # A form is ["t"] (a slot: its text varies), ["t", digest, least, greatest] (the same text wherever it was seen, and the range
 # of likeness() of the pages that have it), ["e", name, [forms]], ["?", form] or ["+", [forms]].
 TEXT = ["t"]
@@ -78,9 +93,16 @@ def parsed(page: str) -> Node:
     """The tree of a page's blocks; a child that is a string is the text of a block, decoded."""
     root = Node("")
     stack, held = [root], []
+    open_: dict[str, int] = {}  # how many of each element are on the stack
+    endless: set[str] = set()  # silent elements that have no end tag any more
     at = 0
     page_end = len(page)
 
+    def shut(depth: int) -> None:
+        for node in stack[depth:]:
+            open_[node.name.rstrip(MARKS)] -= 1
+        del stack[depth:]
+
     def flush() -> None:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
@@ -100,12 +122,14 @@ def parsed(page: str) -> Node:
             continue
         tag = tag.lower()
         if tag in SILENT:
-            if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not closing and not attributes.endswith("/") and tag not in endless:
+                end = _ENDS[tag].search(page, at)
                 if end:
                     at = end.end()
-                elif tag in ("script", "style", "textarea", "title"):
-                    at = page_end
+                else:
+                    endless.add(tag)
+                    if tag in RAW:
+                        at = page_end
             held.append(" ")
             continue
         if tag in ("br", "hr"):
@@ -115,21 +139,21 @@ def parsed(page: str) -> Node:
             continue
         flush()
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name.rstrip(MARKS) == tag:
-                    del stack[depth:]
-                    break
+            if open_.get(tag):
+                shut(next(depth for depth in range(len(stack) - 1, 0, -1) if stack[depth].name.rstrip(MARKS) == tag))
             continue
         if stack[-1].name.rstrip(MARKS) == "p":
-            stack.pop()
-        shut, within = CLOSES.get(tag, ((), ()))
-        for depth in range(len(stack) - 1, 0, -1):
-            open_ = stack[depth].name.rstrip(MARKS)
-            if open_ in within:
-                break
-            if open_ in shut:
-                del stack[depth:]
+            shut(len(stack) - 1)
+        closes, within = CLOSES.get(tag, ((), ()))
+        if any(open_.get(x) for x in closes):
+            for depth in range(len(stack) - 1, 0, -1):
+                name = stack[depth].name.rstrip(MARKS)
+                if name in within:
+                    break
+                if name in closes:
+                    shut(depth)
         node = Node(name_of(tag, attributes))
+        open_[tag] = open_.get(tag, 0) + 1
         stack[-1].children.append(node)
         stack.append(node)
     flush()
@@ -169,44 +193,62 @@ def aligned(a: list, b: list) -> list:
     ka, kb = [key(x) for x in a], [key(x) for x in b]
     if ka == kb:
         return [merged(x, y) for x, y in zip(a, b, strict=True)]
+    if len(ka) * len(kb) > TABLE:
+        steps = difflib.SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes()
+    else:
+        steps = _steps(ka, kb)
+    out = []
+    for kind, i, to_i, j, to_j in steps:
+        if kind == "equal":
+            out += [merged(x, y) for x, y in zip(a[i:to_i], b[j:to_j], strict=True)]
+        else:
+            out += [["?", core(x)] for x in (*a[i:to_i], *b[j:to_j])]
+    return out
+
+
+def _steps(ka: list[str], kb: list[str]) -> Iterator[tuple[str, int, int, int, int]]:
+    """How the longest common run of keys in order leads from one to the other, a key at a time."""
     longest = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
     for i in range(len(ka) - 1, -1, -1):
         for j in range(len(kb) - 1, -1, -1):
             longest[i][j] = longest[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(longest[i + 1][j], longest[i][j + 1])
-    out, i, j = [], 0, 0
+    i = j = 0
     while i < len(ka) or j < len(kb):
         if i < len(ka) and j < len(kb) and ka[i] == kb[j]:
-            out.append(merged(a[i], b[j]))
+            yield "equal", i, i + 1, j, j + 1
             i, j = i + 1, j + 1
         elif j == len(kb) or (i < len(ka) and longest[i + 1][j] >= longest[i][j + 1]):
-            out.append(["?", core(a[i])])
+            yield "delete", i, i + 1, j, j
             i += 1
         else:
-            out.append(["?", core(b[j])])
+            yield "insert", i, i, j, j + 1
             j += 1
-    return out
 
 
 def folded(forms: list) -> list:
-    """Neighbouring repeats (of one to four forms) as one repeated group each."""
-    again = True
-    while again:
-        again = False
+    """Neighbouring repeats (of one to four forms) as one repeated group each; the shortest repeats first."""
+    span = 1
+    while span <= 4:
         keys = [key(x) for x in forms]
-        for span in range(1, 5):
-            for i in range(len(forms) - 2 * span + 1):
-                if keys[i : i + span] == keys[i + span : i + 2 * span]:
-                    left, right = forms[i : i + span], forms[i + span : i + 2 * span]
-                    if span == 1:
-                        group = merged(left[0], right[0])
-                        group = ["?", ["+", [core(group)]]] if group[0] == "?" and core(group)[0] != "+" else group if core(group)[0] == "+" else ["+", [group]]
-                    else:
-                        group = ["+", aligned(left, right)]
-                    forms = [*forms[:i], group, *forms[i + 2 * span :]]
-                    again = True
-                    break
-            if again:
-                break
+        out, i = [], 0
+        while i < len(forms):
+            mine = keys[i : i + span]
+            if mine != keys[i + span : i + 2 * span]:
+                out.append(forms[i])
+                i += 1
+                continue
+            group = forms[i : i + span]
+            i += span
+            while keys[i : i + span] == mine:
+                group = aligned(group, forms[i : i + span])
+                i += span
+            if span == 1:
+                inner, optional = core(group[0]), group[0][0] == "?"
+                whole = inner if inner[0] == "+" else ["+", [inner]]
+                out.append(["?", whole] if optional else whole)
+            else:
+                out.append(["+", group])
+        span, forms = (1, out) if len(out) < len(forms) else (span + 1, forms)
     return forms
 
 
@@ -223,96 +265,153 @@ def shape(form: list) -> list:
     return ["?", shape(form[1])] if form[0] == "?" else ["+", [shape(x) for x in form[1]]]
 
 
+def written(form: list) -> str:
+    """A form as JSON of a flat list: each part, then those inside it, so deep pages need no deep JSON."""
+    out: list = []
+    rest = [form]
+    while rest:
+        x = rest.pop()
+        if x[0] == "t":
+            out.append(x)
+            continue
+        inside = [x[1]] if x[0] == "?" else x[2] if x[0] == "e" else x[1]
+        out.append([x[0], len(inside), x[1]] if x[0] == "e" else [x[0], len(inside)])
+        rest += inside[::-1]
+    return json.dumps(out, separators=(",", ":"))
+
+
+def read(text: str) -> list:
+    """The form that written() wrote."""
+    made: list = []
+    for x in reversed(json.loads(text)):
+        if x[0] == "t":
+            made.append(x)
+            continue
+        inside = [made.pop() for _ in range(x[1])]
+        made.append(["?", inside[0]] if x[0] == "?" else ["e", x[2], inside] if x[0] == "e" else ["+", inside])
+    return made[0]
+
+
+class deep:  # noqa: N801
+    """While it lasts, Python functions may call themselves for every block that is inside another."""
+
+    def __enter__(self) -> None:
+        self.before = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(self.before, 10**7))
+
+    def __exit__(self, *_: object) -> None:
+        sys.setrecursionlimit(self.before)
+
+
 def inferred(forms: list[list]) -> list:
     """One wrapper for all forms: those of one shape as one, then the shapes aligned one after the other, in a fixed order."""
     of: dict[str, list] = {}
     for form in forms:
-        name = json.dumps(shape(form))
+        name = written(shape(form))
         of[name] = merged(of[name], form) if name in of else form
     return functools.reduce(merged, [of[name] for name in sorted(of)])
 
 
-def matched(form: list, node: Node, path: tuple[str, ...] = (), known: dict | None = None) -> list[tuple[tuple[str, ...], str, bool]] | None:
+def matched(form: list, node: Node) -> list[tuple[tuple[str, ...], str, bool]] | None:
     """The page's texts, with the names around them and whether they are the template's; None if the wrapper does not fit.
 
     A text is the template's if it was the same in all pages that have it, and
-    at least two of them are unlike each other. A label is not. `known` holds
-    what was matched before.
+    at least two of them are unlike each other. A label is not.
     """
+    fits, chain = _match(form, node, (), {})
+    return _flat(chain) if fits else None
+
+
+def _match(form: list, node: Node, path: tuple[str, ...], known: dict) -> tuple[bool, tuple | list | None]:
+    """Whether an element fits, and the chain of its texts. `known` holds what was matched before."""
     if form[1] != node.name:
-        return None
-    known = {} if known is None else known
+        return False, None
     at = id(form), id(node)
     if at not in known:
-        known[at] = _fill(form[2], node.children, (*path, node.name), known)
+        known[at] = _fill(form[2], node.children, inside(path, node.name), known)
     return known[at]
 
 
-def _fill(forms: list, children: list, path: tuple[str, ...], known: dict) -> list | None:
-    """The texts of `children` by `forms`: of all ways that fit, the one whose first optional and repeated forms take most."""
+def _flat(chain: tuple | list | None) -> list:
+    """The texts of a chain: a list of them, or a pair of chains, or nothing."""
+    out, rest = [], [chain]
+    while rest:
+        x = rest.pop()
+        if isinstance(x, list):
+            out.extend(x)
+        elif x is not None:
+            rest += [x[1], x[0]]
+    return out
+
+
+def inside(path: tuple[str, ...], name: str) -> tuple[str, ...]:
+    """The path into an element, of the names that say anything about a text in it, without repeats."""
+    if path[-1:] == (name,) or not (name[-1:] in MARKED or name in NAMED):
+        return path
+    return (*path, name)
+
+
+def _fill(forms: list, children: list, path: tuple[str, ...], known: dict) -> tuple[bool, tuple | list | None]:
+    """The chain of texts of `children` by `forms`: of all ways that fit, the one whose first optional and repeated forms take most.
+
+    A repeated form goes on from a child once, whatever led there: the first way
+    is the preferred one. So the time is in proportion to the children.
+    """
     named = LABELS.intersection(x.rstrip(MARKS) for x in path)
+    begun: dict[int, set[int]] = {}
 
-    def one(form: list, at: int) -> dict[int, tuple | None]:
-        """Where this form can end that begins at a child, and the chain of texts there."""
+    def one(form: list, at: int, chain: tuple | None) -> list[tuple[int, tuple | None]]:
+        """Where this form can end that begins at a child, the preferred end first, and the chain of texts there."""
         if form[0] == "?":
-            found = one(form[1], at)
-            found.setdefault(at, None)
-            return found
+            return [*one(form[1], at, chain), (at, chain)]
         if form[0] == "+":
-            ends: dict[int, tuple | None] = {}
-            open_ = [(at, None)]
+            before = begun.setdefault(id(form), set())
+            open_, ends = [(at, chain)] if at not in before else [], {}
+            before.add(at)
             while open_:
-                begin, before = open_.pop()
-                for end, x in run(form[1], begin, before).items():
+                for end, found in run(form[1], *open_.pop()).items():
                     if end not in ends:
-                        ends[end] = x
-                        if end > begin:
-                            open_.append((end, x))
-            return dict(sorted(ends.items(), reverse=True))
+                        ends[end] = found
+                        if end not in before:
+                            before.add(end)
+                            open_.append((end, found))
+            return sorted(ends.items(), key=lambda x: -x[0])
         if at == len(children):
-            return {}
+            return []
         child = children[at]
         if form[0] == "t":
             if not isinstance(child, str):
-                return {}
+                return []
             common = len(form) == 4 and form[2] < form[3] and form[1] == digest(child)
-            return {at + 1: (None, [(path, child, common and not named)])}
-        inner = None if isinstance(child, str) else matched(form, child, path, known)
-        return {} if inner is None else {at + 1: (None, inner)}
+            return [(at + 1, (chain, [(path, child, common and not named)]))]
+        fits, inner = (False, None) if isinstance(child, str) else _match(form, child, path, known)
+        return [(at + 1, (chain, inner))] if fits else []
 
-    def run(some: list, at: int, before: tuple | None) -> dict[int, tuple | None]:
+    def run(some: list, at: int, chain: tuple | None) -> dict[int, tuple | None]:
         """Where the forms can end one after the other."""
-        states = {at: before}
+        states = {at: chain}
         for form in some:
             after: dict[int, tuple | None] = {}
-            for begin, chain in states.items():
-                for end, x in one(form, begin).items():
-                    after.setdefault(end, chain if x is None else (chain, x))
+            for begin, before in states.items():
+                for end, found in one(form, begin, before):
+                    after.setdefault(end, found)
             states = after
         return states
 
-    def flat(chain: tuple | None) -> list:
-        out, rest = [], [chain]
-        while rest:
-            x = rest.pop()
-            if isinstance(x, list):
-                out.extend(x)
-            elif x is not None:
-                rest += [x[1], x[0]]
-        return out
-
     ends = run(forms, 0, None)
-    return flat(ends[len(children)]) if len(children) in ends else None
+    return len(children) in ends, ends.get(len(children))
 
 
-def walked(node: Node, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], str]]:
+def walked(node: Node) -> Iterator[tuple[tuple[str, ...], str]]:
     """The texts of a page that its host's wrapper does not fit, in order."""
-    here = (*path, node.name)
-    for x in node.children:
+    rest: list[tuple[tuple[str, ...], Node | str]] = [((), node)]
+    while rest:
+        path, x = rest.pop()
         if isinstance(x, str):
-            yield here, x
+            yield path, x
         else:
-            yield from walked(x, here)
+            here = inside(path, x.name)
+            rest += [(here, y) for y in reversed(x.children)]
 
 
 @functools.lru_cache(1 << 14)
@@ -357,7 +456,8 @@ def likeness(tree: Node) -> int:
 def main_text(page: str, wrapper: list) -> str:
     """The texts of the wrapper's slots in the article, without the template's. A page that it does not fit gives all texts of its article."""
     tree = parsed(page)
-    texts = matched(wrapper, tree)
+    with deep():
+        texts = matched(wrapper, tree)
     return " ".join(x[1] for x in article(list(walked(tree)) if texts is None else texts) if len(x) == 2 or not x[2])
 
 
@@ -365,42 +465,59 @@ def host(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, url: str, page: str, parts: int = 16) -> DataFrame:
-    """(host, wrapper): the wrapper of each host from all its pages, as JSON.
+def wrappers(pages: DataFrame, url: str, page: str) -> DataFrame:
+    """(host, wrapper): the wrapper of each host from all its pages, as written().
 
     Each page's tokens become a form with its repeats folded. Forms of one shape
-    are one form before the shuffle, in which texts that differ are slots and
-    equal ones stay, so a host with many pages and one template sends a few
-    rows. The different shapes of a host are aligned in `parts` groups, and then
-    the groups' wrappers. Neither the number nor the order of pages counts.
+    are one form, first in each task and then over all: texts that differ are
+    slots and equal ones stay. The different shapes of a host are then aligned, in
+    the order of their digests. Both go by steps of STEP forms, each step's
+    results being the next one's forms, so no task holds all forms of a host.
+    Neither the number nor the order nor the partitions of pages count.
     """
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[tuple[str, str], list] = {}
+        rows: dict[tuple[str, int], list] = {}
+        held = 0
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([zlib.crc32(k[1].encode()) % parts for k in rows], pa.int32()), pa.array([json.dumps(f) for f in rows.values()], pa.string())], names=["host", "part", "form"])
+            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.int64()), pa.array([written(f) for f in rows.values()], pa.string())], names=["host", "shape", "form"])
             rows.clear()
             return made
 
         for batch in batches:
             for where, text in zip(column(batch, "host").to_pylist(), column(batch, page).to_pylist(), strict=True):
                 tree = parsed(text or "")
-                form = form_of(tree, likeness(tree))
-                at = where, json.dumps(shape(form))
-                rows[at] = merged(rows[at], form) if at in rows else form
-                if len(rows) == 5_000:
+                with deep():
+                    form = form_of(tree, likeness(tree))
+                    name = written(shape(form))
+                    at = where, digest(name) - (1 << 63)
+                    if at in rows:
+                        rows[at] = merged(rows[at], form)
+                    else:
+                        rows[at] = form
+                        held += len(name)
+                if held >= HELD:
                     yield out()
+                    held = 0
         if rows:
             yield out()
 
     def align(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "form": [json.dumps(inferred([json.loads(f) for f in rows["form"]]))]})
+        with deep():
+            whole = functools.reduce(merged, [read(f) for f in rows.sort_values(["shape", "form"])["form"]])
+            return pd.DataFrame({"host": [rows["host"].iloc[0]], "shape": [rows["shape"].min()], "form": [written(whole)]})
+
+    def reduced(rows: DataFrame, *by: str) -> DataFrame:
+        while True:
+            place = F.row_number().over(Window.partitionBy(*by).orderBy("shape", "form"))
+            steps = rows.withColumn("step", F.floor((place - 1) / STEP)).groupBy(*by, "step")
+            rows = table(steps.applyInPandas(align, "host string, shape long, form string"), "wrappers")
+            if rows.groupBy(*by).count().filter("count > 1").isEmpty():
+                return rows
 
-    shapes = pages.select(host(url).alias("host"), page).mapInArrow(forms, "host string, part int, form string")
-    some = shapes.groupBy("host", "part").applyInPandas(align, "host string, form string")
-    whole = some.groupBy("host").applyInPandas(align, "host string, form string")
-    return table(whole.select("host", F.col("form").alias("wrapper")), "wrappers")
+    shapes = table(pages.select(host(url).alias("host"), page).mapInArrow(forms, "host string, shape long, form string"), "forms")
+    return reduced(reduced(shapes, "host", "shape"), "host").select("host", F.col("form").alias("wrapper"))
 
 
 def extracted(pages: DataFrame, url: str = "url", page: str = "html", text: str = "text") -> DataFrame:
@@ -408,8 +525,9 @@ def extracted(pages: DataFrame, url: str = "url", page: str = "html", text: str
 
     Wrappers are inferred per host (wrappers()) and matched with each page; the
     slots in the article give the text, and what is the same on all unlike pages
-    at one place of the wrapper is left out as the template's, but for headings: references decoded, white space of a
-    block one space, blocks joined by one space. Menus, headers, footers,
+    at one place of the wrapper is left out as the template's, but for headings:
+    references decoded, white space of a block one space, blocks joined by one
+    space. Menus, headers, footers,
     sidebars, notices, adverts, forms, scripts, styles and comments are known by
     the elements and attribute words listed above. A null or empty page has an
     empty text, a null address the host "". A page that the wrapper of its host
@@ -427,7 +545,7 @@ def extracted(pages: DataFrame, url: str = "url", page: str = "html", text: str
             out = []
             for p, w in zip(*[column(batch, c).to_pylist() for c in (page, "__wrapper")], strict=True):
                 if w not in seen:
-                    seen[w] = json.loads(w)
+                    seen[w] = read(w)
                 out.append(main_text(p or "", seen[w]))
             yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in names], pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=[*names, text, "n_chars"])
 

@@ -1,6 +1,10 @@
 """Plain text of pages whose end tags are missing."""
 
-from sievework.llm.warc import derived, plain_text
+import base64
+import collections
+import hashlib
+
+from sievework.llm.warc import charset, derivatives, derived, links, plain_text, response_block
 
 
 def test_head_without_end_tag():
@@ -21,3 +25,30 @@ def test_only_raw_text_runs_to_the_end():
 def test_record_has_the_text():
     block = b"HTTP/1.1 200 OK\r\n\r\n<head><title>t</title><body><p>text"
     assert derived("<urn:a>", None, None, block)[1]["block"] == b"text"
+
+
+def test_unclosed_elements_of_long_pages():
+    assert plain_text("<p>if a < b then</p><svg><path></p><p>after</p>") == "if a < b then\nafter"
+    assert plain_text("<html><head><title>x</title><body><p>hello world</p>") == "hello world"
+    assert plain_text("<svg>a" * 50_000).count("a") == 50_000
+    assert plain_text("<!--a" * 50_000 + "-->b") == "b" and plain_text("x<!-- y") == "x"
+    assert plain_text("<a" * 50_000) == "<a" * 50_000
+    late = f"<p>{'x' * 9000}<meta charset=latin-1>".encode() + b"\xe9"
+    assert charset([], late) == "latin-1" and charset([("Content-Type", "text/html; charset=utf-8")], late) == "utf-8"
+    assert links("<a x='1' href='u'>t</a><a data-href='no'><a href=v>" + "<a x " * 50_000) == ["u", "v"]
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    page = response_block("<title>T</title><p>text")
+    rows = [("<urn:1>", "u", "d", page, "mine")] * 2 + [(None, None, None, None, None), ("<urn:2>", "u", "d", b"no header", "x")]
+    docs = spark.createDataFrame(rows, "record_id string, target_uri string, date string, block binary, headers string")
+    found = derivatives(docs).collect()
+    assert len(found) == 8 and collections.Counter(r["record_type"] for r in found) == {"metadata": 4, "conversion": 4}
+    same = [r for r in found if r["refers_to"] == "<urn:1>"]
+    assert len(same) == 4 and len({r["record_id"] for r in same}) == 2
+    by_id = {r["record_id"]: r for r in found}
+    assert all(by_id[r["concurrent_to"]]["concurrent_to"] == r["record_id"] for r in found)
+    for r in found:
+        assert r["block_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(r["block"]).digest()).decode() and r["content_length"] == len(r["block"])
+    clash = derivatives(docs.withColumnRenamed("headers", "block_digest"), keep=("block_digest",))
+    assert clash.columns.count("block_digest") == 1 and clash.count() == 8
