@@ -165,19 +165,22 @@ class _Block:
         return self.row[linked[np.unique(self.component[linked], return_index=True)[1]]].tolist()
 
 
-def remaining(seen: DataFrame, found: DataFrame, percent: int, block: int = 2000) -> DataFrame:
+def remaining(seen: DataFrame, found: DataFrame, percent: int, block: int = 2000, most: int = 1 << 26) -> DataFrame:
     """Links (a, b) between rows compared with the same pivot, but not yet in one component.
 
     A row outside its pivot's component is an outer row. Blocks of at most about
-    `block` outer rows stay in memory while all rows of the pivot stream by; the
-    shared shingles follow from how both differ from the pivot. Only links are
+    `block` outer rows, and `most` bytes, stay in memory while all rows of the
+    pivot stream by, once for each block: n rows with m outer ones are shuffled
+    n * m / `block` times over. The shared shingles follow from how both differ
+    from the pivot. Only links are
     returned, for each row one to each component.
     """
     named = found.withColumnRenamed("node", "b").withColumnRenamed("component", "__c")
     pivot = found.withColumnRenamed("node", "a").withColumnRenamed("component", "__p")
     rows = seen.join(named, "b", "left").withColumn("component", F.coalesce("__c", "b")).join(pivot, "a", "left").withColumn("outer", F.col("component") != F.coalesce("__p", "a"))
     rows = rows.select("a", "b", "component", F.col("size_b").alias("size"), "held", "more", "outer")
-    blocks_of = rows.filter("outer").groupBy("a").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    size = F.sum(F.octet_length("held") + F.octet_length("more"))
+    blocks_of = rows.filter("outer").groupBy("a").agg(F.ceil(F.greatest(F.count("*") / F.lit(block), size / F.lit(most))).cast("int").alias("blocks"))
     rows = rows.join(blocks_of, "a")
     part = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
     outer = rows.filter("outer").select("a", part.alias("part"), F.lit(0).alias("role"), "b", "component", "size", "held", "more")
