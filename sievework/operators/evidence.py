@@ -16,10 +16,22 @@ from sievework.functions.tokens import all_of, bm25_tokens, evidence_tokens
 
 # Words of each task family.
 FAMILY_WORDS = {
-    "mechanism_diagnostic": "mechanism diagnostic spectroscopy carrier defect migration interface recombination control kinetic field hysteresis degradation photoluminescence",
-    "stability_design_transfer": "stability degradation lifetime humidity thermal illumination interface encapsulation migration control fabrication transfer failure design",
-    "stability_failure": "stability failure degradation negative limitation humidity thermal illumination migration interface control lifetime hysteresis",
-    "design_transfer_synthesis": "design fabrication process transfer composition interface stack performance efficiency stability condition control scalable mechanical temperature",
+    "mechanism_diagnostic": [
+        "mechanism", "diagnostic", "spectroscopy", "carrier", "defect", "migration", "interface", "recombination", "control", "kinetic", "field",
+        "hysteresis", "degradation", "photoluminescence",
+    ],
+    "stability_design_transfer": [
+        "stability", "degradation", "lifetime", "humidity", "thermal", "illumination", "interface", "encapsulation", "migration", "control",
+        "fabrication", "transfer", "failure", "design",
+    ],
+    "stability_failure": [
+        "stability", "failure", "degradation", "negative", "limitation", "humidity", "thermal", "illumination", "migration", "interface", "control",
+        "lifetime", "hysteresis",
+    ],
+    "design_transfer_synthesis": [
+        "design", "fabrication", "process", "transfer", "composition", "interface", "stack", "performance", "efficiency", "stability", "condition",
+        "control", "scalable", "mechanical", "temperature",
+    ],
 }
 # What a card's type adds to its score, by family; 1 for any other.
 TYPE_BOOST = {
@@ -54,7 +66,7 @@ def words(text: Column) -> Column:
 
 
 def family_words(family: Column) -> Column:
-    table = F.create_map(*[x for k, v in FAMILY_WORDS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v.split()]))])
+    table = F.create_map(*[x for k, v in FAMILY_WORDS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
     return F.coalesce(table[family], F.array().cast("array<string>"))
 
 

@@ -378,7 +378,7 @@ ORACLE_SQL = {
     "prediction_rows": "SELECT conv_id * 100 + turn AS benchmark_id, 'm' AS model, sha256(coalesce(text, '')) AS answer_sha256, 'general' AS prompt_route, CASE WHEN turn % 3 = 0 THEN 'length' ELSE 'stop' END AS finish_reason, turn % 3 = 0 AND trim(coalesce(text, '')) <> '' AS nonempty_length_limited_retained FROM conversations WHERE role = 'assistant'",
     "constraint_phrases": "SELECT item_id, 'one control only; must be fixed|Without changing it, ONE CONTROL ONLY; must be fixed|must be fixed' AS found FROM benchmark",
     "record_ranking": f"""WITH q AS (SELECT item_id, {_evidence('text')} AS q FROM benchmark WHERE item_id < 10), d AS (SELECT doc_id, n_chars, {_evidence('text')} AS w FROM documents),
-        s AS (SELECT item_id, doc_id, len(list_intersect(q, w)) AS k, len(q) AS n, len(list_intersect({E.FAMILY_WORDS['stability_failure'].split()!r}, w)) AS f, n_chars FROM q, d),
+        s AS (SELECT item_id, doc_id, len(list_intersect(q, w)) AS k, len(q) AS n, len(list_intersect({E.FAMILY_WORDS['stability_failure']!r}, w)) AS f, n_chars FROM q, d),
         r AS (SELECT item_id, doc_id, round(k * 2.2 + 10.0 * k / greatest(1, n) + 0.55 * f + ln(1 + n_chars) / 2.5 + 2, 6)::DOUBLE AS score FROM s WHERE k >= 2),
         o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r)
         SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 5""",

@@ -42,7 +42,7 @@ def tokens_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stem_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems of all distinct words of the corpus, and of the canonical words."""
     words = evidence_docs(spark, sf_dir).select(F.explode(T.all_of(F.lower("text"), r"[a-z][a-z0-9+-]*")).alias("word"))
-    canonical = spark.createDataFrame([(w,) for w in T.CANONICAL_OF], "word string")
+    canonical = spark.createDataFrame([(w,) for w in T.CANONICAL], "word string")
     return words.unionByName(canonical).distinct().select("word", T.stem(F.col("word")).alias("stem"))
 
 
@@ -191,7 +191,7 @@ def _strict(e: str) -> str:
 
 
 _TEXT = "coalesce(text, '')"
-_MAP = "MAP([" + ", ".join(f"'{k}'" for k in T.CANONICAL_OF) + "], [" + ", ".join(f"'{v}'" for v in T.CANONICAL_OF.values()) + "])"
+_MAP = "MAP([" + ", ".join(f"'{k}'" for k in T.CANONICAL) + "], [" + ", ".join(f"'{v}'" for v in T.CANONICAL.values()) + "])"
 
 
 def _stem(t: str) -> str:
@@ -276,7 +276,7 @@ ORACLE_SQL = {
     "tokens_features": f"WITH x AS (SELECT doc_id, {_feature(_TEXT)} AS t FROM documents) SELECT doc_id, {_MD5} FROM x",
     "tokens_evidence": f"WITH x AS (SELECT doc_id, list_sort({_evidence(_TEXT)}) AS t FROM documents) SELECT doc_id, {_MD5} FROM x",
     "tokens_revision": f"WITH x AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce(text, '')), '{T.REVISION_PATTERN}'), lambda t: t NOT IN {_in(T.REVISION_STOPWORDS)}))) AS t FROM documents) SELECT doc_id, {_MD5} FROM x",
-    "stem_canonical": f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9+-]*')) AS word FROM documents UNION SELECT unnest([{', '.join(repr(w) for w in T.CANONICAL_OF)}])), d AS (SELECT DISTINCT word FROM w) SELECT word, {_stem('word')} AS stem FROM d""",
+    "stem_canonical": f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9+-]*')) AS word FROM documents UNION SELECT unnest([{', '.join(repr(w) for w in T.CANONICAL)}])), d AS (SELECT DISTINCT word FROM w) SELECT word, {_stem('word')} AS stem FROM d""",
     "numbers_specific_terms": f"""WITH x AS (SELECT doc_id, coalesce(text, '') AS e FROM documents)
         SELECT doc_id, coalesce(array_to_string(list_sort({_numbers('e')}), ' '), '') AS numbers, CAST(len(regexp_extract_all(e, '\\S+')) AS INTEGER) AS words, md5(trim(regexp_replace(regexp_replace(lower(e), '[^a-z0-9.%+-]+', ' ', 'g'), '\\s+', ' ', 'g'))) AS compare_md5, coalesce(array_to_string(list_sort({_specific('e')}), ' '), '') AS specific FROM x""",
     "pair_similarity": f"""WITH {_ANSWERS}, x AS (SELECT item_id, {_feature('answer')} AS a, {_feature('reference')} AS r FROM ans), y AS (SELECT *, len(list_intersect(a, r)) AS i, len(list_distinct(a)) AS na, len(list_distinct(r)) AS nr FROM x)
