@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from sievework.functions.cleaning import EVIDENCE_STOPWORDS, clean_natural_text, clean_science_text, is_informative, is_science_unit, leaks_identifier, squeezed
 from sievework.functions.sentences import ensured_sentence, list_lines, sentence_units, sentences, split_units, trimmed_at_boundary
 from sievework.functions.similarity import jaccard
+from sievework.sources.work import table
 from sievework.functions.tokens import all_of, bm25_tokens, evidence_tokens
 
 # Words of each task family.
@@ -156,33 +157,42 @@ def _fit(rows: Iterable[tuple[int, str]], budget_: int) -> list[tuple[int, str]]
 def compiled(ranking: DataFrame, docs: DataFrame, questions: DataFrame, question: str, doc: str, papers: int = PAPERS) -> DataFrame:
     """(question, evidence_id, doc, rank, text): whole sentences of ranked documents within their budgets.
 
-    `ranking` has (question, doc, rank). Sentences are split and compared with
-    the question in Spark; a question's sentences, of at most `papers` documents, are
-    then taken in order of rank, overlap and place, never one twice, and put
-    back in their own order. Documents of which nothing fits have no id.
+    `ranking` has (question, doc, rank). Each ranked document is split and
+    tokenised once, into a table of its sentences. Only overlaps, places, lengths
+    and digests of a question's sentences, of at most `papers` documents, go into
+    its group, where they are taken in order of rank, overlap and place, never
+    one twice; the texts join what was taken. Sentences are put back in their own
+    order. Documents of which nothing fits have no id.
     """
     asked = questions.select(question, F.array_distinct(bm25_tokens(F.col("text"))).alias("__q"))
-    met = ranking.filter(F.col("rank") <= papers).join(docs, doc).join(asked, question)
-    cut = met.select(question, doc, "rank", budget(F.col("rank"))["chars"].alias("chars"), "__q", F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
-    scored = cut.withColumn("overlap", F.size(F.array_intersect("__q", bm25_tokens(F.col("sentence"))))).withColumn("key", F.regexp_replace(F.lower("sentence"), r"(?U)\s+", " ")).drop("__q")
-    schema = T.StructType([ranking.schema[question], T.StructField("evidence_id", T.StringType()), ranking.schema[doc], T.StructField("rank", T.IntegerType()), T.StructField("text", T.StringType())])
+    wanted = ranking.filter(F.col("rank") <= papers)
+    split = docs.join(wanted.select(doc).distinct(), doc, "left_semi").select(doc, F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
+    key = F.md5(F.regexp_replace(F.lower("sentence"), r"(?U)\s+", " ").cast("binary"))
+    cut = table(split.select(doc, "place", "sentence", F.array_distinct(bm25_tokens(F.col("sentence"))).alias("words"), key.alias("key"), F.length("sentence").alias("n")), "sentences")
+    met = wanted.select(question, doc, "rank", budget(F.col("rank"))["chars"].alias("chars")).join(cut.drop("sentence"), doc).join(asked, question)
+    scored = met.select(question, doc, "rank", "chars", "place", "key", "n", F.size(F.array_intersect("__q", "words")).alias("overlap"))
+    schema = T.StructType([ranking.schema[question], T.StructField("evidence_id", T.StringType()), ranking.schema[doc], T.StructField("rank", T.IntegerType()), T.StructField("place", T.IntegerType())])
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         seen: set[str] = set()
         out = []
+        papers_used = 0
         for rank, part in rows.groupby("rank", sort=True):
             ordered = part.sort_values(["overlap", "place"], ascending=[False, True])
-            fresh = []
-            for place, sentence, key in zip(ordered["place"], ordered["sentence"], ordered["key"], strict=True):
-                room = int(part["chars"].iloc[0]) - sum(len(s) + 1 for _, s in fresh)
-                if key not in seen and _fit([(place, sentence)], room):
-                    fresh.append((place, sentence))
+            room, fresh = int(part["chars"].iloc[0]), []
+            for place, n, key in zip(ordered["place"], ordered["n"], ordered["key"], strict=True):
+                if key not in seen and n + 1 <= room:
+                    room -= n + 1
+                    fresh.append(place)
                     seen.add(key)
             if fresh:
-                out.append((rows[question].iloc[0], f"E{len(out) + 1:03d}", part[doc].iloc[0], int(rank), " ".join(s for _, s in sorted(fresh))))
+                papers_used += 1
+                out += [(rows[question].iloc[0], f"E{papers_used:03d}", part[doc].iloc[0], int(rank), place) for place in fresh]
         return pd.DataFrame(out, columns=schema.fieldNames())
 
-    return scored.groupBy(question).applyInPandas(choose, schema)
+    taken = scored.groupBy(question).applyInPandas(choose, schema).join(cut.select(doc, "place", "sentence"), [doc, "place"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda x: x["sentence"]), " ")
+    return taken.groupBy(question, "evidence_id", doc, "rank").agg(text.alias("text"))
 
 
 def topic_packs(packs: DataFrame, query: str, core: str, card: str) -> DataFrame:

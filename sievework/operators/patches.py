@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,58 +129,109 @@ def budgeted(rows: DataFrame, query: str, order: Column, most: int = 2, words: i
 
     One per obligation, one per anchor, at most `most`, and if given at most
     `words` added in all. What is taken depends on what was before, so it runs
-    per query over its candidates, of which a query has a handful.
+    per query over its candidates, of which a query has a handful. Rows of one id
+    stay rows of their own.
     """
-    names = [query, "candidate_id", "obligation_id", "target_anchor_id", "added_words"]
-    schema = T.StructType([rows.schema[query], rows.schema["candidate_id"], T.StructField("verdict", T.StringType())])
+    names = [query, "obligation_id", "target_anchor_id", "added_words"]
+    schema = T.StructType([*rows.schema.fields, T.StructField("verdict", T.StringType())])
 
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
+    def choose(batch: pa.Table) -> pa.Table:
         taken: list[tuple] = []
-        total, out = 0, []
-        for r in part.sort_values("__order").itertuples(index=False):
-            if any(r.obligation_id == t[0] for t in taken):
-                verdict = "G7_DUPLICATE_OBLIGATION"
-            elif any(r.target_anchor_id == t[1] for t in taken):
-                verdict = "G7_DUPLICATE_ANCHOR"
+        total, out = 0, {}
+        columns = {n: batch.column(n).to_pylist() for n in names}
+        for i in sorted(range(batch.num_rows), key=batch.column("__order").to_pylist().__getitem__):
+            obligation, anchor, added = (columns[n][i] for n in names[1:])
+            if any(obligation == t[0] for t in taken):
+                out[i] = "G7_DUPLICATE_OBLIGATION"
+            elif any(anchor == t[1] for t in taken):
+                out[i] = "G7_DUPLICATE_ANCHOR"
             elif len(taken) >= most:
-                verdict = "G7_PATCH_BUDGET"
-            elif words is not None and total + r.added_words > words:
-                verdict = "total_added_words"
+                out[i] = "G7_PATCH_BUDGET"
+            elif words is not None and total + added > words:
+                out[i] = "total_added_words"
             else:
-                verdict, total = "selected", total + r.added_words
-                taken.append((r.obligation_id, r.target_anchor_id))
-            out.append((getattr(r, query), r.candidate_id, verdict))
-        return pd.DataFrame(out, columns=schema.fieldNames())
+                out[i], total = "selected", total + added
+                taken.append((obligation, anchor))
+        return batch.drop_columns("__order").append_column("verdict", pa.array([out[i] for i in range(batch.num_rows)]))
 
-    keyed = rows.select(*names, F.to_json(F.transform(F.array(order), lambda x: x)).alias("__order"))
-    return rows.join(keyed.groupBy(query).applyInPandas(choose, schema), [query, "candidate_id"])
+    place = F.row_number().over(Window.partitionBy(query).orderBy(order))
+    return rows.withColumn("__order", place).groupBy(query).applyInArrow(choose, schema)
+
+
+def critic_selected(reviews: DataFrame, candidates: DataFrame, query: str, decision: str = "critic_decision", ids: str = "selected_ids", most: int = MOST_PATCHES, words: int = MOST_WORDS) -> DataFrame:
+    """(query, selected, reasons): the candidates that a critic's list keeps, in the critic's own order.
+
+    NONE selects nothing, without a reason. Another decision than PATCH, no list,
+    more than `most` ids, repeated ids, or an unknown id reject the whole list.
+    Of a sound list, a candidate is passed over whose anchor or obligation one
+    before has taken, or that would take the added words over `words`.
+    `candidates` has candidate_id, obligation_id, target_anchor_id and added_words.
+    """
+    said = F.transform(F.col(ids), lambda x: F.trim(x.cast("string")))
+    entry = F.struct(F.col("candidate_id").cast("string").alias("id"), F.col("obligation_id").cast("string").alias("obligation"), F.col("target_anchor_id").cast("string").alias("anchor"), F.col("added_words").cast("long").alias("added"))
+    known = candidates.groupBy(query).agg(F.collect_list(entry).alias("__known"))
+    met = reviews.join(known, query, "left").withColumn("__ids", said)
+    # Of candidates with one id, the last counts.
+    chosen = F.transform("__ids", lambda x: F.element_at(F.filter("__known", lambda c: c["id"] == x), -1))
+    verdict = F.upper(F.coalesce(F.col(decision), F.lit("")))
+    unknown = F.exists("__ids", lambda x: ~F.coalesce(F.exists("__known", lambda c: c["id"] == x), F.lit(False)))
+    fault = (
+        F.when((verdict != "PATCH") | F.col("__ids").isNull(), "invalid_critic_decision")
+        .when((F.size("__ids") > most) | (F.size(F.array_distinct("__ids")) != F.size("__ids")), "critic_selection_count_or_duplicates")
+        .when(unknown, "critic_selected_unknown_candidate")
+    )
+    none = F.array().cast("array<string>")
+    begin = F.struct(none.alias("selected"), none.alias("reasons"), none.alias("anchors"), none.alias("obligations"), F.lit(0).cast("long").alias("total"))
+
+    def take(acc: Column, c: Column) -> Column:
+        why = F.when(F.array_contains(acc["anchors"], c["anchor"]), "_duplicate_anchor").when(F.array_contains(acc["obligations"], c["obligation"]), "_duplicate_obligation").when(acc["total"] + c["added"] > words, "_total_added_words")
+        more = lambda name, x, ok: F.when(ok, F.concat(acc[name], F.array(x))).otherwise(acc[name]).alias(name)
+        fine = why.isNull()
+        return F.struct(more("selected", c["id"], fine), more("reasons", F.concat(c["id"], why), ~fine), more("anchors", c["anchor"], fine), more("obligations", c["obligation"], fine), (acc["total"] + F.when(fine, c["added"]).otherwise(0)).alias("total"))
+
+    walked = F.aggregate(chosen, begin, take)
+    sound = (verdict != "NONE") & fault.isNull()
+    found = met.withColumn("__fault", F.when(verdict != "NONE", fault)).withColumn("__walk", F.when(sound, walked))
+    return found.select(query, F.coalesce("__walk.selected", none).alias("selected"), F.when(F.col("__fault").isNotNull(), F.array("__fault")).otherwise(F.coalesce("__walk.reasons", none)).alias("reasons"))
 
 
 def applied(base: DataFrame, anchors: DataFrame, patches: DataFrame, query: str, answer: str) -> DataFrame:
-    """Each answer with all its patches, and the number of anchors changed.
+    """Each answer with all its patches, the number of anchors changed, and a log entry for each of them in the answer's order.
 
     Several patches of one anchor are joined: replacements first, then what is
-    appended. The text is put together from its spans: what is between anchors,
+    appended, each in order of the candidate's id. An entry names the anchor, its
+    candidates, their operations and number, and what was done. A blank text,
+    another operation or an unknown anchor raises an error. The text is put together from its spans: what is between anchors,
     and each changed anchor. Anchors are (anchor_id, start, end, anchor_text).
     """
     rank = F.when(F.col("operation") == "REPLACE_ANCHOR", 0).otherwise(1)
-    per = patches.groupBy(query, "target_anchor_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("o"), F.col("candidate_id").cast("string").alias("id"), F.trim("revised_text").alias("t")))), lambda x: x["t"]), " ").alias("text"),
-        F.min(rank).alias("first"),
-    )
-    met = per.join(anchors.withColumnRenamed("anchor_id", "target_anchor_id"), [query, "target_anchor_id"])
+    entries = F.array_sort(F.collect_list(F.struct(rank.alias("o"), F.col("candidate_id").cast("string").alias("id"), F.trim("revised_text").alias("t"), "operation")))
+    grouped = patches.groupBy(query, "target_anchor_id").agg(entries.alias("p"), F.min(rank).alias("first"))
+    wrong = F.exists("p", lambda x: ~F.coalesce(x["operation"].isin(*OPERATIONS), F.lit(False)))
+    fault = F.when(F.col("anchor_text").isNull(), "unknown anchor").when(wrong, "unknown operation").when(F.exists("p", lambda x: F.coalesce(x["t"], F.lit("")) == ""), "a patch needs a text")
+    each = lambda f: F.transform("p", lambda x: x[f])
+    action = F.when(F.col("first") == 0, "replace_then_append_all_same_anchor_candidates").otherwise("append_all_same_anchor_candidates")
+    entry = F.struct("target_anchor_id", each("id").alias("candidate_ids"), each("operation").alias("operations"), F.size("p").alias("candidate_count"), action.alias("action"))
+    met = grouped.join(anchors.withColumnRenamed("anchor_id", "target_anchor_id"), [query, "target_anchor_id"], "left")
+    met = met.filter(F.assert_true(fault.isNull(), fault).isNull()).withColumn("text", F.array_join(each("t"), " ")).withColumn("entry", entry)
     changed = F.when(F.col("first") == 0, F.col("text")).otherwise(F.concat_ws(" ", "anchor_text", "text"))
-    spans = met.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("start", "end", changed.alias("text")))).alias("spans"))
+    spans = met.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("start", "end", changed.alias("text"), "entry"))).alias("spans"))
     met = base.join(spans, query, "left")
     whole = F.col(answer)
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     built = F.aggregate(
-        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,text:string>>")),
+        F.coalesce(F.transform("spans", lambda x: x.dropFields("entry")), F.array().cast("array<struct<start:int,end:int,text:string>>")),
         begin,
         lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), s["text"]).alias("out")),
         lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))),
     )
-    return met.select(query, F.trim(built).alias("revised_answer"), F.coalesce(F.size("spans"), F.lit(0)).alias("actions"))
+    return met.select(query, F.trim(built).alias("revised_answer"), F.coalesce(F.size("spans"), F.lit(0)).alias("actions"), F.transform("spans", lambda x: x["entry"]).alias("log"))
+
+
+def checked_base(base: DataFrame, query: str, answer: str, digest: str) -> DataFrame:
+    """Base answers whose SHA-256, without white space around them, is the recorded one; another raises an error when it is read."""
+    text = F.regexp_replace(F.coalesce(F.col(answer), F.lit("")), r"(?U)^\s+|\s+$", "")
+    return base.filter(F.assert_true(F.coalesce(F.sha2(text, 256) == F.col(digest), F.lit(False)), F.concat(F.col(query).cast("string"), F.lit(": the base answer is not the recorded one"))).isNull()).withColumn(answer, text)
 
 
 def rematerialised(base: DataFrame, anchors: DataFrame, patches: DataFrame, query: str, answer: str, effect: str = "effect_class") -> DataFrame:
@@ -210,7 +261,7 @@ def rematerialised(base: DataFrame, anchors: DataFrame, patches: DataFrame, quer
     placed = judged.withColumn("operation", F.when(keeps, "APPEND_AFTER_ANCHOR").otherwise("REPLACE_ANCHOR"))
     entry = F.struct("start", F.col("candidate_id").cast("string").alias("candidate_id"), "target_anchor_id", "action")
     actions = judged.groupBy(query).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x.dropFields("start")).alias("actions"))
-    text = applied(base, anchors, placed.drop("start", "anchor_text", "action"), query, answer).drop("actions")
+    text = applied(base, anchors, placed.drop("start", "anchor_text", "action"), query, answer).drop("actions", "log")
     return text.join(actions, query, "left")
 
 

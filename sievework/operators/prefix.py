@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +12,20 @@ RANGES = 4096
 
 
 def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """`df` with `name`: the sum of `value` over all rows with a lesser `order`, an integer key without repeats.
+    """`df` with `name`: the sum of `value` over all rows with a lesser `order`, an integer key without repeats or nulls.
 
-    The key's span is cut into ranges; each range is summed, the ranges' sums
-    are accumulated, and rows are accumulated within their range.
+    Quantiles of the key cut it into ranges of about as many rows each, whatever
+    its gaps; each range is summed, the ranges' sums are accumulated, and rows
+    are accumulated within their range.
     """
-    low, high, n = df.agg(F.min(order), F.max(order), F.count("*")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) // max(1, min(RANGES, (n or 1) // 1000 + 1)))
-    ranged = df.withColumn("__range", F.floor((F.col(order) - F.lit(low or 0)) / width))
+    many = int(min(RANGES, df.count() // 1000))
+    cuts = np.array(sorted({int(x) for x in df.approxQuantile(order, [i / (many + 1) for i in range(1, many + 1)], 0.25 / (many + 1))}) if many else [], dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def placed(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, keys.to_numpy(dtype=np.int64), side="right").astype(np.int32))
+
+    ranged = df.withColumn("__range", placed(F.col(order).cast("long")) if len(cuts) else F.lit(0))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("__range").agg(F.sum(value).alias("__s")).withColumn("__start", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
     within = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

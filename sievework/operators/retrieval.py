@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.similarity import dot
 from sievework.functions.tokens import bm25_tokens, revision_tokens
+from sievework.sources.work import table
 
 #: Fixed values of the ranking function.
 K1, B = 1.2, 0.75
@@ -43,19 +44,23 @@ def bm25(
 ) -> DataFrame:
     """(question, document, score, rank) of the `top` documents with a positive score.
 
-    Texts are in columns `text`. Only tokens that some question asks for leave
-    the scan: the terms of the questions are few, so Spark broadcasts them and
-    counts on the map side. Documents for which `excluded` holds are not
+    Texts are in columns `text`. They are tokenised once, into a table of the
+    frequencies of terms that some question asks for, with a row of the empty
+    term for each document; numbers, lengths and document frequencies all come
+    from that table. Only asked terms leave the scan, counted on the map side.
+    Documents for which `excluded` holds are not
     returned, but count in the number of documents, their mean length and term
     frequencies. Ties go to the lesser document. Scores are rounded to nine
     decimals before they are ranked, so equal documents have equal scores.
     """
     asked = questions.select(question_id, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    stats = corpus_stats(docs, tokens=tokens)
-    n_docs, average = stats.select("n_docs").scalar(), F.coalesce(F.nullif(stats.select("avg_length").scalar(), F.lit(0.0)), F.lit(1.0))
+    wanted = asked.select("term").distinct().unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term")))
     words = docs.select(doc_id, (excluded if excluded is not None else F.lit(False)).alias("out"), tokens(F.col("text")).alias("words"))
-    found = words.select(doc_id, "out", F.size("words").alias("length"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = found.groupBy("term", doc_id, "out", "length").agg(F.count("*").alias("tf"))
+    found = words.select(doc_id, "out", F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term")).join(wanted, "term", "left_semi")
+    every = table(found.groupBy("term", doc_id, "out", "length").agg(F.count("*").alias("tf")), "bm25-terms")
+    stats = every.filter("term = ''").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("average"))
+    n_docs, average = stats.select("n").scalar(), F.coalesce(F.nullif(stats.select("average").scalar(), F.lit(0.0)), F.lit(1.0))
+    tf = every.filter("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = positive(n_docs, F.col("df")) if positive else F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / average))
@@ -76,20 +81,15 @@ def first_per_core(hits: DataFrame, question_id: str, core: str, limit: int) ->
     return ranked(best, [question_id], [F.asc("facet_rank")], limit, "core_rank")
 
 
-def dense_scores(queries: DataFrame, facets: DataFrame, query_id: str, vector: str = "embedding", block: int | None = None) -> DataFrame:
+def dense_scores(queries: DataFrame, facets: DataFrame, query_id: str, vector: str = "embedding", block: int = 100) -> DataFrame:
     """All facets with the dot product of each query's vector.
 
-    The queries are a stated set against all facets: each facet's row meets an
-    array of all query vectors, a single row, so nothing is shuffled. With
-    `block`, queries whose ids are in one run of that length are one row, and
-    Spark chooses how the rows meet: a query set that grows needs no single row.
+    The queries are a stated set against all facets, in blocks: queries whose ids
+    are in one run of `block` are one row, an array of vectors, that meets each
+    facet's row. Spark chooses how the rows meet.
     """
-    if block:
-        blocks = queries.groupBy(F.floor(F.col(query_id) / block).alias("__block"))
-    else:
-        blocks = queries.groupBy()
-    asked = blocks.agg(F.array_sort(F.collect_list(F.struct(F.col(query_id).alias("id"), F.col(vector).alias("v")))).alias("__asked")).drop("__block")
-    met = facets.crossJoin(asked if block else F.broadcast(asked)).withColumn("__q", F.explode("__asked"))
+    asked = queries.groupBy(F.floor(F.col(query_id) / block).alias("__block")).agg(F.array_sort(F.collect_list(F.struct(F.col(query_id).alias("id"), F.col(vector).alias("v")))).alias("__asked")).drop("__block")
+    met = facets.crossJoin(asked).withColumn("__q", F.explode("__asked"))
     return met.select(F.col("__q.id").alias(query_id), *[c for c in facets.columns if c != vector], F.round(dot(F.col("__q.v"), F.col(vector)), 9).alias("score"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.similarity import coverage, term_cosine, token_f1
@@ -230,6 +230,25 @@ def component_rows(rows: DataFrame, answer: str, reference: str, anchor: str, ke
     return raw.withColumns({"soft_gate_score": soft, "item_score": item_score(*[F.col(c) for c in COMPONENTS])}).drop("__support", "__claims", "__overlaps")
 
 
+def exact_rows(predictions: DataFrame, references: DataFrame, supports: DataFrame, item: str, support: str) -> DataFrame:
+    """Predictions with their reference and support record; each prediction must have exactly one of either.
+
+    A prediction without a reference or support record, or with several, raises
+    an error when it is read, as does a null id. An empty support text counts
+    only if its record is there; a null text is no record.
+    """
+    gold = references.withColumn("__refs", F.count("*").over(Window.partitionBy(item)))
+    told = supports.filter(F.col(support).isNotNull()).withColumn("__supports", F.count("*").over(Window.partitionBy(item)))
+    met = predictions.join(gold, item, "left").join(told.select(item, support, "__supports"), item, "left")
+    fault = (
+        F.when(F.coalesce(F.trim(F.col(item).cast("string")), F.lit("")) == "", "an item needs an id")
+        .when(F.col("__supports").isNull(), "an item has no support record")
+        .when(F.col("__refs").isNull(), "an item has no reference")
+        .when((F.col("__refs") > 1) | (F.col("__supports") > 1), "an item has several references or support records")
+    )
+    return met.filter(F.assert_true(fault.isNull(), fault).isNull()).drop("__refs", "__supports")
+
+
 def mcq_accuracy(questions: DataFrame, predictions: DataFrame, position: str, expected: int) -> DataFrame:
     """Exact matches of options by position (from 1); any other number of rows or positions raises an error."""
     same = (F.upper(F.trim("predicted_option")) == F.upper(F.trim("correct_option"))).cast("long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.operators.prefix import running_sum
+from sievework.sources.work import table
 
 #: Fixed values of the estimator.
 MAD_NORMALISER, HUBER_C, TOLERANCE, ITERATIONS = 0.6744897501960817, 1.345, 1e-12, 1000
@@ -20,20 +22,23 @@ MAD_NORMALISER, HUBER_C, TOLERANCE, ITERATIONS = 0.6744897501960817, 1.345, 1e-1
 def huber_by(df: DataFrame, by: list[str], value: str, most: int = 2_000_000) -> DataFrame:
     """Mean, median, Huber location, scale, and the number of values weighted down, for each group.
 
-    Groups of up to `most` values are reweighted in memory, a group per task;
-    the sizes are counted first. Larger ones go through huber_large().
+    Each group of up to `most` values is reweighted in one task's memory; only
+    the larger ones go through huber_large(), by the same rule and tolerance.
     """
     data = df.select(*by, F.col(value).cast("double").alias("value")).filter("value is not null")
-    sizes = data.groupBy(*by).agg(F.count("*").alias("n"))
-    if (sizes.agg(F.max("n")).first()[0] or 0) > most:
-        return huber_large(data, by)
+    sizes = table(data.groupBy(*by).agg(F.count("*").alias("n")), "sizes")
     schema = T.StructType([*[data.schema[c] for c in by], T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("mean", "median", "huber", "robust_scale")], T.StructField("downweighted", T.LongType())])
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = rows["value"].to_numpy(dtype=float)
         return pd.DataFrame([[*key, len(x), x.mean(), np.median(x), *huber_array(x)]], columns=schema.fieldNames())
 
-    return data.groupBy(*by).applyInPandas(one, schema)
+    large = sizes.filter(F.col("n") > most).drop("n")
+    if large.isEmpty():
+        return data.groupBy(*by).applyInPandas(one, schema)
+    same = lambda a, b: functools.reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in by])
+    small = data.join(large, same(data, large), "left_anti").groupBy(*by).applyInPandas(one, schema)
+    return small.unionByName(huber_large(data.join(large, same(data, large), "left_semi"), by))
 
 
 def huber_array(x: np.ndarray) -> tuple[float, float, int]:
@@ -50,28 +55,34 @@ def huber_array(x: np.ndarray) -> tuple[float, float, int]:
     return center, scale, int((np.abs((x - center) / scale) > HUBER_C).sum())
 
 
-def huber_large(data: DataFrame, by: list[str], tolerance: float = 1e-10, rounds: int = 60) -> DataFrame:
+def huber_large(data: DataFrame, by: list[str], tolerance: float = TOLERANCE, rounds: int = ITERATIONS) -> DataFrame:
     """huber_by() for groups of any size: each reweighting is one aggregation with partial sums.
 
-    Centers are one row a group; between rounds they pass through the driver.
+    A group's center is settled when it moves less than `tolerance`. Centers, a
+    row for each group, are a table in the shared folder; the driver only learns
+    whether all are settled.
     """
-    spark = data.sparkSession
-    start = data.groupBy(*by).agg(F.avg("value").alias("mean"), F.expr("percentile(value, 0.5)").alias("median"), F.count("*").alias("n"))
-    mad = data.join(start, by).groupBy(*by).agg((F.expr("percentile(abs(value - median), 0.5)") / MAD_NORMALISER).alias("scale"))
-    state = spark.createDataFrame(start.join(mad, by).withColumn("center", F.when(F.col("scale") <= TOLERANCE, F.col("mean")).otherwise(F.col("median"))).toArrow())
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"__k{i}") for i, c in enumerate(by)] + [F.col(c).isNull().alias(f"__n{i}") for i, c in enumerate(by)]
+    names = [f"__{x}{i}" for x in "kn" for i in range(len(by))]
+    data = data.select("*", *keys)
+    start = data.groupBy(*by, *names).agg(F.avg("value").alias("mean"), F.expr("percentile(value, 0.5)").alias("median"), F.count("*").alias("n"))
+    mad = data.join(start.drop(*by), names).groupBy(*names).agg((F.expr("percentile(abs(value - median), 0.5)") / MAD_NORMALISER).alias("scale"))
+    flat = F.col("scale") <= TOLERANCE
+    state = table(start.join(mad, names).withColumn("center", F.when(flat, F.col("mean")).otherwise(F.col("median"))).withColumn("settled", flat), "huber")
+    values = data.drop(*by)
+    z = F.abs((F.col("value") - F.col("center")) / F.col("scale"))
+    weight = F.lit(HUBER_C) / F.greatest(z, F.lit(HUBER_C))
     for _ in range(rounds):
-        z = F.abs((F.col("value") - F.col("center")) / F.col("scale"))
-        weight = F.when(z <= HUBER_C, F.lit(1.0)).otherwise(HUBER_C / z)
-        moved = data.join(state, by).filter(F.col("scale") > TOLERANCE).groupBy(*by).agg((F.sum(weight * F.col("value")) / F.sum(weight)).alias("next"))
-        state = spark.createDataFrame(state.join(moved, by, "left").withColumn("next", F.coalesce("next", "center")).toArrow())
-        still = state.filter(F.abs(F.col("next") - F.col("center")) >= tolerance).isEmpty()
-        state = state.drop("center").withColumnRenamed("next", "center")
-        if still:
+        open_ = state.filter(~F.col("settled"))
+        if open_.isEmpty():
             break
-    over = F.sum((F.abs((F.col("value") - F.col("center")) / F.col("scale")) > HUBER_C).cast("long"))
-    down = data.join(state, by).filter(F.col("scale") > TOLERANCE).groupBy(*by).agg(over.alias("downweighted"))
-    robust = F.when(F.col("scale") <= TOLERANCE, F.lit(0.0)).otherwise(F.col("scale"))
-    return state.join(down, by, "left").select(*by, "n", "mean", "median", F.col("center").alias("huber"), robust.alias("robust_scale"), F.coalesce("downweighted", F.lit(0)).alias("downweighted"))
+        moved = values.join(open_.drop(*by), names).groupBy(*names).agg((F.sum(weight * F.col("value")) / F.sum(weight)).alias("next"))
+        met = state.join(moved, names, "left")
+        settled = F.col("settled") | (F.abs(F.col("next") - F.col("center")) < tolerance)
+        state = table(met.withColumn("settled", settled).withColumn("center", F.coalesce("next", "center")).drop("next"), "huber")
+    down = values.join(state.drop(*by), names).filter(F.col("scale") > TOLERANCE).groupBy(*names).agg(F.sum((z > HUBER_C).cast("long")).alias("downweighted"))
+    robust = F.when(flat, F.lit(0.0)).otherwise(F.col("scale"))
+    return state.join(down, names, "left").select(*by, "n", "mean", "median", F.col("center").alias("huber"), robust.alias("robust_scale"), F.coalesce("downweighted", F.lit(0)).alias("downweighted"))
 
 
 def nearest_rank(value: str, q: float) -> Column:
@@ -83,15 +94,17 @@ def paired_bootstrap(pairs: DataFrame, item: str, left: str, right: str, iterati
     """One row: the mean difference and its 95 % interval over resampled pairs, ends by nearest rank.
 
     Items are integers without repeats. Replicate r draws n pairs with
-    replacement: the i-th draw is the pair whose number (by item) is a hash of (seed, r, i) modulo n. Draws are generated and
-    summed where they are made; what is shuffled is one sum per replicate and task.
+    replacement: the i-th draw is the pair whose number (by item) is a hash of
+    (seed, r, i) modulo n. The numbered pairs are a table, so Spark knows their
+    size: if they are few they are broadcast, draws are summed where they are
+    made, and what is shuffled is one sum per replicate and task.
     """
     n = pairs.count()
     if not n or iterations < 40:
         raise ValueError("nonempty pairs and at least 40 replicates are required")
     numbered = running_sum(pairs.withColumn("__one", F.lit(1)), item, "__one", "i").select(F.col("i").cast("long").alias("i"), (F.col(left) - F.col(right)).alias("d"))
     draws = pairs.sparkSession.range(iterations * n).select((F.col("id") / F.lit(n)).cast("long").alias("r"), F.pmod(drawn(seed, F.col("id")), F.lit(n)).alias("i"))
-    means = draws.join(F.broadcast(numbered) if n <= 100_000 else numbered, "i").groupBy("r").agg((F.sum("d") / n).alias("m"))
+    means = draws.join(table(numbered, "pairs"), "i").groupBy("r").agg((F.sum("d") / n).alias("m"))
     low, high = max(0, math.ceil(0.025 * iterations) - 1), max(0, math.ceil(0.975 * iterations) - 1)
     ends = means.agg(F.array_sort(F.collect_list("m")).alias("s")).select(F.col("s")[low].alias("low"), F.col("s")[high].alias("high"))
     return pairs.agg(F.avg(F.col(left) - F.col(right)).alias("difference"), F.count("*").alias("items")).join(ends).withColumn("iterations", F.lit(iterations))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.operators.prefix import running_sum
+from sievework.sources.work import table
 
 #: The label of positions that are not learned.
 IGNORED = -100
@@ -19,11 +20,13 @@ IGNORED = -100
 def contiguous_blocks(docs: DataFrame, key: str, tokens: str, length: int, end: int, pad: int) -> DataFrame:
     """(block, input_ids, valid): the stream of all documents' ids, each followed by `end`, cut every `length`.
 
-    A running sum gives each document its place in the stream. A document
-    sends a slice to each block it reaches, and a block joins its slices.
+    The ids are made once, into a table; a running sum over its lengths gives
+    each document its place in the stream. A document sends a slice to each block
+    it reaches, and a block joins its slices.
     """
     stream = docs.select(key, F.concat(F.col(tokens), F.array(F.lit(end))).alias("__ids")).filter(F.size("__ids") > 1)
-    placed = running_sum(stream.withColumn("__n", F.size("__ids")), key, "__n", "__at")
+    stream = table(stream.withColumn("__n", F.size("__ids")), "ids")
+    placed = stream.join(running_sum(stream.select(key, "__n"), key, "__n", "__at").drop("__n"), key)
     blocks = F.sequence(F.floor(F.col("__at") / length), F.floor((F.col("__at") + F.col("__n") - 1) / length))
     cut = placed.withColumn("block", F.explode(blocks))
     start = F.greatest(F.lit(0), F.col("block") * length - F.col("__at")).cast("int")
@@ -78,11 +81,59 @@ def weighted_example(prefix: Column, answer: Column, weight: Column, length: int
 
 
 def valid_chat(messages: Column, roles: tuple[str, ...] = ("system", "user", "assistant")) -> Column:
-    """Whether a message list has exactly these roles and no blank content."""
+    """Whether a whole message list has exactly these roles and no blank content."""
     same = F.transform(messages, lambda m: m["role"]) == F.array(*[F.lit(r) for r in roles])
     return same & ~F.exists(messages, lambda m: F.trim(F.coalesce(m["content"], F.lit(""))) == "")
 
 
+def encoded_chats(rows: DataFrame, messages: str, prefix: str, full: str, most: int, targets: int = 4) -> DataFrame:
+    """`rows` with labels and the fault that forbids their use, or null.
+
+    `prefix` and `full` are the ids of the messages without and with the answer,
+    made by a tokenizer. The full ids must begin with the prefix's, which are
+    not learned, have at most `most` ids, and leave at least `targets` of them.
+    """
+    n, m = F.size(prefix), F.size(full)
+    labels = F.concat(F.array_repeat(F.lit(IGNORED), n), F.slice(full, n + 1, F.greatest(m - n, F.lit(0))))
+    fault = (
+        F.when(~F.coalesce(valid_chat(F.col(messages)), F.lit(False)), "roles")
+        .when(F.coalesce(F.slice(full, 1, n) != F.col(prefix), F.lit(True)), "prefix")
+        .when(m > most, "length")
+        .when(m - n < targets, "targets")
+    )
+    return rows.withColumn("fault", fault).withColumn("labels", F.when(F.col("fault").isNull(), labels))
+
+
+def packed_examples(rows: DataFrame, group: str, key: str, ids: str, labels: str, weights: str, capacity: int, pad: int, sample_weight: str, seed: int = 0) -> DataFrame:
+    """Blocks of examples in an order shuffled by `seed`: a new block when the next doesn't fit, closed when exactly full.
+
+    Columns: the group, block, input_ids, labels and weights (the group's last
+    block padded to `capacity`), valid, learned, samples and sample_weight. A
+    block without learned ids or weight raises an error when it is read; so does
+    a group whose blocks' weights aren't its examples' (conserved()).
+    """
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    placed = next_fit(rows.select(group, key, F.size(ids).alias("__size"), order.alias("__order")), group, key, "__size", capacity, ["__order", key], flush_full=True)
+    met = rows.join(placed, [group, key])
+    parts = F.array_sort(F.collect_list(F.struct("place", F.col(ids).alias("i"), F.col(labels).alias("l"), F.col(weights).alias("w"))))
+    joined = lambda c: F.flatten(F.transform("__parts", lambda x: x[c]))
+    blocks = met.groupBy(group, "block").agg(parts.alias("__parts"), F.count("*").alias("samples"), F.sum(sample_weight).alias("sample_weight"))
+    last = F.col("block") == F.max("block").over(Window.partitionBy(group))
+    sized = blocks.select(group, "block", "samples", "sample_weight", joined("i").alias("input_ids"), joined("l").alias("labels"), joined("w").alias("weights"), last.alias("__last")).withColumn("valid", F.size("input_ids"))
+    gap = F.when(F.col("__last"), F.lit(capacity) - F.col("valid")).otherwise(0)
+    fill = lambda c, x: F.concat(c, F.array_repeat(F.lit(x), gap))
+    made = sized.withColumn("learned", F.size(F.filter("labels", lambda x: x != IGNORED))).withColumns({"input_ids": fill("input_ids", pad), "labels": fill("labels", IGNORED), "weights": fill("weights", 0.0)}).drop("__last")
+    return made.filter(F.assert_true((F.col("learned") > 0) & (F.col("sample_weight") > 0), F.lit("a block has nothing to learn")).isNull())
+
+
+def conserved(blocks: DataFrame, rows: DataFrame, group: str, weight: str, tolerance: float = 1e-5) -> DataFrame:
+    """(group, before, after, conserved): whether the blocks' weights are their examples'."""
+    before = rows.groupBy(group).agg(F.sum(weight).alias("before"))
+    after = blocks.groupBy(group).agg(F.sum("sample_weight").alias("after"))
+    both = before.join(after, group, "full_outer").select(group, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("before", "after")])
+    return both.withColumn("conserved", F.abs(F.col("before") - F.col("after")) <= tolerance)
+
+
 def learning_rate(step: Column, warmup: int, total: int) -> Column:
     """The factor of a linear warm-up and a cosine fall."""
     progress = F.least((step - warmup) / max(1, total - warmup), F.lit(1.0))

@@ -52,8 +52,8 @@ def source_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excerpts of each question's ten best documents, and which of them are kept as diverse."""
-    top = _ranking(spark, sf_dir).filter("rank <= 10").join(evidence_docs(spark, sf_dir), "doc_id")
+    """Excerpts of each question's ranked documents, and which of them are kept as diverse."""
+    top = _ranking(spark, sf_dir).join(evidence_docs(spark, sf_dir), "doc_id")
     met = top.join(questions(spark, sf_dir).select("item_id", E.words(F.col("text")).alias("q")), "item_id")
     cut = E.with_excerpt(met, "text", "q", 330, 2).select("item_id", "rank", "excerpt")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "excerpt"))), lambda x: x["excerpt"])
@@ -61,12 +61,12 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("item_id", "excerpts", F.size("kept").alias("kept"), F.size("units").alias("units"), F.sha2(F.array_join("kept", "\n"), 256).alias("sha256"))
 
 
-def deep_packets(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def deep_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic packs from documents: the core is the id modulo 50, types in turn, the retrieval text that of the document itself."""
     families = F.array(*[F.lit(f) for f in E.FAMILY_WORDS])
     types = F.array(*[F.lit(t) for t in E.TYPE_BOOST["stability_failure"]])
     packs = load(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("core_id"), F.col("doc_id").alias("card_id"), F.element_at(types, (F.col("doc_id") % 6 + 1).cast("int")).alias("card_type"), F.col("text").alias("embedding_text"), F.col("text").alias("retrieval_text"))
-    asked = questions(spark, sf_dir).filter("true" if whole else "item_id < 10").select("item_id", E.words(F.col("text")).alias("query_words"), F.element_at(families, (F.col("item_id") % 4 + 1).cast("int")).alias("family"))
+    asked = questions(spark, sf_dir).select("item_id", E.words(F.col("text")).alias("query_words"), F.element_at(families, (F.col("item_id") % 4 + 1).cast("int")).alias("family"))
     ranked = asked.withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(25)))).withColumn("core_id", F.pmod(F.col("item_id") + F.col("rank"), F.lit(50)))
     chosen = E.topic_packs(packs.join(ranked, "core_id"), "item_id", "core_id", "card_id")
     found = E.deep_papers(E.paper_units(chosen, "item_id", "core_id", "card_id"), "item_id", "core_id", "card_id")
@@ -150,9 +150,15 @@ def patch_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def critic_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Critic choices: in order of the id, at most six patches and 320 words."""
-    rows = patch_rows(spark, sf_dir).filter("decision = 'ACCEPT'")
-    return P.budgeted(rows, "query_id", F.struct(F.format_string("%012d", "candidate_id")), P.MOST_PATCHES, P.MOST_WORDS).select("query_id", "candidate_id", "verdict")
+    """Critics' lists of up to four of a user's newest events: some say NONE, some repeat an id or name an unknown one."""
+    i = F.col("candidate_id")
+    rows = patch_rows(spark, sf_dir).withColumn("added_words", (i % 4 * 60 + 10).cast("int"))
+    lists = rows.groupBy("query_id").agg(F.slice(F.reverse(F.array_sort(F.collect_list("candidate_id"))), 1, 4).alias("l"))
+    q = F.col("query_id")
+    odd = F.when(q % 7 == 3, F.concat("l", F.slice("l", 1, 1))).when(q % 7 == 5, F.concat("l", F.array(F.lit(-1).cast("bigint")))).otherwise(F.col("l"))
+    reviews = lists.select("query_id", F.transform(odd, lambda x: x.cast("string")).alias("selected_ids"), F.when(q % 7 == 1, "none").when(q % 7 == 2, "MAYBE").otherwise("patch").alias("critic_decision"))
+    found = P.critic_selected(reviews, rows, "query_id")
+    return found.select("query_id", F.array_join("selected", ",").alias("selected"), F.array_join("reasons", ",").alias("reasons"))
 
 
 def patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +167,7 @@ def patch_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = talk.lateralJoin(Anchors(F.col("text").outer())).drop("text")
     chosen = anchors.filter("anchor_id in ('S001', 'S002')").select("query_id", F.col("anchor_id").alias("target_anchor_id"), F.col("anchor_id").alias("candidate_id"), F.when(F.col("anchor_id") == "S001", "APPEND_AFTER_ANCHOR").otherwise("REPLACE_ANCHOR").alias("operation"), F.lit("New words.").alias("revised_text"))
     found = P.applied(talk, anchors, chosen, "query_id", "text")
-    return found.select("query_id", "actions", F.length("revised_answer").alias("n_chars"), F.sha2("revised_answer", 256).alias("sha256"))
+    return found.select("query_id", "actions", F.to_json("log").alias("log"), F.length("revised_answer").alias("n_chars"), F.sha2("revised_answer", 256).alias("sha256"))
 
 
 def patch_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,13 +175,15 @@ def patch_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = patch_rows(spark, sf_dir).withColumn("similarity", F.lit(0.0))
     base = rows.groupBy("query_id").agg(F.first("base_answer").alias("text"))
     anchors = base.lateralJoin(Anchors(F.col("text").outer())).drop("text")
+    there = anchors.groupBy("query_id").agg(F.collect_set("anchor_id").alias("there"))
+    rows = rows.join(there, "query_id").withColumn("anchor_known", F.col("anchor_known") & F.array_contains("there", F.col("target_anchor_id"))).drop("there")
     return P.revised(base, anchors, rows, "query_id", "text").select("query_id", "revised_answer", "actions", F.size("removed").alias("removed"))
 
 
-def record_ranking(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """The five best documents of each of ten questions (`whole`: of all) as evidence records; their value is their length."""
-    asked = questions(spark, sf_dir).filter("true" if whole else "item_id < 10").select("item_id", E.words(F.col("text")).alias("q"))
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "n_chars").join(F.broadcast(asked))
+def record_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best documents of each question as evidence records; their value is their length."""
+    asked = questions(spark, sf_dir).select("item_id", E.words(F.col("text")).alias("q"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "n_chars").crossJoin(asked)
     scored = docs.withColumn("score", F.round(E.record_score(F.col("text"), F.col("q"), F.lit("stability_failure"), F.col("n_chars").cast("double")), 6)).filter("score is not null")
     return R.ranked(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], 5).select("item_id", "doc_id", "score", "rank")
 
@@ -192,7 +200,7 @@ def prediction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prompt of each question and its evidence blocks."""
-    blocks = _blocks(spark, sf_dir).filter("rank <= 3").groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("evidence_id", "text"))).alias("e"))
+    blocks = _blocks(spark, sf_dir).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("evidence_id", "text"))).alias("e"))
     met = blocks.join(questions(spark, sf_dir), "item_id")
     return met.select("item_id", F.sha2(P.prompt("# Question\n{q}\n# Evidence\n{e}", q=F.col("text"), e=P.numbered_lines(F.col("e"), "evidence_id", "text")), 256).alias("sha256"))
 
@@ -253,8 +261,8 @@ def contiguous_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nextfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "conversations").select((F.col("conv_id") % 8).alias("shard"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.least(F.size(_word_ids(F.col("text"))), F.lit(512)).alias("n"))
-    return L.next_fit(rows, "shard", "id", "n", 512)
+    rows = load(spark, sf_dir, "conversations").select((F.col("conv_id") % 8).alias("shard"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.size(_word_ids(F.col("text"))).alias("n"))
+    return L.next_fit(rows, "shard", "id", "n", rows.agg(F.greatest(F.lit(512), F.max("n"))).first()[0] or 512)
 
 
 def weighted_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +276,7 @@ def sft_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = load(spark, sf_dir, "conversations")
     message = F.struct(F.col("role").alias("role"), F.col("text").alias("content"))
     per = talk.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]).alias("messages"))
-    return per.select("conv_id", F.size("messages").alias("turns"), L.valid_chat(F.slice("messages", 1, 3)).alias("valid"))
+    return per.select("conv_id", F.size("messages").alias("turns"), L.valid_chat(F.col("messages")).alias("valid"))
 
 
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,7 +385,7 @@ ORACLE_SQL = {
                CASE WHEN len(rs) = 0 AND i > first THEN 'invalid_candidate_id' ELSE coalesce(array_to_string(rs, ','), '') END AS reasons FROM f""",
     "prediction_rows": "SELECT conv_id * 100 + turn AS benchmark_id, 'm' AS model, sha256(coalesce(text, '')) AS answer_sha256, 'general' AS prompt_route, CASE WHEN turn % 3 = 0 THEN 'length' ELSE 'stop' END AS finish_reason, turn % 3 = 0 AND trim(coalesce(text, '')) <> '' AS nonempty_length_limited_retained FROM conversations WHERE role = 'assistant'",
     "constraint_phrases": "SELECT item_id, 'one control only; must be fixed|Without changing it, ONE CONTROL ONLY; must be fixed|must be fixed' AS found FROM benchmark",
-    "record_ranking": f"""WITH q AS (SELECT item_id, {_evidence('text')} AS q FROM benchmark WHERE item_id < 10), d AS (SELECT doc_id, n_chars, {_evidence('text')} AS w FROM documents),
+    "record_ranking": f"""WITH q AS (SELECT item_id, {_evidence('text')} AS q FROM benchmark), d AS (SELECT doc_id, n_chars, {_evidence('text')} AS w FROM documents),
         s AS (SELECT item_id, doc_id, len(list_intersect(q, w)) AS k, len(q) AS n, len(list_intersect({E.FAMILY_WORDS['stability_failure']!r}, w)) AS f, n_chars FROM q, d),
         r AS (SELECT item_id, doc_id, round(k * 2.2 + 10.0 * k / greatest(1, n) + 0.55 * f + ln(1 + n_chars) / 2.5 + 2, 6)::DOUBLE AS score FROM s WHERE k >= 2),
         o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r)
@@ -388,7 +396,7 @@ ORACLE_SQL = {
     "first_per_family": "SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) WHERE r <= 5",
     "canonical_questions": "SELECT CAST(item_id AS VARCHAR) AS id, CAST(item_id % 4 AS VARCHAR) AS family, CASE WHEN item_id % 4 < 2 THEN CAST(item_id % 4 AS VARCHAR) ELSE 'general' END AS route, CASE WHEN item_id % 2 = 0 THEN 'E' ELSE 'S' END AS condition, CASE item_id % 4 WHEN 0 THEN 'Mechanism.' WHEN 1 THEN 'Stability.' ELSE 'Answer.' END || '|' || trim(text) AS messages FROM benchmark",
     "json_objects": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events",
-    "sft_filter": """WITH t AS (SELECT conv_id, list(role ORDER BY turn)[1:3] AS r, list(text ORDER BY turn)[1:3] AS x, count(*) AS n FROM conversations GROUP BY 1)
+    "sft_filter": """WITH t AS (SELECT conv_id, list(role ORDER BY turn) AS r, list(text ORDER BY turn) AS x, count(*) AS n FROM conversations GROUP BY 1)
         SELECT conv_id, CAST(n AS INTEGER) AS turns, array_to_string(r, ',') = 'system,user,assistant' AND len(list_filter(x, lambda y: trim(coalesce(y, '')) = '')) = 0 AS valid FROM t""",
     "lr_schedule": "SELECT s AS step, round(CASE WHEN s < 100 THEN s / 100.0 ELSE greatest(0, 0.5 * (1 + cos(pi() * least(1.0, (s - 100) / 900.0)))) END, 9)::DOUBLE AS factor FROM range(0, 1001) t(s)",
     "checkpoint_retention": "SELECT s AS step, row_number() OVER (ORDER BY s DESC) <= 3 OR s % 500 = 0 AS kept FROM range(50, 2050, 50) t(s)",

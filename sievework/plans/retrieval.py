@@ -37,73 +37,73 @@ def lexical_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("item_id", T.lexical_expression(F.concat(F.col("text"), F.lit(" phase segregation of mixed halide 42 cells"))).alias("expression"))
 
 
-def _dense(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return R.dense_scores(query_vectors(spark, sf_dir, whole), facets(spark, sf_dir), "query_id", block=BLOCK if whole else None)
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.dense_scores(query_vectors(spark, sf_dir), facets(spark, sf_dir), "query_id", block=BLOCK)
 
 
-def dense_dot_topk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    top = R.ranked(_dense(spark, sf_dir, whole), ["query_id"], [F.desc("score"), F.asc("vec_id")], TOP)
+def dense_dot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = R.ranked(_dense(spark, sf_dir), ["query_id"], [F.desc("score"), F.asc("vec_id")], TOP)
     return top.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _lanes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return R.lane_top(_dense(spark, sf_dir, whole), "query_id", "lane", "vec_id", 30)
+def _lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.lane_top(_dense(spark, sf_dir), "query_id", "lane", "vec_id", 30)
 
 
-def lane_zscore_topk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _lanes(spark, sf_dir, whole).select("query_id", "lane", "vec_id", F.round("z", 9 if whole else 6).alias("z"), "lane_rank")
+def lane_zscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lanes(spark, sf_dir).select("query_id", "lane", "vec_id", F.round("z", 9).alias("z"), "lane_rank")
 
 
-def _cores(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _cores(spark: SparkSession, sf_dir: str) -> DataFrame:
     weight = F.when(F.col("vec_id") % 3 == 0, F.lit(0.0)).otherwise(1.0 + (F.col("vec_id") % 5) / 10.0)
-    return R.core_aggregate(_lanes(spark, sf_dir, whole), "query_id", "core_id", "lane", "vec_id", 1500, weight=weight)
+    return R.core_aggregate(_lanes(spark, sf_dir), "query_id", "core_id", "lane", "vec_id", 1500, weight=weight)
 
 
-def core_aggregate(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _cores(spark, sf_dir, whole).select("query_id", "core_id", F.round("dense_score", 6).alias("dense_score"), F.round("primary_score", 6).alias("primary_score"), F.round("support_score", 6).alias("support_score"), "dense_rank")
+def core_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cores(spark, sf_dir).select("query_id", "core_id", F.round("dense_score", 6).alias("dense_score"), F.round("primary_score", 6).alias("primary_score"), F.round("support_score", 6).alias("support_score"), "dense_rank")
 
 
-def _lexical_facets(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Facet hits of twenty stated questions (`whole`: of all): documents as facets, their id modulo 100 as cores."""
-    asked = questions(spark, sf_dir).filter("true" if whole else "item_id < 20").withColumnRenamed("item_id", "query_id")
+def _lexical_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facet hits of all questions: documents as facets, their id modulo 100 as cores."""
+    asked = questions(spark, sf_dir).withColumnRenamed("item_id", "query_id")
     found = R.bm25(evidence_docs(spark, sf_dir), asked, "doc_id", "query_id", 2000)
     return found.withColumn("core_id", F.col("doc_id") % 100)
 
 
-def _lexical(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return R.first_per_core(_lexical_facets(spark, sf_dir, whole), "query_id", "core_id", 1200)
+def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.first_per_core(_lexical_facets(spark, sf_dir), "query_id", "core_id", 1200)
 
 
-def lexical_first_core(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    # Of all questions some score ends in a 5 after six decimals, which engines round either way: `whole` keeps the nine it is ranked by, as for z.
-    return _lexical(spark, sf_dir, whole).select("query_id", "core_id", "doc_id", "facet_rank", "core_rank", F.round("score", 9 if whole else 6).alias("score"))
+def lexical_first_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Some scores end in a 5 after six decimals, which engines round either way: these keep the nine that they are ranked by, as z does.
+    return _lexical(spark, sf_dir).select("query_id", "core_id", "doc_id", "facet_rank", "core_rank", F.round("score", 9).alias("score"))
 
 
-def fts_first_core(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def fts_first_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As lexical_first_core, over stemmed terms and the inverse frequency of full-text search, log((N - n + 0.5) / (n + 0.5)), at least 1e-6."""
     from sievework.functions.python import porter_tokens
 
-    asked = questions(spark, sf_dir).filter("true" if whole else "item_id < 20").withColumnRenamed("item_id", "query_id")
+    asked = questions(spark, sf_dir).withColumnRenamed("item_id", "query_id")
     idf = lambda n, df: F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
     found = R.bm25(evidence_docs(spark, sf_dir), asked, "doc_id", "query_id", 2000, tokens=porter_tokens, positive=idf)
     best = R.first_per_core(found.withColumn("core_id", F.col("doc_id") % 100), "query_id", "core_id", 1200)
     return best.select("query_id", "core_id", "doc_id", "facet_rank", "core_rank", F.round("score", 6).alias("score"))
 
 
-def _fusion(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    dense = _cores(spark, sf_dir, whole).select("query_id", "core_id", "dense_rank", "hits")
-    lexical = _lexical(spark, sf_dir, whole).select("query_id", "core_id", F.col("core_rank").alias("lexical_rank"), F.col("doc_id").alias("lexical_record"))
+def _fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = _cores(spark, sf_dir).select("query_id", "core_id", "dense_rank", "hits")
+    lexical = _lexical(spark, sf_dir).select("query_id", "core_id", F.col("core_rank").alias("lexical_rank"), F.col("doc_id").alias("lexical_record"))
     return R.fused(dense, lexical, "query_id", "core_id")
 
 
-def rrf_fusion(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return _fusion(spark, sf_dir, whole).select("query_id", "core_id", "dense_rank", "lexical_rank", F.round("rrf", 9).alias("rrf"), "rank")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fusion(spark, sf_dir).select("query_id", "core_id", "dense_rank", "lexical_rank", F.round("rrf", 9).alias("rrf"), "rank")
 
 
-def hybrid_results(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def hybrid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = evidence_docs(spark, sf_dir)
     records = docs.select(F.col("doc_id").alias("vec_id"), (F.col("doc_id") % 100).alias("core_id"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), "text")
-    found = R.hybrid_results(_fusion(spark, sf_dir, whole), records, "query_id", "core_id", "vec_id")
+    found = R.hybrid_results(_fusion(spark, sf_dir), records, "query_id", "core_id", "vec_id")
     return found.select("query_id", "core_id", "rank", "title", F.to_json("facets").alias("facets"), F.round("rrf", 9).alias("rrf"))
 
 
@@ -139,7 +139,7 @@ _STOP = "', '".join(T.QUERY_STOPWORDS)
 _PHRASES = "', '".join(T.KNOWN_PHRASES)
 _RSTOP = "', '".join(T.REVISION_STOPWORDS)
 _DENSE = """
-    q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id < 20),
+    q AS (SELECT vec_id // 20 AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
     s AS (SELECT query_id, vec_id, label AS lane, vec_id % 100 AS core_id,
                  round(list_sum(list_transform(range(1, len(qv) + 1), lambda i: CAST(qv[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE))), 9) AS score FROM q, embeddings)"""
 _LANES = (
@@ -163,7 +163,7 @@ _CORES = (
     cores AS (SELECT * FROM cr WHERE dense_rank <= 1500)"""
 )
 _FIRST = (
-    _bm25_sql("item_id < 20", 2000, qid="query_id")
+    _bm25_sql("true", 2000, qid="query_id")
     + """,
     fc AS (SELECT query_id, doc_id, doc_id % 100 AS core_id, score, rank AS facet_rank, row_number() OVER (PARTITION BY query_id, doc_id % 100 ORDER BY rank) AS nth FROM top),
     lexical AS (SELECT query_id, core_id, doc_id, facet_rank, row_number() OVER (PARTITION BY query_id ORDER BY facet_rank) AS core_rank, score FROM fc WHERE nth = 1)"""
@@ -185,9 +185,9 @@ ORACLE_SQL = {
         k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i) AS r FROM d)
         SELECT item_id, string_agg('"' || term || '"', ' OR ' ORDER BY i) AS expression FROM k WHERE r <= 64 GROUP BY item_id""",
     "dense_dot_topk": f"WITH {_DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= {TOP}",
-    "lane_zscore_topk": f"WITH {_LANES} SELECT query_id, lane, vec_id, round(z, 6) AS z, CAST(lane_rank AS INTEGER) AS lane_rank FROM lanes",
+    "lane_zscore_topk": f"WITH {_LANES} SELECT query_id, lane, vec_id, round(z, 9) AS z, CAST(lane_rank AS INTEGER) AS lane_rank FROM lanes",
     "core_aggregate": f"WITH {_CORES} SELECT query_id, core_id, round(dense_score, 6) AS dense_score, round(primary_score, 6) AS primary_score, round(support_score, 6) AS support_score, CAST(dense_rank AS INTEGER) AS dense_rank FROM cores",
-    "lexical_first_core": f"WITH {_FIRST} SELECT query_id, core_id, doc_id, CAST(facet_rank AS INTEGER) AS facet_rank, CAST(core_rank AS INTEGER) AS core_rank, round(score, 6) AS score FROM lexical WHERE core_rank <= 1200",
+    "lexical_first_core": f"WITH {_FIRST} SELECT query_id, core_id, doc_id, CAST(facet_rank AS INTEGER) AS facet_rank, CAST(core_rank AS INTEGER) AS core_rank, round(score, 9) AS score FROM lexical WHERE core_rank <= 1200",
     "rrf_fusion": f"""
         WITH {_CORES}, {_FIRST},
         f AS (SELECT query_id, core_id, dense_rank, core_rank AS lexical_rank, round(coalesce(1.0 / (60 + dense_rank), 0) + coalesce(0.75 / (60 + core_rank), 0), 9) AS rrf

@@ -75,24 +75,11 @@ def win_tie_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = J.paired_bootstrap(pairs(spark, sf_dir), "user_id", "pro", "flash", iterations=400)
-    return found.select("items", "iterations", *[F.round(c, 6).alias(c) for c in ("difference", "low", "high")])
-
-
-def study_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = J.study_means(pairs(spark, sf_dir), "study", "condition", "pro", "flash").withColumn("zero", F.lit(0.0))
-    found = J.paired_bootstrap(means, "study", "difference", "zero", iterations=400, seed=20260913)
-    return found.select("items", "iterations", *[F.round(c, 6).alias(c) for c in ("difference", "low", "high")])
-
-
-def paired_bootstrap_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """paired_bootstrap with the operator's own number of replicates."""
     found = J.paired_bootstrap(pairs(spark, sf_dir), "user_id", "pro", "flash")
     return found.select("items", "iterations", *[F.round(c, 6).alias(c) for c in ("difference", "low", "high")])
 
 
-def study_bootstrap_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """study_bootstrap with the operator's own number of replicates."""
+def study_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = J.study_means(pairs(spark, sf_dir), "study", "condition", "pro", "flash").withColumn("zero", F.lit(0.0))
     found = J.paired_bootstrap(means, "study", "difference", "zero", seed=20260913)
     return found.select("items", "iterations", *[F.round(c, 6).alias(c) for c in ("difference", "low", "high")])
@@ -192,17 +179,17 @@ def margin_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.margin_scores(rows, "base").select("candidate", F.round("probability", 6).alias("probability"), F.round("entropy", 6).alias("entropy"), F.round("delta", 6).alias("delta"))
 
 
-def mcq_accuracy(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    rows = load(spark, sf_dir, "benchmark").filter("true" if whole else "item_id < 40")
+def mcq_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "benchmark")
     asked = rows.select((F.col("item_id") + 1).alias("position"), F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), (F.col("item_id") % 4 + 1).cast("int")).alias("correct_option"))
     said = asked.select("position", F.when(F.col("position") % 5 == 0, F.lit("B")).otherwise(F.concat(F.lit(" "), F.lower("correct_option"))).alias("predicted_option"))
-    return S.mcq_accuracy(asked, said, "position", rows.count() if whole else 40)
+    return S.mcq_accuracy(asked, said, "position", rows.count())
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        item_score_v43, board_mean_median, huber_board, rollup_cube, grouping_sets_board, anchored_score, win_tie_loss, paired_bootstrap, study_bootstrap, paired_bootstrap_full, study_bootstrap_full, agreement_pearson_spearman,
+        item_score_v43, board_mean_median, huber_board, rollup_cube, grouping_sets_board, anchored_score, win_tie_loss, paired_bootstrap, study_bootstrap, agreement_pearson_spearman,
         nearest_rank_percentiles, reproduce_board, token_loss, group_validation, ranking_metrics_padded, ranking_metrics_unpadded, ranking_macro_mean, source_recall_mrr, dataset_summary,
         lambdarank_loss, stratified_sample, epoch_lists, train_validation_overlap, best_epoch, margin_scores, mcq_accuracy,
     )
@@ -261,10 +248,8 @@ ORACLE_SQL = {
     "grouping_sets_board": f"WITH {_LEDGER} SELECT model, family, count(*) AS items, round(avg(score), 6) AS mean_score FROM s GROUP BY GROUPING SETS ((model), (family), ())",
     "anchored_score": f"WITH {_PAIRS} SELECT condition, count(*) AS items, round(avg(pro - flash), 6) AS paired_increment, round(87.1665 + avg(pro - flash), 6) AS anchored_score FROM pr GROUP BY condition",
     "win_tie_loss": f"WITH {_PAIRS} SELECT count(*) FILTER (pro > flash) AS wins, count(*) FILTER (pro = flash) AS ties, count(*) FILTER (pro < flash) AS losses, count(*) FILTER (pro - flash >= 5) AS gains, count(*) FILTER (pro - flash <= -5) AS drops FROM pr",
-    "paired_bootstrap": f"WITH {_PAIRS}, src AS (SELECT user_id, pro - flash AS d FROM pr), {_boot('src', 'user_id', 20260903)}",
-    "study_bootstrap": f"WITH {_PAIRS}, src AS (SELECT study, avg(pro - flash) AS d FROM pr GROUP BY study), {_boot('src', 'study', 20260913)}",
-    "paired_bootstrap_full": f"WITH {_PAIRS}, src AS (SELECT user_id, pro - flash AS d FROM pr), {_boot('src', 'user_id', 20260903, 10_000)}",
-    "study_bootstrap_full": f"WITH {_PAIRS}, src AS (SELECT study, avg(pro - flash) AS d FROM pr GROUP BY study), {_boot('src', 'study', 20260913, 10_000)}",
+    "paired_bootstrap": f"WITH {_PAIRS}, src AS (SELECT user_id, pro - flash AS d FROM pr), {_boot('src', 'user_id', 20260903, 10_000)}",
+    "study_bootstrap": f"WITH {_PAIRS}, src AS (SELECT study, avg(pro - flash) AS d FROM pr GROUP BY study), {_boot('src', 'study', 20260913, 10_000)}",
     "agreement_pearson_spearman": f"""
         WITH {_LEDGER}, m AS (SELECT round(avg(score), 6) AS y, round(avg(adequacy), 6) AS x FROM s GROUP BY model, family),
         r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM m)
@@ -295,5 +280,5 @@ ORACLE_SQL = {
     "best_epoch": "WITH p AS (SELECT event_id % 8 AS epoch, round(avg(value), 1) AS precision, round(max(value), 3) AS ndcg FROM events GROUP BY 1) SELECT epoch, precision, ndcg FROM p ORDER BY precision DESC, ndcg DESC, epoch LIMIT 1",
     "margin_scores": f"""WITH {_CAND}, m AS (SELECT candidate, grade, (score - 0.5) * 200 AS b FROM c), p AS (SELECT *, 1 / (1 + exp(-greatest(-60, least(60, b)))) AS p FROM m)
         SELECT candidate, round(p, 6) AS probability, round(CASE WHEN p > 0 THEN -p * ln(p) ELSE 0 END + CASE WHEN 1 - p > 0 THEN -(1 - p) * ln(1 - p) ELSE 0 END, 6) AS entropy, round(CAST(grade AS DOUBLE), 6) AS delta FROM p""",
-    "mcq_accuracy": "WITH q AS (SELECT item_id + 1 AS p, ['A', 'B', 'C', 'D'][item_id % 4 + 1] AS c FROM benchmark WHERE item_id < 40), m AS (SELECT CASE WHEN p % 5 = 0 THEN 'B' ELSE c END = c AS ok FROM q) SELECT count(*) AS items, count(*) FILTER (ok) AS correct, count(*) FILTER (ok) / count(*) AS accuracy FROM m",
+    "mcq_accuracy": "WITH q AS (SELECT item_id + 1 AS p, ['A', 'B', 'C', 'D'][item_id % 4 + 1] AS c FROM benchmark), m AS (SELECT CASE WHEN p % 5 = 0 THEN 'B' ELSE c END = c AS ok FROM q) SELECT count(*) AS items, count(*) FILTER (ok) AS correct, count(*) FILTER (ok) / count(*) AS accuracy FROM m",
 }

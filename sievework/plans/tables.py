@@ -23,8 +23,6 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").alias("lane"), (F.col("vec_id") % 100).alias("core_id"))
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """The stated query set of dense retrieval: the first twenty vectors; `whole`: every twentieth, numbered from 0."""
-    if whole:
-        return load(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.floor(F.col("vec_id") / 20).alias("query_id"), "embedding")
-    return load(spark, sf_dir, "embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set of dense retrieval: every twentieth vector, numbered from 0, so that fusion pairs it with a question."""
+    return load(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.floor(F.col("vec_id") / 20).alias("query_id"), "embedding")

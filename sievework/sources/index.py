@@ -51,8 +51,8 @@ def search_index(spark: SparkSession, path: str, questions: DataFrame, question:
 
 def shard_faults(shards: DataFrame, row: str, vector: str, tolerance: float = 0.01) -> DataFrame:
     """(row, fault): row numbers that repeat or are missing, and vectors that are not of unit length."""
-    n = shards.agg(F.coalesce(F.max(row) + 1, F.lit(0)).cast("long")).scalar()
-    whole = shards.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias(row)).filter(F.col(row) >= 0)
+    last = shards.agg(F.max(row)).first()[0]
+    whole = shards.sparkSession.range(0 if last is None else max(0, last + 1)).withColumnRenamed("id", row)
     missing = whole.join(shards, row, "left_anti").select(row, F.lit("missing").alias("fault"))
     again = shards.groupBy(row).agg(F.count("*").alias("c")).filter("c > 1").select(row, F.lit("repeated").alias("fault"))
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

@@ -5,13 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the session's spark.checkpoint.dir; a temporary one where that is unset."""
+    """A fresh path under the session's spark.checkpoint.dir.
+
+    Where that is unset, a session on one machine gets a temporary folder; on a
+    cluster that would be the driver's own disk, so there it is an error.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read back: it is computed once, and its lineage ends there."""
+    path = folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

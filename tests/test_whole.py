@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievework.plans import catalogue
-from sievework.plans.whole import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -21,24 +20,20 @@ def ids(spark, folder, name, column):
     return {r[0] for r in catalogue.QUERIES[name](spark, folder).select(column).distinct().collect()}
 
 
-@pytest.mark.parametrize("name", ["dense_dot_topk_whole", "lane_zscore_topk_whole", "core_aggregate_whole"])
+@pytest.mark.parametrize("name", ["dense_dot_topk", "lane_zscore_topk", "core_aggregate"])
 def test_every_twentieth_vector_asks(spark, folder, name):
     assert ids(spark, folder, name, "query_id") == set(range(7))
 
 
-@pytest.mark.parametrize("name", ["lexical_first_core_whole", "fts_first_core_whole", "rrf_fusion_whole", "hybrid_results_whole"])
+@pytest.mark.parametrize("name", ["lexical_first_core", "fts_first_core", "rrf_fusion", "hybrid_results"])
 def test_every_question_asks(spark, folder, name):
     assert ids(spark, folder, name, "query_id") == set(range(50))
 
 
-@pytest.mark.parametrize("name", ["deep_packets_whole", "record_ranking_whole"])
+@pytest.mark.parametrize("name", ["deep_packets", "record_ranking"])
 def test_every_item_asks(spark, folder, name):
     assert ids(spark, folder, name, "item_id") == set(range(50))
 
 
 def test_all_options_count(spark, folder):
-    assert catalogue.QUERIES["mcq_accuracy_whole"](spark, folder).first()["items"] == 50
-
-
-def test_all_have_whole_forms():
-    assert len(QUERIES) == 10 and set(QUERIES) <= set(catalogue.QUERIES)
+    assert catalogue.QUERIES["mcq_accuracy"](spark, folder).first()["items"] == 50
