@@ -192,3 +192,21 @@ def obligations(payloads: pd.Series, anchor_ids: pd.Series) -> pd.DataFrame:
     """checked_obligations() of a JSON payload and the array of its answer's anchors."""
     found = [checked_obligations(_object(p), set(() if a is None else a)) for p, a in zip(payloads, anchor_ids, strict=True)]
     return pd.DataFrame(found, columns=["valid", "reasons"])
+
+
+@F.pandas_udf(T.StringType())
+def yaml_object(texts: pd.Series) -> pd.Series:
+    """The object of a YAML text as JSON, for model texts that are no JSON; null if it is none, or without a YAML parser."""
+    try:
+        import yaml
+    except ImportError:
+        return pd.Series([None] * len(texts), dtype=object)
+
+    def one(text: str | None) -> str | None:
+        try:
+            found = yaml.safe_load(text) if text else None
+        except yaml.YAMLError:
+            return None
+        return json.dumps(found, ensure_ascii=False, default=str) if isinstance(found, dict) else None
+
+    return texts.map(one)

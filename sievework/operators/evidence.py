@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from sievework.functions.cleaning import EVIDENCE_STOPWORDS, clean_natural_text, clean_science_text, is_informative, is_science_unit, leaks_identifier, squeezed
 from sievework.functions.sentences import ensured_sentence, list_lines, sentence_units, sentences, split_units, trimmed_at_boundary
 from sievework.functions.similarity import jaccard
-from sievework.sources.work import table
 from sievework.functions.tokens import all_of, bm25_tokens, evidence_tokens
+from sievework.sources.work import table
 
 # Words of each task family.
 FAMILY_WORDS = {
@@ -144,16 +144,6 @@ def distinct_units(ranked: Column, n: int, threshold: float = 0.68) -> Column:
     return _greedy(ranked, n, alike)
 
 
-def _fit(rows: Iterable[tuple[int, str]], budget_: int) -> list[tuple[int, str]]:
-    """What fits of (place, sentence) in the given order, with a separator each; the rest is passed over."""
-    used, out = 0, []
-    for place, sentence in rows:
-        if used + len(sentence) + 1 <= budget_:
-            out.append((place, sentence))
-            used += len(sentence) + 1
-    return out
-
-
 def compiled(ranking: DataFrame, docs: DataFrame, questions: DataFrame, question: str, doc: str, papers: int = PAPERS) -> DataFrame:
     """(question, evidence_id, doc, rank, text): whole sentences of ranked documents within their budgets.
 
@@ -332,3 +322,24 @@ def packet_report(packets: DataFrame, size: str) -> DataFrame:
     """One row: number, least, median, 90 and 95 % and greatest size, by nearest rank."""
     at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {size})")
     return packets.agg(F.count("*").alias("packets"), F.min(size).alias("least"), at(0.5).alias("median"), at(0.9).alias("p90"), at(0.95).alias("p95"), F.max(size).alias("greatest"))
+
+
+def packet_quality(blocks: DataFrame, docs: DataFrame, question: str, doc: str, source: Column) -> DataFrame:
+    """One row: PASS if no block shows an identifier or changes a number, and counts of what was found.
+
+    `source` names what a block was made from; slots are counted by it. A
+    sentence that a block has twice, but for case and white space, is a duplicate.
+    """
+    units = F.transform(split_units(F.col("text")), lambda u: F.lower(squeezed(u, " ")))
+    checked = packet_checks(blocks.withColumn("__source", source), docs, doc).withColumn("__again", F.size(units) - F.size(F.array_distinct(units)))
+    slots = checked.groupBy("__source").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__source", "n")))).alias("source_slots"))
+    counted = checked.agg(
+        F.count_distinct(question).alias("queries"),
+        F.count("*").alias("paper_slots"),
+        F.count_distinct(doc).alias("unique_papers"),
+        F.count_if("leaks").alias("identifier_leaks"),
+        F.count_if(~F.col("numbers_kept")).alias("numeric_mismatches"),
+        F.coalesce(F.sum("__again"), F.lit(0)).alias("duplicate_sentences"),
+    )
+    status = F.when((F.col("identifier_leaks") == 0) & (F.col("numeric_mismatches") == 0), "PASS").otherwise("FAIL")
+    return counted.withColumn("status", status).withColumn("source_slots", F.coalesce(slots.select("source_slots").scalar(), F.create_map().cast("map<string,bigint>")))

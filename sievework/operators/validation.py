@@ -46,6 +46,11 @@ def private_fields(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c in PRIVATE]
 
 
+def private_text(text: Column) -> Column:
+    """Whether a text names a private field as a JSON key."""
+    return F.coalesce(text, F.lit("")).rlike(r'"(?:' + "|".join(sorted(PRIVATE)) + r')"\s*:')
+
+
 def enumerated(value: Column, allowed: tuple[str, ...], fallback: str) -> Column:
     """The value trimmed and in capitals if it is allowed, else the fallback."""
     v = F.upper(F.trim(F.coalesce(value, F.lit(""))))

@@ -333,12 +333,57 @@ def rematerialise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.transform("actions", lambda x: x["action"]).alias("actions"), F.sha2("revised_answer", 256).alias("sha256"))
 
 
+def packet_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of all blocks; a third of the documents count as abstracts."""
+    source = F.when(F.col("doc_id") % 3 == 0, "frozen_abstract").otherwise("science_core")
+    found = E.packet_quality(_blocks(spark, sf_dir), evidence_docs(spark, sf_dir), "item_id", "doc_id", source)
+    return found.withColumn("source_slots", F.to_json("source_slots"))
+
+
+def exact_scoring_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions as predictions and references, documents of the same number as support records."""
+    asked = questions(spark, sf_dir)
+    told = evidence_docs(spark, sf_dir).select(F.col("doc_id").alias("item_id"), F.col("text").alias("support"))
+    found = S.exact_rows(asked.withColumnRenamed("text", "answer"), asked.withColumnRenamed("text", "reference"), told, "item_id", "support")
+    return found.select("item_id", F.length("answer").alias("answer_chars"), F.length("reference").alias("reference_chars"), F.sha2("support", 256).alias("support_sha256"))
+
+
+def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as messages, the ids of all their turns, and of all but the last."""
+    message = F.struct(F.col("role").alias("role"), F.col("text").alias("content"))
+    per = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", message.alias("m")))), lambda x: x["m"]).alias("messages"))
+    ids = lambda m: _word_ids(F.concat_ws(" ", F.transform(m, lambda x: x["content"])))
+    return per.select("conv_id", "messages", ids(F.slice("messages", 1, F.size("messages") - 1)).alias("prefix"), ids(F.col("messages")).alias("full"))
+
+
+def chat_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = L.encoded_chats(_chats(spark, sf_dir), "messages", "prefix", "full", 600)
+    return found.select("conv_id", "fault", F.size("labels").alias("n"), F.size(F.filter("labels", lambda x: x != L.IGNORED)).alias("targets"))
+
+
+def example_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations' last turns learned, packed into blocks of the longest one; eight groups."""
+    chats = _chats(spark, sf_dir).filter(F.size("full") > F.size("prefix"))
+    n = F.size("prefix")
+    rows = chats.select((F.col("conv_id") % 8).alias("shard"), "conv_id", F.col("full").alias("ids"), F.concat(F.array_repeat(F.lit(L.IGNORED), n), F.slice("full", n + 1, F.size("full"))).alias("labels"), F.transform("full", lambda _: F.lit(1.0)).alias("weights"), (1.0 + F.col("conv_id") % 3).alias("weight"))
+    capacity = rows.agg(F.greatest(F.lit(512), F.max(F.size("ids")))).first()[0] or 512
+    blocks = L.packed_examples(rows, "shard", "conv_id", "ids", "labels", "weights", capacity, 0, "weight")
+    return blocks.select("shard", "block", "valid", "learned", "samples", "sample_weight", F.md5(F.array_join("input_ids", ",").cast("binary")).alias("ids_md5"))
+
+
+def base_hash_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = evidence_docs(spark, sf_dir)
+    space = F.regexp_replace("text", r"(?U)^\s+|\s+$", "")
+    found = P.checked_base(docs.withColumn("digest", F.sha2(space, 256)), "doc_id", "text", "digest")
+    return found.select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         evidence_compile, packet_qc, packet_report, packet_budget, source_tier, excerpts, deep_packets, abstract_compile, gate_reasons, gate_similarity, reason_counts, patch_budget, critic_selection, patch_apply,
         patch_revision, record_ranking, constraint_phrases, prediction_rows, prompts, candidate_validation, enum_normalise, key_alignment_check, repeated_keys, first_per_family, canonical_questions, json_objects, contiguous_packing, nextfit_packing, weighted_examples, sft_filter,
-        direct_records, row_keywords, obligation_validation, rematerialise, lr_schedule, checkpoint_retention, moving_loss, resume_antijoin, sha_manifest,
+        direct_records, row_keywords, obligation_validation, rematerialise, packet_quality, exact_scoring_join, chat_encoding, example_packing, base_hash_check, lr_schedule, checkpoint_retention, moving_loss, resume_antijoin, sha_manifest,
     )
 }
 
@@ -398,6 +443,12 @@ ORACLE_SQL = {
     "json_objects": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events",
     "sft_filter": """WITH t AS (SELECT conv_id, list(role ORDER BY turn) AS r, list(text ORDER BY turn) AS x, count(*) AS n FROM conversations GROUP BY 1)
         SELECT conv_id, CAST(n AS INTEGER) AS turns, array_to_string(r, ',') = 'system,user,assistant' AND len(list_filter(x, lambda y: trim(coalesce(y, '')) = '')) = 0 AS valid FROM t""",
+    "exact_scoring_join": "SELECT item_id, CAST(length(coalesce(b.text, '')) AS INTEGER) AS answer_chars, CAST(length(coalesce(b.text, '')) AS INTEGER) AS reference_chars, sha256(coalesce(d.text, '')) AS support_sha256 FROM benchmark b JOIN documents d ON d.doc_id = b.item_id",
+    "chat_encoding": f"""WITH t AS (SELECT conv_id, list(role ORDER BY turn) AS r, list(text ORDER BY turn) AS x, string_agg(text, ' ' ORDER BY turn) AS f, arg_max(text, turn) AS l FROM conversations GROUP BY 1),
+        n AS (SELECT conv_id, array_to_string(r, ',') <> 'system,user,assistant' OR len(list_filter(x, lambda y: trim(coalesce(y, '')) = '')) > 0 AS bad, len({_IDS.format(e='f')}) AS m, len({_IDS.format(e='l')}) AS k FROM t),
+        v AS (SELECT *, CASE WHEN bad THEN 'roles' WHEN m > 600 THEN 'length' WHEN k < 4 THEN 'targets' END AS fault FROM n)
+        SELECT conv_id, fault, CAST(CASE WHEN fault IS NULL THEN m END AS INTEGER) AS n, CAST(CASE WHEN fault IS NULL THEN k END AS INTEGER) AS targets FROM v""",
+    "base_hash_check": "SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS sha256 FROM documents",
     "lr_schedule": "SELECT s AS step, round(CASE WHEN s < 100 THEN s / 100.0 ELSE greatest(0, 0.5 * (1 + cos(pi() * least(1.0, (s - 100) / 900.0)))) END, 9)::DOUBLE AS factor FROM range(0, 1001) t(s)",
     "checkpoint_retention": "SELECT s AS step, row_number() OVER (ORDER BY s DESC) <= 3 OR s % 500 = 0 AS kept FROM range(50, 2050, 50) t(s)",
     "moving_loss": "SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 6) AS recent_mean FROM events",
