@@ -48,20 +48,25 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def likelihood_estimate(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, steps: int = 64) -> float:
-    """The Jaccard similarity under which the registers' order is likeliest, sizes given.
+def likelihood_estimates(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, steps: int = 128) -> np.ndarray:
+    """For each pair of rows of registers, the Jaccard similarity under which their order is likeliest, sizes given.
 
     With shares u and v of the two sizes, a register of the first is greater
     with probability p(u - v J), smaller with p(v - u J), where
     p(x) = -log_FACTOR(1 - x (FACTOR - 1) / FACTOR).
     """
     u, v = size_a / (size_a + size_b), size_b / (size_a + size_b)
-    greater, smaller = int((a > b).sum()), int((a < b).sum())
-    j = np.linspace(0.0, min(u / v, v / u), steps)
+    greater, smaller = (a > b).sum(1), (a < b).sum(1)
+    j = np.linspace(0.0, 1.0, steps)[None, :] * np.minimum(u / v, v / u)[:, None]
     p = lambda x: -np.log(np.maximum(1 - x * (FACTOR - 1) / FACTOR, 1e-300)) / np.log(FACTOR)
-    up, down = np.maximum(p(u - v * j), 1e-12), np.maximum(p(v - u * j), 1e-12)
-    score = greater * np.log(up) + smaller * np.log(down) + (len(a) - greater - smaller) * np.log(np.maximum(1 - up - down, 1e-12))
-    return float(j[np.argmax(score)])
+    up, down = np.maximum(p(u[:, None] - v[:, None] * j), 1e-12), np.maximum(p(v[:, None] - u[:, None] * j), 1e-12)
+    score = greater[:, None] * np.log(up) + smaller[:, None] * np.log(down) + (a.shape[1] - greater - smaller)[:, None] * np.log(np.maximum(1 - up - down, 1e-12))
+    return j[np.arange(len(j)), np.argmax(score, 1)]
+
+
+def margin(similarity: float) -> float:
+    """Five standard errors of the estimate at a similarity: it is further off with a probability of about 3e-7 to either side."""
+    return 5 * (similarity * (1 - similarity) / (ROWS * BANDS)) ** 0.5
 
 
 def sketched(docs: DataFrame, size: int, text: str) -> DataFrame:
@@ -96,8 +101,52 @@ def parts_of(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+def with_pivot(pairs: DataFrame, pivots: DataFrame, how: str = "inner") -> DataFrame:
+    """`pairs` (a, b, ...) with the columns of `pivots` (a, ...), a row for each of the SALTS parts that a pivot's pairs fall in, so that none meets all in one task."""
+    salted = pairs.withColumn("__part", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    parts = salted.select("a", "__part").distinct().join(pivots, "a", how)
+    return salted.join(parts, ["a", "__part"]).drop("__part")
+
+
+def estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, likely): the joint likelihood estimate of each pair's similarity, from registers (row, n, sketch) alone."""
+    left = sketches.select(F.col("row").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    met = with_pivot(pairs.join(sketches.withColumnRenamed("row", "b"), "b"), left)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                registers_ = [np.frombuffer(b"".join(column(batch, c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch")]
+                sizes = [column(batch, c).to_numpy().astype(float) for c in ("n_a", "n")]
+                yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(likelihood_estimates(*registers_, *sizes))], names=["a", "b", "likely"])
+
+    return met.select("a", "b", "n_a", "n", "sketch_a", "sketch").mapInArrow(run, "a long, b long, likely double")
+
+
+def pruned(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are to meet: those that the likelihood estimate doesn't rule out, and second pivots.
+
+    Jaccard distance is a metric: with t the threshold, a row whose similarity
+    to a pivot is under 2 t - 1 is linked with no row that is linked with the
+    pivot. Rows estimated under that, less margin(), are far. The far rows of a
+    pivot and those of its rows that may not be linked with it (estimated under t
+    and margin()) get a second pivot, their least row, and all meet it. So of two
+    rows that share a band both meet one pivot, or they aren't linked.
+    """
+    t = percent / 100
+    found = table(estimated(pairs, sketches), "near-estimates")
+    low, high = 2 * t - 1 - margin(max(2 * t - 1, 0.0)), t + margin(t)
+    split = table(found.filter(F.col("likely") < low).select("a").distinct().withColumn("far", F.lit(True)), "near-far")
+    if split.isEmpty():
+        return pairs
+    again = with_pivot(found.filter(F.col("likely") < high), split).select("a", "b")
+    least = again.groupBy("a").agg(F.min("b").alias("second"))
+    second = with_pivot(again, least).filter("b <> second").select(F.col("second").alias("a"), "b")
+    return found.filter(F.col("likely") >= low).select("a", "b").union(second).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """For each of `pairs` (a, b): sizes, shared shingles, the likelihood estimate, and b as it differs from a.
+    """For each of `pairs` (a, b): sizes, shared shingles, and b as it differs from a.
 
     `held` has a bit for each shingle of a, in order of their hashes, set if b
     has it; `more` has the hashes of b's other shingles. Rows of b, and one of a
@@ -105,34 +154,32 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     so a task holds one set of a at a time.
     """
     salted = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    right = salted.join(texts.withColumnRenamed("row", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "sketch", "text")
-    left = salted.select("a", "part").distinct().join(texts.withColumnRenamed("row", "a"), "a").select("a", "part", F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), "sketch", "text")
+    right = salted.join(texts.withColumnRenamed("row", "b"), "b").select("a", "part", F.lit(1).alias("role"), "b", "text")
+    left = salted.select("a", "part").distinct().join(texts.withColumnRenamed("row", "a"), "a").select("a", "part", F.lit(0).alias("role"), F.lit(None).cast("long").alias("b"), "text")
     met = left.unionByName(right).repartition(parts_of(pairs), "a", "part").sortWithinPartitions("a", "part", "role")
-    schema = "a long, b long, size_a long, size_b long, shared long, likely double, held binary, more binary"
+    schema = "a long, b long, size_a long, size_b long, shared long, held binary, more binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: tuple = (np.empty(0, np.uint64), np.empty(0, np.uint16))
+        first = np.empty(0, np.uint64)
         for batch in batches:
             texts = text_bytes(column(batch, "text"))
-            a, role, b, sketch = (column(batch, x).to_pylist() for x in ("a", "role", "b", "sketch"))
+            a, role, b = (column(batch, x).to_pylist() for x in ("a", "role", "b"))
             out: list[tuple] = []
             for i, j in blocks(texts):
                 found, many = shingles(*hashed_words(texts[i:j]), size)
                 for k, (e, m) in enumerate(zip(np.cumsum(many).tolist(), many.tolist(), strict=True), i):
-                    mine, marks = np.unique(found[e - m : e]), np.frombuffer(sketch[k], np.uint16)
+                    mine = np.unique(found[e - m : e])
                     if role[k] == 0:
-                        first = (mine, marks)
+                        first = mine
                         continue
-                    at = np.minimum(np.searchsorted(first[0], mine), len(first[0]) - 1)
-                    there = first[0][at] == mine
-                    bits = np.zeros(len(first[0]), bool)
+                    at = np.minimum(np.searchsorted(first, mine), len(first) - 1)
+                    there = first[at] == mine
+                    bits = np.zeros(len(first), bool)
                     bits[at[there]] = True
-                    likely = likelihood_estimate(first[1], marks, len(first[0]), len(mine))
-                    out.append((a[k], b[k], len(first[0]), len(mine), int(there.sum()), likely, np.packbits(bits).tobytes(), mine[~there].tobytes()))
+                    out.append((a[k], b[k], len(first), len(mine), int(there.sum()), np.packbits(bits).tobytes(), mine[~there].tobytes()))
             if out:
-                columns = list(zip(*out, strict=True))
-                kinds = [pa.int64()] * 5 + [pa.float64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["a", "b", "size_a", "size_b", "shared", "likely", "held", "more"])
+                kinds = [pa.int64()] * 5 + [pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["a", "b", "size_a", "size_b", "shared", "held", "more"])
 
     return met.mapInArrow(run, schema)
 
@@ -168,20 +215,23 @@ class _Block:
 def remaining(seen: DataFrame, found: DataFrame, percent: int, block: int = 2000, most: int = 1 << 26) -> DataFrame:
     """Links (a, b) between rows compared with the same pivot, but not yet in one component.
 
-    A row outside its pivot's component is an outer row. Blocks of at most about
-    `block` outer rows, and `most` bytes, stay in memory while all rows of the
-    pivot stream by, once for each block: n rows with m outer ones are shuffled
-    n * m / `block` times over. The shared shingles follow from how both differ
-    from the pivot. Only links are
-    returned, for each row one to each component.
+    A row outside its pivot's component is an outer row; pivots without any are
+    done with before the sets move. Blocks of at most about `block` outer rows,
+    and `most` bytes, stay in memory while the pivot's rows stream by, once for
+    each block; the shared shingles follow from how both differ from the pivot. So
+    of a pivot with n rows and m outer ones, n * m / `block` rows are shuffled.
+    Only links are returned, for each row one to each component.
     """
     named = found.withColumnRenamed("node", "b").withColumnRenamed("component", "__c")
     pivot = found.withColumnRenamed("node", "a").withColumnRenamed("component", "__p")
-    rows = seen.join(named, "b", "left").withColumn("component", F.coalesce("__c", "b")).join(pivot, "a", "left").withColumn("outer", F.col("component") != F.coalesce("__p", "a"))
-    rows = rows.select("a", "b", "component", F.col("size_b").alias("size"), "held", "more", "outer")
-    size = F.sum(F.octet_length("held") + F.octet_length("more"))
-    blocks_of = rows.filter("outer").groupBy("a").agg(F.ceil(F.greatest(F.count("*") / F.lit(block), size / F.lit(most))).cast("int").alias("blocks"))
-    rows = rows.join(blocks_of, "a")
+    light = seen.select("a", "b", (F.octet_length("held") + F.octet_length("more")).alias("bytes")).join(named, "b", "left").withColumn("component", F.coalesce("__c", "b"))
+    light = with_pivot(light, pivot, "left").withColumn("outer", F.col("component") != F.coalesce("__p", "a"))
+    light = table(light.select("a", "b", "component", "outer", "bytes"), "near-outer")
+    count = F.greatest(F.count("*") / F.lit(block), F.sum("bytes") / F.lit(most))
+    blocks_of = table(light.filter("outer").groupBy("a").agg(F.ceil(count).cast("int").alias("blocks")), "near-blocks")
+    if blocks_of.isEmpty():
+        return light.limit(0).select("a", "b")
+    rows = with_pivot(light, blocks_of).join(seen.select("a", "b", F.col("size_b").alias("size"), "held", "more"), ["a", "b"])
     part = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
     outer = rows.filter("outer").select("a", part.alias("part"), F.lit(0).alias("role"), "b", "component", "size", "held", "more")
     every = rows.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("role"), "b", "component", "size", "held", "more")
@@ -197,6 +247,8 @@ def remaining(seen: DataFrame, found: DataFrame, percent: int, block: int = 2000
                 if role == 0:
                     rows.append(tuple(row))
                     continue
+                if not rows:  # no outer row fell in this block
+                    continue
                 held = held or _Block(rows)
                 out += [(row[0], x) for x in held.links(tuple(row), percent)]
             if out:
@@ -220,7 +272,9 @@ def near_links(bands: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     sizes = bands.groupBy("band").agg(F.min("row").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
     pairs = table(bands.join(sizes, "band").filter("row <> a").select("a", F.col("row").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
-    seen = table(verified(pairs, table(texts.join(wanted.hint("shuffle_hash"), "row"), "near-texts"), size), "near-pairs")
+    texts = table(texts.join(wanted.hint("shuffle_hash"), "row"), "near-texts")
+    pairs = table(pruned(pairs, texts.select("row", "n", "sketch"), percent), "near-pruned")
+    seen = table(verified(pairs, texts.select("row", "text"), size), "near-pairs")
     found = components(seen.filter(100 * F.col("shared") >= percent * (F.col("size_a") + F.col("size_b") - F.col("shared"))).select("a", "b"))
     more = table(remaining(seen, found, percent), "near-links")
     return found if more.isEmpty() else components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
@@ -232,8 +286,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     Texts are linked if at least `percent` % of their united distinct shingles
     of `size` words are shared (A to Z lower-cased, words split at ASCII white
     space). Registers of a SetSketch are cut into bands; rows that share a band
-    are candidates, estimated by likelihood and confirmed on their full sets. Rows
-    with the same words are one row throughout, and join at the end.
+    are candidates; those that the joint likelihood of their registers rules out
+    are dropped (pruned()), and all others are confirmed on their full sets of
+    shingles, hashed to 64 bits: two sets of m shingles show one too many shared
+    with a probability of about m ** 2 / 2 ** 64. Rows with the same words are one row throughout, and join at the end.
 
     component_id is the least key that links reach, and `kept` holds for one row
     of each component: that of the least key, the first of them if it repeats. A
@@ -249,7 +305,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__near_row").alias("row"))
     classes = rows.filter("__near_n > 0").groupBy("__near_content").agg(F.min("__near_row").alias("__near_row"), F.min(order).alias("__near_first"))
     classes = table(classes, "near-classes")
-    texts = rows.select(F.col("__near_row").alias("row"), F.col("__near_sketch").alias("sketch"), F.col(text).alias("text"))
+    texts = rows.select(F.col("__near_row").alias("row"), F.col("__near_n").alias("n"), F.col("__near_sketch").alias("sketch"), F.col(text).alias("text"))
     width = 2 * ROWS
     cuts = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("__near_sketch").substr(i * width + 1, F.lit(width))))
     bands = rows.select("__near_row", "__near_sketch").join(classes.select("__near_row").hint("shuffle_hash"), "__near_row").select(F.explode(cuts).alias("band"), F.col("__near_row").alias("row"))

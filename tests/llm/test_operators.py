@@ -456,7 +456,7 @@ def test_registers_merge_and_estimate():
     a, b = pool[:2000], pool[500:2500]
     sketch = lambda x: setsketch.registers(setsketch.minima(words.mix(x), np.array([0])))[:, 0]
     assert (setsketch.merge(sketch(a), sketch(b)) == sketch(np.concatenate([a, b]))).all()
-    assert setsketch.likelihood_estimate(sketch(a), sketch(b), 2000, 2000) == pytest.approx(1500 / 2500, abs=0.12)
+    assert setsketch.likelihood_estimates(sketch(a)[None], sketch(b)[None], np.array([2000]), np.array([2000]))[0] == pytest.approx(1500 / 2500, abs=0.12)
 
 
 @pytest.mark.parametrize(("nodes", "links", "chain"), [(60, 50, False), (40, 0, True), (5, 0, False)])
