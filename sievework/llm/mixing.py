@@ -44,8 +44,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, temperature: float,
     if weights is None:
         weight = F.pow(F.col("__mix_n").cast("double"), F.lit(temperature))
     else:
-        given = F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))])
-        weight = F.coalesce(given[F.col("__mix_source")], F.lit(0.0))
+        given = F.create_map(*[F.lit(x) for pair in weights.items() for x in (pair[0], float(pair[1]))]) if weights else None
+        weight = F.coalesce(given[F.col("__mix_source")], F.lit(0.0)) if weights else F.lit(0.0)
     per = per.withColumn("__mix_weight", weight)
     totals = per.agg(F.sum("__mix_n").alias("n"), F.sum("__mix_weight").alias("w"))
     whole, mass = totals.select("n").scalar(), totals.select("w").scalar()

@@ -79,8 +79,9 @@ def sharded(docs: DataFrame, shards: int = 8, rows_per_range: int = 2000, key: s
     """`docs` in shards of near-equal bytes, with size, text_crc32, law, shard, slot and grown_shard.
 
     A row's size is its text's UTF-8 bytes and 1. Splitters from a size-weighted
-    sample cut the order of sizes() into many ranges (at least 16 a shard, at
-    most 16,384), each small enough for one task to sort. The ranges' exact sizes
+    sample cut the order of sizes() into many ranges (at least 16 a shard and 8 a
+    shuffle partition, at most 16,384; beyond that ranges grow, and a task sorts
+    its range on disk). The ranges' exact sizes
     come to the driver, and shards are runs of ranges. A range in which a shard's
     share ends is overfull and subdivided: its groups of equal texts go to the
     side where the middle of their bytes falls, and a group larger than a
@@ -97,7 +98,8 @@ def sharded(docs: DataFrame, shards: int = 8, rows_per_range: int = 2000, key: s
     docs = docs.drop(*own)
     rows = sizes(docs, key, text)
     many = rows.count()
-    ranges = int(min(16_384, max(16 * shards, many // rows_per_range)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = int(min(16_384, max(16 * shards, 8 * parts, many // rows_per_range)))
     rows = table(ranged(rows, splitters(rows, ranges)), "shard-rows")
     whole = rows.groupBy("__shard_range").agg(F.sum("__shard_size").alias("bytes")).orderBy("__shard_range").toPandas()
     ends = np.cumsum(whole["bytes"].to_numpy(dtype=np.int64))
