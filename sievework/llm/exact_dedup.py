@@ -12,6 +12,9 @@ from sievework.llm.work import folder, table
 #: The state store that keeps its state on disk, with snapshots in the checkpoint.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: A state store holds memory of its own, however few entries it has, and its entries are on disk: a third as many stores as
+#: there are shuffle partitions.
+STORES = 3
 #: All state partitions of an executor share this memory, however many there are; the rest is on
 #: disk, without room reserved ahead. A micro-batch checkpoints its changes, not all of the state.
 ROCKSDB_OPTIONS = {"boundedMemoryUsage": "true", "maxMemoryUsageMB": "100", "writeBufferSizeMB": "2", "blockCacheSizeMB": "2", "allowFAllocate": "false", "changelogCheckpointing.enabled": "true"}
@@ -59,7 +62,7 @@ def streamed_state(spark: SparkSession, path: str, key: str, text: str, digest:
         session.conf.set(f"spark.sql.streaming.stateStore.rocksdb.{name}", value)
     # Executors let go of a stopped stream's stores at their next maintenance, a minute later by default.
     session.conf.set("spark.sql.streaming.stateStore.maintenanceInterval", "5s")
-    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    session.conf.set("spark.sql.shuffle.partitions", str(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // STORES)))
     base, path = folder(spark, "dedup-state"), path.rstrip("/")
     schema = spark.read.parquet(path).schema
     one = f"{path[:-1]}[{path[-1]}]"  # the same path as a pattern: a stream takes a single file only by a pattern
