@@ -20,6 +20,8 @@ CHUNK, STRIDE, WIDTH, FILTERS = 256, 192, 6, 12
 PAD = 0
 #: Levels of the second input: how many of the last 24 bytes end a repeat of a nearby run of four.
 LEVELS = 5
+#: Places whose responses are computed together.
+PLACES = 4096
 
 
 def repeats(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -66,12 +68,18 @@ class Network:
     bias: float
 
     def responses(self, data: np.ndarray, level: np.ndarray) -> np.ndarray:
-        """(place, filter): each filter at each byte."""
+        """(place, filter): each filter at each byte, some places at a time, so that they stay in the cache."""
         n = len(data) - WIDTH + 1
-        found = self.levels[level[WIDTH - 1 :]] + self.offset
-        for j in range(WIDTH):
-            found += self.bytes_[j][data[j : j + n]]
-        return found
+        at, kind, base = data.astype(np.intp), level[WIDTH - 1 :], self.levels + self.offset
+        out, one = np.empty((n, FILTERS), np.float32), np.empty((PLACES, FILTERS), np.float32)
+        for i in range(0, n, PLACES):
+            m = min(PLACES, n - i)
+            part, buffer = out[i : i + m], one[:m]
+            np.take(base, kind[i : i + m], axis=0, out=part, mode="clip")
+            for j in range(WIDTH):
+                np.take(self.bytes_[j], at[i + j : i + j + m], axis=0, out=buffer, mode="clip")
+                part += buffer
+        return out
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         """The logit that each chunk is junk; a sum in a fixed order, so it's the same in any batch."""
@@ -131,13 +139,12 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 500, batch: int = 6
                 grads["bias"][0] += slope.sum()
                 grads["out"] += np.maximum(pooled[worst], 0).T @ slope
                 back = slope[:, None] * net.out * (pooled[worst] > 0)
-                for row, w in enumerate(worst):
-                    lo, hi = bounds[w]
-                    top = lo + np.argmax(found[lo:hi], axis=0)
-                    for k in range(WIDTH):
-                        np.add.at(grads["bytes_"][k], (data[top + k], np.arange(FILTERS)), back[row])
-                    np.add.at(grads["levels"], (level[top + WIDTH - 1], np.arange(FILTERS)), back[row])
-                    grads["offset"] += back[row]
+                top = np.stack([lo + found[lo:hi].argmax(0) for lo, hi in bounds[worst]])
+                filters = np.broadcast_to(np.arange(FILTERS), top.shape)
+                for k in range(WIDTH):
+                    np.add.at(grads["bytes_"][k], (data[top + k], filters), back)
+                np.add.at(grads["levels"], (level[top + WIDTH - 1], filters), back)
+                grads["offset"] += back.sum(0)
             grads["out"] += 1e-4 * net.out
             grads["bytes_"] += 1e-5 * params["bytes_"]
             step += 1
