@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from sievework.llm.work import column, text_bytes
 
 #: Words, and parts of words, kept in a worker's memory before it starts afresh, and the longest ones kept, in bytes.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 200_000, 64
 #: A word that is Latin letters and then, perhaps, ASCII punctuation without an apostrophe.
 SIMPLE = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
