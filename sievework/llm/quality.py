@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievework.llm.words import blocks
-from sievework.llm.work import column, text_bytes
+from sievework.llm.work import text_bytes
 
 #: A chunk is CHUNK bytes, and the next begins STRIDE bytes on. Filters span WIDTH bytes.
 CHUNK, STRIDE, WIDTH, FILTERS = 256, 192, 6, 12
@@ -195,11 +194,11 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int
     own = ["held_out", "score", "predicted"]
     docs = docs.drop(*own)
     model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, rows, key=key, text=text))
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = model.value.good(text_bytes(column(batch, text)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=schema.fieldNames())
+    # Only texts go to Python and only scores come back. Not deterministic, to Spark: else a filter would score again.
+    def good(texts: pa.Array) -> pa.Array:
+        return pa.array(model.value.good(text_bytes(texts)))
 
-    return docs.mapInArrow(run, schema).select(*docs.columns, (fold(key) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    score = F.arrow_udf(good, T.DoubleType()).asNondeterministic()
+    found = docs.select(*docs.columns, (fold(key) == 0).alias("held_out"), score(F.col(text)).alias("score"))
+    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
