@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact_dedup, mixing, packing, quality, setsketch, sharding, suffix_tree, syncmers, warc, wrappers
+from sievework.llm import exact_dedup, mixing, packing, quality, setsketch, sharding, suffix_tree, syncmers, vector_codes, warc, wrappers
 
 
 def vocabulary() -> str:
@@ -76,10 +76,39 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_sharding": op4_sharding, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op7_wrappers": op7_wrappers, "op8_warc": op8_warc, "op9_syncmers": op9_syncmers, "op10_setsketch": op10_setsketch}
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_sharding": op4_sharding, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op7_wrappers": op7_wrappers, "op8_warc": op8_warc, "op9_syncmers": op9_syncmers, "op10_setsketch": op10_setsketch, "op12_vector_codes": op12_vector_codes}
 
 _LOG_FACTORIALS = ", ".join(repr(math.lgamma(k + 1)) + "::DOUBLE" for k in range(mixing.LEVELS))
 
+def _codes_sql() -> str:
+    """Every part against every entry, round by round."""
+    measured = "SELECT p.vec_id, p.m, p.x, min(list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 16 + c.k) AS best FROM p JOIN c{n} c USING (m) GROUP BY ALL"
+    ctes = [
+        "v AS (SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(4096 * CAST(e AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        "p AS MATERIALIZED (SELECT vec_id, m, e[m * (len(e) // 8) + 1 : (m + 1) * (len(e) // 8)] AS x FROM v, (SELECT unnest(range(8)) AS m))",
+        "c0 AS MATERIALIZED (SELECT m, CAST(row_number() OVER (PARTITION BY m ORDER BY vec_id) - 1 AS BIGINT) AS k, x FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 16))",
+    ]
+    for n in range(6):
+        ctes += [
+            f"a{n} AS MATERIALIZED ({measured.format(n=n)})",
+            f"s{n} AS (SELECT m, best % 16 AS k, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{n})",
+            f"f{n} AS (SELECT m, k, i, CAST(sum(y) AS BIGINT) AS total, count(*) AS n FROM s{n} GROUP BY ALL)",
+            f"g{n} AS (SELECT m, k, list((total - ((total % n) + n) % n) // n ORDER BY i) AS x FROM f{n} GROUP BY ALL)",
+            f"c{n + 1} AS MATERIALIZED (SELECT m, k, coalesce(g.x, c.x) AS x FROM c{n} c LEFT JOIN g{n} g USING (m, k))",
+        ]
+    ctes += [
+        f"a6 AS MATERIALIZED ({measured.format(n=6)})",
+        "r AS (SELECT vec_id, string_agg(printf('%02x', best % 16), '' ORDER BY m) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM a6 GROUP BY ALL)",
+        "d AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY m, k)) AS codebooks_sha256 FROM c6)",
+    ]
+    return f"WITH {', '.join(ctes)} SELECT r.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM r JOIN v USING (vec_id), d"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": f"""
         WITH lf AS (SELECT [{_LOG_FACTORIALS}] AS l),
@@ -107,4 +136,5 @@ ORACLE_SQL: dict[str, str] = {
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op12_vector_codes": _codes_sql(),
 }
