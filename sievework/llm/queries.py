@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import exact_dedup, mixing, packing, quality, setsketch, sharding, suffix_tree, syncmers, vector_codes, warc, wrappers
+from sievework.llm import exact_dedup, mixing, packing, quality, setsketch, sharding, suffix_tree, syncmers, token_counts, vector_codes, warc, wrappers
 
 
 def vocabulary() -> str:
@@ -76,12 +76,17 @@ def op10_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir), size=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.totals(token_counts.stored(documents(spark, sf_dir), vocabulary()))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vector_codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_sharding": op4_sharding, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op7_wrappers": op7_wrappers, "op8_warc": op8_warc, "op9_syncmers": op9_syncmers, "op10_setsketch": op10_setsketch, "op12_vector_codes": op12_vector_codes}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_mixing": op1_mixing, "op2_quality": op2_quality, "op3_exact_dedup": op3_exact_dedup, "op4_sharding": op4_sharding, "op5_suffix_tree": op5_suffix_tree, "op6_packing": op6_packing, "op7_wrappers": op7_wrappers, "op8_warc": op8_warc, "op9_syncmers": op9_syncmers, "op10_setsketch": op10_setsketch, "op11_token_counts": op11_token_counts, "op12_vector_codes": op12_vector_codes}
 
 _LOG_FACTORIALS = ", ".join(repr(math.lgamma(k + 1)) + "::DOUBLE" for k in range(mixing.LEVELS))
 
