@@ -29,7 +29,6 @@ import functools
 import json
 import re
 import unicodedata
-from array import array
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
@@ -40,16 +39,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sievework.llm.work import column, table
+from sievework.llm.work import column, folder
 
 #: Prefixes of a row of the stored table, and numbers held before a batch of rows is handed on.
 BLOCK, BATCH = 8192, 1 << 20
-#: Words, pairs of tokens and tokens remembered by a worker before it starts afresh, and the longest word kept, in code points.
-REMEMBERED, LONGEST = 500_000, 64
+#: Runs, words and pairs of tokens remembered by a worker before it starts afresh, and the longest word kept, in code points.
+REMEMBERED, LONGEST = 300_000, 64
 #: Unicode's white space, at which the tokenizer always cuts.
 SPACE = re.compile("[\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Words of printable ASCII, as the tokenizer's own pattern splits them.
-ASCII = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Words of printable Latin-1 in lower case, as the tokenizer's own pattern splits them, and what such a text may hold.
+LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
+SIMPLE = re.compile("[!-~\xa1-\xac\xae-\xff]*")
 END = "</w>"
 
 
@@ -67,46 +67,45 @@ class PrefixCounter:
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != END or model.get("dropout") or model.get("ignore_merges") or steps != ["Split", "ByteLevel"] or any(a["normalized"] or a["single_word"] or a["lstrip"] or a["rstrip"] for a in kind["added_tokens"]):
             raise ValueError("not a tokenizer of byte-level pairs with word ends")
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        self.ranks = {m: i for i, m in enumerate(merges)}
-        #: What each token was merged from, and when; single letters never were.
-        self.made = {a + b: (i, a, b) for i, (a, b) in enumerate(merges)}
-        if len(self.made) < len(merges):
+        #: Tokens by number, what each was merged from, and when; single letters never were.
+        ids = {token: i for i, token in enumerate(model["vocab"])}
+        made = {a + b: (i, ids[a], ids[b]) for i, (a, b) in enumerate(merges)}
+        if len(made) < len(merges):
             raise ValueError("a token is merged in more than one way")
-        self.inner, self.final = ahocorasick.Automaton(), ahocorasick.Automaton()
-        for token in model["vocab"]:
-            size = len(token) - len(END) if token.endswith(END) else len(token)
-            if size:
-                (self.final if size < len(token) else self.inner).add_word(token[:size], size)
-        self.inner.make_automaton()
-        self.final.make_automaton()
+        self.size = len(ids)
+        self.ranks = {ids[a] * self.size + ids[b]: i for i, (a, b) in enumerate(merges)}
+        self.made = [made.get(token, (-1, 0, 0)) for token in ids]
+        alone = [True] * self.size
+        for token in sorted(ids, key=len):  # halves are shorter
+            rank, left, right = self.made[ids[token]]
+            alone[ids[token]] = rank < 0 or (alone[left] and alone[right] and self._apart(left, right, rank))
+        #: Letters of the tokens that are their own text's encoding: (size, token within a word or -1, token at its end or -1).
+        usable = {token for token, i in ids.items() if alone[i]}
+        self.tokens = ahocorasick.Automaton()
+        for letters in {t.removesuffix(END) for t in usable} - {""}:
+            self.tokens.add_word(letters, (len(letters), ids[letters] if letters in usable else -1, ids[letters + END] if letters + END in usable else -1))
+        self.tokens.make_automaton()
+        self.follows: dict[int, bool] = {}
         names = sorted((a["content"] for a in kind["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, names)) or r"(?!)")
         whole = Tokenizer.from_file(path)
         self.normalised, self.split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         self.runs: dict[str, bytes] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.usable: dict[str, bool] = {}
+        self.parts: dict[str, list[int] | bytes] = {}
+        self.letters = str.maketrans({chr(c): "".join(letter for letter, _ in self.split(chr(c))) for c in range(0xA1, 0x100) if c != 0xAD})
         self.seconds: frozenset[str] | None = None
 
-    def _alone(self, token: str) -> bool:
-        """Whether the token is the encoding of its own text: its halves are, and nothing else is merged before they meet."""
-        found = self.usable.get(token)
-        if found is None:
-            rank, left, right = self.made.get(token, (-1, "", ""))
-            found = self.usable[token] = rank < 0 or (self._alone(left) and self._alone(right) and self._apart(left, right, rank))
-        return found
-
-    def _apart(self, left: str, right: str, until: int) -> bool:
+    def _apart(self, left: int, right: int, until: int) -> bool:
         """Whether two encodings' neighbouring tokens stay apart in all merges before the one numbered `until`.
 
         Their merges are undone from the last: at each step the tokens at the seam are those that stood there at that time,
         and they would have been merged then if their merge comes earlier, or is the same one and stands further left.
         """
+        ranks, made, size = self.ranks, self.made, self.size
         while True:
-            if self.ranks.get((left, right), until) < until:
+            if ranks.get(left * size + right, until) < until:
                 return False
-            a, b = self.made.get(left, (-1, "", "")), self.made.get(right, (-1, "", ""))
+            a, b = made[left], made[right]
             if a[0] < 0 and b[0] < 0:
                 return True
             if a[0] > b[0]:  # the same merge further left came first
@@ -114,45 +113,44 @@ class PrefixCounter:
             else:
                 until, right = min(until, b[0] + 1), b[1]
 
-    def _fits(self, before: str, token: str) -> bool:
-        """Whether the token can stand after another."""
-        found = self.follows.get((before, token))
-        if found is None:
-            found = self.follows[before, token] = self._apart(before, token, len(self.ranks))
-        return found
-
-    def _ends(self, letters: str, tokens: Iterable[tuple[int, int]]) -> list[list[int]]:
-        """Sizes of the tokens that end at each letter."""
-        out: list[list[int]] = [[] for _ in letters]
-        for end, size in tokens:
-            out[end].append(size)
-        return out
-
-    def _last(self, letters: str, end: int, sizes: list[int], suffix: str, last: list[str]) -> tuple[str, int]:
-        """The last token of the encoding of the first `end` letters, and its letters."""
-        for size in sizes:
-            token = letters[end - size : end] + suffix
-            if (last[end - size] and self._fits(last[end - size], token) if size < end else True) and self._alone(token):
-                return token, size
-        return "", 0
+    def word(self, letters: str) -> list[int] | bytes:
+        """Tokens of each prefix of a word, from one letter (byte) on, each closed as a word.
 
-    def word(self, letters: str) -> list[int]:
-        """Tokens of each prefix of a word, from one letter (byte) on, each closed as a word."""
+        Of the tokens that end at a letter, the one that can follow the last token of what stands before it is the last
+        token there: one within a word for the prefixes that go on, one at a word's end for the closed prefix.
+        """
         found = self.parts.get(letters)
         if found is not None:
             return found
-        last, count = [""] * (len(letters) + 1), [0] * (len(letters) + 1)
-        closed = [0] * len(letters)
-        inner, final = self._ends(letters, self.inner.iter(letters)), self._ends(letters, self.final.iter(letters))
-        for end in range(1, len(letters) + 1):
-            last[end], size = self._last(letters, end, inner[end - 1], "", last)
-            count[end] = count[end - size] + 1
-            _, size = self._last(letters, end, final[end - 1], END, last)
-            if not size:
-                raise ValueError("a byte without a token")
-            closed[end - 1] = count[end - size] + 1
+        follows, size = self.follows, self.size
+        last, count, closed = [-1] * (len(letters) + 1), [0] * (len(letters) + 1), [0] * len(letters)
+        for at, (n, inner, final) in self.tokens.iter(letters):
+            begin = at + 1 - n
+            before = last[begin]
+            if begin and before < 0:
+                continue
+            if inner >= 0 and last[at + 1] < 0:
+                fits = True
+                if begin:
+                    pair = before * size + inner
+                    fits = follows.get(pair)
+                    if fits is None:
+                        fits = follows[pair] = self._apart(before, inner, size)
+                if fits:
+                    last[at + 1], count[at + 1] = inner, count[begin] + 1
+            if final >= 0 and not closed[at]:
+                fits = True
+                if begin:
+                    pair = before * size + final
+                    fits = follows.get(pair)
+                    if fits is None:
+                        fits = follows[pair] = self._apart(before, final, size)
+                if fits:
+                    closed[at] = count[begin] + 1
+        if not all(closed):
+            raise ValueError("a byte without a token")
         if len(letters) <= LONGEST:
-            self.parts[letters] = closed
+            self.parts[letters] = bytes(closed)
         return closed
 
     def _tail(self, text: str) -> int:
@@ -173,22 +171,26 @@ class PrefixCounter:
                 out.append(c)
         return out
 
-    def _ascii(self, text: str) -> list[int]:
-        """Tokens of each prefix of a printable ASCII text: a letter is a byte, and is its own normal form but for its case."""
+    def _latin(self, text: str) -> list[int]:
+        """Tokens of each prefix of a printable Latin-1 text, which is its own normal form but for its case."""
         out: list[int] = []
         before = 0
-        for part in ASCII.findall(text.lower()):
-            counts = self.word(part)
+        for part in LATIN.findall(text.lower()):
+            if part.isascii():
+                counts = self.word(part)
+                if len(part) == 3 and part[0] == "'" and part[1].isalpha():  # within a contraction the apostrophe and a letter are two words
+                    counts = [counts[0], self._tail(part[:2]), counts[2]]
+            else:  # a count stands at a letter's last byte
+                word = self.word(part.translate(self.letters))
+                counts = [word[end - 1] for end in accumulate(1 if c < "\x80" else 2 for c in part)]
             out += [before + c for c in counts] if before else counts
-            if len(part) == 3 and part[0] == "'" and part[1].isalpha():  # within a contraction the apostrophe and a letter are two words
-                out[-2] = before + self._tail(part[:2])
             before = out[-1]
         return out
 
     def _segment(self, text: str) -> list[int]:
         """Tokens of each prefix of a text without white space and special strings."""
-        if text.isascii() and text.isprintable():
-            return self._ascii(text)
+        if SIMPLE.fullmatch(text):
+            return self._latin(text)
         steps = list(text) if unicodedata.is_normalized("NFC", text) else self._steps(text)
         norms = ["".join(c.lower() for c in unicodedata.normalize("NFC", s)) for s in steps]
         plain = "".join(norms)
@@ -218,14 +220,11 @@ class PrefixCounter:
             out.append(counts[end])
         return out
 
-    def run(self, text: str) -> bytes:
-        """Tokens of each prefix of a text without white space, and of all of it once more, as 32-bit integers."""
-        found = self.runs.get(text)
-        if found is not None:
-            return found
+    def run(self, text: str) -> list[int]:
+        """Tokens of each prefix of a text without white space, and of all of it once more."""
         out: list[int] = []
         at = 0
-        for m in self.special.finditer(text):
+        for m in self.special.finditer(text) if "<" in text else ():
             base = out[-1] if out else 0
             if m.start() > at:
                 out += [base + c for c in self._segment(text[at : m.start()])]
@@ -234,25 +233,36 @@ class PrefixCounter:
             at = m.end()
         if at < len(text):
             base = out[-1] if out else 0
-            out += [base + c for c in self._segment(text[at:])]
-        found = array("i", [*out, out[-1] if out else 0]).tobytes()
-        if len(text) <= LONGEST:
-            self.runs[text] = found
-        return found
+            found = self._segment(text[at:])
+            out += [base + c for c in found] if base else found
+        out.append(out[-1] if out else 0)
+        return out
 
     def counts(self, text: str) -> np.ndarray:
         """Tokens of the first 0, 1, ... code points of a text."""
         runs = SPACE.split(text)
-        known = self.runs
-        flat = np.frombuffer(b"".join([known.get(r) or self.run(r) for r in runs]), np.int32)
+        known, flat = self.runs, []
+        held: list[bytes] = []
+        for run in runs:
+            found = known.get(run)
+            if found is None:
+                each = self.run(run)
+                if len(run) > LONGEST or max(each) > 255:
+                    flat += [np.frombuffer(b"".join(held), np.uint8), np.array(each, np.int32)]
+                    held = []
+                    continue
+                found = known[run] = bytes(each)
+            held.append(found)
+        flat.append(np.frombuffer(b"".join(held), np.uint8))
+        flat = np.concatenate(flat).astype(np.int32)
         ends = np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs)) + 1)
         finals = flat[ends - 1]
-        base = np.cumsum(finals) - finals
+        base = (np.cumsum(finals) - finals).astype(np.int32)
         out = np.empty(len(text) + 1, np.int32)
         out[0] = 0
         # Each run stands with the white space after it, which adds nothing; after the last run there is none.
-        out[1:] = (flat + np.repeat(base, np.diff(ends, prepend=0)).astype(np.int32))[:-1]
-        for kept in (self.runs, self.parts, self.follows, self.usable):
+        out[1:] = (flat + np.repeat(base, np.diff(ends, prepend=0)))[:-1]
+        for kept in (self.runs, self.parts, self.follows):
             if len(kept) > REMEMBERED:
                 kept.clear()
         return out
@@ -265,13 +275,13 @@ def counter_of(path: str) -> PrefixCounter:
 
 
 def prefix_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(key, text_hash, first, counts, is_last, n_chars, n_bytes): the tokens of the first `first`, `first` + 1, ... code points.
+    """(key, text_hash, first, counts, is_last, n_chars, n_bytes, n_tokens): the tokens of the first `first`, `first` + 1, ... code points.
 
     Rows of one text go on at each other's end; the last one, `is_last`, ends with the whole text's count. `path` is the
     tokenizer's file, on every machine. Nothing is shuffled.
     """
     schema = T.StructType(
-        [docs.schema[key], T.StructField("text_hash", T.LongType()), T.StructField("first", T.LongType()), T.StructField("counts", T.ArrayType(T.IntegerType(), False)), T.StructField("is_last", T.BooleanType()), T.StructField("n_chars", T.LongType()), T.StructField("n_bytes", T.LongType())]
+        [docs.schema[key], T.StructField("text_hash", T.LongType()), T.StructField("first", T.LongType()), T.StructField("counts", T.ArrayType(T.IntegerType(), False)), T.StructField("is_last", T.BooleanType()), T.StructField("n_chars", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,10 +291,10 @@ def prefix_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         held = 0
 
         def batch_of() -> pa.RecordBatch:
-            keys, hashes, firsts, parts, lasts, chars, sizes = zip(*rows)
+            keys, hashes, firsts, parts, lasts, chars, sizes, totals_ = zip(*rows)
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts), pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(hashes, pa.int64()), pa.array(firsts, pa.int64()), lists, pa.array(lasts, pa.bool_()), pa.array(chars, pa.int64()), pa.array(sizes, pa.int64())], names=schema.fieldNames())
+            return pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(hashes, pa.int64()), pa.array(firsts, pa.int64()), lists, pa.array(lasts, pa.bool_()), *(pa.array(x, pa.int64()) for x in (chars, sizes, totals_))], names=schema.fieldNames())
 
         for batch in batches:
             kind = column(batch, key).type
@@ -292,7 +302,7 @@ def prefix_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                 whole = value.as_py() or ""
                 found = counter.counts(whole)
                 for first in range(0, len(found), block):
-                    rows.append((k, hashed, first, found[first : first + block], first + block >= len(found), len(whole), len(whole.encode())))
+                    rows.append((k, hashed, first, found[first : first + block], first + block >= len(found), len(whole), len(whole.encode()), int(found[-1])))
                     held += len(rows[-1][3])
                     if held >= BATCH:
                         yield batch_of()
@@ -305,13 +315,19 @@ def prefix_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
 
 def stored(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """The table of all prefixes' counts, written to the shared folder."""
-    return table(prefix_counts(docs, path, key, text, block), "prefix-counts")
+    """The table of all prefixes' counts, written to the shared folder.
+
+    Neighbouring counts differ little, so they are written as differences instead of by a dictionary.
+    """
+    found = prefix_counts(docs, path, key, text, block)
+    place = folder(docs.sparkSession, "prefix-counts")
+    found.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").option("parquet.writer.version", "PARQUET_2_0").parquet(place)
+    return docs.sparkSession.read.schema(found.schema).parquet(place)
 
 
 def totals(counts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n_chars, n_bytes, n_tokens) of each row that was counted: the last number of its last row."""
-    return counts.filter("is_last").select(key, "n_chars", "n_bytes", F.element_at("counts", -1).cast("long").alias("n_tokens"))
+    """(key, n_chars, n_bytes, n_tokens) of each row that was counted, from the row with its last prefix."""
+    return counts.filter("is_last").select(key, "n_chars", "n_bytes", "n_tokens")
 
 
 def tokens_before(counts: DataFrame, asked: DataFrame, key: str = "doc_id", place: str = "n_chars", block: int = BLOCK) -> DataFrame:
