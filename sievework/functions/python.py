@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import html
 import json
 import re
@@ -30,7 +31,7 @@ def _has_vowel(stem: str) -> bool:
 
 
 def _doubled(word: str) -> bool:
-    return len(word) > 1 and word[-1] == word[-2] and not _is_vowel(word, len(word) - 1)
+    return len(word) > 1 and word[-1] == word[-2] and word[-1] not in _VOWELS
 
 
 def _short(word: str) -> bool:
@@ -38,7 +39,7 @@ def _short(word: str) -> bool:
 
 
 # Fixed values of the published suffix-stripping algorithm (Porter, 1980), in its order.
-_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
+_STEP2 = "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble logi:log"
 _STEP3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 _STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
 
@@ -47,11 +48,11 @@ def porter(word: str) -> str:
     """The stem of a lower-case word by Porter's published algorithm."""
     if len(word) < 3:
         return word
-    if word.endswith("sses") or word.endswith("ies"):
+    if (word.endswith("sses") and len(word) > 4) or (word.endswith("ies") and len(word) > 3):
         word = word[:-2]
     elif word.endswith("s") and not word.endswith("ss"):
         word = word[:-1]
-    if word.endswith("eed"):
+    if word.endswith("eed") and len(word) > 3:
         if _measure(word[:-3]) > 0:
             word = word[:-1]
     else:
@@ -90,21 +91,67 @@ def porter(word: str) -> str:
     return word
 
 
-def _folded_words(text: str) -> list[str]:
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
-    return re.findall(r"[^\W_]+", plain)
+# The combining marks that the full-text engine drops within a word. All others end a word.
+DROPPED_MARKS = (0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x309, 0x30A, 0x30B, 0x30C, 0x30F, 0x311, 0x31B, 0x323, 0x324, 0x325, 0x326, 0x327, 0x328, 0x32D, 0x32E, 0x330, 0x331)
+_DROPPED = frozenset(map(chr, DROPPED_MARKS))
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _engine_letter(c: str) -> str | None:
+    """A character as the full-text engine has it: a letter or digit of a word, nothing, or null where a word ends.
+
+    Simple case folding; a Latin letter with one mark loses it, one with two keeps both.
+    """
+    if c in _DROPPED:
+        return ""
+    if unicodedata.category(c)[0] not in "LN" and unicodedata.category(c) != "Co":
+        return None
+    low = next((x for x in (c.casefold(), c.lower()) if len(x) == 1), c.lower()[0])
+    parts = unicodedata.decomposition(low).split(" ")
+    if len(parts) == 2 and parts[0][0] != "<" and unicodedata.combining(chr(int(parts[1], 16))) and int(parts[0], 16) < 128:
+        return chr(int(parts[0], 16))
+    return low
+
+
+def engine_words(text: str) -> list[str]:
+    """A text's words as the full-text engine splits and folds them, before they are stemmed.
+
+    Characters that Unicode has assigned since the engine's tables (2012) count by today's tables.
+    """
+    if text.isascii():
+        return re.findall("[a-z0-9]+", text.lower())
+    out: list[str] = []
+    inside = False
+    for c in text:
+        letter = _engine_letter(c)
+        if letter is None or (letter == "" and not inside):  # a mark begins no word
+            inside = False
+        elif inside:
+            out[-1] += letter
+        else:
+            out.append(letter)
+            inside = True
+    return out
+
+
+def engine_stem(word: str) -> str:
+    """The stem of a word of 3 to 64 bytes, each byte a letter; others stay."""
+    data = word.encode()
+    return porter(data.decode("latin-1")).encode("latin-1").decode("utf-8", "replace") if 3 <= len(data) <= 64 else word
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def porter_tokens(texts: pd.Series) -> pd.Series:
-    """Stems of a text's words: letters and digits, without accents."""
+    """Stems of a text's words in order, as the full-text engine has them."""
     known: dict[str, str] = {}
 
     def stems(text: str | None) -> list[str]:
-        words = _folded_words(text or "")
+        words = engine_words(text or "")
+        if len(known) > 1 << 18:
+            known.clear()
         for w in words:
             if w not in known:
-                known[w] = porter(w)
+                known[w] = engine_stem(w)
         return [known[w] for w in words]
 
     return texts.map(stems)

@@ -79,17 +79,6 @@ def lexical_first_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lexical(spark, sf_dir).select("query_id", "core_id", "doc_id", "facet_rank", "core_rank", F.round("score", 9).alias("score"))
 
 
-def fts_first_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As lexical_first_core, over stemmed terms and the inverse frequency of full-text search, log((N - n + 0.5) / (n + 0.5)), at least 1e-6."""
-    from sievework.functions.python import porter_tokens
-
-    asked = questions(spark, sf_dir).withColumnRenamed("item_id", "query_id")
-    idf = lambda n, df: F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-    found = R.bm25(evidence_docs(spark, sf_dir), asked, "doc_id", "query_id", 2000, tokens=porter_tokens, positive=idf)
-    best = R.first_per_core(found.withColumn("core_id", F.col("doc_id") % 100), "query_id", "core_id", 1200)
-    return best.select("query_id", "core_id", "doc_id", "facet_rank", "core_rank", F.round("score", 6).alias("score"))
-
-
 def _fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = _cores(spark, sf_dir).select("query_id", "core_id", "dense_rank", "hits")
     lexical = _lexical(spark, sf_dir).select("query_id", "core_id", F.col("core_rank").alias("lexical_rank"), F.col("doc_id").alias("lexical_record"))
@@ -115,7 +104,7 @@ def soft_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_topk, bm25_excluded, corpus_df_stats, corpus_length_stats, lexical_expression, dense_dot_topk, lane_zscore_topk, core_aggregate, lexical_first_core, fts_first_core, rrf_fusion, hybrid_results, soft_focus)
+    for f in (bm25_topk, bm25_excluded, corpus_df_stats, corpus_length_stats, lexical_expression, dense_dot_topk, lane_zscore_topk, core_aggregate, lexical_first_core, rrf_fusion, hybrid_results, soft_focus)
 }
 
 BM25 = T.BM25_PATTERN

@@ -271,6 +271,12 @@ def _any(e: str, phrases: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains(lower({e}), '{p}')" for p in phrases) + ")"
 
 
+#: The two quality predicates of a unit `u`, and the lists of its words that they need.
+WORDS_SQL = f"list_transform(regexp_extract_all(u, '{T.EVIDENCE_PATTERN}'), lambda t: lower(t)) AS w, list_transform(regexp_extract_all(u, '[A-Za-z][A-Za-z0-9+./-]*'), lambda t: lower(t)) AS v"
+SCIENCE_SQL = f"NOT {_any('u', C.NON_SCIENCE)} AND len(string_split(lower(u), 'table ')) - 1 < 2 AND NOT (len(w) >= 24 AND len(list_distinct(w)) / len(w) < 0.43)"
+INFORMATIVE_SQL = f"""(u = '' OR regexp_matches(u, '^(?:\\p{{Lu}}|\\p{{Nd}}|[(\\[])') OR regexp_matches(lower(u), '^(?:p-i-n|n-i-p)')) AND NOT {_any('u', C.GENERIC)} AND NOT regexp_matches({_ascii('u')}, '{C.MALFORMED}') AND len(v) >= 6
+    AND NOT (length(u) >= 70 AND NOT regexp_matches({_ascii('u')}, '{C.VERB}')) AND NOT (len(v) >= 24 AND len(list_distinct(v)) / len(v) < 0.40)"""
+
 ORACLE_SQL = {
     "tokens_strict": f"WITH x AS (SELECT doc_id, {_strict(_TEXT)} AS t FROM documents) SELECT doc_id, {_MD5} FROM x",
     "tokens_features": f"WITH x AS (SELECT doc_id, {_feature(_TEXT)} AS t FROM documents) SELECT doc_id, {_MD5} FROM x",
@@ -296,10 +302,8 @@ ORACLE_SQL = {
         n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY p, s) AS nth FROM k), f AS (SELECT *, nth > 1 AND length(key) >= 24 AS gone FROM n),
         j AS (SELECT doc_id, p, string_agg(sentence, ' ' ORDER BY s) FILTER (NOT gone) AS part, count(*) FILTER (gone) AS removed FROM f GROUP BY ALL)
         SELECT doc_id, md5(coalesce(string_agg(part, chr(10) || chr(10) ORDER BY p) FILTER (part IS NOT NULL), '')) AS text_md5, CAST(sum(removed) AS INTEGER) AS removed FROM j GROUP BY doc_id""",
-    "units_quality": f"""WITH {_SENTENCE_ROWS}, w AS (SELECT doc_id, sentence AS u, list_transform(regexp_extract_all(sentence, '{T.EVIDENCE_PATTERN}'), lambda t: lower(t)) AS w, list_transform(regexp_extract_all(sentence, '[A-Za-z][A-Za-z0-9+./-]*'), lambda t: lower(t)) AS v FROM sn)
-        SELECT doc_id, count(*) AS units, count(*) FILTER (NOT {_any('u', C.NON_SCIENCE)} AND len(string_split(lower(u), 'table ')) - 1 < 2 AND NOT (len(w) >= 24 AND len(list_distinct(w)) / len(w) < 0.43)) AS science,
-               count(*) FILTER ((u = '' OR regexp_matches(u, '^(?:\\p{{Lu}}|\\p{{Nd}}|[(\\[])') OR regexp_matches(lower(u), '^(?:p-i-n|n-i-p)')) AND NOT {_any('u', C.GENERIC)} AND NOT regexp_matches({_ascii('u')}, '{C.MALFORMED}') AND len(v) >= 6
-                                AND NOT (length(u) >= 70 AND NOT regexp_matches({_ascii('u')}, '{C.VERB}')) AND NOT (len(v) >= 24 AND len(list_distinct(v)) / len(v) < 0.40)) AS informative FROM w GROUP BY doc_id""",
+    "units_quality": f"""WITH {_SENTENCE_ROWS}, w AS (SELECT doc_id, sentence AS u, {WORDS_SQL.replace("(u,", "(sentence,")} FROM sn)
+        SELECT doc_id, count(*) AS units, count(*) FILTER ({SCIENCE_SQL}) AS science, count(*) FILTER ({INFORMATIVE_SQL}) AS informative FROM w GROUP BY doc_id""",
     "strict_score": f"WITH {_ANSWERS}, {_STRICT} SELECT item_id, strict_score, {', '.join(f'round({c}, 4)::DOUBLE AS {c}' for c in ('key_fraction', 'reference_cosine', 'reference_coverage', 'source_coverage', 'specific_coverage', 'numeric_coverage', 'raw_score'))}, CAST(answer_tokens AS INTEGER) AS answer_tokens, CAST(markers AS INTEGER) AS markers, coalesce(array_to_string(flags, ','), '') AS flags FROM st",
     "strict_labels": f"""WITH {_ANSWERS}, {_STRICT}, l AS (SELECT *, least(key_fraction, greatest(reference_cosine, reference_coverage), greatest(ev, 0.01)) AS sure FROM st),
         lb AS (SELECT *, CASE WHEN len(flags) > 0 OR sure < 0.12 THEN 'low' WHEN sure < 0.25 THEN 'medium' ELSE 'high' END AS confidence FROM l)
