@@ -96,6 +96,12 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(T.StructType.fromJson(json.loads(stats["schema"]))).parquet(f"{path}/postings")
 
 
+def postings_of(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index's rows of some terms, (bucket, term); only the folders of their buckets, a bounded number, are read."""
+    buckets = [r["bucket"] for r in terms.select("bucket").distinct().collect()]
+    return index.filter(F.col("bucket").isin(buckets)).join(terms, ["bucket", "term"], "left_semi")
+
+
 def phrase_hits(index: DataFrame, phrases: DataFrame, doc_id: str, buckets: int = BUCKETS) -> DataFrame:
     """(phrase, doc, f, length): how often each phrase stands in each document that has it.
 
@@ -107,8 +113,7 @@ def phrase_hits(index: DataFrame, phrases: DataFrame, doc_id: str, buckets: int
     """
     words = phrases.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("k", "term"))
     terms = words.select("term").distinct().withColumn("bucket", bucket_of(F.col("term"), buckets))
-    asked = index.join(terms, ["bucket", "term"], "left_semi").select("term", doc_id, "tf", "positions", "length")
-    asked = table(asked, "asked-postings")
+    asked = table(postings_of(index, terms).select("term", doc_id, "tf", "positions", "length"), "asked-postings")
     single = asked.join(words.filter("n = 1"), "term").select("phrase", doc_id, F.col("tf").cast("long").alias("f"), "length")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     longer = words.filter("n > 1")
