@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 RANGES = 4096
 
 
-def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """`df` with `name`: the sum of `value` over all rows with a lesser `order`, an integer key without repeats or nulls.
+def running_sum(df: DataFrame, order: str, value: str, name: str, ties: list[str] | None = None) -> DataFrame:
+    """`df` with `name`: the sum of `value` over all rows with a lesser `order`, an integer key.
 
-    Quantiles of the key cut it into ranges of about as many rows each, whatever
+    Nulls come first; rows of equal keys are told apart by the columns `ties`, if
+    keys repeat, and lie in one range. Quantiles of the key cut it into ranges of about as many rows each, whatever
     its gaps; each range is summed, the ranges' sums are accumulated, and rows
     are accumulated within their range.
     """
@@ -25,8 +26,8 @@ def running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     def placed(keys: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(cuts, keys.to_numpy(dtype=np.int64), side="right").astype(np.int32))
 
-    ranged = df.withColumn("__range", placed(F.col(order).cast("long")) if len(cuts) else F.lit(0))
+    ranged = df.withColumn("__range", placed(F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 63)))) if len(cuts) else F.lit(0))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("__range").agg(F.sum(value).alias("__s")).withColumn("__start", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
-    within = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__range").orderBy(order, *(ties or ())).rowsBetween(Window.unboundedPreceding, -1)
     return ranged.join(starts, "__range").withColumn(name, F.col("__start") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("__range", "__start")

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from sievework.operators.nextfit import next_fit
 from sievework.operators.prefix import running_sum
 from sievework.sources.work import table
 
@@ -20,13 +18,15 @@ IGNORED = -100
 def contiguous_blocks(docs: DataFrame, key: str, tokens: str, length: int, end: int, pad: int) -> DataFrame:
     """(block, input_ids, valid): the stream of all documents' ids, each followed by `end`, cut every `length`.
 
-    The ids are made once, into a table; a running sum over its lengths gives
-    each document its place in the stream. A document sends a slice to each block
-    it reaches, and a block joins its slices.
+    The ids are made once, into a table, whose rows are numbered; a running sum
+    over their lengths in order of the key, an integer (nulls first, of equal keys
+    the lesser digest of the ids), gives each row its place in the stream. A row
+    sends a slice to each block it reaches, and a block joins its slices.
     """
-    stream = docs.select(key, F.concat(F.col(tokens), F.array(F.lit(end))).alias("__ids")).filter(F.size("__ids") > 1)
-    stream = table(stream.withColumn("__n", F.size("__ids")), "ids")
-    placed = stream.join(running_sum(stream.select(key, "__n"), key, "__n", "__at").drop("__n"), key)
+    stream = docs.select(F.col(key).alias("__key"), F.concat(F.coalesce(F.col(tokens), F.array().cast("array<int>")), F.array(F.lit(end))).alias("__ids")).filter(F.size("__ids") > 1)
+    stream = table(stream.select("*", F.size("__ids").alias("__n"), F.xxhash64("__ids").alias("__digest"), F.monotonically_increasing_id().alias("__row")), "ids")
+    places = running_sum(stream.select("__key", "__n", "__digest", "__row"), "__key", "__n", "__at", ["__digest", "__row"])
+    placed = stream.join(places.select("__row", "__at"), "__row")
     blocks = F.sequence(F.floor(F.col("__at") / length), F.floor((F.col("__at") + F.col("__n") - 1) / length))
     cut = placed.withColumn("block", F.explode(blocks))
     start = F.greatest(F.lit(0), F.col("block") * length - F.col("__at")).cast("int")
@@ -37,36 +37,6 @@ def contiguous_blocks(docs: DataFrame, key: str, tokens: str, length: int, end:
     return joined.select("block", F.concat("__ids", F.array_repeat(F.lit(pad), length - valid)).alias("input_ids"), valid.alias("valid"))
 
 
-def next_fit(rows: DataFrame, group: str, key: str, size: str, capacity: int, order: list[str] | None = None, flush_full: bool = False) -> DataFrame:
-    """(group, key, block, place): rows put in order into blocks, a new one when the next does not fit.
-
-    The rule carries what came before, so it runs over the sorted rows of a
-    group, one at a time, without holding the group. With `flush_full` a block
-    that is exactly full is closed at once. A row larger than a block raises an error.
-    """
-    schema = T.StructType([rows.schema[group], rows.schema[key], T.StructField("block", T.LongType()), T.StructField("place", T.LongType())])
-    order = order or [key]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        where, block, used, place = object(), 0, 0, 0
-        for batch in batches:
-            out = []
-            for g, k, n in zip(batch[group], batch[key], batch[size], strict=True):
-                if g != where:
-                    where, block, used, place = g, 0, 0, 0
-                if n > capacity:
-                    raise ValueError(f"a row of {n} exceeds the block length {capacity}")
-                if used and used + n > capacity:
-                    block, used, place = block + 1, 0, 0
-                out.append((g, k, block, place))
-                used, place = used + n, place + 1
-                if flush_full and used == capacity:
-                    block, used, place = block + 1, 0, 0
-            yield pd.DataFrame(out, columns=schema.fieldNames())
-
-    return rows.select(*dict.fromkeys([group, key, size, *order])).repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, schema)
-
-
 def weighted_example(prefix: Column, answer: Column, weight: Column, length: int, least_prefix: int) -> Column:
     """input_ids, labels and weights of one example: the answer cut to fit, the prefix cut at its left."""
     answer = F.slice(answer, 1, length - least_prefix)
@@ -108,30 +78,42 @@ def packed_examples(rows: DataFrame, group: str, key: str, ids: str, labels: str
     """Blocks of examples in an order shuffled by `seed`: a new block when the next doesn't fit, closed when exactly full.
 
     Columns: the group, block, input_ids, labels and weights (the group's last
-    block padded to `capacity`), valid, learned, samples and sample_weight. A
-    block without learned ids or weight raises an error when it is read; so does
-    a group whose blocks' weights aren't its examples' (conserved()).
+    block padded to `capacity`), valid, learned, samples and sample_weight. Rows
+    are numbered first, so each is packed once, whatever its key: null and equal
+    keys are rows of their own (equal keys in order of their contents), null
+    groups are one. A block without learned ids or weight raises an error, as
+    does a group whose blocks' weights aren't its examples'; blocks are written
+    and checked before they are returned.
     """
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    placed = next_fit(rows.select(group, key, F.size(ids).alias("__size"), order.alias("__order")), group, key, "__size", capacity, ["__order", key], flush_full=True)
-    met = rows.join(placed, [group, key])
-    parts = F.array_sort(F.collect_list(F.struct("place", F.col(ids).alias("i"), F.col(labels).alias("l"), F.col(weights).alias("w"))))
-    joined = lambda c: F.flatten(F.transform("__parts", lambda x: x[c]))
-    blocks = met.groupBy(group, "block").agg(parts.alias("__parts"), F.count("*").alias("samples"), F.sum(sample_weight).alias("sample_weight"))
-    last = F.col("block") == F.max("block").over(Window.partitionBy(group))
-    sized = blocks.select(group, "block", "samples", "sample_weight", joined("i").alias("input_ids"), joined("l").alias("labels"), joined("w").alias("weights"), last.alias("__last")).withColumn("valid", F.size("input_ids"))
-    gap = F.when(F.col("__last"), F.lit(capacity) - F.col("valid")).otherwise(0)
-    fill = lambda c, x: F.concat(c, F.array_repeat(F.lit(x), gap))
-    made = sized.withColumn("learned", F.size(F.filter("labels", lambda x: x != IGNORED))).withColumns({"input_ids": fill("input_ids", pad), "labels": fill("labels", IGNORED), "weights": fill("weights", 0.0)}).drop("__last")
-    return made.filter(F.assert_true((F.col("learned") > 0) & (F.col("sample_weight") > 0), F.lit("a block has nothing to learn")).isNull())
+    numbered = rows.select(F.col(group).alias("group"), F.col(key).cast("string").alias("key"), F.col(ids).alias("i"), F.col(labels).alias("l"), F.col(weights).alias("w"), F.col(sample_weight).cast("double").alias("weight"), F.monotonically_increasing_id().alias("row"))
+    numbered = table(numbered, "examples")
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), "key").cast("binary"))
+    sized = numbered.select("group", "row", F.size("i").alias("size"), order.alias("order"), "key", F.xxhash64("i", "l", "w", "weight").alias("digest"))
+    placed = table(next_fit(sized, "group", "row", "size", capacity, ["order", "key", "digest"], flush_full=True), "places")
+    parts = F.array_sort(F.collect_list(F.struct("place", "i", "l", "w")))
+    joined = lambda c: F.flatten(F.transform("parts", lambda x: x[c]))
+    met = numbered.join(placed.select("row", "block", "place"), "row")
+    blocks = met.groupBy("group", "block").agg(parts.alias("parts"), F.count("*").alias("samples"), F.sum("weight").alias("sample_weight"))
+    last = placed.groupBy(F.col("group").alias("of")).agg(F.max("block").alias("last"))
+    whole = blocks.join(last, F.col("group").eqNullSafe(F.col("of"))).select("group", "block", "samples", "sample_weight", joined("i").alias("input_ids"), joined("l").alias("labels"), joined("w").alias("weights"), (F.col("block") == F.col("last")).alias("ends"))
+    gap = F.when(F.col("ends"), F.lit(capacity) - F.size("input_ids")).otherwise(0)
+    fill = lambda c, x: F.concat(c, F.array_repeat(F.lit(x), gap)).alias(c)
+    learned = F.size(F.filter("labels", lambda x: x != IGNORED))
+    sound = F.when((learned > 0) & (F.col("sample_weight") > 0), learned).otherwise(F.raise_error(F.lit("a block has nothing to learn")).cast("int"))
+    made = whole.select(F.col("group").alias(group), "block", fill("input_ids", pad), fill("labels", IGNORED), fill("weights", 0.0), F.size("input_ids").alias("valid"), sound.alias("learned"), "samples", "sample_weight")
+    made = table(made, "blocks")
+    lost = conserved(made, numbered.select(F.col("group").alias(group), F.col("weight").alias("__weight")), group, "__weight").filter("not conserved").take(5)
+    if lost:
+        raise ValueError(f"the weights of groups changed in packing: {[tuple(r) for r in lost]}")
+    return made
 
 
 def conserved(blocks: DataFrame, rows: DataFrame, group: str, weight: str, tolerance: float = 1e-5) -> DataFrame:
-    """(group, before, after, conserved): whether the blocks' weights are their examples'."""
-    before = rows.groupBy(group).agg(F.sum(weight).alias("before"))
-    after = blocks.groupBy(group).agg(F.sum("sample_weight").alias("after"))
-    both = before.join(after, group, "full_outer").select(group, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("before", "after")])
-    return both.withColumn("conserved", F.abs(F.col("before") - F.col("after")) <= tolerance)
+    """(group, before, after, conserved): whether the blocks' weights are their examples', within `tolerance` of the larger of 1 and the sum."""
+    before = rows.groupBy(F.col(group).alias("__g")).agg(F.sum(F.col(weight).cast("double")).alias("before"))
+    after = blocks.groupBy(F.col(group).alias("__h")).agg(F.sum("sample_weight").alias("after"))
+    both = before.join(after, F.col("__g").eqNullSafe(F.col("__h")), "full_outer").select(F.coalesce("__g", "__h").alias(group), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("before", "after")])
+    return both.withColumn("conserved", F.abs(F.col("before") - F.col("after")) <= tolerance * F.greatest(F.lit(1.0), F.abs("before")))
 
 
 def learning_rate(step: Column, warmup: int, total: int) -> Column:

@@ -261,8 +261,11 @@ def contiguous_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nextfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "conversations").select((F.col("conv_id") % 8).alias("shard"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.size(_word_ids(F.col("text"))).alias("n"))
-    return L.next_fit(rows, "shard", "id", "n", rows.agg(F.greatest(F.lit(512), F.max("n"))).first()[0] or 512)
+    """All turns in one order, longer ones cut, packed into blocks of 512."""
+    turns = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.size(_word_ids(F.col("text"))).alias("whole"))
+    pieces = turns.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("whole") - 1) / 512)).cast("int"))))
+    rows = pieces.select(F.lit("all").alias("shard"), (F.col("id") * 10_000 + F.col("piece")).alias("piece_id"), F.least(F.lit(512), F.col("whole") - 512 * F.col("piece")).alias("n"))
+    return L.next_fit(rows, "shard", "piece_id", "n", 512)
 
 
 def weighted_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,12 +365,11 @@ def chat_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def example_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations' last turns learned, packed into blocks of the longest one; eight groups."""
+    """All conversations' last turns learned, in one shuffled order, packed into blocks of 512."""
     chats = _chats(spark, sf_dir).filter(F.size("full") > F.size("prefix"))
-    n = F.size("prefix")
-    rows = chats.select((F.col("conv_id") % 8).alias("shard"), "conv_id", F.col("full").alias("ids"), F.concat(F.array_repeat(F.lit(L.IGNORED), n), F.slice("full", n + 1, F.size("full"))).alias("labels"), F.transform("full", lambda _: F.lit(1.0)).alias("weights"), (1.0 + F.col("conv_id") % 3).alias("weight"))
-    capacity = rows.agg(F.greatest(F.lit(512), F.max(F.size("ids")))).first()[0] or 512
-    blocks = L.packed_examples(rows, "shard", "conv_id", "ids", "labels", "weights", capacity, 0, "weight")
+    answer = F.slice("full", F.size("prefix") + 1, F.size("full"))
+    rows = chats.select(F.lit("all").alias("shard"), "conv_id", L.weighted_example(F.col("prefix"), answer, F.lit(2.0), 512, 96).alias("e")).select("shard", "conv_id", "e.*", (1.0 + F.col("conv_id") % 3).alias("weight"))
+    blocks = L.packed_examples(rows, "shard", "conv_id", "input_ids", "labels", "weights", 512, 0, "weight")
     return blocks.select("shard", "block", "valid", "learned", "samples", "sample_weight", F.md5(F.array_join("input_ids", ",").cast("binary")).alias("ids_md5"))
 
 
@@ -409,6 +411,14 @@ _ROWS = f"""
 
 _IDS = "list_transform(list_filter(string_split_regex({e}, '\\s+'), lambda w: w <> ''), lambda w: CAST('0x' || md5(w)[1:4] AS INTEGER))"
 
+def _nextfit_sql(rows: str, order: str, flush: bool) -> str:
+    """`placed`: the rows of a query with column n, in an order, with their block of 512 and place; the rows that begin blocks are found one by one."""
+    full = "OR s - n >= (SELECT s - n FROM o WHERE i = st.i) + 512" if flush else ""
+    return f"""o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {order}) AS i, sum(n) OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS s FROM ({rows})),
+        st AS (SELECT min(i) AS i FROM o UNION ALL SELECT (SELECT min(i) FROM o WHERE i > st.i AND (s > (SELECT s - n FROM o WHERE i = st.i) + 512 {full})) FROM st WHERE i IS NOT NULL),
+        placed AS (SELECT o.*, count(*) - 1 AS block, o.i - max(st.i) AS place FROM o JOIN st ON st.i <= o.i GROUP BY ALL)"""
+
+
 ORACLE_SQL = {
     "source_tier": f"""WITH {_bm25_sql('true', 40)} SELECT item_id, CAST(rank AS INTEGER) AS rank, top.doc_id, CASE WHEN lang = 'en' AND top.doc_id % 3 = 0 THEN 'science_core' WHEN top.doc_id % 3 <> 2 THEN 'frozen_abstract' ELSE 'bibliographic_only' END AS tier
         FROM top JOIN documents d ON d.doc_id = top.doc_id""",
@@ -448,6 +458,16 @@ ORACLE_SQL = {
         n AS (SELECT conv_id, array_to_string(r, ',') <> 'system,user,assistant' OR len(list_filter(x, lambda y: trim(coalesce(y, '')) = '')) > 0 AS bad, len({_IDS.format(e='f')}) AS m, len({_IDS.format(e='l')}) AS k FROM t),
         v AS (SELECT *, CASE WHEN bad THEN 'roles' WHEN m > 600 THEN 'length' WHEN k < 4 THEN 'targets' END AS fault FROM n)
         SELECT conv_id, fault, CAST(CASE WHEN fault IS NULL THEN m END AS INTEGER) AS n, CAST(CASE WHEN fault IS NULL THEN k END AS INTEGER) AS targets FROM v""",
+    "nextfit_packing": f"""WITH RECURSIVE t AS (SELECT conv_id * 100 + turn AS id, len({_IDS.format(e="coalesce(text, '')")}) AS whole FROM conversations),
+        u AS (SELECT id, whole, unnest(range(greatest(0, (whole - 1) // 512) + 1)) AS piece FROM t), {_nextfit_sql("SELECT id * 10000 + piece AS piece_id, least(512, whole - 512 * piece) AS n FROM u", "piece_id", False)}
+        SELECT 'all' AS shard, piece_id, block, place FROM placed""",
+    "example_packing": f"""WITH RECURSIVE c AS (SELECT conv_id, list(text ORDER BY turn) AS x FROM conversations GROUP BY 1),
+        d AS (SELECT conv_id, {_IDS.format(e="array_to_string(x, ' ')")} AS f, {_IDS.format(e="array_to_string(x[1:len(x) - 1], ' ')")} AS p FROM c),
+        a AS (SELECT conv_id, p, f[len(p) + 1:][1:416] AS a FROM d WHERE len(f) > len(p)),
+        x AS (SELECT conv_id, list_concat(p[greatest(len(p) - (512 - len(a)), 0) + 1:], a) AS ids, len(a) AS k, 1.0 + conv_id % 3 AS weight FROM a),
+        {_nextfit_sql("SELECT conv_id, ids, k, weight, len(ids) AS n FROM x", "md5('0|' || conv_id), conv_id", True)},
+        b AS (SELECT block, CAST(sum(n) AS INTEGER) AS valid, CAST(sum(k) AS INTEGER) AS learned, count(*) AS samples, sum(weight)::DOUBLE AS sample_weight, flatten(list(ids ORDER BY i)) AS l FROM placed GROUP BY block)
+        SELECT 'all' AS shard, block, valid, learned, samples, sample_weight, md5(array_to_string(list_concat(l, CASE WHEN block = max(block) OVER () THEN list_transform(range(512 - valid), lambda z: 0) ELSE [] END), ',')) AS ids_md5 FROM b""",
     "base_hash_check": "SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) AS sha256 FROM documents",
     "lr_schedule": "SELECT s AS step, round(CASE WHEN s < 100 THEN s / 100.0 ELSE greatest(0, 0.5 * (1 + cos(pi() * least(1.0, (s - 100) / 900.0)))) END, 9)::DOUBLE AS factor FROM range(0, 1001) t(s)",
     "checkpoint_retention": "SELECT s AS step, row_number() OVER (ORDER BY s DESC) <= 3 OR s % 500 = 0 AS kept FROM range(50, 2050, 50) t(s)",
