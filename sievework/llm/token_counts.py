@@ -43,7 +43,7 @@ from sievework.llm.work import column, folder
 
 #: Prefixes of a row of the stored table, and numbers held before a batch of rows is handed on.
 BLOCK, BATCH = 8192, 1 << 20
-#: Runs, words and pairs of tokens remembered by a worker before it starts afresh, and the longest word kept, in code points.
+#: Runs, words and pairs of tokens that a worker remembers, and as many older ones; the longest word kept, in code points.
 REMEMBERED, LONGEST = 300_000, 64
 #: Unicode's white space, at which the tokenizer always cuts.
 SPACE = re.compile("[\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -90,8 +90,11 @@ class PrefixCounter:
         self.special = re.compile("|".join(map(re.escape, names)) or r"(?!)")
         whole = Tokenizer.from_file(path)
         self.normalised, self.split = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
+        #: What was met lately, and before: when the former are too many they become the latter, which go.
         self.runs: dict[str, bytes] = {}
         self.parts: dict[str, list[int] | bytes] = {}
+        self.older_runs: dict[str, bytes] = {}
+        self.older_parts: dict[str, list[int] | bytes] = {}
         self.letters = str.maketrans({chr(c): "".join(letter for letter, _ in self.split(chr(c))) for c in range(0xA1, 0x100) if c != 0xAD})
         self.seconds: frozenset[str] | None = None
 
@@ -122,6 +125,10 @@ class PrefixCounter:
         found = self.parts.get(letters)
         if found is not None:
             return found
+        found = self.older_parts.get(letters)
+        if found is not None:
+            self.parts[letters] = found
+            return found
         follows, size = self.follows, self.size
         last, count, closed = [-1] * (len(letters) + 1), [0] * (len(letters) + 1), [0] * len(letters)
         for at, (n, inner, final) in self.tokens.iter(letters):
@@ -241,17 +248,20 @@ class PrefixCounter:
     def counts(self, text: str) -> np.ndarray:
         """Tokens of the first 0, 1, ... code points of a text."""
         runs = SPACE.split(text)
-        known, flat = self.runs, []
+        known, older, flat = self.runs, self.older_runs, []
         held: list[bytes] = []
         for run in runs:
             found = known.get(run)
             if found is None:
-                each = self.run(run)
-                if len(run) > LONGEST or max(each) > 255:
-                    flat += [np.frombuffer(b"".join(held), np.uint8), np.array(each, np.int32)]
-                    held = []
-                    continue
-                found = known[run] = bytes(each)
+                found = older.get(run)
+                if found is None:
+                    each = self.run(run)
+                    if len(run) > LONGEST or max(each) > 255:
+                        flat += [np.frombuffer(b"".join(held), np.uint8), np.array(each, np.int32)]
+                        held = []
+                        continue
+                    found = bytes(each)
+                known[run] = found
             held.append(found)
         flat.append(np.frombuffer(b"".join(held), np.uint8))
         flat = np.concatenate(flat).astype(np.int32)
@@ -262,9 +272,12 @@ class PrefixCounter:
         out[0] = 0
         # Each run stands with the white space after it, which adds nothing; after the last run there is none.
         out[1:] = (flat + np.repeat(base, np.diff(ends, prepend=0)))[:-1]
-        for kept in (self.runs, self.parts, self.follows):
-            if len(kept) > REMEMBERED:
-                kept.clear()
+        if len(self.runs) > REMEMBERED:
+            self.runs, self.older_runs = {}, self.runs
+        if len(self.parts) > REMEMBERED:
+            self.parts, self.older_parts = {}, self.parts
+        if len(self.follows) > 2 * REMEMBERED:
+            self.follows.clear()
         return out
 
 
