@@ -96,12 +96,12 @@ def record_score(text: Column, query: Column, family: Column, value: Column) ->
     return F.when(shared >= 2, score)
 
 
-def with_excerpt(rows: DataFrame, text: str, query_words: str, most: int, n: int, name: str = "excerpt") -> DataFrame:
-    """`rows` with the n best science sentences of a text in their own order, trimmed.
+def with_excerpt(rows: DataFrame, text: str, query_words: str, most: int, n: int, name: str = "excerpt", title: str | None = None) -> DataFrame:
+    """`rows` with the n best science sentences of a text in their own order, trimmed; `title` names a column with the paper's, which goes.
 
     Each step is a column of its own, so that no text is cleaned or split twice.
     """
-    stepped = rows.withColumn("__clean", clean_science_text(F.col(text))).withColumn("__units", F.transform(F.filter(sentence_units(F.col("__clean")), is_science_unit), lambda u, i: F.struct(i.alias("i"), u.alias("u"), words(u).alias("w"))))
+    stepped = rows.withColumn("__clean", clean_science_text(F.col(text), F.col(title) if title else None)).withColumn("__units", F.transform(F.filter(sentence_units(F.col("__clean")), is_science_unit), lambda u, i: F.struct(i.alias("i"), u.alias("u"), words(u).alias("w"))))
 
     def scored(x: Column) -> Column:
         u = x["u"]
