@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
@@ -64,29 +65,39 @@ def split_response(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status.decode("latin-1"), fields, block[m.end() :]
 
 
+# The text encodings that pages may have, by Python's names; any other, and what is no text encoding, is read as UTF-8.
+ENCODINGS = frozenset(
+    (
+        "ascii utf-8 utf-8-sig utf-16 utf-16-le utf-16-be cp866 cp874 mac-roman mac-cyrillic koi8-r koi8-u tis-620 hz gbk gb2312 gb18030 big5 big5hkscs euc_jp shift_jis cp932 iso2022_jp euc_kr cp949 "
+        "iso8859-1 iso8859-2 iso8859-3 iso8859-4 iso8859-5 iso8859-6 iso8859-7 iso8859-8 iso8859-9 iso8859-10 iso8859-11 iso8859-13 iso8859-14 iso8859-15 iso8859-16 "
+        "cp1250 cp1251 cp1252 cp1253 cp1254 cp1255 cp1256 cp1257 cp1258"
+    ).split()
+)
+
+
 def charset(fields: list[tuple[str, str]], payload: bytes) -> str:
     """The payload's encoding: as its header says, else its first meta element that names one, else UTF-8."""
     said = next((v for n, v in fields if n.lower() == "content-type"), "")
     found = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", said, re.I)
     if not found:
-        metas = re.finditer(rb"<meta\b([^>]*+)>", payload[: payload.rfind(b">") + 1], re.I)
+        metas = re.finditer(rb"<meta\b((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)>", payload[: payload.rfind(b">") + 1], re.I)
         found = next((x for m in metas if (x := re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", m[1].decode("latin-1"), re.I))), None)
-    name = found[1] if found else "utf-8"
     try:
-        "".encode(name)
+        known = codecs.lookup(found[1]).name in ENCODINGS if found else False
     except (LookupError, ValueError):
-        return "utf-8"
-    return name
+        known = False
+    return found[1] if known else "utf-8"
 
 
 #: Elements whose content is no text of the page. RAW ones without an end tag go on to the end of the page; the others are
 #: dropped only if they end. Nothing else in a head is text of it: any other text or element ends the head, with or without
 #: its end tag.
 RAW = frozenset(("script", "style", "title"))
-_HIDDEN = re.compile(r"<!--|<(script|style|title|noscript|template|svg)\b([^>]*+)>", re.I)
+_REST = r"(?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+"  # of a tag: a quoted value may hold its end's sign
+_HIDDEN = re.compile(rf"<!--|<(script|style|title|noscript|template|svg)\b({_REST})>", re.I)
 _ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "title", "noscript", "template", "svg")}
-_BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|section|article|main|header|footer|nav|aside|blockquote|pre|form|td|th)\b[^>]*+>", re.I)
-_TAG = re.compile(r"</?[A-Za-z!?][^>]*+>")
+_BREAK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|tr|table|section|article|main|header|footer|nav|aside|blockquote|pre|form|td|th)\b" + _REST + ">", re.I)
+_TAG = re.compile(rf"</?[A-Za-z!?]{_REST}>")
 
 
 def visible(page: str) -> str:
@@ -124,12 +135,12 @@ def plain_text(page: str) -> str:
 
 
 def links(page: str) -> list[str]:
-    found = (re.search(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", m[1], re.I) for m in re.finditer(r"<a\b([^>]*+)>", page[: page.rfind(">") + 1], re.I))
+    found = (re.search(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", m[1], re.I) for m in re.finditer(rf"<a\b({_REST})>", page[: page.rfind(">") + 1], re.I))
     return [html.unescape(m[1] or m[2] or m[3] or "") for m in found if m]
 
 
 def title(page: str) -> str:
-    m = re.search(r"<title\b[^>]*+>", page[: page.rfind(">") + 1], re.I)
+    m = re.search(rf"<title\b{_REST}>", page[: page.rfind(">") + 1], re.I)
     end = re.compile("</title", re.I).search(page, m.end()) if m else None
     return " ".join(html.unescape(page[m.end() : end.start()]).split()) if m and end else ""
 
@@ -137,7 +148,7 @@ def title(page: str) -> str:
 def derived(source_id: str, uri: str | None, date: str | None, block: bytes) -> list[dict]:
     """The metadata record and the conversion record of one response."""
     status, fields, payload = split_response(block)
-    page = payload.decode(charset(fields, payload), "replace")
+    page = re.sub("[\ud800-\udfff]", "\ufffd", payload.decode(charset(fields, payload), "replace"))
     payload_digest = sha1(payload)
     headers = [{"name": n, "value": v} for n, v in fields]
     text = plain_text(page).encode()
@@ -165,7 +176,9 @@ def derivatives(responses: DataFrame, source_id: str = "record_id", uri: str = "
 
     `responses` has an identifier, an address, a date and the block of an HTTP
     response (bytes, or text as UTF-8). The records keep the source's header
-    fields and digests; columns `keep` are carried along, but for those with a name of the records'
+    fields and digests. A payload is decoded as its header or meta element says,
+    if that is one of ENCODINGS, else as UTF-8; what isn't decodable becomes
+    U+FFFD. Columns `keep` are carried along, but for those with a name of the records'
     own. Each response is done
     by itself, so nothing is shuffled. A null block is empty, its records have
     empty blocks but for digests; a null identifier gives records that refer to

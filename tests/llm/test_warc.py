@@ -2,9 +2,12 @@
 
 import base64
 import collections
+import encodings.aliases
 import hashlib
+import html
+import random
 
-from sievework.llm.warc import charset, derivatives, derived, links, plain_text, response_block
+from sievework.llm.warc import ENCODINGS, charset, derivatives, derived, links, plain_text, response_block, title
 
 
 def test_head_without_end_tag():
@@ -52,3 +55,65 @@ def test_repeated_rows_and_clashing_columns(spark):
         assert r["block_digest"] == "sha1:" + base64.b32encode(hashlib.sha1(r["block"]).digest()).decode() and r["content_length"] == len(r["block"])
     clash = derivatives(docs.withColumnRenamed("headers", "block_digest"), keep=("block_digest",))
     assert clash.columns.count("block_digest") == 1 and clash.count() == 8
+
+
+def test_every_codec_name_and_random_bytes():
+    """Codecs that are no page's, that decode to surrogates or not to text, or that don't exist: none stops a page."""
+    r = random.Random(1)
+    names = {*encodings.aliases.aliases, *encodings.aliases.aliases.values(), "idna", "punycode", "utf-7", "unicode_escape", "raw_unicode_escape", "undefined", "mbcs", "no-such", "utf-8", "..", "latin-1"}
+    for name in sorted(names):
+        for where in ("header", "meta"):
+            body = b"<p>a+2AA-\\ud800 \xe9" + r.randbytes(60)
+            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={name}\r\n\r\n" if where == "header" else "HTTP/1.1 200 OK\r\n\r\n"
+            block = head.encode() + (b"" if where == "header" else f"<meta charset={name}>".encode()) + body
+            for record in derived("<urn:a>", None, None, block):
+                record["block"].decode("utf-8")
+    assert charset([("content-type", "text/html; charset=idna")], b"") == "utf-8" and charset([("content-type", "x; charset=Windows-1252")], b"") == "Windows-1252"
+    assert {"utf-8", "cp1252", "shift_jis"} <= ENCODINGS and not {"utf-7", "idna", "rot13"} & ENCODINGS
+
+
+def test_quoted_ends_of_tags():
+    assert plain_text('<p title="a > b">hello</p>') == "hello" and plain_text('<img alt="1>0">t') == "t"
+    assert plain_text("<p title=it's>a</p><p>b's</p>") == "a\nb's" and plain_text('<p title="x>a</p>') == "a"
+    assert links('<a title="x>y" href="u">t</a>') == ["u"] and title('<title lang="a>b">T</title>') == "T"
+    assert plain_text('<p a="' * 50_000 + ">").count("p") < 50_001
+
+
+def brute_text(page):
+    """Letter by letter; hidden elements are closed."""
+    out, at, hidden = [], 0, None
+    while at < len(page):
+        if page.startswith("<!--", at) and not hidden:
+            at = page.index("-->", at) + 3
+            out.append(" ")
+            continue
+        if page[at] != "<" or not (page[at + 1].isalpha() or page[at + 1] == "/"):
+            out += [] if hidden else [page[at]]
+            at += 1
+            continue
+        end, quote = at, None
+        while quote or page[end] != ">":
+            if quote:
+                quote = None if page[end] == quote else quote
+            elif page[end] in "\"'" and page[end - 1] == "=":
+                quote = page[end]
+            end += 1
+        name = page[at + 1 : end].split(" ")[0].lower()
+        if hidden:
+            if name == "/" + hidden:
+                hidden = None
+                out.append(" ")
+        elif name in ("script", "style", "svg"):
+            hidden = name
+        elif name.strip("/") in ("p", "div", "br", "li"):
+            out.append("\n")
+        at = end + 1
+    return "\n".join(x for line in "".join(out).split("\n") if (x := " ".join(html.unescape(line).split())))
+
+
+def test_text_by_brute_force():
+    r = random.Random(2)
+    pieces = ["one", " ", "&amp;", "a < b", "it's", "\n", "<p>", "</p>", "<br/>", "<b>", "</b>", '<p title="x > y">', "<i a='>' b=2>", "<DIV class=c>", "</div>", "<!-- c > d -->", "<script>if (a > b) '<p>'</script>", '<style type="a>b">p{}</style>', "<svg><p>gone</p></svg>", "<li>", "&#x41;"]
+    for _ in range(3000):
+        page = "".join(r.choice(pieces) for _ in range(r.randint(0, 25)))
+        assert plain_text(page) == brute_text(page), page
