@@ -13,6 +13,7 @@ from sievework.functions.cleaning import EVIDENCE_STOPWORDS, clean_natural_text,
 from sievework.functions.sentences import ensured_sentence, list_lines, sentence_units, sentences, split_units, trimmed_at_boundary
 from sievework.functions.similarity import jaccard
 from sievework.functions.tokens import all_of, bm25_tokens, evidence_tokens
+from sievework.operators.retrieval import ranked
 from sievework.sources.work import table
 
 # Words of each task family.
@@ -88,20 +89,49 @@ def pack_score(text: Column, query: Column, family: Column, card_type: Column) -
     return overlap_score(F.size(F.array_intersect(query, own)), query, 2.3, 10.0) + 0.35 * F.size(F.array_intersect(family_words(family), own)) + F.coalesce(boosts[F.concat_ws("/", family, card_type)], F.lit(1.0))
 
 
-def record_score(text: Column, query: Column, family: Column, value: Column) -> Column:
-    """A record's rank among a paper's; null where it shares fewer than two words with the question."""
-    own = words(text)
+def record_score(own: Column, query: Column, family: Column, value: Column) -> Column:
+    """A record's rank among a paper's, from its words; null where it shares fewer than two with the question."""
     shared = F.size(F.array_intersect(query, own))
     score = overlap_score(shared, query, 2.2, 10.0) + 0.55 * F.size(F.array_intersect(family_words(family), own)) + F.log1p(F.greatest(F.lit(0.0), value)) / 2.5 + 2.0
     return F.when(shared >= 2, score)
 
 
-def with_excerpt(rows: DataFrame, text: str, query_words: str, most: int, n: int, name: str = "excerpt", title: str | None = None) -> DataFrame:
-    """`rows` with the n best science sentences of a text in their own order, trimmed; `title` names a column with the paper's, which goes.
+def ranked_records(records: DataFrame, questions: DataFrame, record: str, question: str, top: int, text: str = "text", value: str = "value") -> DataFrame:
+    """(question, record, score, rank) of the `top` records of each question by record_score().
 
-    Each step is a column of its own, so that no text is cleaned or split twice.
+    `questions` has the question's distinct words `query_words` and its family.
+    A record meets a question through the words that they share, which are
+    counted; only those with two or more are scored, from numbers that are
+    computed once a record. Words that no question asks for, or no record has,
+    don't leave their table. Ids are distinct.
+    """
+    asked = questions.select(question, "family", F.size("query_words").alias("__asked"), F.explode("query_words").alias("__word"))
+    own = table(records.select(record, F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("__value"), F.array_distinct(words(F.coalesce(F.col(text), F.lit("")))).alias("__words")), "record-words")
+    wanted = asked.select("__word").distinct()
+    postings = own.select(record, F.explode("__words").alias("__word")).join(wanted, "__word", "left_semi")
+    shared = postings.join(asked, "__word").groupBy(question, record, "family", "__asked").agg(F.count("*").alias("__shared")).filter("__shared >= 2")
+    families = [f.alias(f"__{i}") for i, f in enumerate(F.size(F.array_intersect(F.array(*[F.lit(w) for w in ws]), F.col("__words"))) for ws in FAMILY_WORDS.values())]
+    numbers = own.select(record, "__value", *families)
+    mine = F.lit(0)
+    for i, name in enumerate(FAMILY_WORDS):
+        mine = F.when(F.col("family") == name, F.col(f"__{i}")).otherwise(mine)
+    each = F.col("__shared") * 2.2 + 10.0 * F.col("__shared") / F.greatest(F.lit(1), F.col("__asked"))
+    score = each + 0.55 * mine + F.log1p(F.greatest(F.lit(0.0), F.col("__value"))) / 2.5 + 2.0
+    scored = shared.join(numbers, record).select(question, record, F.round(score, 6).alias("score"))
+    return ranked(scored, [question], [F.desc("score"), F.asc(record)], top)
+
+
+def with_units(rows: DataFrame, text: str, title: str | None = None) -> DataFrame:
+    """`rows` with the clean text `__clean` and its science units `__units` with their words; `title` names a column with the paper's, which goes.
+
+    What costs most of an excerpt: where many questions ask one text, store this first.
     """
-    stepped = rows.withColumn("__clean", clean_science_text(F.col(text), F.col(title) if title else None)).withColumn("__units", F.transform(F.filter(sentence_units(F.col("__clean")), is_science_unit), lambda u, i: F.struct(i.alias("i"), u.alias("u"), words(u).alias("w"))))
+    clean = rows.withColumn("__clean", clean_science_text(F.col(text), F.col(title) if title else None))
+    return clean.withColumn("__units", F.transform(F.filter(sentence_units(F.col("__clean")), is_science_unit), lambda u, i: F.struct(i.alias("i"), u.alias("u"), words(u).alias("w"))))
+
+
+def best_units(query_words: str, n: Column | int) -> Column:
+    """The n best of `__units` in their own order, as one text; without units the clean text, if it is science."""
 
     def scored(x: Column) -> Column:
         u = x["u"]
@@ -110,11 +140,20 @@ def with_excerpt(rows: DataFrame, text: str, query_words: str, most: int, n: int
         labels = F.size(all_of(u, METADATA))
         return F.struct((-(overlap_score(shared, F.col(query_words), 2.0, 8.0) + bonus + F.least(F.length(u), F.lit(260)) / 520.0 - 1.2 * labels)).alias("s"), x["i"].alias("i"), u.alias("u"))
 
-    best = stepped.withColumn("__best", F.slice(F.array_sort(F.transform("__units", scored)), 1, n))
-    chosen = F.array_join(F.transform(F.array_sort(F.transform("__best", lambda x: F.struct(x["i"], x["u"]))), lambda x: x["u"]), " ")
+    best = F.slice(F.array_sort(F.transform("__units", scored)), F.lit(1), n if isinstance(n, Column) else F.lit(n))
+    chosen = F.array_join(F.transform(F.array_sort(F.transform(best, lambda x: F.struct(x["i"], x["u"]))), lambda x: x["u"]), " ")
     alone = F.when((F.length("__clean") >= 20) & is_science_unit(F.col("__clean")), F.col("__clean")).otherwise("")
-    joined = best.withColumn("__chosen", F.when(F.size("__units") > 0, chosen).otherwise(alone))
-    return joined.withColumn(name, F.when(F.col("__chosen") == "", "").otherwise(trimmed_at_boundary(F.col("__chosen"), most))).drop("__clean", "__units", "__best", "__chosen")
+    return F.when(F.size("__units") > 0, chosen).otherwise(alone)
+
+
+def trimmed(text: Column, most: int) -> Column:
+    return F.when(text == "", "").otherwise(trimmed_at_boundary(text, most))
+
+
+def with_excerpt(rows: DataFrame, text: str, query_words: str, most: int, n: int, name: str = "excerpt") -> DataFrame:
+    """`rows` with the n best science sentences of a text in their own order, trimmed."""
+    chosen = with_units(rows, text).withColumn("__chosen", best_units(query_words, n))
+    return chosen.withColumn(name, trimmed(F.col("__chosen"), most)).drop("__clean", "__units", "__chosen")
 
 
 def tokenised(texts: Column) -> Column:

@@ -7,8 +7,8 @@ Inputs:
     pool        query_id, core_id, title, journal, year, scientific_evidence: the public candidates, one row each
     records     core_id, record_id, kind, evidence_group, title, routing, text, value: the evidence of the papers that have some
 
-Texts are cut once for each (question, paper) or (question, record); a record
-meets only questions with which it shares words. Everything that ranks is a
+Texts are cleaned and cut once, into tables, and questions choose among their
+units. Everything that ranks is a
 window over a question's papers or a paper's records, so nothing grows with the
 number of packets but the number of groups.
 """
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.cleaning import CORE_ID, EVIDENCE_ID, is_direct_record
-from sievework.operators.evidence import PAPERS, card_budget, diverse, record_score, tokenised, with_excerpt, words
+from sievework.operators.evidence import PAPERS, best_units, card_budget, diverse, record_score, tokenised, trimmed, with_units, words
 from sievework.operators.prefix import numbered
 from sievework.sources.work import table
 
@@ -63,26 +63,38 @@ def ranked_papers(questions: DataFrame, ranking: DataFrame, pool: DataFrame, pap
     )
 
 
+def paper_units(papers: DataFrame) -> DataFrame:
+    """(core_id, title, text_hash, units): each different public text of a paper, cut once, however many questions ask it."""
+    texts = papers.select("core_id", "title", "scientific_evidence").distinct()
+    cut = with_units(texts.withColumn("text_hash", F.sha2("scientific_evidence", 256)), "scientific_evidence", "title")
+    return table(cut.select("core_id", "title", "text_hash", "__clean", "__units"), "paper-units")
+
+
+def record_units(papers: DataFrame, records: DataFrame) -> DataFrame:
+    """The direct records of ranked papers, cut once for each title that a paper has, with the words that questions are compared with."""
+    direct = records.filter(is_direct_record(F.col("kind"), F.col("evidence_group"), F.col("record_id").cast("string"), F.col("text")))
+    told = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("evidence_group", F.lit("")), F.coalesce("routing", F.lit("{}")), F.coalesce("text", F.lit("")))
+    own = direct.select("core_id", "record_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"), F.array_distinct(words(told)).alias("told"))
+    cut = with_units(own.join(papers.select("core_id", F.col("title").alias("paper")).distinct(), "core_id"), "text", "paper")
+    return table(cut.drop("text"), "record-units")
+
+
 def record_evidence(papers: DataFrame, records: DataFrame) -> DataFrame:
     """(query_id, core_id, record_id, place, text): each paper's direct records for its question, best first, none alike.
 
     Only records that share two words with the question are cut into excerpts,
     and only excerpts of 55 characters and seven words are evidence.
     """
-    direct = records.filter(is_direct_record(F.col("kind"), F.col("evidence_group"), F.col("record_id").cast("string"), F.col("text")))
-    told = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("evidence_group", F.lit("")), F.coalesce("routing", F.lit("{}")), F.coalesce("text", F.lit("")))
-    own = direct.select("core_id", "record_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"), told.alias("told"))
     asked = papers.select("query_id", "core_id", "rank", "query_words", "family", F.col("title").alias("paper"))
-    scored = own.join(asked, "core_id").withColumn("score", F.round(record_score(F.col("told"), F.col("query_words"), F.col("family"), F.col("value")), 9)).filter("score is not null")
-    # A record's text is cut for each of its questions, and travels no further than its excerpt.
-    cut = with_excerpt(scored.select("query_id", "core_id", "rank", "record_id", "score", "text", "query_words", "paper"), "text", "query_words", RECORD_CHARS, 1, "excerpt", "paper")
-    fit = cut.filter((F.length("excerpt") >= LEAST_CHARS) & (F.size(words(F.col("excerpt"))) >= LEAST_WORDS)).select("query_id", "core_id", "rank", "record_id", "score", "excerpt")
-    order = F.struct((-F.col("score")).alias("s"), "record_id", "excerpt")
-    per = fit.groupBy("query_id", "core_id", "rank").agg(F.array_sort(F.collect_list(order)).alias("ranked"))
+    met = record_units(papers, records).join(asked, ["core_id", "paper"]).withColumn("score", F.round(record_score(F.col("told"), F.col("query_words"), F.col("family"), F.col("value")), 9)).filter("score is not null")
+    cut = met.withColumn("__chosen", best_units("query_words", 1)).select("query_id", "core_id", "rank", "record_id", "score", trimmed(F.col("__chosen"), RECORD_CHARS).alias("excerpt"))
+    # No filter, which would be moved below and make each excerpt again for each of its conditions.
+    fits = (F.length("excerpt") >= LEAST_CHARS) & (F.size(words(F.col("excerpt"))) >= LEAST_WORDS)
+    order = F.when(fits, F.struct((-F.col("score")).alias("s"), "record_id", "excerpt"))
+    per = cut.groupBy("query_id", "core_id", "rank").agg(F.array_sort(F.collect_list(order)).alias("ranked"))
     # The greedy choice is over texts; the first record of a text is the one that was taken.
     texts = per.withColumn("__t", tokenised(F.transform("ranked", lambda x: x["excerpt"])))
-    most = card_budget(F.col("rank"))["records"]
-    kept = texts.withColumn("kept", diverse(F.col("__t"), most))
+    kept = texts.withColumn("kept", diverse(F.col("__t"), card_budget(F.col("rank"))["records"]))
     found = kept.select("query_id", "core_id", "ranked", F.posexplode("kept").alias("__i", "text"))
     record = F.element_at(F.filter("ranked", lambda x: x["excerpt"] == F.col("text")), 1)["record_id"]
     return found.select("query_id", "core_id", record.alias("record_id"), (F.col("__i") + 1).alias("place"), "text")
@@ -91,18 +103,12 @@ def record_evidence(papers: DataFrame, records: DataFrame) -> DataFrame:
 def cards(papers: DataFrame, evidence: DataFrame, records: DataFrame) -> DataFrame:
     """One row for each ranked paper: its quick line, whether it has records, its summary, and its evidence in order."""
     there = records.select("core_id").distinct().withColumn("__has", F.lit(True))
-    met = papers.join(there, "core_id", "left").withColumn("__has", F.coalesce("__has", F.lit(False)))
-    quick = with_excerpt(met, "scientific_evidence", "query_words", QUICK_CHARS, 1, "quick", "title")
-    # The summary's number of sentences and characters go by rank: one cut for each of the three profiles.
+    met = papers.withColumn("text_hash", F.sha2("scientific_evidence", 256)).drop("scientific_evidence").join(paper_units(papers), ["core_id", "title", "text_hash"]).join(there, "core_id", "left")
     profile = card_budget(F.col("rank"))
-    parts = []
-    for n, chars in ((3, 720), (2, 520), (1, 320)):
-        mine = quick.filter(F.col("__has") & (profile["sentences"] == n) & (profile["chars"] == chars))
-        parts.append(with_excerpt(mine, "scientific_evidence", "query_words", chars, n, "summary", "title"))
-    parts.append(quick.filter(~F.col("__has")).withColumn("summary", F.lit("")))
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
+    quick, summary = met.withColumn("__quick", best_units("query_words", 1)).withColumn("__summary", F.when(F.col("__has"), best_units("query_words", profile["sentences"]))), F.lit("")
+    for chars in (720, 520, 320):  # what card_budget() gives
+        summary = F.when(profile["chars"] == chars, trimmed(F.col("__summary"), chars)).otherwise(summary)
+    whole = quick.withColumn("quick", trimmed(F.col("__quick"), QUICK_CHARS)).withColumn("summary", F.coalesce(summary, F.lit("")))
     items = evidence.groupBy("query_id", "core_id").agg(F.array_sort(F.collect_list(F.struct("place", "record_id", "text"))).alias("evidence"))
     out = whole.join(items, ["query_id", "core_id"], "left")
     return out.select(
@@ -153,8 +159,8 @@ def packet_texts(made: DataFrame, questions: DataFrame) -> DataFrame:
     shown = F.col("packet").rlike(INTERNAL)
     for name in PRIVATE:
         shown = shown | F.contains("packet", F.lit(name))
-    made_text = met.select("query_id", F.size("x").alias("cards"), clean.alias("packet"))
-    sound = made_text.filter(F.assert_true(~shown, F.concat(F.col("query_id").cast("string"), F.lit(": a private or internal name in a packet"))).isNull())
+    fault = F.raise_error(F.concat(F.col("query_id").cast("string"), F.lit(": a private or internal name in a packet"))).cast("string")
+    sound = met.select("query_id", F.size("x").alias("cards"), clean.alias("packet")).withColumn("packet", F.when(shown, fault).otherwise(F.col("packet")))
     return sound.withColumn("n_chars", F.length("packet")).withColumn("tokens_estimate", F.ceil(F.col("n_chars") / 4))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.operators.prefix import running_sum
+from sievework.operators.retrieval import ranked
+from sievework.sources.work import table
 
 
 def valid_groups(rows: DataFrame, query: str, candidate: str, text: str, grade: str) -> DataFrame:
@@ -86,18 +88,32 @@ def dataset_summary(rows: DataFrame, query: str, grade: str, family: str, confid
 def lambda_loss(rows: DataFrame, query: str, candidate: str, score: str, grade: str, confidence: str, k: int = 10) -> DataFrame:
     """The confidence-weighted pairwise loss of each query, pairs weighing their change of nDCG at k.
 
-    Pairs are within a query, of a candidate with a higher grade and one with a
-    lower: a query's list is bounded by how many candidates are judged for it.
+    A pair has a candidate with a higher grade and one with a lower. How many
+    there are follows from the grades' numbers. Only pairs of which one is among
+    the first k by score weigh anything, so the k meet the others, k rows for
+    each: a query's list may be of any length, and no window sorts it whole.
+    Rows without a score, grade or confidence raise an error when they are read.
     """
-    top = placed(rows, query, score, grade, candidate)
-    ideal = top.groupBy(query).agg(_gain(F.col(grade), F.col("ideal_rank"), k).alias("__ideal"))
-    discount = lambda r: F.when(F.col(r) <= k, 1 / F.log2(F.col(r) + 1)).otherwise(0.0)
-    side = lambda p: top.select(query, *[F.col(c).alias(f"{p}_{n}") for c, n in ((candidate, "id"), (score, "score"), (grade, "grade"), (confidence, "conf"), ("rank", "rank"))], discount("rank").alias(f"{p}_discount"))
-    pairs = side("hi").join(side("lo"), query).filter("hi_grade > lo_grade").join(ideal, query).filter("__ideal > 0")
-    delta = F.abs((F.pow(F.lit(2.0), "hi_grade") - F.pow(F.lit(2.0), "lo_grade")) * (F.col("hi_discount") - F.col("lo_discount"))) / F.col("__ideal")
-    weight = delta * F.sqrt(F.col("hi_conf") * F.col("lo_conf"))
-    loss = F.log1p(F.exp(-(F.col("hi_score") - F.col("lo_score"))))
-    return pairs.groupBy(query).agg(F.count("*").alias("pairs"), F.sum(weight * loss).alias("__loss"), F.sum(weight).alias("__weight")).select(query, "pairs", F.coalesce(F.try_divide("__loss", "__weight"), F.lit(0.0)).alias("loss"))
+    missing = F.col(score).isNull() | F.col(grade).isNull() | F.col(confidence).isNull()
+    light = rows.filter(F.assert_true(~missing, F.lit("a candidate without a score, grade or confidence")).isNull()).select(query, candidate, F.col(score).alias("score"), F.col(grade).cast("double").alias("grade"), F.col(confidence).alias("conf"))
+    every = table(light.withColumn("row", F.monotonically_increasing_id()), "loss-rows")
+    first = ranked(every, [query], [F.desc("score"), F.asc(candidate), F.asc("row")], k)
+    best = ranked(every, [query], [F.desc("grade"), F.asc(candidate), F.asc("row")], k, "place")
+    ideal = best.groupBy(query).agg(_gain(F.col("grade"), F.col("place"), k).alias("ideal"))
+    top = table(first.select(query, "row", "score", "grade", "conf", (1 / F.log2(F.col("rank") + 1)).alias("discount")), "loss-first")
+    rest = every.join(top.select("row"), "row", "left_anti").select(query, "row", "score", "grade", "conf", F.lit(0.0).alias("discount"))
+    a, b = top.select(query, *[F.col(c).alias(f"a_{c}") for c in top.columns if c != query]), top.unionByName(rest)
+    met = a.join(b, query).join(ideal, query)
+    # Of two among the first, the pair is met from both sides: it counts from that of the higher grade.
+    once = (F.col("a_grade") > F.col("grade")) | ((F.col("a_grade") < F.col("grade")) & (F.col("discount") == 0))
+    delta = F.abs((F.pow(F.lit(2.0), "a_grade") - F.pow(F.lit(2.0), "grade")) * (F.col("a_discount") - F.col("discount"))) / F.col("ideal")
+    weight = delta * F.sqrt(F.col("a_conf") * F.col("conf"))
+    ahead = F.when(F.col("a_grade") > F.col("grade"), F.col("a_score") - F.col("score")).otherwise(F.col("score") - F.col("a_score"))
+    sums = met.filter(once).groupBy(query).agg(F.sum(weight * F.log1p(F.exp(-ahead))).alias("loss"), F.sum(weight).alias("weight"))
+    levels = every.groupBy(query, "grade").agg(F.count("*").alias("n"))
+    below = Window.partitionBy(query).orderBy("grade").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = levels.withColumn("p", F.col("n") * F.coalesce(F.sum("n").over(below), F.lit(0))).groupBy(query).agg(F.sum("p").alias("pairs")).filter("pairs > 0")
+    return pairs.join(sums, query, "left").select(query, "pairs", F.coalesce(F.try_divide("loss", "weight"), F.lit(0.0)).alias("loss"))
 
 
 def hashed(seed: str, *parts: Column | str) -> Column:

@@ -182,10 +182,9 @@ def patch_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def record_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of each question as evidence records; their value is their length."""
-    asked = questions(spark, sf_dir).select("item_id", E.words(F.col("text")).alias("q"))
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "n_chars").crossJoin(asked)
-    scored = docs.withColumn("score", F.round(E.record_score(F.col("text"), F.col("q"), F.lit("stability_failure"), F.col("n_chars").cast("double")), 6)).filter("score is not null")
-    return R.ranked(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], 5).select("item_id", "doc_id", "score", "rank")
+    asked = questions(spark, sf_dir).select("item_id", E.words(F.col("text")).alias("query_words"), F.lit("stability_failure").alias("family"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", F.col("n_chars").alias("value"))
+    return E.ranked_records(docs, asked, "doc_id", "item_id", 5)
 
 
 def constraint_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,7 +415,8 @@ def _nextfit_sql(rows: str, order: str, flush: bool) -> str:
     full = "OR s - n >= (SELECT s - n FROM o WHERE i = st.i) + 512" if flush else ""
     return f"""o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {order}) AS i, sum(n) OVER (ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS s FROM ({rows})),
         st AS (SELECT min(i) AS i FROM o UNION ALL SELECT (SELECT min(i) FROM o WHERE i > st.i AND (s > (SELECT s - n FROM o WHERE i = st.i) + 512 {full})) FROM st WHERE i IS NOT NULL),
-        placed AS (SELECT o.*, count(*) - 1 AS block, o.i - max(st.i) AS place FROM o JOIN st ON st.i <= o.i GROUP BY ALL)"""
+        bg AS (SELECT o.*, CASE WHEN st.i IS NULL THEN 0 ELSE 1 END AS b FROM o LEFT JOIN st ON st.i = o.i),
+        placed AS (SELECT *, CAST(sum(b) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS block, CAST(i - max(CASE WHEN b = 1 THEN i END) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS place FROM bg)"""
 
 
 ORACLE_SQL = {

@@ -11,6 +11,7 @@ from sievework.functions import similarity as M
 from sievework.functions import tokens as T
 from sievework.functions.python import best_ratio, folded
 from sievework.operators import scoring as S
+from sievework.operators.duplicates import duplicate_pairs
 from sievework.plans.tables import evidence_docs, load, questions
 
 
@@ -76,8 +77,7 @@ def pair_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation that duplicate an earlier one."""
     t = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    pairs = t.withColumnRenamed("turn", "turn_a").withColumnRenamed("text", "a").join(t.withColumnRenamed("turn", "turn_b").withColumnRenamed("text", "b"), "conv_id").filter("turn_a < turn_b")
-    return pairs.filter(C.is_duplicate(F.col("a"), F.col("b"), 0.1)).select("conv_id", "turn_a", "turn_b")
+    return duplicate_pairs(t, "conv_id", "turn", "text", 0.1)
 
 
 def sentence_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
