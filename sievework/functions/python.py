@@ -183,18 +183,22 @@ OBLIGATIONS = T.StructType([T.StructField("valid", T.ArrayType(_OBLIGATION)), T.
 
 
 def flat_terms(value: object) -> list[str]:
-    """All non-blank strings of nested lists and objects, in order."""
-    if isinstance(value, str):
-        return [value.strip()] if value.strip() else []
-    inner = value if isinstance(value, list) else value.values() if isinstance(value, dict) else ()
-    return [term for x in inner for term in flat_terms(x)]
+    """All non-blank strings of nested lists and objects, in order, however deep they are nested."""
+    out, open_ = [], [value]
+    while open_:
+        x = open_.pop()
+        if isinstance(x, str):
+            out += [x.strip()] if x.strip() else []
+        elif isinstance(x, (list, dict)):
+            open_ += reversed(x if isinstance(x, list) else list(x.values()))
+    return out
 
 
 def _object(text: str | None) -> dict:
-    """A JSON object; anything else is an empty one."""
+    """A JSON object; anything else, and what is nested deeper than the parser goes, is an empty one."""
     try:
         value = json.loads(text or "")
-    except ValueError:
+    except (ValueError, RecursionError):
         return {}
     return value if isinstance(value, dict) else {}
 

@@ -96,12 +96,13 @@ def dense_scores(queries: DataFrame, facets: DataFrame, query_id: str, vector: s
 def lane_top(scores: DataFrame, query_id: str, lane: str, record: str, top: int) -> DataFrame:
     """The `top` records of each lane by their score's z value within the lane.
 
-    Mean and population deviation (at least 1e-6) come from an aggregation that
-    is joined back, so a lane with a third of all records is not sorted whole.
+    Within a lane the z value rises with the score, so records are pruned by score
+    on the map side, and only those that stay meet the lane's mean and population
+    deviation (at least 1e-6), which are aggregated on the map side too.
     """
     stats = scores.groupBy(query_id, lane).agg(F.avg("score").alias("mean"), F.greatest(F.stddev_pop("score"), F.lit(1e-6)).alias("std"))
-    z = scores.join(stats, [query_id, lane]).withColumn("z", F.round((F.col("score") - F.col("mean")) / F.col("std"), 9)).drop("mean", "std")
-    return ranked(z, [query_id, lane], [F.desc("z"), F.asc(record)], top, "lane_rank")
+    best = ranked(scores, [query_id, lane], [F.desc("score"), F.asc(record)], top, "lane_rank")
+    return best.join(stats, [query_id, lane]).withColumn("z", F.round((F.col("score") - F.col("mean")) / F.col("std"), 9)).drop("mean", "std")
 
 
 def core_aggregate(hits: DataFrame, query_id: str, core: str, lane: str, record: str, top: int, weight: Column | None = None, one_hit_per_lane: bool = False) -> DataFrame:

@@ -21,6 +21,14 @@ def test_row_keywords(spark):
     rows = [json.dumps({"terms": ["b", {"x": [" A ", 3, None]}], "keywords": "a", "other": "no", "raw_content": "STRASSE straße"}), json.dumps({"terms": ["x" * 3999, "yy"]}), "[1]", None]
     found = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "r string").coalesce(1).select(python.keyword_string("r")).collect()]
     assert found == ["a b STRASSE straße", "x" * 3999 + " ", "", ""]
+    deep = 100_000
+    assert python.flat_terms(["a", ["b", {"x": "c", "y": [" "]}], "d"]) == ["a", "b", "c", "d"]
+    text = json.dumps({"terms": "a"})[:-1] + ', "other": ' + "[" * deep + "]" * deep + "}"
+    assert [r[0] for r in spark.createDataFrame([(text,)], "r string").select(python.keyword_string("r")).collect()] in ([""], ["a"])
+    nested = "x"
+    for _ in range(deep):
+        nested = [nested]
+    assert python.flat_terms(nested) == ["x"]
 
 
 def test_obligations(spark):
