@@ -256,8 +256,11 @@ def yaml_object(texts: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
         try:
             found = yaml.safe_load(text) if text else None
-        except yaml.YAMLError:
+        except (yaml.YAMLError, ValueError, RecursionError):  # a date that is none is a ValueError
+            return None
+        try:
+            return json.dumps(found, ensure_ascii=False, default=str) if isinstance(found, dict) else None
+        except (TypeError, ValueError, RecursionError):  # a key that JSON has none for, or an object within itself
             return None
-        return json.dumps(found, ensure_ascii=False, default=str) if isinstance(found, dict) else None
 
     return texts.map(one)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.functions.python import yaml_object
+
 # Names under which a record may come, in order.
 ID_NAMES = ("id", "benchmark_id", "query_id", "source_benchmark_id")
 QUESTION_NAMES = ("question", "query", "prompt", "natural_language_query")
@@ -71,6 +73,17 @@ def json_object(text: Column) -> Column:
     return F.when(F.try_parse_json(bare).isNotNull() & bare.startswith("{"), bare).when(F.try_parse_json(inner).isNotNull() & (inner != ""), inner)
 
 
+def reviewed_object(text: Column) -> Column:
+    """(payload, note) of a reviewer's text: its JSON object, or, with the note SERIALIZATION_FALLBACK_YAML, the object that it is as YAML.
+
+    Neither has no payload and the note PARSE_FAILURE; so has YAML where there is no parser of it. Only texts without JSON go to Python.
+    """
+    found = json_object(text)
+    other = yaml_object(F.when(found.isNull(), text))
+    note = F.when(found.isNotNull(), "").when(other.isNotNull(), "SERIALIZATION_FALLBACK_YAML").otherwise("PARSE_FAILURE")
+    return F.struct(F.coalesce(found, other).alias("payload"), note.alias("note"))
+
+
 def first_per(df: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
     """The first n rows of each group."""
     return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("__nth") <= n).drop("__nth")

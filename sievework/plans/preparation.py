@@ -248,6 +248,15 @@ def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", F.get_json_object(V.json_object(said), "$.k").cast("bigint").alias("k"))
 
 
+def reviewed_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reviewers said of events: JSON, the same as YAML, or neither; how many of each were read, and the sum of what they hold."""
+    e = load(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    said = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("k: "), k.cast("string"), F.lit("\nreviews:\n  - id: C1\n"))).otherwise("[nothing")
+    found = e.select((F.col("event_id") % 3).alias("kind"), V.reviewed_object(said).alias("x")).select("kind", "x.*")
+    return found.groupBy("kind", "note").agg(F.count("*").alias("events"), F.coalesce(F.sum(F.get_json_object("payload", "$.k").cast("bigint")), F.lit(0)).alias("total"))
+
+
 def _word_ids(text: F.Column) -> F.Column:
     """A whitespace tokenizer for tests: a word's id is the first 16 bits of its MD5."""
     return F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 4), 16, 10).cast("int"))
@@ -383,7 +392,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         evidence_compile, packet_qc, packet_report, packet_budget, source_tier, excerpts, deep_packets, abstract_compile, gate_reasons, gate_similarity, reason_counts, patch_budget, critic_selection, patch_apply,
-        patch_revision, record_ranking, constraint_phrases, prediction_rows, prompts, candidate_validation, enum_normalise, key_alignment_check, repeated_keys, first_per_family, canonical_questions, json_objects, contiguous_packing, nextfit_packing, weighted_examples, sft_filter,
+        patch_revision, record_ranking, constraint_phrases, prediction_rows, prompts, candidate_validation, enum_normalise, key_alignment_check, repeated_keys, first_per_family, canonical_questions, json_objects, reviewed_objects, contiguous_packing, nextfit_packing, weighted_examples, sft_filter,
         direct_records, row_keywords, obligation_validation, rematerialise, packet_quality, exact_scoring_join, chat_encoding, example_packing, base_hash_check, lr_schedule, checkpoint_retention, moving_loss, resume_antijoin, sha_manifest,
     )
 }

@@ -202,3 +202,11 @@ def test_verbs_and_labels(spark):
 def test_private_text(spark):
     df = spark.createDataFrame([('{"a": 1}',), (None,), (f'{{"{sorted(validation.PRIVATE)[0]}" : 1}}',)], "t string")
     assert [r[0] for r in df.coalesce(1).select(validation.private_text(F.col("t"))).collect()] == [False, False, True]
+
+
+def test_reviewed_object(spark):
+    yaml = pytest.importorskip("yaml")
+    rows = ['{"a": 1}', "So: {\"a\": 1} done", "a: 1\nb:\n  - x: 2024-01-02", "a: [1", "just words", "- 1\n- 2", "", None, "a: 2024-99-99", "? [1, 2]\n: 3", "a: &x\n  b: *x", "[" * 50_000]
+    found = [tuple(r) for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string").orderBy("i").select(validation.reviewed_object(F.col("r")).alias("x")).select("x.*").collect()]
+    assert [n for _, n in found[:3]] == ["", "", "SERIALIZATION_FALLBACK_YAML"] and json.loads(found[2][0]) == {"a": 1, "b": [{"x": "2024-01-02"}]}
+    assert all(n == "PARSE_FAILURE" and p is None for p, n in found[3:]) and yaml.safe_load("a: 1") == {"a": 1}
