@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import tokens as T
+from sievework.operators import dense as D
 from sievework.operators import retrieval as R
 from sievework.plans.tables import evidence_docs, facets, load, query_vectors, questions
 
 TOP = 10
-#: Queries that meet the facets together.
-BLOCK = 100
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,17 +36,13 @@ def lexical_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("item_id", T.lexical_expression(F.concat(F.col("text"), F.lit(" phase segregation of mixed halide 42 cells"))).alias("expression"))
 
 
-def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.dense_scores(query_vectors(spark, sf_dir), facets(spark, sf_dir), "query_id", block=BLOCK)
-
-
 def dense_dot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = R.ranked(_dense(spark, sf_dir), ["query_id"], [F.desc("score"), F.asc("vec_id")], TOP)
+    top = D.dense_top(query_vectors(spark, sf_dir), facets(spark, sf_dir), "query_id", "vec_id", TOP)
     return top.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 def _lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.lane_top(_dense(spark, sf_dir), "query_id", "lane", "vec_id", 30)
+    return D.lane_top(query_vectors(spark, sf_dir), facets(spark, sf_dir), "query_id", "lane", "vec_id", 30)
 
 
 def lane_zscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
