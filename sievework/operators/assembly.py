@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.functions.python import best_ratio
+from sievework.functions.python import near_ratio
 from sievework.functions.sentences import Anchors, deduplicated, evidence_chunks, split_at, stripped
 from sievework.functions.tokens import compare_text, word_count
 from sievework.operators import patches as P
@@ -110,7 +110,7 @@ def gated_candidates(queries: DataFrame, anchors: DataFrame, packets: DataFrame,
     )
     effective = stripped(F.coalesce(F.when(F.col("decision") == "ACCEPT_AFTER_DOWNGRADE", F.col("bounded_revision")).otherwise(F.col("revised_text")), F.lit("")))
     whole = F.transform(F.filter(split_at(F.col("base_answer"), r"(?U)(?<=[.!?])\s+"), lambda s: stripped(s) != ""), compare_text)
-    close = wide.withColumn("effective_revised_text", effective).withColumn("__near", best_ratio(compare_text(F.col("effective_revised_text")), whole))
+    close = wide.withColumn("effective_revised_text", effective).withColumn("__near", near_ratio(compare_text(F.col("effective_revised_text")), whole, P.NEAR))
     gated = close.withColumn("gate_reasons", P.gate_reasons(F.col("__near")))
     found = F.array_compact(F.array(*[F.when(F.array_contains("gate_reasons", reason), F.lit(risk)) for reason, risk in FOUND_RISKS.items()]))
     return gated.withColumn("risk_flags", F.array_sort(F.array_union("risk_flags", found))).withColumn("eligible_after_gates", P.eligible(F.col("gate_reasons"))).drop("__near", "anchor_known", "evidence_ok", "leak_count", "reason_codes", "question", "base_answer", "anchor_text")
@@ -136,7 +136,8 @@ def assembled(queries: DataFrame, packets: DataFrame, proposals: DataFrame, revi
     """
     base = P.checked_base(queries, "query_id", "base_answer", "base_answer_sha256")
     anchors = base.select("query_id", "base_answer").lateralJoin(Anchors(F.col("base_answer").outer())).drop("base_answer")
-    each = table(chosen_candidates(gated_candidates(base, anchors, packets, proposals, reviews), most), "assembly-candidates")
+    gated = table(gated_candidates(base, anchors, packets, proposals, reviews), "assembly-gated")
+    each = table(chosen_candidates(gated, most), "assembly-candidates")
     used = each.filter("selected_for_assembly")
     patches = used.select("query_id", "target_anchor_id", "candidate_id", "operation", F.col("effective_revised_text").alias("revised_text"))
     raw = table(P.applied(base.select("query_id", "base_answer"), anchors, patches, "query_id", "base_answer").select("query_id", F.col("revised_answer").alias("raw")), "assembly-answers")

@@ -14,7 +14,7 @@ from sievework.operators import retrieval as R
 from sievework.operators.evidence import FAMILY_WORDS
 from sievework.plans.tables import evidence_docs, load, questions
 from sievework.sources.publish import published
-from sievework.sources.work import folder
+from sievework.sources.work import folder, table
 
 
 def _mostly(usual: str, others: tuple[str, ...], number: Column, every: int) -> Column:
@@ -67,7 +67,8 @@ def assembly_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 def revision_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions and audit of an assembled and published revision, one row for each base answer."""
     path = folder(spark, "revision")
-    A.assemble(spark, *assembly_inputs(spark, sf_dir), path)
+    # The assembly reads its inputs many times: they are made once.
+    A.assemble(spark, *[table(df, "assembly-input") for df in assembly_inputs(spark, sf_dir)], path)
     told = published(spark, path, "audit").select("query_id", "raw_answer_sha256", "eligible_before_budget", "final_words", F.size("removed_exact_duplicate_sentences").alias("removed"), F.array_join(F.transform("assembly_actions", lambda a: a["candidate_id"]), ",").alias("actions"))
     reasons = published(spark, path, "candidates").select("query_id", F.array_join(F.transform("candidates", lambda c: F.array_join(c["gate_reasons"], ",")), ";").alias("reasons"))
     found = published(spark, path, "predictions").select("query_id", "condition_id", "proposed_patch_count", "accepted_patch_count", "changed", "final_answer_sha256")
