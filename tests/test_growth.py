@@ -1,5 +1,7 @@
 """Steps that must not multiply with the input: what is shuffled, and what is computed once."""
 
+from pyspark.sql import functions as F
+
 from sievework.operators import evidence as E
 from sievework.operators import retrieval as R
 
@@ -27,3 +29,14 @@ def test_a_ranking_is_computed_once_for_its_packets(spark):
     found = E.compiled(R.bm25(docs, asked, "doc_id", "item_id", 3), docs, asked, "item_id", "doc_id")
     assert "Window" not in plan(found)
     assert found.count() > 0
+
+
+def test_packs_are_sorted_without_texts_or_words(spark):
+    rows = [(1, i, "article_master_pack" if i % 3 == 0 else "stability_pack", f"Humidity degradation of control{i % 5} interfaces", 7, 1 + i // 9, "other", ["humidity", "control4"]) for i in range(18)]
+    packs = spark.createDataFrame(rows, "core bigint, card bigint, card_type string, embedding_text string, item bigint, rank int, family string, query_words array<string>")
+    whole = E.topic_packs(packs, "item", "core", "card")
+    packs = packs.select("*", E.words(F.col("embedding_text")).alias("own")).drop("embedding_text")
+    found = E.topic_packs(packs, "item", "core", "card", "own")
+    assert not [x for x in plan(found).splitlines() if " Sort [" in x and "own#" in x] and not {"own", "query_words"} & set(found.columns)
+    keys = ["item", "core", "card", "pack_place", "pack_score"]
+    assert sorted(map(tuple, found.select(keys).collect())) == sorted(map(tuple, whole.select(keys).collect()))
