@@ -41,11 +41,15 @@ def search_index(spark: SparkSession, path: str, questions: DataFrame, question:
     if stats is None or stats["version"] != VERSION:
         raise ValueError("unsupported index version")
     asked = questions.select(question, F.explode(F.array_distinct(bm25_tokens(F.col("text")))).alias("term"))
-    hits = spark.read.parquet(f"{path}/postings").join(asked, "term")
-    df = spark.read.parquet(f"{path}/postings").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    postings = spark.read.parquet(f"{path}/postings")
+    df = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    askers = asked.groupBy("term").agg(F.collect_list(question).alias("__askers")).join(df, "term")
     n, average = stats["n_docs"], stats["average"] or 1.0
     weight = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / average))
-    scored = hits.join(df, "term").join(spark.read.parquet(f"{path}/lengths"), doc_id).groupBy(question, doc_id).agg(F.round(F.sum(weight), 9).alias("score")).filter("score > 0")
+    # By document, so that pairs of questions and documents are summed where they are made.
+    weighed = postings.join(askers, "term").repartition(doc_id).join(spark.read.parquet(f"{path}/lengths"), doc_id).select(doc_id, weight.alias("__weight"), "__askers")
+    each = weighed.select(doc_id, "__weight", F.explode("__askers").alias(question))
+    scored = each.groupBy(question, doc_id).agg(F.round(F.sum("__weight"), 9).alias("score")).filter("score > 0")
     return ranked(scored, [question], [F.desc("score"), F.asc(doc_id)], top)
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import evidence as E
 from sievework.operators import retrieval as R
+from sievework.sources.index import save_index, search_index
 
 
 def plan(df):
@@ -40,3 +41,13 @@ def test_packs_are_sorted_without_texts_or_words(spark):
     assert not [x for x in plan(found).splitlines() if " Sort [" in x and "own#" in x] and not {"own", "query_words"} & set(found.columns)
     keys = ["item", "core", "card", "pack_place", "pack_score"]
     assert sorted(map(tuple, found.select(keys).collect())) == sorted(map(tuple, whole.select(keys).collect()))
+
+
+def test_a_stored_index_does_not_shuffle_pairs(spark, tmp_path):
+    docs, asked = tables(spark)
+    save_index(docs, f"file://{tmp_path}/index", "doc_id")
+    found = search_index(spark, f"file://{tmp_path}/index", asked, "item_id", "doc_id", 3)
+    exchanges = [x.split("hashpartitioning(")[1].split("]")[0] for x in plan(found).splitlines() if "Exchange hashpartitioning(" in x]
+    assert exchanges and not [x for x in exchanges if "item_id#" in x and "doc_id#" in x]
+    want = R.bm25(docs, asked, "doc_id", "item_id", 3).select("item_id", "doc_id", "rank")
+    assert sorted(map(tuple, found.select("item_id", "doc_id", "rank").collect())) == sorted(map(tuple, want.collect()))
