@@ -9,8 +9,11 @@ buckets, which are folders: a search reads the buckets of its terms only.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,26 +37,65 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.when(term == "", OWN).otherwise(F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int"))
 
 
-def postings(docs: DataFrame, doc_id: str, text: str = "text", tokens: Callable[[Column], Column] = word_tokens, buckets: int = BUCKETS) -> DataFrame:
+def once(docs: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
+    """(doc, text) of ids that aren't null; of several texts of one id the least, a null text as an empty one.
+
+    Only ids are grouped, and only texts of repeated ids travel.
+    """
+    given = docs.filter(F.col(doc_id).isNotNull()).select(doc_id, F.coalesce(F.col(text), F.lit("")).alias(text))
+    repeated = table(given.groupBy(doc_id).agg(F.count("*").alias("n")).filter("n > 1").select(doc_id), "repeated-ids")
+    if repeated.isEmpty():
+        return given
+    least = given.join(repeated, doc_id, "left_semi").groupBy(doc_id).agg(F.min(text).alias(text))
+    return given.join(repeated, doc_id, "left_anti").unionByName(least)
+
+
+def _places(words: pa.ListArray, ids: pa.Array, block: int = 1 << 20) -> Iterator[list[pa.Array]]:
+    """Columns (term, doc, tf, positions, length) of documents' words, in order of terms, about `block` words at once."""
+    many = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, first = np.cumsum(many), 0
+    while first < len(many):
+        last = max(int(np.searchsorted(ends, ends[first] - many[first] + block, side="right")), first + 1)
+        n = many[first:last]
+        found = words.slice(first, last - first).flatten().dictionary_encode()
+        by_term = pc.sort_indices(found.dictionary).to_numpy()
+        rank = np.empty(len(by_term), np.int64)
+        rank[by_term] = np.arange(len(by_term))
+        code, row = rank[found.indices.to_numpy()], np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
+        order = np.argsort(code, kind="stable")
+        code, row, place = code[order], row[order], place[order]
+        starts = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])]) if len(code) else np.empty(0, np.int64)
+        offsets = np.r_[starts, len(code)]
+        own = pa.ListArray.from_arrays(pa.array(np.zeros(len(n) + 1), pa.int32()), pa.array([], pa.int32()))
+        length = pa.array(n, pa.int32())
+        block_ids, at = ids.slice(first, last - first), row[starts]
+        yield [pa.array([""] * len(n), pa.string()), block_ids, length, own, length]
+        term = found.dictionary.cast(pa.string()).take(pa.array(by_term[code[starts]]))
+        positions = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place, pa.int32()))
+        yield [term, block_ids.take(pa.array(at)), pa.array(np.diff(offsets), pa.int32()), positions, length.take(pa.array(at))]
+        first = last
+
+
+def postings(docs: DataFrame, doc_id: str, text: str = "text", tokens: Callable[[Column], Column] = word_tokens, buckets: int = BUCKETS, distinct: bool = False) -> DataFrame:
     """(bucket, term, doc, tf, positions, length) of documents with ids; positions count tokens from 0.
 
     Rows with a null id are left out; of several texts of one id the least is
-    taken; a null text is empty. Texts are shuffled once, by id: what follows
-    keeps to that partitioning, so tokens don't travel.
+    taken (`distinct`: ids are known not to repeat); a null text is empty. A
+    document's words become postings where it is read: neither texts nor tokens
+    travel.
     """
-    one = docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias("__text"))
-    words = one.select(doc_id, tokens(F.col("__text")).alias("__words")).withColumn("length", F.size("__words"))
-    rows = words.select(doc_id, "length", F.posexplode(F.concat(F.array(F.lit("")), "__words")).alias("__place", "term"))
-    each = rows.groupBy(doc_id, "term", "length").agg(F.array_sort(F.collect_list(F.col("__place") - 1)).alias("positions"))
-    own = F.col("term") == ""
-    return each.select(
-        bucket_of(F.col("term"), buckets).alias("bucket"),
-        "term",
-        doc_id,
-        F.when(own, F.col("length")).otherwise(F.size("positions")).alias("tf"),
-        F.when(own, F.array().cast("array<int>")).otherwise(F.col("positions")).alias("positions"),
-        "length",
-    )
+    one = docs.filter(F.col(doc_id).isNotNull()).select(doc_id, F.coalesce(F.col(text), F.lit("")).alias(text)) if distinct else once(docs, doc_id, text)
+    words = one.select(doc_id, tokens(F.col(text)).alias("__words"))
+    kinds = [("term", T.StringType()), (doc_id, docs.schema[doc_id].dataType), ("tf", T.IntegerType()), ("positions", T.ArrayType(T.IntegerType())), ("length", T.IntegerType())]
+    schema = T.StructType([T.StructField(name, kind) for name, kind in kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for columns in _places(batch.column(1), batch.column(0)):
+                yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+
+    return words.mapInArrow(run, schema).select(bucket_of(F.col("term"), buckets).alias("bucket"), *schema.fieldNames())
 
 
 def laid_out(rows: DataFrame, doc_id: str) -> DataFrame:
@@ -72,7 +114,7 @@ def save(docs: DataFrame, path: str, doc_id: str, text: str = "text", tokens: Ca
     given = docs.agg(F.count("*").alias("n"), F.count_distinct(doc_id).alias("d")).first()
     if given["n"] != given["d"]:
         raise ValueError("documents need distinct ids")
-    rows = laid_out(postings(docs, doc_id, text, tokens, buckets), doc_id)
+    rows = laid_out(postings(docs, doc_id, text, tokens, buckets, distinct=True), doc_id)
     rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     own = F.col("term") == ""
     stored = spark.read.schema(rows.schema).parquet(f"{path}/postings")

@@ -4,6 +4,7 @@ import os
 import random
 import sqlite3
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,22 @@ def test_a_search_reads_its_buckets_and_columns(spark):
 def test_phrases_of_expressions(spark):
     row = spark.createDataFrame([("What limits phase segregation of the 12.5 nm film?",)], "text string").select(lexical_phrases(F.col("text")).alias("p"), lexical_expression(F.col("text")).alias("e")).first()
     assert row["e"] == " OR ".join(f'"{p}"' for p in row["p"])
+
+
+def test_texts_and_tokens_stay_where_they_are_read(spark):
+    docs = spark.createDataFrame([(1, "b a b"), (2, None), (None, "x"), (3, "zz"), (3, "a ü a")], "doc_id int, text string")
+    rows = fulltext.postings(docs.filter("doc_id < 3"), "doc_id")
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = sorted((r["doc_id"], r["term"], r["tf"], r["positions"], r["length"]) for r in fulltext.postings(docs, "doc_id").collect())
+    assert found == [(1, "", 3, [], 3), (1, "a", 1, [1], 3), (1, "b", 2, [0, 2], 3), (2, "", 0, [], 0), (3, "", 3, [], 3), (3, "a", 2, [0, 2], 3), (3, "ü", 1, [1], 3)]
+
+
+def test_blocks_of_words_make_the_same_postings():
+    rng = random.Random(3)
+    texts = [[rng.choice("abcdé") for _ in range(rng.choice((0, 1, 7, 40)))] for _ in range(50)]
+    want = sorted((i, w, [k for k, x in enumerate(t) if x == w], len(t)) for i, t in enumerate(texts) for w in set(t)) + [(i, "", [], len(t)) for i, t in enumerate(texts)]
+    for block in (1, 30, 1 << 20):
+        words = pa.array([[]] + texts, pa.list_(pa.string())).slice(1)
+        parts = list(fulltext._places(words, pa.array(range(50)), block))
+        found = [(d, t, p, n) for term, doc, tf, places, length in parts for t, d, f, p, n in zip(*(x.to_pylist() for x in (term, doc, tf, places, length)), strict=True) if f == (len(p) if t else n)]
+        assert sorted(found) == sorted(want)
