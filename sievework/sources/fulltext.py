@@ -145,29 +145,32 @@ def postings_of(index: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def phrase_hits(index: DataFrame, phrases: DataFrame, doc_id: str, buckets: int = BUCKETS) -> DataFrame:
-    """(phrase, doc, f, length): how often each phrase stands in each document that has it.
-
-    `phrases` holds (phrase, words), distinct, with at least one word. A word by
-    itself is its posting. A longer phrase begins with the postings of its rarest
-    word; these documents meet the postings of its other words by term and
-    document, and the places of all words, each less its place in the phrase, are
-    intersected.
+    """(doc, length, phrase, f): how often each phrase stands in each document that has it.
+
+    `phrases` holds (phrase, words), distinct, with at least one word; its words
+    joined by spaces are the phrase. The postings of asked words travel once, by
+    document. There a word by itself is its posting; for longer phrases words are
+    put in order of their places and each is extended by its neighbours, so that a
+    document yields as many runs of each asked number of words as it has words,
+    and the runs that are asked for are counted, whatever their number.
     """
-    words = phrases.select("phrase", F.size("words").alias("n"), F.posexplode("words").alias("k", "term"))
-    terms = words.select("term").distinct().withColumn("bucket", bucket_of(F.col("term"), buckets))
-    asked = table(postings_of(index, terms).select("term", doc_id, "tf", "positions", "length"), "asked-postings")
-    single = asked.join(words.filter("n = 1"), "term").select("phrase", doc_id, F.col("tf").cast("long").alias("f"), "length")
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    longer = words.filter("n > 1")
-    # A phrase with a word that no document has stands nowhere: the inner join leaves it with fewer words.
-    rarest = longer.join(df, "term").groupBy("phrase", "n").agg(F.count("*").alias("known"), F.min_by("term", F.struct("df", "term")).alias("term")).filter("known = n")
-    candidates = asked.select("term", doc_id).join(rarest.select("phrase", "term"), "term").select("phrase", doc_id)
-    met = candidates.join(longer, "phrase").join(asked, ["term", doc_id])
-    begins = F.transform("positions", lambda p: p - F.col("k"))
-    gathered = met.groupBy("phrase", "n", doc_id, "length").agg(F.collect_list(begins).alias("begins")).filter(F.size("begins") == F.col("n"))
-    common = F.aggregate(F.slice("begins", F.lit(2), F.col("n")), F.element_at("begins", 1), F.array_intersect)
-    several = gathered.select("phrase", doc_id, F.size(common).cast("long").alias("f"), "length").filter("f > 0")
-    return single.unionByName(several)
+    terms = phrases.select(F.explode("words").alias("term")).distinct().withColumn("bucket", bucket_of(F.col("term"), buckets))
+    asked = postings_of(index, terms).select(doc_id, "length", "term", "positions").repartition(doc_id)
+    each = asked.groupBy(doc_id, "length").agg(F.collect_list(F.struct("term", "positions")).alias("held"))
+    sizes = {r["n"] for r in phrases.select(F.size("words").alias("n")).distinct().collect()}
+    run = lambda place, words: F.struct(place.alias("last"), words.alias("phrase"))
+    if max(sizes, default=1) > 1:
+        each = each.withColumn("placed", F.sort_array(F.flatten(F.transform("held", lambda h: F.transform(h["positions"], lambda p: run(p, h["term"]))))))
+    found, runs = [F.transform("held", lambda h: F.struct(h["term"].alias("phrase"), F.size(h["positions"]).cast("long").alias("f")))], "placed"
+    for n in range(2, max(sizes, default=1) + 1):
+        # Beyond the last word, and after a word that is not its neighbour, a run is null.
+        longer = F.zip_with(runs, F.slice("placed", F.lit(n), F.size("placed")), lambda a, b: F.when(b["last"] == a["last"] + 1, run(b["last"], F.concat_ws(" ", a["phrase"], b["phrase"]))))
+        runs = f"runs{n}"
+        each = each.withColumn(runs, longer)
+        if n in sizes:
+            found.append(F.transform(F.filter(runs, lambda x: x.isNotNull()), lambda x: F.struct(x["phrase"].alias("phrase"), F.lit(1).cast("long").alias("f"))))
+    rows = each.select(doc_id, "length", F.explode(F.concat(*found)).alias("hit")).select(doc_id, "length", "hit.phrase", "hit.f")
+    return rows.join(phrases.select("phrase"), "phrase", "left_semi").groupBy(doc_id, "length", "phrase").agg(F.sum("f").alias("f"))
 
 
 def search(index: DataFrame, asked: DataFrame, question: str, doc_id: str, top: int, phrases: str = "phrases", tokens: Callable[[Column], Column] = word_tokens, buckets: int = BUCKETS) -> DataFrame:
@@ -177,16 +180,21 @@ def search(index: DataFrame, asked: DataFrame, question: str, doc_id: str, top:
     log((N - n + 0.5) / (n + 0.5)), at least 1e-6; phrases without a token fall
     away, one given twice counts twice. The engine's own number is the negated
     score. Scores are rounded to nine decimals before they are ranked; ties go to
-    the lesser document.
+    the lesser document. A document's hits travel once, by document, and meet
+    there the questions that ask for them.
     """
     items = asked.select(question, F.explode(phrases).alias("__given")).select(question, tokens(F.col("__given")).alias("words")).filter(F.size("words") > 0)
-    items = items.withColumn("phrase", F.array_join("words", " "))
-    times = items.groupBy(question, "phrase").agg(F.count("*").alias("times"))
-    hits = table(phrase_hits(index, items.select("phrase", "words").distinct(), doc_id, buckets), "phrase-hits")
+    times = table(items.withColumn("phrase", F.array_join("words", " ")).groupBy("phrase", "words", question).agg(F.count("*").alias("times")), "asked-phrases")
+    distinct = table(times.select("phrase", "words").distinct(), "phrases")
+    hits = table(phrase_hits(index, distinct, doc_id, buckets), "phrase-hits")
     stats = index.filter(F.col("bucket") == OWN).agg(F.count("*").alias("n"), F.avg("length").alias("average"))
     n_docs, average = stats.select("n").scalar(), F.coalesce(F.nullif(stats.select("average").scalar(), F.lit(0.0)), F.lit(1.0))
     held = hits.groupBy("phrase").agg(F.count("*").alias("n"))
     idf = F.greatest(F.log((n_docs - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
-    weight = F.col("times") * idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / average))
-    scored = hits.join(held, "phrase").join(times, "phrase").groupBy(question, doc_id).agg(F.round(F.sum(weight), 9).alias("score"))
+    askers = times.groupBy("phrase").agg(F.collect_list(F.struct(question, "times")).alias("__askers")).join(held, "phrase")
+    # Written, so that its size is known: where it is small it is sent to the documents instead of these to it.
+    askers = table(askers.select("phrase", idf.alias("__idf"), "__askers"), "askers")
+    share = F.col("__idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / average))
+    met = hits.repartition(doc_id).join(askers, "phrase").select(doc_id, share.alias("__share"), F.explode("__askers").alias("__asker"))
+    scored = met.groupBy(F.col(f"__asker.{question}").alias(question), doc_id).agg(F.round(F.sum(F.col("__share") * F.col("__asker.times")), 9).alias("score"))
     return ranked(scored, [question], [F.desc("score"), F.asc(doc_id)], top)

@@ -156,3 +156,36 @@ def test_blocks_of_words_make_the_same_postings():
         parts = list(fulltext._places(words, pa.array(range(50)), block))
         found = [(d, t, p, n) for term, doc, tf, places, length in parts for t, d, f, p, n in zip(*(x.to_pylist() for x in (term, doc, tf, places, length)), strict=True) if f == (len(p) if t else n)]
         assert sorted(found) == sorted(want)
+
+
+def test_phrases_of_frequent_words_are_not_matched_with_each_document(spark):
+    """Of 400 pairs of words that all documents have, each document holds 39 at most: no join makes rows for the others."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(words, 20) + rng.sample(words, 20))) for i in range(100)], "doc_id int, text string")
+    path = folder(spark, "index")
+    fulltext.save(docs, path, "doc_id")
+    phrases = spark.createDataFrame([(f"{a} {b}", [a, b]) for a in words for b in words], "phrase string, words array<string>")
+    hits = fulltext.phrase_hits(fulltext.load(spark, path), phrases, "doc_id")
+    found = {(r["doc_id"], r["phrase"]): r["f"] for r in hits.collect()}
+    want = {}
+    for r in docs.collect():
+        split = r["text"].split()
+        for pair in zip(split, split[1:], strict=False):
+            want[r["doc_id"], " ".join(pair)] = want.get((r["doc_id"], " ".join(pair)), 0) + 1
+    assert found == want
+
+    joined = []
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return walk(node.plan())
+        if "Join" in node.nodeName():
+            joined.append(node.metrics().apply("numOutputRows").value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(hits._jdf.queryExecution().executedPlan())
+    assert joined and max(joined) <= 100 * 40
