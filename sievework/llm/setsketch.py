@@ -101,10 +101,10 @@ def parts_of(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def with_pivot(pairs: DataFrame, pivots: DataFrame, how: str = "inner") -> DataFrame:
+def with_pivot(pairs: DataFrame, pivots: DataFrame) -> DataFrame:
     """`pairs` (a, b, ...) with the columns of `pivots` (a, ...), a row for each of the SALTS parts that a pivot's pairs fall in, so that none meets all in one task."""
     salted = pairs.withColumn("__part", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    parts = salted.select("a", "__part").distinct().join(pivots, "a", how)
+    parts = salted.select("a", "__part").distinct().join(pivots, "a")
     return salted.join(parts, ["a", "__part"]).drop("__part")
 
 
@@ -136,12 +136,11 @@ def pruned(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     t = percent / 100
     found = table(estimated(pairs, sketches), "near-estimates")
     low, high = 2 * t - 1 - margin(max(2 * t - 1, 0.0)), t + margin(t)
-    split = table(found.filter(F.col("likely") < low).select("a").distinct().withColumn("far", F.lit(True)), "near-far")
+    each = found.filter(F.col("likely") < high).groupBy("a").agg(F.min("likely").alias("far"), F.min("b").alias("second"))
+    split = table(each.filter(F.col("far") < low).select("a", "second"), "near-far")
     if split.isEmpty():
         return pairs
-    again = with_pivot(found.filter(F.col("likely") < high), split).select("a", "b")
-    least = again.groupBy("a").agg(F.min("b").alias("second"))
-    second = with_pivot(again, least).filter("b <> second").select(F.col("second").alias("a"), "b")
+    second = with_pivot(found.filter(F.col("likely") < high), split).filter("b <> second").select(F.col("second").alias("a"), "b")
     return found.filter(F.col("likely") >= low).select("a", "b").union(second).distinct()
 
 
@@ -224,14 +223,15 @@ def remaining(seen: DataFrame, found: DataFrame, percent: int, block: int = 2000
     """
     named = found.withColumnRenamed("node", "b").withColumnRenamed("component", "__c")
     pivot = found.withColumnRenamed("node", "a").withColumnRenamed("component", "__p")
-    light = seen.select("a", "b", (F.octet_length("held") + F.octet_length("more")).alias("bytes")).join(named, "b", "left").withColumn("component", F.coalesce("__c", "b"))
-    light = with_pivot(light, pivot, "left").withColumn("outer", F.col("component") != F.coalesce("__p", "a"))
-    light = table(light.select("a", "b", "component", "outer", "bytes"), "near-outer")
-    count = F.greatest(F.count("*") / F.lit(block), F.sum("bytes") / F.lit(most))
-    blocks_of = table(light.filter("outer").groupBy("a").agg(F.ceil(count).cast("int").alias("blocks")), "near-blocks")
+    light = seen.select("a", "b", (F.octet_length("held") + F.octet_length("more")).alias("bytes")).join(named, "b", "left")
+    light = table(light.select("a", "b", F.coalesce("__c", "b").alias("component"), "bytes"), "near-outer")
+    # A pivot's outer rows are counted by component, so that they need not meet its own one by one.
+    counted = light.groupBy("a", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).join(pivot, "a", "left").withColumn("own", F.coalesce("__p", "a"))
+    count = F.greatest(F.sum("n") / F.lit(block), F.sum("bytes") / F.lit(most))
+    blocks_of = table(counted.filter("component <> own").groupBy("a", "own").agg(F.ceil(count).cast("int").alias("blocks")), "near-blocks")
     if blocks_of.isEmpty():
         return light.limit(0).select("a", "b")
-    rows = with_pivot(light, blocks_of).join(seen.select("a", "b", F.col("size_b").alias("size"), "held", "more"), ["a", "b"])
+    rows = with_pivot(light, blocks_of).withColumn("outer", F.col("component") != F.col("own")).join(seen.select("a", "b", F.col("size_b").alias("size"), "held", "more"), ["a", "b"])
     part = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
     outer = rows.filter("outer").select("a", part.alias("part"), F.lit(0).alias("role"), "b", "component", "size", "held", "more")
     every = rows.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("role"), "b", "component", "size", "held", "more")

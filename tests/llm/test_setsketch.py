@@ -96,3 +96,29 @@ def test_blocks_in_bytes(spark):
     finally:
         S.remaining = plain
     assert [found[k] for k, _ in rows] == want
+
+
+def test_pairs_meet_their_pivot_three_times_at_most(spark, monkeypatch):
+    """Once for the estimates, once for the second pivot, once for the outer rows: each is a join of all pairs."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(120):  # one group of near copies, some of which are not linked with the least one
+        words = list(base)
+        for k in rng.choice(60, int(rng.integers(0, 11)), replace=False):
+            words[k] = f"x{i}-{k}"
+        texts.append((i, " ".join(words)))
+    met, whole = [], S.with_pivot
+    monkeypatch.setattr(S, "with_pivot", lambda pairs, pivots, *how: met.append(pairs.count()) or whole(pairs, pivots, *how))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in S.near_duplicates(docs, 2, 80).collect()}
+    assert len(met) == 3
+
+    sets = [{tuple(t.split()[i : i + 2]) for i in range(59)} for _, t in texts]
+    want = list(range(120))
+    for i in range(120):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    assert found == dict(enumerate(want))
