@@ -51,3 +51,27 @@ def test_a_stored_index_does_not_shuffle_pairs(spark, tmp_path):
     assert exchanges and not [x for x in exchanges if "item_id#" in x and "doc_id#" in x]
     want = R.bm25(docs, asked, "doc_id", "item_id", 3).select("item_id", "doc_id", "rank")
     assert sorted(map(tuple, found.select("item_id", "doc_id", "rank").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_questions_that_ask_for_a_term_are_not_shuffled_with_documents(spark):
+    docs, asked = tables(spark)
+    found = plan(R.bm25(docs, asked, "doc_id", "item_id", 3))
+    assert "BroadcastHashJoin [term#" in found and "Exchange hashpartitioning(term#" not in found
+
+
+def test_a_question_is_sorted_once_for_all_its_papers(spark, monkeypatch):
+    import pandas as pd
+
+    sorts, whole = [], pd.DataFrame.sort_values
+    docs, asked = tables(spark)
+    held = []
+    from pyspark.sql.group import GroupedData
+
+    applied = GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, f, schema: held.append(f) or applied(self, f, schema))
+    E.compiled(R.bm25(docs, asked, "doc_id", "item_id", 5), docs, asked, "item_id", "doc_id")
+    monkeypatch.setattr(pd.DataFrame, "sort_values", lambda *a, **k: sorts.append(1) or whole(*a, **k))
+    rows = [(7, 10 + r, r, 30, p, "k" if p == 2 else f"{r}-{p}", 9, p % 2) for r in (2, 1) for p in range(4)]
+    found = held[0](pd.DataFrame(rows, columns=["item_id", "doc_id", "rank", "chars", "place", "key", "n", "overlap"]))
+    assert len(sorts) == 1
+    assert found.values.tolist() == [[7, f"E00{r}", 10 + r, r, p] for r in (1, 2) for p in ((1, 3, 0))]
