@@ -48,8 +48,9 @@ def stem_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbers_specific_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return evidence_docs(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(T.numbers(t)), " ").alias("numbers"), T.word_count(t).alias("words"), F.md5(T.compare_text(t).cast("binary")).alias("compare_md5"), F.array_join(F.array_sort(T.specific_terms(t)), " ").alias("specific"))
+    t, found = F.col("text"), F.col("found")
+    docs = evidence_docs(spark, sf_dir).withColumn("found", T.numbers(t))
+    return docs.select("doc_id", F.array_join(F.array_sort(found), " ").alias("numbers"), T.word_count(t).alias("words"), F.md5(T.compare_text(t).cast("binary")).alias("compare_md5"), F.array_join(F.array_sort(T.specific_terms(t, found=found)), " ").alias("specific"))
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
