@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.cleaning import EVIDENCE_STOPWORDS, squeezed
-from sievework.functions.tokens import evidence_tokens
+from sievework.functions.tokens import evidence_tokens, with_value
 from sievework.sources.work import table
 
 #: Fixed value: texts of this length or more duplicate one that contains them.
@@ -19,11 +17,6 @@ GRAM, WINDOW = 30, CONTAINED - 30 + 1
 PART_ROWS = 1000
 
 
-def _with(value: Column, then: Callable[[Column], Column]) -> Column:
-    """`then` of a value that is computed once, not for each use within a lambda."""
-    return F.transform(F.array(value), then)[0]
-
-
 def _anchors(text: Column, whole: bool) -> Column:
     """Hashes of grams: the least of the first window, or of each window of the text. A text that contains another has its anchor."""
 
@@ -34,7 +27,7 @@ def _anchors(text: Column, whole: bool) -> Column:
     def least(hashes: Column) -> Column:
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(hashes) - WINDOW + 1), lambda i: F.array_min(F.slice(hashes, i, WINDOW))))
 
-    return _with(_with(F.split(text, ""), grams), least)
+    return with_value(with_value(F.split(text, ""), grams), least)
 
 
 def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from sievework.functions import cleaning as C
 from sievework.functions import tokens as T
+from sievework.functions.sentences import stripped
 from sievework.operators import evidence as E
 from sievework.operators import retrieval as R
 from sievework.sources.index import save_index, search_index
@@ -88,3 +90,28 @@ def test_texts_are_normalised_by_what_they_keep(spark):
     found = rows.select(T.normalise(t).alias("a"), T.normalise(t, True).alias("b"), T.compare_text(t).alias("c"))
     assert found.collect() == rows.select(ascii_(full).alias("a"), ascii_(F.replace(full, F.lit("^-"), F.lit(" "))).alias("b"), compare.alias("c")).collect()
     assert "regexp_replace" not in plan(found)
+
+
+def test_a_unit_is_searched_once_for_words_and_verbs(spark):
+    """The verbs' alternatives branch by letters, and a unit's words are found once, with the results as before."""
+    verbs = [w for x in C.VERB[len(r"(?i)\b(?:") : -len(r")\b")].split("|") for w in ([x[:-1], x[:-2]] if x.endswith("?") else [x])]
+    units = [f"{a}{v}{b}" for v in verbs for a, b in (("", ""), ("The film ", " it"), ("x", ""), ("", "x"), ("It (", ")."))]
+    units += ["", "see for , and it", "for and are", "fort and are", "OF,AND", "from , to", "the , and  the", "the , and then", "Ab 1 " * 12, "Ab 1 " * 11 + "Ab", "Word " * 30, "Table 1 and table 2 and"]
+    units += [" ".join(f"W{i}" for i in range(n)) for n in (5, 6, 23, 24, 40)] + [" ".join(f"w{i % k}" for i in range(30)) for k in (11, 12, 13, 14)]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(units)], "i int, u string")
+    u = F.col("u")
+    words = lambda pattern: F.transform(T.all_of(u, pattern), F.lower)
+    w, v = words(T.EVIDENCE_PATTERN), words(r"[A-Za-z][A-Za-z0-9+./-]*")
+    science = ~C.has_any(u, C.NON_SCIENCE) & (F.size(F.split(F.lower(u), "table ")) - 1 < 2) & ~((F.size(w) >= 24) & (C.variety(w) < 0.43))
+    begins = (u == "") | u.rlike(r"^(?:\p{Lu}|\p{Nd}|[(\[])") | F.lower(u).rlike("^(?:p-i-n|n-i-p)")
+    informative = begins & ~C.has_any(u, C.GENERIC) & ~u.rlike(C.MALFORMED) & (F.size(v) >= 6) & ~((F.length(u) >= 70) & ~u.rlike(C.VERB)) & ~((F.size(v) >= 24) & (C.variety(v) < 0.40))
+    found = rows.select(C.is_science_unit(u).alias("s"), C.is_informative(u).alias("f"), u.rlike(C._VERB).alias("v"), u.rlike(C._MALFORMED).alias("m"))
+    assert found.collect() == rows.select(science.alias("s"), informative.alias("f"), u.rlike(C.VERB).alias("v"), u.rlike(C.MALFORMED).alias("m")).collect()
+    assert plan(rows.select(C.is_science_unit(u))).count("regexp_extract_all") == 1
+
+
+def test_white_space_is_stripped_as_by_its_property(spark):
+    texts = [f"{chr(c)}\n a{chr(c)}b {chr(c)}" for c in [*range(0x00, 0x30), *range(0x7F, 0xB0), 0x1680, 0x180E, *range(0x1FFF, 0x2070), 0x3000, 0xFEFF]] + ["", "\r\n", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.select(stripped(F.col("t"))).collect() == rows.select(F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).collect()
+    assert "regexp_replace" not in plan(rows.select(stripped(F.col("t"))))
