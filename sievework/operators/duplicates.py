@@ -11,23 +11,20 @@ from sievework.sources.work import table
 
 #: Fixed value: texts of this length or more duplicate one that contains them.
 CONTAINED = 90
-#: Characters of a gram, and grams of a window: any CONTAINED characters hold a whole window.
-GRAM, WINDOW = 30, CONTAINED - 30 + 1
+#: Characters of a block: any CONTAINED characters hold a whole one of those that a text is cut into.
+BLOCK = CONTAINED // 2
 #: Parts into which the rows of a common word are dealt, by rows a part.
 PART_ROWS = 1000
 
 
-def _anchors(text: Column, whole: bool) -> Column:
-    """Hashes of grams: the least of the first window, or of each window of the text. A text that contains another has its anchor."""
+def _blocks(text: Column, whole: bool) -> Column:
+    """Hashes of the text's consecutive blocks, or of runs as long at its first BLOCK places. A text that contains another has one of its runs as a block."""
 
-    def grams(letters: Column) -> Column:
-        last = F.least(F.size(letters), F.lit(CONTAINED)) if not whole else F.size(letters)
-        return F.transform(F.sequence(F.lit(1), last - GRAM + 1), lambda i: F.xxhash64(F.array_join(F.slice(letters, i, GRAM), "")))
+    def hashes(letters: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(letters) - BLOCK + 1, F.lit(BLOCK)) if whole else F.sequence(F.lit(1), F.lit(BLOCK))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(letters, i, BLOCK), ""))))
 
-    def least(hashes: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(hashes) - WINDOW + 1), lambda i: F.array_min(F.slice(hashes, i, WINDOW))))
-
-    return with_value(with_value(F.split(text, ""), grams), least)
+    return with_value(F.split(text, ""), hashes)
 
 
 def _met(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -48,9 +45,9 @@ def duplicate_links(rows: DataFrame, group: str, key: str, text: str, threshold:
 
     Similar sets share one of their rarest
     words, of which a set of n has n - ceil(threshold n) + 1 to compare by; sets
-    of unlike sizes aren't compared. A text that another contains shares the least
-    hashed gram of its first window with it, so a text is compared only with those
-    that have one of its anchors. What meets is checked by the whole rule. Nulls
+    of unlike sizes aren't compared. Of a text that contains another, a block of 45
+    characters begins at one of the other's first 45 places, so a text is compared
+    only with those that have one of its runs as a block. What meets is checked by the whole rule. Nulls
     are empty texts; null groups have no pairs; keys are distinct within a group.
     """
     if not 0 < threshold <= 1:
@@ -67,13 +64,13 @@ def duplicate_links(rows: DataFrame, group: str, key: str, text: str, threshold:
     df = each.groupBy(group, "word").agg(F.count("*").alias("df"))
     rare = F.row_number().over(Window.partitionBy(group, "id").orderBy("df", "word"))
     kept = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    few = each.join(df, [group, "word"]).withColumn("place", rare).filter(F.col("place") <= kept)
+    few = table(each.join(df, [group, "word"]).withColumn("place", rare).filter((F.col("place") <= kept) & (F.col("df") > 1)).select(group, "id", "n", "word"), "duplicate-rare-words")
     side = lambda df_, name, *more: df_.select(group, *more, F.col("id").alias(name), F.col("n").alias(f"n_{name}"))
     by_word = _met(side(few, "a", "word"), side(few, "b", "word"), [group, "word"]).filter((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9)).select(group, "a", "b")
 
     long = kinds.filter(F.length("x") >= CONTAINED)
-    inner = long.select(group, "id", "n", F.explode(_anchors(F.col("x"), False)).alias("gram"))
-    outer = long.select(group, "id", "n", F.explode(_anchors(F.col("x"), True)).alias("gram"))
+    inner = long.select(group, "id", "n", F.explode(_blocks(F.col("x"), False)).alias("gram"))
+    outer = long.select(group, "id", "n", F.explode(_blocks(F.col("x"), True)).alias("gram"))
     within = _met(side(inner, "a", "gram"), side(outer, "b", "gram"), [group, "gram"]).filter("a <> b").select(group, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # Texts that are equal but for their words' case sensitive parts.
     twins = kinds.groupBy(group, "x").agg(F.array_sort(F.collect_set("id")).alias("l")).filter(F.size("l") > 1).select(group, F.col("l")[0].alias("a"), F.explode(F.slice("l", F.lit(2), F.size("l"))).alias("b"))

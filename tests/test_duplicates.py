@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.functions.cleaning import EVIDENCE_STOPWORDS
 from sievework.functions.tokens import EVIDENCE_PATTERN
@@ -111,3 +112,15 @@ def test_ranked_records(spark):
     assert {(x["j"], x["d"], x["score"], x["rank"]) for x in found.collect()} == want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_a_text_gives_few_blocks_and_its_part_is_met_at_any_place(spark):
+    """A text of n characters is hashed n / 45 times, and each part of 90 characters or more still meets it."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh é𝛼") for _ in range(400)).strip()
+    rows = [(1, 0, text)] + [(1, 1 + i, text[i : i + size]) for i, size in enumerate([90, 91, 134, 135] * 60) if i + size <= len(text)]
+    df = spark.createDataFrame(rows, "g int, k int, t string")
+    found = duplicates.duplicate_pairs(df, "g", "k", "t", 1.0).collect()
+    assert {tuple(r) for r in found} == plain_pairs(rows, 1.0)
+    blocks = df.filter("k = 0").select(F.size(duplicates._blocks(F.col("t"), True)).alias("n"), F.length("t").alias("chars")).first()
+    assert blocks["n"] == blocks["chars"] // 45
