@@ -116,6 +116,38 @@ def test_score(spark, seed, often):
         assert len(retained) > 3
 
 
+def test_frequent_words_are_contexts(spark):
+    """No word is too frequent to be a context, in one part or dealt by pair, and rows that are alike stay apart."""
+    rng = np.random.default_rng(4)
+    rows = corpus(4) + [(500 + i, " ".join(f"the n{int(x)}" for x in rng.integers(0, 12, 8))) for i in range(200)]
+    rows += rows[-3:]
+    found = S.suffix_tree_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), lambda k: S.fold(k) != 1, depth=2).collect()
+    model = Plain([t.encode() for i, t in rows if S.fold(i) != 1], 2, 2, math.inf, 0.4)
+    assert model.count[b"the"] > 1000 and model.next(b"n1", b"the", b"the ") > 1.2 * model.next(b"n1", None, b"the ")
+    text = dict(rows)
+    assert sorted(r["doc_id"] for r in found) == sorted(i for i, _ in rows)
+    for r in found:
+        assert r["score"] == pytest.approx(model.score(text[r["doc_id"]].encode()), abs=1e-3)
+        tokens = text[r["doc_id"]].encode().split()
+        assert (r["n_tokens"], r["n_known"]) == (len(tokens) + 1, sum(model.count[w] > 0 for w in tokens) + 1)
+
+
+def test_packed_words_come_back():
+    rng = np.random.default_rng(6)
+    columns = [rng.choice([0, 1, 2, 5, -(2**63), 2**63 - 1, 77], 3000) for _ in range(2)]
+    plain, text = np.round(-rng.random(3000) * 9, 1), np.sort(rng.integers(0, 9, 3000))
+    n = np.array([50, 9, 4, 4, 4, 4])
+    model = S.Model(None, np.arange(6), n, 99, 20, 3, 1, 1, 0.1, 1, 0.4)
+    count = collections.Counter()
+    for row in S.packed(model, *columns, plain, text, np.arange(9) * 11 - 40, np.arange(9) % 2 == 0, np.arange(3000) % 2):
+        prev, word, log, at, times, known, ids, learned = S.unpacked(*(row[c][0] for c in ("__size", "__texts", "__packed")))
+        assert (learned == (ids + 40) // 11 % 2 ^ 1).all()
+        for *x, k in zip(prev.tolist(), word.tolist(), np.round(log, 1).tolist(), ids[at].tolist(), known.tolist(), times.tolist(), strict=True):
+            count[tuple(x)] += k
+    want = collections.Counter(zip(*[c.tolist() for c in columns], np.round(plain.astype(np.float32), 1).tolist(), (text * 11 - 40).tolist(), (np.arange(3000) % 2).tolist(), strict=True))
+    assert count == want
+
+
 def test_contexts_grow_with_the_corpus(spark):
     """Twice as many passages that repeat give twice as many word contexts, however small their share."""
     rng = np.random.default_rng(5)
