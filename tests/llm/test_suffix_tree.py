@@ -5,6 +5,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievework.llm import suffix_tree as S
@@ -148,6 +149,30 @@ def test_packed_words_come_back():
     assert count == want
 
 
+def test_parts_in_pieces(monkeypatch):
+    """Some words before at a time give the same sums and counts as all at once."""
+    rng = np.random.default_rng(7)
+    prev, word, text = rng.integers(0, 40, 2000), rng.integers(0, 40, 2000), np.sort(rng.integers(0, 9, 2000))
+    model = S.Model(None, np.arange(40), np.where(np.arange(40) < 3, 99, 4), 999, 20, 1, 1, 1, 0.1, 1, 0.4)
+    rows = list(S.packed(model, prev, word, -1.0 - word / 8, text, np.arange(9), np.arange(9) % 2 == 0))
+    batch = pa.RecordBatch.from_pydict({c: [x for r in rows for x in r[c]] for c in rows[0]})
+
+    def found(part):
+        monkeypatch.setattr(S, "PART", part)
+        pieces = list(S.contexts(model, iter([batch])))
+        sums, seen = collections.defaultdict(lambda: np.zeros(3)), collections.Counter()
+        for c in pieces:
+            for p, *x in zip(c["prev"].tolist(), c["t"], c["k"], c["ratio"], strict=True):
+                sums[p] += x
+            for x in zip(c["prev"][c["of"]].tolist(), c["n"].tolist(), c["plain"].tolist(), c["id"].tolist(), c["times"].tolist(), strict=True):
+                seen[x] += 1
+        return len(pieces), sums, seen
+
+    (one, sums, seen), (several, others, again) = found(10**6), found(1000)
+    assert one == 1 and several > 3 and seen == again and sums.keys() == others.keys()
+    assert all(sums[p] == pytest.approx(others[p]) for p in sums)
+
+
 def test_contexts_grow_with_the_corpus(spark):
     """Twice as many passages that repeat give twice as many word contexts, however small their share."""
     rng = np.random.default_rng(5)
