@@ -7,6 +7,7 @@ import re
 import shutil
 import subprocess
 import sys
+import time
 
 import pytest
 
@@ -157,6 +158,33 @@ def test_units_of_an_empty_table_and_null_columns(spark):
     assert [(r["lang"], r["source"], r["copies"], r["documents"]) for r in store.units_of(rows).collect()] == [(None, None, 2, 1)]
 
 
+@pytest.mark.parametrize("slots", [1 << 18, 1])
+def test_units_of_rows_that_share_an_id(spark, monkeypatch, slots):
+    """Such rows are one document, also if all rows are taken for such."""
+    monkeypatch.setattr(store, "SLOTS", slots)
+    texts = [(1, "A b. C d.\na  B.", "en"), (1, "a b. E f.", "en"), (1, "A b.", "fr"), (2, "A b. E f. E f.", "en"), (3, "C d.", None), (3, "c d.\nC d.", None), (None, "A b.", "en")]
+    rows = spark.createDataFrame([(k, t, "x", 7, lang, "s") for k, t, lang in texts], SCHEMA).repartition(3)
+    found = {(r["lang"], r["unit"]): (r["doc_id"], r["place"], r["copies"], r["documents"]) for r in store.units_of(rows).collect()}
+    assert found == {("en", "A b."): (1, 0, 4, 2), ("en", "C d."): (1, 1, 1, 1), ("en", "E f."): (1, 1, 3, 2), ("fr", "A b."): (1, 0, 1, 1), (None, "C d."): (3, 0, 3, 1)}
+
+
+def test_units_texts_are_shuffled_once_and_no_shuffle_stays(spark, tmp_path):
+    """They were three times, with keys of 64 characters, and a first run's stayed on disk while the second shuffled."""
+    source, output = str(tmp_path / "documents"), str(tmp_path / "out")
+    put(spark, source, "a", [(i, f"Same line here. Own line {i}.") for i in range(20)])
+    plan = store.units_of(spark.read.parquet(source))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_min(") == 1
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {str(x) for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllBlocks()) if str(x).startswith("shuffle_")}
+    before = shuffles()
+    store.run(spark, source, output)
+    for _ in range(50):  # they are removed by another thread
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+
+
 @pytest.mark.parametrize("name, options", [("fulltext", {"output": "index", "checkpoint": "checkpoint"}), ("units", {"output": "out"})])
 def test_command_line(spark, tmp_path, name, options):
     source = str(tmp_path / "documents")
